@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import neardup
+from lexloom.llm import chat, media, neardup, sharding, urlfilter
 from lexloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -38,4 +39,92 @@ SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, coalesce(n.c, t.doc_id)
 FROM sets t LEFT JOIN named n ON len(t.s) > 0 AND list_sort(t.s) = n.s
 """
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"), codec="mulaw", keep=False)
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.examples(turns.unionByName(extra)))
+
+
+ORACLES["op6_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+sized AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    12 + length(replace(replace(replace(role, '\', '\s'), '<|', '<\p'), chr(10), '\n')) + 1
+       + length(replace(replace(text, '\', '\s'), '<|', '<\p')) + 11 AS shown
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+run AS (SELECT *, sum(shown) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM sized)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+FROM run GROUP BY conv_id
+"""
+
+
+def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), 24)
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES).select(
+        "page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust")
+    )
+
+
+def _rank_sql(name: str, edges: str, seed: str) -> str:
+    d, steps = urlfilter.DAMPING, urlfilter.STEPS
+    out = [
+        f"{name}_w AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM {edges})",
+        f"{name}_s AS MATERIALIZED (SELECT host, 1.0::DOUBLE / count(*) OVER () AS score FROM hosts WHERE 2 * {seed} > n)",
+        f"{name}_0 AS (SELECT * FROM {name}_s)",
+    ]
+    for i in range(steps):
+        out.append(
+            f"{name}_{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT host, {1 - d!r} * score AS score FROM {name}_s "
+            f"UNION ALL SELECT dst, {d} * score * w FROM {name}_{i} JOIN {name}_w ON host = src) GROUP BY host)"
+        )
+    flows = "(SELECT count(*) FROM edges) > 0"
+    out.append(f"{name} AS (SELECT * FROM {name}_{steps} WHERE {flows} UNION ALL SELECT host, 1.0 FROM {name}_s WHERE NOT {flows})")
+    return ",\n".join(out)
+
+
+def _rule_sql() -> str:
+    out = "NULL"
+    for _, h, p in sorted(RULES, key=lambda r: len(r[1] + r[2])):
+        out = f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}' ELSE {out} END"
+    return out
+
+
+_SAYS = "CASE rule " + " ".join(f"WHEN '{h + p}' THEN '{v}'" for v, h, p in RULES) + " END"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LINK = urlfilter.LINK.replace("'", "''")
+ORACLES["op10_url_filters"] = rf"""
+WITH parsed AS (
+  SELECT page_id, html, coalesce({_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+tagged AS MATERIALIZED (SELECT *, {_rule_sql()} AS rule FROM parsed),
+says AS (SELECT *, {_SAYS} AS ruled FROM tagged),
+hosts AS MATERIALIZED (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM says GROUP BY host),
+links AS (SELECT host AS src, {_LOWER.format("unnest(list_distinct(regexp_extract_all(html, '" + _LINK + "', 2)))")} AS dst FROM says),
+edges AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND src <> '' GROUP BY src, dst),
+redges AS (SELECT dst AS src, src AS dst, n FROM edges),
+{_rank_sql("good_rank", "edges", "good")},
+{_rank_sql("bad_rank", "redges", "bad")}
+SELECT page_id, s.host, path, rule,
+  coalesce(ruled, CASE WHEN coalesce(b.score, 0) > coalesce(g.score, 0) + 1e-12 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(g.score, 0), 9) AS trust, round(coalesce(b.score, 0), 9) AS distrust
+FROM says s LEFT JOIN good_rank g USING (host) LEFT JOIN bad_rank b USING (host)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k.startswith("op") and callable(v)}
