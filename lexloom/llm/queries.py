@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, media, neardup, sharding, urlfilter
-from lexloom.llm.common import table
+from lexloom.llm import chat, langid, media, neardup, quality, sharding, urlfilter
+from lexloom.llm.common import crc_mod, table
 
 ORACLES: dict[str, str] = {}
 
@@ -39,6 +39,17 @@ SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, coalesce(n.c, t.doc_id)
 FROM sets t LEFT JOIN named n ON len(t.s) > 0 AND list_sort(t.s) = n.s
 """
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), codec="mulaw", keep=False)
 
