@@ -5,10 +5,11 @@ the signature, then through the full shingle sets; components come from alternat
 large-star and small-star steps. Texts with equal shingle sets are one class from the start,
 so groups of copies never become pairs.
 
-Links inside a bucket are sought in two passes. First every class is held against the
-bucket's smallest class only. Then only buckets that still span several components are
-compared within, in blocks of bounded size, and only across components. No bucket is capped
-and no group meets in one task.
+Links are sought in two passes. First every class is held against one other only: the smallest
+class of the buckets that it shares with it most often. Then only buckets that still span
+several components are compared within, in pairs of blocks of bounded size, only across
+components, and each pair only in the first band that it shares; a block pair gives a spanning
+set of the components it joins. No bucket is capped and no group meets in one task.
 
 Defined results: a null text counts as empty; a document without words has an empty set and
 no links; a null doc_id is linked with nothing, its component is null and it is kept; rows
@@ -21,6 +22,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +35,8 @@ K = BANDS * ROWS
 SHINGLE = 5
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 256
+BLOCK = 128
+BLOOM_BITS = 1 << 27
 
 
 class _Words(dict):
@@ -99,7 +102,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ids[i] = s.sum(), mix64(s ^ _MULT).sum()
                 band = np.broadcast_to(salt, (size, BANDS)).copy()
                 for r in range(ROWS):
-                    band = mix64(band * _MULT + sig[:, r::ROWS])
+                    band = mix64(band * _MULT + sig[:, r * BANDS : (r + 1) * BANDS])
             low = (sig & np.uint64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -153,28 +156,88 @@ def _exact(percent: int):
     return run
 
 
+def taken(scratch: Scratch, ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ids (doc_id). A Bloom filter of bounded size first
+    drops nearly all other texts where they are read; the join decides."""
+    need = scratch.save(ids.distinct())
+    bits = min(BLOOM_BITS, 1 << max(16, (need.count() * 16).bit_length()))
+    spots = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)) for i in range(3)])).alias("at")
+    words = need.select(spots).select((F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bloom = np.zeros(bits // 64, np.int64)
+    bloom[got.column("w").to_numpy()] = got.column("b").to_numpy()
+
+    def maybe(*at: pd.Series) -> pd.Series:
+        hit = [(bloom[x.to_numpy() // 64] >> (x.to_numpy() % 64)) & 1 for x in at]
+        return pd.Series(np.logical_and.reduce(hit))
+
+    at = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)) for i in range(3)]
+    likely = docs.filter("doc_id is not null").filter(F.pandas_udf(maybe, "boolean")(*at))
+    return scratch.save(likely.join(need, "doc_id", "left_semi"))
+
+
 def confirmed(scratch: Scratch, edges: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets meet the threshold. The texts of documents in
-    any pair are taken out once; a pair then moves one text."""
-    need = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = scratch.save(docs.join(need, "doc_id", "left_semi"))
+    """The pairs (u, v) whose full shingle sets meet the threshold. A pair moves one text."""
+    texts = taken(scratch, edges.select(F.explode(F.array("u", "v")).alias("doc_id")), docs)
     u = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     v = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
     return edges.select("u", "v").join(u, "u").join(v, "v").mapInArrow(_exact(percent), "u long, v long")
 
 
-def _cross(least: int):
-    def run(group: pa.Table) -> pa.Table:
-        rep = group.column("rep").to_numpy()
-        comp = group.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, K)
+def _pairs(g: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row i of a block pair and the rows behind it that it must be held against: of another
+    component, with enough agreement, met here in the first band that both share."""
+    comp, mine = g.column("comp").to_numpy(), g.column("mine").to_numpy()
+    band, p, q = g.column("band")[0].as_py(), g.column("p")[0].as_py(), g.column("q")[0].as_py()
+    sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(-1, K)
+    for i in range(len(comp) - 1):
+        j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((mine[i + 1 :] != mine[i]) | (p == q))) + i + 1
+        same = sig[j] == sig[i]
+        j, same = j[same.sum(1) >= least], same[same.sum(1) >= least]
+        if len(j):
+            shared = same.reshape(-1, ROWS, BANDS).all(axis=1)
+            yield i, j[~shared[:, :band].any(axis=1)]
+
+
+def _likely(least: int):
+    """The rows of a block pair that have to be held against another one."""
+
+    def run(g: pa.Table) -> pa.Table:
+        hit = np.zeros(g.num_rows, bool)
+        for i, j in _pairs(g, least):
+            hit[j] = True
+            hit[i] |= len(j) > 0
+        return g.filter(pa.array(hit))
+
+    return run
+
+
+def _joined(least: int, percent: int):
+    """Pairs of components that a link of the block pair joins; a spanning set of them."""
+
+    def run(g: pa.Table) -> pa.Table:
+        sets = shingle_sets(g.column("text").to_pylist(), SHINGLE, _Words())
+        comp = g.column("comp").to_numpy()
+        root = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
         us, vs = [], []
-        for i in range(len(rep) - 1):
-            hit = np.flatnonzero(((sig[i + 1 :] == sig[i]).sum(1) >= least) & (comp[i + 1 :] != comp[i])) + i + 1
-            us.append(np.maximum(rep[i], rep[hit]))
-            vs.append(np.minimum(rep[i], rep[hit]))
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"u": cat(us), "v": cat(vs)})
+        for i, js in _pairs(g, least):
+            for j in js:
+                a, b = find(int(comp[i])), find(int(comp[j]))
+                if a == b:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    root[max(a, b)] = min(a, b)
+                    us.append(max(a, b))
+                    vs.append(min(a, b))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
@@ -229,26 +292,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = scratch.save(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
     least = least_agreement(percent / 100)
 
-    banded = reps.select("rep", F.explode("bands").alias("k"))
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "k"))
     lead = scratch.save(banded.groupBy("k").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1"))
     member = scratch.save(banded.join(lead, "k"))
     sig = lambda who: reps.select(F.col("rep").alias(who), F.col("sig").alias(f"sig_{who}"))
-    edges = member.filter("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
+
+    # first each class against one other: the leader that it meets in most of its buckets
+    met = member.filter("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("c"))
+    edges = met.groupBy(F.col("rep").alias("u")).agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("v"))
     tested = edges.join(sig("u"), "u").join(sig("v"), "v").mapInArrow(_agreement, "u long, v long, agree int").filter(F.col("agree") >= least)
-    links = scratch.save(confirmed(scratch, scratch.save(tested), docs, percent))
-    comp = components(scratch, links)
+    comp = components(scratch, scratch.save(confirmed(scratch, scratch.save(tested), docs, percent)))
 
-    placed = member.filter("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
+    # then, in buckets that still hold several components, whatever may link two of them
+    placed = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k", "band", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
     placed = scratch.save(placed)
     mixed = placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
     open_ = placed.join(scratch.save(mixed), "k").join(sig("rep").withColumnRenamed("sig_rep", "sig"), "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = open_.select("k", "rep", "comp", "sig", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("k", "rep", "comp", "sig", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    more = scratch.save(dealt.groupBy("k", "p", "q").applyInArrow(_cross(least), "u long, v long").distinct())
-    if more.limit(1).count():
-        comp = components(scratch, links.union(confirmed(scratch, more, docs, percent)))
+    dealt = open_.select("k", "band", "rep", "comp", "sig", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("k", "band", "rep", "comp", "sig", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    near = scratch.save(dealt.groupBy("k", "p", "q").applyInArrow(_likely(least), dealt.schema))
+    texts = taken(scratch, near.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
+    more = scratch.save(near.join(texts, "rep").groupBy("k", "p", "q").applyInArrow(_joined(least, percent), "u long, v long").distinct())
+    wide = components(scratch, more).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    comp = comp.join(wide, "comp", "full").select(F.coalesce("node", "comp").alias("node"), F.coalesce("whole", "comp").alias("comp"))
 
     named = scratch.save(
         reps.select(*key, "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
