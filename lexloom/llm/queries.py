@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, langid, media, neardup, quality, sharding, urlfilter
+from lexloom.llm import chat, decontam, langid, media, neardup, quality, sharding, urlfilter
 from lexloom.llm.common import crc_mod, table
 
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,49 @@ FROM run GROUP BY conv_id
 """
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _marked_sql(text: str) -> str:
+    out = f"coalesce({text}, '')"
+    for pattern, by in decontam.STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{by.replace('@', chr(92))}', 'g')"
+    return f"lower({out})"
+
+
+_IS_SLOT = f"left(t, 1) IN ('{decontam.NUM}', '{decontam.NAME}', '{decontam.UNIT}')"
+ORACLES["op7_benchmark_decontamination"] = rf"""
+WITH docs AS (
+  SELECT doc_id AS id, {_marked_sql("text")} AS marked FROM documents WHERE doc_id IS NOT NULL),
+items AS (
+  SELECT DISTINCT item_id AS id, {_marked_sql("text")} AS marked FROM benchmark WHERE item_id IS NOT NULL),
+cut AS (
+  SELECT kind, id, regexp_extract_all(regexp_replace(marked, '{decontam.VALUE}', '  ', 'g'), '{decontam.TOKEN}') AS tokens,
+    regexp_extract_all(marked, '{decontam.VALUED}') AS own
+  FROM (SELECT 'd' AS kind, * FROM docs UNION ALL SELECT 'i', * FROM items)),
+item_w AS (
+  SELECT id, w, pos, array_to_string(tokens[pos:pos + w - 1], ' ') AS h, own[pos:pos + w - 1] AS own
+  FROM (SELECT *, unnest(range(1, len(tokens) - w + 2)) AS pos FROM (SELECT *, least(len(tokens), {decontam.WINDOW}) AS w FROM cut WHERE kind = 'i'))
+  WHERE len(list_filter(tokens[pos:pos + w - 1], lambda t: NOT {_IS_SLOT})) >= {decontam.LITERALS}),
+sized AS (SELECT id, count(DISTINCT pos) AS n FROM item_w GROUP BY id),
+doc_w AS (
+  SELECT id, w, pos, array_to_string(tokens[pos:pos + w - 1], ' ') AS h, own[pos:pos + w - 1] AS seen
+  FROM (SELECT *, unnest(range(1, len(tokens) - w + 2)) AS pos FROM cut, (SELECT DISTINCT w FROM item_w) WHERE kind = 'd' AND len(tokens) >= w)),
+met AS (
+  SELECT d.id AS doc_id, i.id AS item_id, n, i.pos, d.pos - i.pos AS diagonal, i.own, d.seen
+  FROM doc_w d JOIN item_w i ON d.h = i.h AND d.w = i.w JOIN sized s ON s.id = i.id),
+slot AS (
+  SELECT doc_id, item_id, diagonal, unnest(own) AS t, unnest(seen) AS v FROM met),
+checked AS (
+  SELECT doc_id, item_id, diagonal, count(DISTINCT t || chr(0) || v) = count(DISTINCT t) AS fits, count(DISTINCT CASE WHEN t <> v THEN t END) AS changed
+  FROM slot WHERE {_IS_SLOT} GROUP BY ALL)
+SELECT m.doc_id, m.item_id, n AS n_windows, count(DISTINCT pos) AS matched, CAST(max(coalesce(changed, 0)) AS BIGINT) AS changed
+FROM met m LEFT JOIN checked c ON m.doc_id = c.doc_id AND m.item_id = c.item_id AND m.diagonal = c.diagonal
+WHERE coalesce(fits, true) GROUP BY m.doc_id, m.item_id, n HAVING count(DISTINCT pos) >= {decontam.COVER} * n
+"""
+
+
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 24)
 
