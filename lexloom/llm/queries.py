@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontam, langid, media, neardup, pii, quality, sharding, urlfilter
+from lexloom.llm import chat, decontam, langid, media, neardup, pieces, pii, quality, sharding, urlfilter
 from lexloom.llm.common import crc_mod, table
 
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(spark, table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), codec="mulaw", keep=False)
 
