@@ -199,7 +199,7 @@ def fit(docs: DataFrame, training: Column) -> Model | None:
     return build(counts.select("lang", "gram", "n").toPandas())
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(model.langs) if model else 0
         place: dict[str, int] = {}
@@ -233,13 +233,24 @@ def _predict(model: Model | None):
                     odds = np.exp(-(ce - ce[j]) * min(n, 50.0))
                     pred.append(model.langs[j]), score.append(float(1 / odds.sum())), entropy.append(float(ce[j]))
                     ok.append(bool(ce[j] <= SLACK * model.mu[j] + REACH * model.sigma[j] / np.sqrt(n)))
-                cols = [b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(ok, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
+                cols = [*(b.column(c) for c in carry), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(ok, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*carry, "lang_pred", "score", "cross_entropy", "accepted"])
 
     return run
 
 
+_SCHEMA = "lang_pred string, score double, cross_entropy double, accepted boolean"
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy (nats a symbol, null for ``und``), accepted."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean")
+    return rows.mapInArrow(_predict(model, ["doc_id"]), f"doc_id long, {_SCHEMA}")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents that are not rejected, with the language found as their lang."""
+    types = {"doc_id": "long", "text": "string", "source": "string", "n_chars": "long"}
+    rows = docs.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))
+    out = rows.mapInArrow(_predict(model, list(types)), ", ".join(f"{c} {t}" for c, t in types.items()) + f", {_SCHEMA}")
+    return out.filter("accepted").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
