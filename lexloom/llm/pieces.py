@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut where no piece reaches across (before a run of blanks, around a line feed). Each
-distinct chunk of the corpus is encoded once: its substrings, no longer than the longest piece,
-meet the piece table in an equi-join; the edges are grouped by chunk, and a higher-order
-aggregate folds them into the path of the highest score (Viterbi, ties to the longer last
-piece). Unknown characters become byte pieces. The scores are those of the model file, so this is
-the segmentation of highest total score, not the order of merges of a merge model.
+Texts are cut between two characters that stand side by side in no piece; no path reaches across
+such a place, so the best path of a text is that of its chunks. Each distinct chunk of the corpus
+is encoded once: its substrings, no longer than the longest piece, meet the piece table in an
+equi-join; the edges are grouped by chunk, and a higher-order aggregate folds them into the path
+of the highest score (Viterbi, ties to the longer last piece). Unknown characters become byte
+pieces. The scores are those of the model file, so this is the segmentation of highest total
+score, not the order of merges of a merge model.
 
 Chunks go back to their documents by blocks of bounded size: each block asks for the distinct
-chunks that it needs, and meets its compressed texts again under the block's key. The commonest
-chunks, up to FREQUENT of them, are sent to the workers instead, which only saves traffic.
+chunks that it needs, the answers go out to the blocks that asked, and meet the block's
+compressed texts again under its key. The commonest chunks, up to FREQUENT of them, are sent to
+the workers instead, which only saves traffic. The corpus tells chunks apart by 96 bits of hash,
+a block by 64.
 
 Decoding joins the pieces' bytes in document order, in built-in functions alone.
 
@@ -20,9 +23,7 @@ text that holds the mark U+2581 decodes with a blank in its place, as the librar
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,11 +37,9 @@ from lexloom.llm.common import Scratch
 
 MARK = "▁"
 FREQUENT = 1 << 17
-HELD = 300_000
 BLOCK_BYTES = 16 << 20
 #: The piece table is broadcast; a larger vocabulary is refused.
 MAX_PIECES = 1 << 20
-_CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
 @dataclass
@@ -50,7 +49,30 @@ class Vocabulary:
     longest: int
     unknown_score: float
     byte_zero: int  # id of the byte 0; the others follow
-    unknown: int
+
+    def cutter(self) -> Cutter:
+        return Cutter(sorted({ab for p, *_ in self.pieces for ab in zip(p, p[1:], strict=False)}))
+
+
+class Cutter:
+    """Cuts texts between characters that are neighbours in no piece."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        chars = sorted({c for ab in pairs for c in ab})
+        place = {c: i + 1 for i, c in enumerate(chars)}
+        self.of = np.zeros(0x110000, np.int32)
+        self.of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        self.joined = np.zeros(self.width * self.width, bool)
+        self.joined[[place[a] * self.width + place[b] for a, b in pairs]] = True
+
+    def __call__(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        t = MARK + text.replace(" ", MARK)
+        x = self.of[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = (np.flatnonzero(~self.joined[x[:-1] * self.width + x[1:]]) + 1).tolist()
+        return [t[i:j] for i, j in zip([0, *ends], [*ends, len(t)], strict=True)]
 
 
 def load(model_path: str) -> Vocabulary:
@@ -64,91 +86,76 @@ def load(model_path: str) -> Vocabulary:
     names = [sp.id_to_piece(i) for i in range(n)]
     plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     pieces = [(names[i], i, float(sp.get_score(i))) for i in plain]
-    crossing = [p for p, *_ in pieces if MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1)]
     bytes_ = [i for i in range(n) if sp.is_byte(i)]
-    if crossing or len(bytes_) != 256 or bytes_[-1] - bytes_[0] != 255:
-        raise ValueError("the model has pieces across words, or no byte pieces")
+    if len(bytes_) != 256 or bytes_[-1] - bytes_[0] != 255:
+        raise ValueError("the model has no byte pieces")
     hex_of = [f"{i - bytes_[0]:02X}" if bytes_[0] <= i <= bytes_[-1] else "" for i in range(n)]
     for p, i, _ in pieces:
         hex_of[i] = p.replace(MARK, " ").encode().hex().upper()
-    return Vocabulary(pieces, hex_of, max(len(p) for p, *_ in pieces), min(s for *_, s in pieces) - 10.0, bytes_[0], sp.unk_id())
-
-
-def chunks(text: str | None) -> list[str]:
-    return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
-
-
-def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
-
-    for b in batches:
-        for t in b.column("text").to_pylist():
-            seen.update(chunks(t))
-            if len(seen) > HELD:
-                yield flush()
-                seen.clear()
-    yield flush()
-
-
-def best_path(chunk: Column, edges: Column, v: Vocabulary) -> Column:
-    """Ids of the path of highest score. edges: by end, then start: struct(e, s, id, score);
-    positions count from 1 and an edge covers s to e."""
-    start = F.struct(
-        F.array().cast("array<double>").alias("sums"),
-        F.array().cast("array<struct<s:int,id:int>>").alias("steps"),
-        F.lit(0).alias("e"),
-        F.lit(0.0).alias("best"),
-        F.struct(F.lit(0).alias("s"), F.lit(0).alias("id")).alias("step"),
-    )
-
-    def fold(a: Column, x: Column) -> Column:
-        new = x["e"] > a["e"]
-        total = x["score"] + F.when(x["s"] == a["e"] + 1, a["best"]).otherwise(F.get(a["sums"], x["s"] - 1))
-        better = new | (total > a["best"])
-        return F.struct(
-            F.when(new, F.array_append(a["sums"], a["best"])).otherwise(a["sums"]).alias("sums"),
-            F.when(new, F.array_append(a["steps"], a["step"])).otherwise(a["steps"]).alias("steps"),
-            x["e"].alias("e"),
-            F.when(better, total).otherwise(a["best"]).alias("best"),
-            F.when(better, F.struct(x["s"].alias("s"), x["id"].alias("id"))).otherwise(a["step"]).alias("step"),
-        )
+    return Vocabulary(pieces, hex_of, max(len(p) for p, *_ in pieces), min(s for *_, s in pieces) - 10.0, bytes_[0])
 
-    def as_bytes(i: Column) -> Column:
-        own = F.hex(F.encode(F.substr(chunk, i, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), (F.length(own) / 2).cast("int")), lambda k: F.conv(F.substr(own, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + v.byte_zero)
 
-    def back(a: Column, i: Column) -> Column:
-        step = F.get(a["steps"], i)
-        here = a["e"] == i
-        ids = F.when(step["id"] >= 0, F.array(step["id"])).otherwise(as_bytes(i))
-        return F.struct(
-            a["steps"].alias("steps"),
-            F.when(here, step["s"] - 1).otherwise(a["e"]).alias("e"),
-            F.when(here, F.concat(ids, a["ids"])).otherwise(a["ids"]).alias("ids"),
+def best_path(edges: Column) -> Column:
+    """For each position the best way to it: an array of struct(t, s, id), position 0 first, with
+    the sum of scores, minus the first character of the last piece, and its id. edges:
+    struct(e, s, id, score); positions count from 1 and an edge covers s to e."""
+    way = lambda t, s, i: F.struct(t.cast("double").alias("t"), s.cast("int").alias("s"), i.cast("int").alias("id"))
+
+    def step(a: Column, e: Column) -> Column:
+        here = F.filter(edges, lambda x: x["e"] == e)
+        return F.array_append(a, F.array_max(F.transform(here, lambda x: way(F.get(a, x["s"] - 1)["t"] + x["score"], -x["s"], x["id"]))))
+
+    last = F.array_max(F.transform(edges, lambda x: x["e"]))
+    return F.aggregate(F.sequence(F.lit(1), last), F.array(way(F.lit(0.0), F.lit(0), F.lit(0))), step)
+
+
+def read_back(steps: Column, v: Vocabulary) -> Column:
+    """Ids along the best way to the last position; the id of an unknown character is minus its
+    code point and becomes its UTF-8 bytes."""
+
+    def as_bytes(cp: Column) -> Column:
+        tail = lambda k: cp.bitwiseAND(0) + 128 + F.shiftright(cp, k).bitwiseAND(63)
+        units = (
+            F.when(cp < 0x80, F.array(cp))
+            .when(cp < 0x800, F.array(F.shiftright(cp, 6) + 192, tail(0)))
+            .when(cp < 0x10000, F.array(F.shiftright(cp, 12) + 224, tail(6), tail(0)))
+            .otherwise(F.array(F.shiftright(cp, 18) + 240, tail(12), tail(6), tail(0)))
         )
+        return F.transform(units, lambda u: u + v.byte_zero)
 
-    done = F.aggregate(edges, start, fold, lambda a: F.array_append(a["steps"], a["step"]))
-    n = F.length(chunk)
-    return F.aggregate(
-        F.sequence(n, F.lit(1), F.lit(-1)), F.struct(done.alias("steps"), n.alias("e"), F.array().cast("array<int>").alias("ids")), back, lambda a: a["ids"]
-    )
+    def back(a: Column, i: Column) -> Column:
+        way = F.get(steps, i)
+        ids = F.when(way["id"] >= 0, F.array(way["id"])).otherwise(as_bytes(-way["id"]))
+        return F.when(a["e"] == i, F.struct((-way["s"] - 1).alias("e"), F.concat(ids, a["ids"]).alias("ids"))).otherwise(a)
+
+    n = F.size(steps) - 1
+    start = F.struct(n.alias("e"), F.array().cast("array<int>").alias("ids"))
+    return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), start, back, lambda a: a["ids"])
 
 
-def lattice(counted: DataFrame, v: Vocabulary) -> DataFrame:
-    """chunk, n, ids from distinct chunks."""
-    spark = counted.sparkSession
-    table = F.broadcast(spark.createDataFrame(v.pieces, "piece string, id int, score double"))
+def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
+    """(h1, ids, blocks): each distinct chunk's ids and who asked for it; wanted(block, chunk).
+
+    Everything behind the one exchange stays in its partition: grouping, explode, join, grouping."""
+    spark = wanted.sparkSession
+    table = spark.createDataFrame(v.pieces, "own string, id int, score double").select(F.xxhash64("own").alias("ph"), "own", "id", "score")
+    keyed = wanted.select(F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2"), "chunk", "block").repartition("h1", "h2")
+    keyed = keyed.groupBy("h1", "h2", "chunk").agg(F.collect_list("block").alias("blocks"))
+    # start 0 stands for the chunk itself and carries the blocks; the others are substrings
     n = F.length("chunk")
-    cut = counted.select("chunk", "n", F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    cut = cut.select("chunk", "n", "s", F.explode(F.sequence(F.col("s"), F.least(F.col("s") + v.longest - 1, n))).alias("e"))
-    cut = cut.withColumn("piece", F.substr("chunk", F.col("s"), F.col("e") - F.col("s") + 1))
-    edges = cut.join(table, "piece", "left").filter(F.col("id").isNotNull() | (F.col("s") == F.col("e")))
-    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(v.unknown_score)).alias("score"))
-    grouped = edges.groupBy("chunk").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    return grouped.select("chunk", "n", best_path(F.col("chunk"), F.col("edges"), v).alias("ids"))
+    cut = keyed.select("h1", "h2", "chunk", "blocks", F.explode(F.sequence(F.lit(0), n)).alias("s"))
+    ends = F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("s"), F.least(F.col("s") + v.longest - 1, n)))
+    cut = cut.select("h1", "h2", "chunk", F.when(F.col("s") == 0, F.col("blocks")).alias("blocks"), "s", F.explode(ends).alias("e"))
+    cut = cut.select("h1", "h2", "blocks", "s", "e", F.substr("chunk", F.col("s"), F.col("e") - F.col("s") + 1).alias("piece"))
+    # joined by a hash, which is the quicker key, and held against the piece itself
+    hit = cut.withColumn("ph", F.when(F.col("s") > 0, F.xxhash64("piece"))).join(F.broadcast(table), "ph", "left")
+    edges = hit.withColumn("id", F.when(F.col("own") == F.col("piece"), F.col("id"))).filter(F.col("id").isNotNull() | (F.col("s") == F.col("e")))
+    score = F.when(F.col("id").isNull(), v.unknown_score).otherwise(F.col("score")).alias("score")
+    edge = F.when(F.col("s") > 0, F.struct("e", "s", F.coalesce("id", -F.ascii("piece")).alias("id"), score))
+    edges = edges.select("h1", "h2", "blocks", edge.alias("edge"))
+    grouped = edges.groupBy("h1", "h2").agg(F.collect_list("edge").alias("edges"), F.first("blocks", ignorenulls=True).alias("blocks"))
+    ways = grouped.select("h1", "blocks", best_path(F.col("edges")).alias("steps"))
+    return ways.select("h1", read_back(F.col("steps"), v).alias("ids"), "blocks")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -175,14 +182,15 @@ def _keyed(held: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
     return h.intdigest() - (1 << 63), t
 
 
-def _wanted(frequent: dict[str, np.ndarray]):
+def _wanted(cut: Cutter):
+    """The distinct chunks of each block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t in _blocks(batches):
             need: set[str] = set()
             for x in t.column("text").to_pylist():
-                need.update(chunks(x))
-            rare = sorted(need.difference(frequent))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rare), key)), pa.array(rare, pa.string())], names=["block", "chunk"])
+                need.update(cut(x))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(need), key)), pa.array(list(need), pa.string())], names=["block", "chunk"])
 
     return run
 
@@ -190,65 +198,80 @@ def _wanted(frequent: dict[str, np.ndarray]):
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, t in _blocks(batches):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as w:
             w.write_table(t)
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "blob"])
 
 
-def _assembled(frequent: dict[str, np.ndarray]):
+def _spread(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The picked lists one after the other, and their lengths; list i is flat[ends[i]:ends[i + 1]]."""
+    size = (ends[1:] - ends[:-1])[pick]
+    shift = ends[pick] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(pick) else size
+    return flat[np.repeat(shift, size) + np.arange(size.sum())], size
+
+
+class _Place(dict):
+    """Chunk to its list's place, through the hash that the lattice knows it by."""
+
+    def __init__(self, by_hash: dict[int, int]):
+        self.by_hash = by_hash
+
+    def __missing__(self, chunk: str) -> int:
+        h = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=42)
+        i = self[chunk] = self.by_hash[h - (1 << 64) if h >= 1 << 63 else h]
+        return i
+
+
+def _assembled(cut: Cutter, frequent: np.ndarray, flat: np.ndarray, ends: np.ndarray):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        own = dict(zip(words.column("chunk").to_pylist(), _lists(words.column("ids")), strict=True))
-        out = []
+        more, more_ends = _flat(words.column("ids"))
+        all_flat, all_ends = np.concatenate([flat, more]), np.concatenate([ends, more_ends[1:] + ends[-1]])
+        keys = np.concatenate([frequent, words.column("h1").to_numpy()])
+        place = _Place(dict(zip(keys.tolist(), range(len(keys)), strict=True)))
+        out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "text_crc32": pa.array([], pa.int64())})]
         for blob in docs.column("blob").to_pylist():
-            t = pa.ipc.open_stream(blob).read_all()
-            ids, ends, crc = [], [0], []
-            for x in t.column("text").to_pylist():
-                found = [frequent[c] if c in frequent else own[c] for c in chunks(x)]
-                flat = np.concatenate(found) if found else np.empty(0, np.int32)
-                ids.append(flat)
-                ends.append(ends[-1] + len(flat))
-                crc.append(zlib.crc32((x or "").encode("utf-8", "surrogatepass")))
-            values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            out.append(pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64())}))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "text_crc32": pa.array([], pa.int64())})
+            for t in pa.ipc.open_stream(blob):
+                picks, crc, count = [], [], []
+                for x in t.column("text").to_pylist():
+                    own = cut(x)
+                    picks += map(place.__getitem__, own)
+                    count.append(len(own))
+                    crc.append(zlib.crc32((x or "").encode("utf-8", "surrogatepass")))
+                ids, size = _spread(all_flat, all_ends, np.array(picks, np.int64))
+                to = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
+                lists = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()))
+                out.append(pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64())}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and ends of a column of lists."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-    return np.split(flat, ends[:-1]) if len(column) else []
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
-def _common(lexicon: DataFrame) -> tuple[dict[str, np.ndarray], int]:
-    """The commonest chunks, at most FREQUENT, and the count from which a chunk is one."""
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """doc_id, ids (array of piece ids), text_crc32 (of the text's UTF-8 bytes)."""
+    scratch, cut = Scratch(docs.sparkSession), v.cutter()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wanted = rows.mapInArrow(_wanted(cut), "block long, chunk string")
+    lexicon = scratch.save(lattice(wanted, v).withColumn("n", F.size("blocks")))
+    # the chunks of most blocks, at most FREQUENT
     level = F.floor(F.log2("n") * 8).cast("int")
-    least = None
-    total = 0
+    least, total = 1 << 30, 0
     for r in sorted(lexicon.groupBy(level.alias("level")).count().collect(), reverse=True):
         if total + r["count"] > FREQUENT:
             break
         total, least = total + r["count"], r["level"]
-    if least is None:
-        return {}, None
-    got = lexicon.filter(level >= least).select("chunk", "ids").toArrow()
-    return dict(zip(got.column("chunk").to_pylist(), _lists(got.column("ids")), strict=True)), least
-
-
-def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """doc_id, ids (array of piece ids), text_crc32 (of the text's UTF-8 bytes)."""
-    scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = rows.select("text").mapInArrow(_count_chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    lexicon = scratch.save(lattice(counted, v))
-    frequent, least = _common(lexicon)
-    rest = lexicon if least is None else lexicon.filter(F.floor(F.log2("n") * 8).cast("int") < least)
-    words = rows.mapInArrow(_wanted(frequent), "block long, chunk string").join(rest.select("chunk", "ids"), "chunk")
+    got = lexicon.filter(level >= least).select("h1", "ids").toArrow()
+    flat, ends = _flat(got.column("ids"))
+    words = lexicon.filter(level < least).select(F.explode("blocks").alias("block"), "h1", "ids")
     packed = rows.mapInArrow(_packed, "block long, blob binary")
-    return packed.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assembled(frequent), "doc_id long, ids array<int>, text_crc32 long")
+    run = _assembled(cut, got.column("h1").to_numpy(), flat, ends)
+    return packed.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, text_crc32 long")
 
 
 def decode(ids: Column, v: Vocabulary) -> Column:
