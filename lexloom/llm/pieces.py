@@ -14,7 +14,8 @@ compressed texts again under its key. The commonest chunks, up to FREQUENT of th
 the workers instead, which only saves traffic. The corpus tells chunks apart by 96 bits of hash,
 a block by 64.
 
-Decoding joins the pieces' bytes in document order, in built-in functions alone.
+Decoding joins the pieces' bytes in document order, in built-in functions alone (``decode``);
+encoded documents carry the checksum of their decoded bytes besides.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; repeated rows
 count each; a null doc_id stays null; extra columns are ignored; empty tables give no rows. A
@@ -23,6 +24,7 @@ text that holds the mark U+2581 decodes with a blank in its place, as the librar
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +39,8 @@ from lexloom.llm.common import Scratch
 
 MARK = "▁"
 FREQUENT = 1 << 17
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+_MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: The piece table is broadcast; a larger vocabulary is refused.
 MAX_PIECES = 1 << 20
 
@@ -66,13 +69,29 @@ class Cutter:
         self.joined = np.zeros(self.width * self.width, bool)
         self.joined[[place[a] * self.width + place[b] for a, b in pairs]] = True
 
-    def __call__(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        t = MARK + text.replace(" ", MARK)
+    def __call__(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The chunks of all words, one after the other, and how many each word has."""
+        full = [w if MARK in w else MARK + w for w in words]
+        t = "".join(full)
+        if not t:
+            return [], np.zeros(len(words), np.int64)
         x = self.of[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = (np.flatnonzero(~self.joined[x[:-1] * self.width + x[1:]]) + 1).tolist()
-        return [t[i:j] for i, j in zip([0, *ends], [*ends, len(t)], strict=True)]
+        stop = np.cumsum(np.fromiter(map(len, full), np.int64, len(full)))
+        end = np.append(~self.joined[x[:-1] * self.width + x[1:]], True)
+        end[stop - 1] = True
+        ends = np.flatnonzero(end) + 1
+        upto = ends.tolist()
+        return [t[i:j] for i, j in zip([0, *upto[:-1]], upto, strict=True)], np.diff(np.searchsorted(ends, stop, "right"), prepend=0)
+
+
+def words(text: str | None) -> list[str]:
+    """A text cut before its blanks; a word stands for itself behind one mark, unless it holds marks:
+    then it is written out, as where blanks stand together."""
+    if not text:
+        return []
+    if MARK in text or "  " in text or text[0] == " ":
+        return _MARKED.findall(MARK + text.replace(" ", MARK))
+    return text.split(" ")
 
 
 def load(model_path: str) -> Vocabulary:
@@ -87,8 +106,8 @@ def load(model_path: str) -> Vocabulary:
     plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     pieces = [(names[i], i, float(sp.get_score(i))) for i in plain]
     bytes_ = [i for i in range(n) if sp.is_byte(i)]
-    if len(bytes_) != 256 or bytes_[-1] - bytes_[0] != 255:
-        raise ValueError("the model has no byte pieces")
+    if len(bytes_) != 256 or bytes_[-1] - bytes_[0] != 255 or any(MARK in p.lstrip(MARK) for p, *_ in pieces):
+        raise ValueError("the model has no byte pieces, or pieces that reach across a blank")
     hex_of = [f"{i - bytes_[0]:02X}" if bytes_[0] <= i <= bytes_[-1] else "" for i in range(n)]
     for p, i, _ in pieces:
         hex_of[i] = p.replace(MARK, " ").encode().hex().upper()
@@ -139,7 +158,8 @@ def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
     Everything behind the one exchange stays in its partition: grouping, explode, join, grouping."""
     spark = wanted.sparkSession
     table = spark.createDataFrame(v.pieces, "own string, id int, score double").select(F.xxhash64("own").alias("ph"), "own", "id", "score")
-    keyed = wanted.select(F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2"), "chunk", "block").repartition("h1", "h2")
+    keyed = wanted.repartition(F.xxhash64("chunk"), F.hash("chunk"))
+    keyed = keyed.select(F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2"), "chunk", "block")
     keyed = keyed.groupBy("h1", "h2", "chunk").agg(F.collect_list("block").alias("blocks"))
     # start 0 stands for the chunk itself and carries the blocks; the others are substrings
     n = F.length("chunk")
@@ -189,8 +209,9 @@ def _wanted(cut: Cutter):
         for key, t in _blocks(batches):
             need: set[str] = set()
             for x in t.column("text").to_pylist():
-                need.update(cut(x))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(need), key)), pa.array(list(need), pa.string())], names=["block", "chunk"])
+                need.update(words(x))
+            found = list(set(cut(list(need))[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found, pa.string())], names=["block", "chunk"])
 
     return run
 
@@ -210,37 +231,45 @@ def _spread(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(shift, size) + np.arange(size.sum())], size
 
 
-class _Place(dict):
-    """Chunk to its list's place, through the hash that the lattice knows it by."""
-
-    def __init__(self, by_hash: dict[int, int]):
-        self.by_hash = by_hash
+def chunk_hash(chunk: str) -> int:
+    """As the lattice knows a chunk: 64 bits, signed."""
+    h = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
 
-    def __missing__(self, chunk: str) -> int:
-        h = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=42)
-        i = self[chunk] = self.by_hash[h - (1 << 64) if h >= 1 << 63 else h]
-        return i
 
-
-def _assembled(cut: Cutter, frequent: np.ndarray, flat: np.ndarray, ends: np.ndarray):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        more, more_ends = _flat(words.column("ids"))
+def _assembled(cut: Cutter, frequent: np.ndarray, flat: np.ndarray, ends: np.ndarray, hex_of: list[str]):
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        raw = [bytes.fromhex(h) for h in hex_of]
+        raw_flat, raw_ends = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        more, more_ends = _flat(asked.column("ids"))
         all_flat, all_ends = np.concatenate([flat, more]), np.concatenate([ends, more_ends[1:] + ends[-1]])
-        keys = np.concatenate([frequent, words.column("h1").to_numpy()])
-        place = _Place(dict(zip(keys.tolist(), range(len(keys)), strict=True)))
-        out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "text_crc32": pa.array([], pa.int64())})]
+        keys = np.concatenate([frequent, asked.column("h1").to_numpy()])
+        place = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "text_crc32": pa.array([], pa.int64()), "decoded_crc32": pa.array([], pa.int64())})]
         for blob in docs.column("blob").to_pylist():
+            # each distinct word of the block once, then the documents as runs of words
+            seen: set[str] = set()
+            for t in pa.ipc.open_stream(blob):
+                for x in t.column("text").to_pylist():
+                    seen.update(words(x))
+            own = list(seen)
+            found, count = cut(own)
+            ids, size = _spread(all_flat, all_ends, np.fromiter((place[chunk_hash(c)] for c in found), np.int64, len(found)))
+            to = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+            at = dict(zip(own, range(len(own)), strict=True))
             for t in pa.ipc.open_stream(blob):
-                picks, crc, count = [], [], []
+                picks, n, crc = [], [0], []
                 for x in t.column("text").to_pylist():
-                    own = cut(x)
-                    picks += map(place.__getitem__, own)
-                    count.append(len(own))
+                    picks += map(at.__getitem__, words(x))
+                    n.append(len(picks))
                     crc.append(zlib.crc32((x or "").encode("utf-8", "surrogatepass")))
-                ids, size = _spread(all_flat, all_ends, np.array(picks, np.int64))
-                to = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
-                lists = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()))
-                out.append(pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64())}))
+                got, size = _spread(ids, to, np.fromiter(picks, np.int64, len(picks)))
+                upto = np.concatenate([[0], np.cumsum(size)])[n]
+                read, size = _spread(raw_flat, raw_ends, got)
+                read_to = np.concatenate([[0], np.cumsum(size)])[upto]
+                back = [zlib.crc32(read[i + (i < j) : j]) for i, j in zip(read_to[:-1], read_to[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(got, pa.int32()))
+                out.append(pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(back, pa.int64())}))
         return pa.concat_tables(out)
 
     return run
@@ -254,7 +283,8 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """doc_id, ids (array of piece ids), text_crc32 (of the text's UTF-8 bytes)."""
+    """doc_id, ids (array of piece ids), text_crc32 (of the text's UTF-8 bytes), decoded_crc32 (of
+    the bytes of the ids' pieces, without the blank that leads every text)."""
     scratch, cut = Scratch(docs.sparkSession), v.cutter()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = rows.mapInArrow(_wanted(cut), "block long, chunk string")
@@ -268,10 +298,10 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
         total, least = total + r["count"], r["level"]
     got = lexicon.filter(level >= least).select("h1", "ids").toArrow()
     flat, ends = _flat(got.column("ids"))
-    words = lexicon.filter(level < least).select(F.explode("blocks").alias("block"), "h1", "ids")
+    answers = lexicon.filter(level < least).select(F.explode("blocks").alias("block"), "h1", "ids")
     packed = rows.mapInArrow(_packed, "block long, blob binary")
-    run = _assembled(cut, got.column("h1").to_numpy(), flat, ends)
-    return packed.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, text_crc32 long")
+    run = _assembled(cut, got.column("h1").to_numpy(), flat, ends, v.hex_of)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, text_crc32 long, decoded_crc32 long")
 
 
 def decode(ids: Column, v: Vocabulary) -> Column:
@@ -283,7 +313,5 @@ def decode(ids: Column, v: Vocabulary) -> Column:
 
 def encoded(spark: SparkSession, docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pieces, ids, text_crc32, round_trip (whether the decoded ids give the text)."""
-    v = load(model_path)
-    out = encode(docs, v)
-    same = F.crc32(F.encode(decode(F.col("ids"), v), "UTF-8")) == F.col("text_crc32")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_crc32", same.alias("round_trip"))
+    out = encode(docs, load(model_path))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_crc32", (F.col("decoded_crc32") == F.col("text_crc32")).alias("round_trip"))
