@@ -122,8 +122,8 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def prefix_parents(classes: DataFrame) -> DataFrame:
     """(name, parent): the longest other name that is a prefix ending at a separator."""
-    pieces = F.split("name", "[.-]")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda n: F.regexp_extract("name", F.concat(F.lit("^((?:[^.-]+[.-]){"), n - 1, F.lit("}[^.-]+)")), 1))
+    pieces = F.split("name", "(?<=[.-])")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda n: F.regexp_replace(F.array_join(F.slice(pieces, 1, n), ""), "[.-]$", ""))
     cut = classes.filter(F.size(pieces) > 1).select("name", F.explode(prefixes).alias("parent")).filter("parent <> ''")
     hit = cut.join(classes.select(F.col("name").alias("parent")).distinct(), "parent")
     best = hit.groupBy("name").agg(F.max_by("parent", F.length("parent")).alias("parent"))
