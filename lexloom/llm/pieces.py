@@ -39,7 +39,7 @@ from lexloom.llm.common import Scratch
 
 MARK = "▁"
 FREQUENT = 1 << 17
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: The piece table is broadcast; a larger vocabulary is refused.
 MAX_PIECES = 1 << 20
@@ -211,6 +211,7 @@ def _wanted(cut: Cutter):
             for x in t.column("text").to_pylist():
                 need.update(words(x))
             found = list(set(cut(list(need))[0]))
+            del need
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found, pa.string())], names=["block", "chunk"])
 
     return run
