@@ -30,6 +30,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "4m", "67108864b"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's limit for Arrow batches from its default to BATCH_BYTES: batches of very
+    long texts would crowd the workers. The setting stays, as plans run later."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == DEFAULT_BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import bounded_batches
+
 UNIT = 64
 RATE, RATE_OUT = 8000, 16000
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "ima_adpcm": 0x11}
@@ -161,5 +163,5 @@ def media_columns(docs: DataFrame, codec: str = "mulaw", keep: bool = True) -> D
     """Digests and features of each text's stored form; with ``keep`` also the stored file
     (``media``) and the resampled 16-bit WAV (``pcm``)."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_columns(codec, keep), schema + (", media binary, pcm binary" if keep else ""))

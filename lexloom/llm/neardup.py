@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, mix64
+from lexloom.llm.common import Scratch, bounded_batches, mix64
 
 BANDS, ROWS = 40, 5
 K = BANDS * ROWS
@@ -119,7 +119,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, 128-bit set id, signature (one byte of each minimum), band keys."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _sketches, "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
     )
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch
+from lexloom.llm.common import Scratch, bounded_batches
 
 MARK = "▁"
 FREQUENT = 1 << 17
@@ -287,7 +287,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """doc_id, ids (array of piece ids), text_crc32 (of the text's UTF-8 bytes), decoded_crc32 (of
     the bytes of the ids' pieces, without the blank that leads every text)."""
     scratch, cut = Scratch(docs.sparkSession), v.cutter()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = rows.mapInArrow(_wanted(cut), "block long, chunk string")
     lexicon = scratch.save(lattice(wanted, v).withColumn("n", F.size("blocks")))
     # the chunks of most blocks, at most FREQUENT
