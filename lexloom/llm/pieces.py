@@ -39,6 +39,7 @@ from lexloom.llm.common import Scratch, bounded_batches
 
 MARK = "▁"
 FREQUENT = 1 << 17
+HELD = 200_000
 BLOCK_BYTES = 4 << 20
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: The piece table is broadcast; a larger vocabulary is refused.
@@ -153,14 +154,14 @@ def read_back(steps: Column, v: Vocabulary) -> Column:
 
 
 def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
-    """(h1, ids, blocks): each distinct chunk's ids and who asked for it; wanted(block, chunk).
+    """(h1, ids, blocks): each distinct chunk's ids and who asked for it; wanted(chunk, blocks).
 
     Everything behind the one exchange stays in its partition: grouping, explode, join, grouping."""
     spark = wanted.sparkSession
     table = spark.createDataFrame(v.pieces, "own string, id int, score double").select(F.xxhash64("own").alias("ph"), "own", "id", "score")
     keyed = wanted.repartition(F.xxhash64("chunk"), F.hash("chunk"))
-    keyed = keyed.select(F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2"), "chunk", "block")
-    keyed = keyed.groupBy("h1", "h2", "chunk").agg(F.collect_list("block").alias("blocks"))
+    keyed = keyed.select(F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2"), "chunk", "blocks")
+    keyed = keyed.groupBy("h1", "h2", "chunk").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     # start 0 stands for the chunk itself and carries the blocks; the others are substrings
     n = F.length("chunk")
     cut = keyed.select("h1", "h2", "chunk", "blocks", F.explode(F.sequence(F.lit(0), n)).alias("s"))
@@ -203,16 +204,30 @@ def _keyed(held: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
 
 
 def _wanted(cut: Cutter):
-    """The distinct chunks of each block."""
+    """Distinct chunks with the blocks that need them; a chunk comes once in HELD of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, asked.values()), np.int64, len(asked)))])
+            blocks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([k for ks in asked.values() for k in ks], pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(list(asked), pa.string()), blocks], names=["chunk", "blocks"])
+
         for key, t in _blocks(batches):
             need: set[str] = set()
             for x in t.column("text").to_pylist():
                 need.update(words(x))
-            found = list(set(cut(list(need))[0]))
-            del need
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found, pa.string())], names=["block", "chunk"])
+            for c in set(cut(list(need))[0]):
+                if c in asked:
+                    asked[c].append(key)
+                else:
+                    asked[c] = [key]
+            if len(asked) > HELD:
+                yield flush()
+                asked.clear()
+        if asked:
+            yield flush()
 
     return run
 
@@ -239,13 +254,22 @@ def chunk_hash(chunk: str) -> int:
 
 
 def _assembled(cut: Cutter, frequent: np.ndarray, flat: np.ndarray, ends: np.ndarray, hex_of: list[str]):
+    known: dict[int, int] = {}  # filled once a task
+    raw_ends = np.concatenate([[0], np.cumsum([len(h) // 2 for h in hex_of])])
+    raw_flat = np.frombuffer(bytes.fromhex("".join(hex_of)), np.uint8)
+
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        raw = [bytes.fromhex(h) for h in hex_of]
-        raw_flat, raw_ends = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        if not known:
+            known.update(zip(frequent.tolist(), range(len(frequent)), strict=True))
         more, more_ends = _flat(asked.column("ids"))
         all_flat, all_ends = np.concatenate([flat, more]), np.concatenate([ends, more_ends[1:] + ends[-1]])
-        keys = np.concatenate([frequent, asked.column("h1").to_numpy()])
-        place = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        told = dict(zip(asked.column("h1").to_pylist(), range(len(frequent), len(all_ends) - 1), strict=True))
+
+        def place(chunk: str) -> int:
+            h = chunk_hash(chunk)
+            i = known.get(h)
+            return told[h] if i is None else i
+
         out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "text_crc32": pa.array([], pa.int64()), "decoded_crc32": pa.array([], pa.int64())})]
         for blob in docs.column("blob").to_pylist():
             # each distinct word of the block once, then the documents as runs of words
@@ -255,7 +279,8 @@ def _assembled(cut: Cutter, frequent: np.ndarray, flat: np.ndarray, ends: np.nda
                     seen.update(words(x))
             own = list(seen)
             found, count = cut(own)
-            ids, size = _spread(all_flat, all_ends, np.fromiter((place[chunk_hash(c)] for c in found), np.int64, len(found)))
+            at = {c: place(c) for c in set(found)}
+            ids, size = _spread(all_flat, all_ends, np.fromiter(map(at.__getitem__, found), np.int64, len(found)))
             to = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
             at = dict(zip(own, range(len(own)), strict=True))
             for t in pa.ipc.open_stream(blob):
@@ -288,7 +313,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     the bytes of the ids' pieces, without the blank that leads every text)."""
     scratch, cut = Scratch(docs.sparkSession), v.cutter()
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = rows.mapInArrow(_wanted(cut), "block long, chunk string")
+    wanted = rows.mapInArrow(_wanted(cut), "chunk string, blocks array<long>")
     lexicon = scratch.save(lattice(wanted, v).withColumn("n", F.size("blocks")))
     # the chunks of most blocks, at most FREQUENT
     level = F.floor(F.log2("n") * 8).cast("int")
