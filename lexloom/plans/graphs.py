@@ -152,7 +152,7 @@ def _pattern_tables(spark, d):
     edges = hyper.select(F.lit("synset").alias("level"), text("child").alias("src"), text("parent").alias("tgt"), F.lit("Hypernym").alias("sym"))
     edges = edges.unionByName(hyper.select(F.lit("synset").alias("level"), text("parent").alias("src"), text("child").alias("tgt"), F.lit("Hyponym").alias("sym")))
     lex = view(spark, d, "lex")
-    lead = lex.groupBy(F.col("supp")).agg(F.min("fun").alias("src"))
+    lead = lex.groupBy(F.col("supp")).agg(F.max("fun").alias("src"))
     derived = lex.join(lead, "supp").filter("fun <> src").select(F.lit("lexeme").alias("level"), "src", F.col("fun").alias("tgt"), F.lit("Derived").alias("sym"))
     return edges.unionByName(derived), lex.select("fun", F.col("synset_id").alias("synset"))
 
@@ -174,14 +174,14 @@ def triple_match_3(spark, d):
 
 
 @query("""
-WITH lead AS (SELECT supp, min(fun) AS src FROM lex GROUP BY supp)
+WITH lead AS (SELECT supp, max(fun) AS src FROM lex GROUP BY supp)
 SELECT DISTINCT l.fun AS x, src AS y, h.parent AS z FROM lex l JOIN lead ON lead.supp = l.supp AND l.fun <> src JOIN lex m ON m.fun = src JOIN hyper h ON h.child = m.synset_id""")
 def triple_match_inverse(spark, d):
-    """A derived lexeme reached from its right side, and the synset facts of the lexeme it comes from."""
+    """A derived lexeme and the synset facts of the lexeme it comes from."""
     edges, lex = _pattern_tables(spark, d)
     out = patterns.match(edges, lex, [patterns.Triple("?y", "Hypernym", "?z"), patterns.Triple("?x", "Derived", "?y")])
     out = out.filter("x_lex is not null and y_lex is not null")
-    lead = lex.join(view(spark, d, "lex").groupBy("supp").agg(F.min("fun").alias("fun")), "fun").select(F.col("fun").alias("y_lex"))
+    lead = lex.join(view(spark, d, "lex").groupBy("supp").agg(F.max("fun").alias("fun")), "fun").select(F.col("fun").alias("y_lex"))
     return out.join(lead, "y_lex", "left_semi").select(F.col("x_lex").alias("x"), F.col("y_lex").alias("y"), F.col("z_syn").cast("long").alias("z")).distinct()
 
 
