@@ -11,8 +11,7 @@ score, not the order of merges of a merge model.
 Chunks go back to their documents by blocks of bounded size: each block asks for the distinct
 chunks that it needs, the answers go out to the blocks that asked, and meet the block's
 compressed texts again under its key. The commonest chunks, up to FREQUENT of them, are sent to
-the workers instead, which only saves traffic. The corpus tells chunks apart by 96 bits of hash,
-a block by 64.
+the workers instead, which only saves traffic. The lattice tells chunks apart by 96 bits of hash.
 
 Decoding joins the pieces' bytes in document order, in built-in functions alone (``decode``);
 encoded documents carry the checksum of their decoded bytes besides.
@@ -31,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch, bounded_batches
 
 MARK = "▁"
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 HELD = 200_000
 BLOCK_BYTES = 4 << 20
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
@@ -95,6 +95,18 @@ def words(text: str | None) -> list[str]:
     return text.split(" ")
 
 
+def word_lists(texts: pa.ChunkedArray) -> pa.ListArray:
+    """The words of each text; where some text of a chunk needs more than a split, all go by ``words``."""
+    out = []
+    for t in texts.chunks:
+        plain = pc.and_(pc.greater(pc.binary_length(t), 0), pc.invert(pc.or_(pc.match_substring(t, "  "), pc.or_(pc.match_substring(t, MARK), pc.starts_with(t, " ")))))
+        if pc.all(pc.fill_null(plain, False)).as_py() or not len(t):
+            out.append(pc.split_pattern(t, " "))
+        else:
+            out.append(pa.array([words(x) for x in t.to_pylist()], pa.list_(pa.string())))
+    return pa.chunked_array(out, pa.list_(pa.string())).combine_chunks()
+
+
 def load(model_path: str) -> Vocabulary:
     """The piece table of a SentencePiece model with byte fallback, read on the driver."""
     import sentencepiece
@@ -154,7 +166,7 @@ def read_back(steps: Column, v: Vocabulary) -> Column:
 
 
 def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
-    """(h1, ids, blocks): each distinct chunk's ids and who asked for it; wanted(chunk, blocks).
+    """(chunk, ids, blocks): each distinct chunk's ids and who asked for it; wanted(chunk, blocks).
 
     Everything behind the one exchange stays in its partition: grouping, explode, join, grouping."""
     spark = wanted.sparkSession
@@ -166,17 +178,18 @@ def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
     n = F.length("chunk")
     cut = keyed.select("h1", "h2", "chunk", "blocks", F.explode(F.sequence(F.lit(0), n)).alias("s"))
     ends = F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("s"), F.least(F.col("s") + v.longest - 1, n)))
-    cut = cut.select("h1", "h2", "chunk", F.when(F.col("s") == 0, F.col("blocks")).alias("blocks"), "s", F.explode(ends).alias("e"))
-    cut = cut.select("h1", "h2", "blocks", "s", "e", F.substr("chunk", F.col("s"), F.col("e") - F.col("s") + 1).alias("piece"))
+    asked = F.when(F.col("s") == 0, F.struct("chunk", "blocks")).alias("asked")
+    cut = cut.select("h1", "h2", "chunk", asked, "s", F.explode(ends).alias("e"))
+    cut = cut.select("h1", "h2", "asked", "s", "e", F.substr("chunk", F.col("s"), F.col("e") - F.col("s") + 1).alias("piece"))
     # joined by a hash, which is the quicker key, and held against the piece itself
     hit = cut.withColumn("ph", F.when(F.col("s") > 0, F.xxhash64("piece"))).join(F.broadcast(table), "ph", "left")
     edges = hit.withColumn("id", F.when(F.col("own") == F.col("piece"), F.col("id"))).filter(F.col("id").isNotNull() | (F.col("s") == F.col("e")))
     score = F.when(F.col("id").isNull(), v.unknown_score).otherwise(F.col("score")).alias("score")
     edge = F.when(F.col("s") > 0, F.struct("e", "s", F.coalesce("id", -F.ascii("piece")).alias("id"), score))
-    edges = edges.select("h1", "h2", "blocks", edge.alias("edge"))
-    grouped = edges.groupBy("h1", "h2").agg(F.collect_list("edge").alias("edges"), F.first("blocks", ignorenulls=True).alias("blocks"))
-    ways = grouped.select("h1", "blocks", best_path(F.col("edges")).alias("steps"))
-    return ways.select("h1", read_back(F.col("steps"), v).alias("ids"), "blocks")
+    edges = edges.select("h1", "h2", "asked", edge.alias("edge"))
+    grouped = edges.groupBy("h1", "h2").agg(F.collect_list("edge").alias("edges"), F.first("asked", ignorenulls=True).alias("asked"))
+    ways = grouped.select("asked", best_path(F.col("edges")).alias("steps"))
+    return ways.select("asked.chunk", read_back(F.col("steps"), v).alias("ids"), "asked.blocks")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -215,10 +228,7 @@ def _wanted(cut: Cutter):
             return pa.RecordBatch.from_arrays([pa.array(list(asked), pa.string()), blocks], names=["chunk", "blocks"])
 
         for key, t in _blocks(batches):
-            need: set[str] = set()
-            for x in t.column("text").to_pylist():
-                need.update(words(x))
-            for c in set(cut(list(need))[0]):
+            for c in set(cut(pc.unique(word_lists(t.column("text")).flatten()).to_pylist())[0]):
                 if c in asked:
                     asked[c].append(key)
                 else:
@@ -247,55 +257,39 @@ def _spread(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(shift, size) + np.arange(size.sum())], size
 
 
-def chunk_hash(chunk: str) -> int:
-    """As the lattice knows a chunk: 64 bits, signed."""
-    h = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=42)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def _assembled(cut: Cutter, frequent: np.ndarray, flat: np.ndarray, ends: np.ndarray, hex_of: list[str]):
-    known: dict[int, int] = {}  # filled once a task
+def _assembled(cut: Cutter, frequent: pa.Array, flat: np.ndarray, ends: np.ndarray, hex_of: list[str]):
     raw_ends = np.concatenate([[0], np.cumsum([len(h) // 2 for h in hex_of])])
     raw_flat = np.frombuffer(bytes.fromhex("".join(hex_of)), np.uint8)
+    upto = lambda size: np.concatenate([[0], np.cumsum(size)])
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        if not known:
-            known.update(zip(frequent.tolist(), range(len(frequent)), strict=True))
         more, more_ends = _flat(asked.column("ids"))
         all_flat, all_ends = np.concatenate([flat, more]), np.concatenate([ends, more_ends[1:] + ends[-1]])
-        told = dict(zip(asked.column("h1").to_pylist(), range(len(frequent), len(all_ends) - 1), strict=True))
-
-        def place(chunk: str) -> int:
-            h = chunk_hash(chunk)
-            i = known.get(h)
-            return told[h] if i is None else i
-
+        known = pa.concat_arrays([frequent, *asked.column("chunk").chunks])
         out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "text_crc32": pa.array([], pa.int64()), "decoded_crc32": pa.array([], pa.int64())})]
         for blob in docs.column("blob").to_pylist():
+            t = pa.ipc.open_stream(blob).read_all()
             # each distinct word of the block once, then the documents as runs of words
-            seen: set[str] = set()
-            for t in pa.ipc.open_stream(blob):
-                for x in t.column("text").to_pylist():
-                    seen.update(words(x))
-            own = list(seen)
-            found, count = cut(own)
-            at = {c: place(c) for c in set(found)}
-            ids, size = _spread(all_flat, all_ends, np.fromiter(map(at.__getitem__, found), np.int64, len(found)))
-            to = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
-            at = dict(zip(own, range(len(own)), strict=True))
-            for t in pa.ipc.open_stream(blob):
-                picks, n, crc = [], [0], []
-                for x in t.column("text").to_pylist():
-                    picks += map(at.__getitem__, words(x))
-                    n.append(len(picks))
-                    crc.append(zlib.crc32((x or "").encode("utf-8", "surrogatepass")))
-                got, size = _spread(ids, to, np.fromiter(picks, np.int64, len(picks)))
-                upto = np.concatenate([[0], np.cumsum(size)])[n]
-                read, size = _spread(raw_flat, raw_ends, got)
-                read_to = np.concatenate([[0], np.cumsum(size)])[upto]
-                back = [zlib.crc32(read[i + (i < j) : j]) for i, j in zip(read_to[:-1], read_to[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(got, pa.int32()))
-                out.append(pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(back, pa.int64())}))
+            lists = word_lists(t.column("text"))
+            coded = pc.dictionary_encode(lists.flatten())
+            found, count = cut(coded.dictionary.to_pylist())
+            place = pc.index_in(pa.array(found, pa.string()), value_set=known)
+            if place.null_count:
+                raise RuntimeError("a block asks for chunks that it did not name before")
+            ids, size = _spread(all_flat, all_ends, place.to_numpy())
+            to = upto(size)[upto(count)]
+            n = upto(lists.value_lengths().to_numpy())
+            got, size = _spread(ids, to, coded.indices.to_numpy())
+            at = upto(size)[n]
+            crc = [zlib.crc32(x or b"") for x in t.column("text").cast(pa.binary()).to_pylist()]
+            back = []
+            for i in range(0, len(n) - 1, 128):  # a few documents at a time: the bytes are many
+                own = got[at[i] : at[min(i + 128, len(n) - 1)]]
+                read, size = _spread(raw_flat, raw_ends, own)
+                read_to = upto(size)[at[i : i + 129] - at[i]]
+                back += [zlib.crc32(read[a + (a < b) : b]) for a, b in zip(read_to[:-1], read_to[1:], strict=True)]
+            pieces = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got, pa.int32()))
+            out.append(pa.table({"doc_id": t.column("doc_id"), "ids": pieces, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(back, pa.int64())}))
         return pa.concat_tables(out)
 
     return run
@@ -322,11 +316,11 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
         if total + r["count"] > FREQUENT:
             break
         total, least = total + r["count"], r["level"]
-    got = lexicon.filter(level >= least).select("h1", "ids").toArrow()
+    got = lexicon.filter(level >= least).select("chunk", "ids").toArrow()
     flat, ends = _flat(got.column("ids"))
-    answers = lexicon.filter(level < least).select(F.explode("blocks").alias("block"), "h1", "ids")
+    answers = lexicon.filter(level < least).select(F.explode("blocks").alias("block"), "chunk", "ids")
     packed = rows.mapInArrow(_packed, "block long, blob binary")
-    run = _assembled(cut, got.column("h1").to_numpy(), flat, ends, v.hex_of)
+    run = _assembled(cut, pa.array(got.column("chunk").to_pylist(), pa.string()), flat, ends, v.hex_of)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, text_crc32 long, decoded_crc32 long")
 
 
