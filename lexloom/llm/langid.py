@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_batches, mix64
+from lexloom.llm.common import bounded_batches, mix64, tidied
 
 ORDER = 4
 CELLS = 1 << 24
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, training: Column) -> Model | None:
     """A model of every training document's text."""
     rows = bounded_batches(docs).filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.mapInArrow(_counts, "lang string, gram string, n long")
+    counts = rows.mapInArrow(tidied(_counts), "lang string, gram string, n long")
     cell = F.pmod(F.xxhash64("gram"), F.lit(CELLS))
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("lang", cell).agg(F.min("gram").alias("gram"), F.sum("n").alias("n"))
     return build(counts.select("lang", "gram", "n").toPandas())
@@ -245,12 +245,12 @@ _SCHEMA = "lang_pred string, score double, cross_entropy double, accepted boolea
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy (nats a symbol, null for ``und``), accepted."""
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model, ["doc_id"]), f"doc_id long, {_SCHEMA}")
+    return rows.mapInArrow(tidied(_predict(model, ["doc_id"])), f"doc_id long, {_SCHEMA}")
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents that are not rejected, with the language found as their lang."""
     types = {"doc_id": "long", "text": "string", "source": "string", "n_chars": "long"}
     rows = bounded_batches(docs).select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))
-    out = rows.mapInArrow(_predict(model, list(types)), ", ".join(f"{c} {t}" for c, t in types.items()) + f", {_SCHEMA}")
+    out = rows.mapInArrow(tidied(_predict(model, list(types))), ", ".join(f"{c} {t}" for c, t in types.items()) + f", {_SCHEMA}")
     return out.filter("accepted").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")

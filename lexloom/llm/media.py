@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_batches
+from lexloom.llm.common import bounded_batches, tidied
 
 UNIT = 64
 RATE, RATE_OUT = 8000, 16000
@@ -164,4 +164,4 @@ def media_columns(docs: DataFrame, codec: str = "mulaw", keep: bool = True) -> D
     (``media``) and the resampled 16-bit WAV (``pcm``)."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_columns(codec, keep), schema + (", media binary, pcm binary" if keep else ""))
+    return rows.mapInArrow(tidied(_columns(codec, keep)), schema + (", media binary, pcm binary" if keep else ""))

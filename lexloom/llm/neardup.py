@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, bounded_batches, mix64
+from lexloom.llm.common import Scratch, bounded_batches, mix64, tidied
 
 BANDS, ROWS = 40, 5
 K = BANDS * ROWS
@@ -120,7 +120,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, 128-bit set id, signature (one byte of each minimum), band keys."""
     return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sketches, "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
+        tidied(_sketches), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
     )
 
 
@@ -181,7 +181,7 @@ def confirmed(scratch: Scratch, edges: DataFrame, docs: DataFrame, percent: int)
     texts = taken(scratch, edges.select(F.explode(F.array("u", "v")).alias("doc_id")), docs)
     u = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     v = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    return edges.select("u", "v").join(u, "u").join(v, "v").mapInArrow(_exact(percent), "u long, v long")
+    return edges.select("u", "v").join(u, "u").join(v, "v").mapInArrow(tidied(_exact(percent)), "u long, v long")
 
 
 def _pairs(g: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # first each class against one other: the leader that it meets in most of its buckets
     met = member.filter("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("c"))
     edges = met.groupBy(F.col("rep").alias("u")).agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("v"))
-    tested = edges.join(sig("u"), "u").join(sig("v"), "v").mapInArrow(_agreement, "u long, v long, agree int").filter(F.col("agree") >= least)
+    tested = edges.join(sig("u"), "u").join(sig("v"), "v").mapInArrow(tidied(_agreement), "u long, v long, agree int").filter(F.col("agree") >= least)
     comp = components(scratch, scratch.save(confirmed(scratch, scratch.save(tested), docs, percent)))
 
     # then, in buckets that still hold several components, whatever may link two of them

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut between two characters that stand side by side in no piece; no path reaches across
-such a place, so the best path of a text is that of its chunks. Each distinct chunk of the corpus
+such a place, so the best path of a text is that of its chunks. A run of more than LONGEST_CHUNK
+characters without such a place, which no natural word is, is cut there besides. Each distinct chunk of the corpus
 is encoded once: its substrings, no longer than the longest piece, meet the piece table in an
 equi-join; the edges are grouped by chunk, and a higher-order aggregate folds them into the path
 of the highest score (Viterbi, ties to the longer last piece). Unknown characters become byte
@@ -35,11 +36,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, bounded_batches
+from lexloom.llm.common import Scratch, bounded_batches, release, tidied
 
 MARK = "▁"
 FREQUENT = 1 << 18
 HELD = 200_000
+LONGEST_CHUNK = 128
 BLOCK_BYTES = 4 << 20
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: The piece table is broadcast; a larger vocabulary is refused.
@@ -81,6 +83,10 @@ class Cutter:
         end = np.append(~self.joined[x[:-1] * self.width + x[1:]], True)
         end[stop - 1] = True
         ends = np.flatnonzero(end) + 1
+        wide = np.flatnonzero(np.diff(ends, prepend=0) > LONGEST_CHUNK)
+        if len(wide):
+            more = [np.arange((ends[i - 1] if i else 0) + LONGEST_CHUNK, ends[i], LONGEST_CHUNK) for i in wide]
+            ends = np.sort(np.concatenate([ends, *more]))
         upto = ends.tolist()
         return [t[i:j] for i, j in zip([0, *upto[:-1]], upto, strict=True)], np.diff(np.searchsorted(ends, stop, "right"), prepend=0)
 
@@ -290,7 +296,10 @@ def _assembled(cut: Cutter, frequent: pa.Array, flat: np.ndarray, ends: np.ndarr
                 back += [zlib.crc32(read[a + (a < b) : b]) for a, b in zip(read_to[:-1], read_to[1:], strict=True)]
             pieces = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got, pa.int32()))
             out.append(pa.table({"doc_id": t.column("doc_id"), "ids": pieces, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(back, pa.int64())}))
-        return pa.concat_tables(out)
+        result = pa.concat_tables(out)
+        del out, known, all_flat, all_ends
+        release()
+        return result
 
     return run
 
@@ -307,7 +316,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     the bytes of the ids' pieces, without the blank that leads every text)."""
     scratch, cut = Scratch(docs.sparkSession), v.cutter()
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = rows.mapInArrow(_wanted(cut), "chunk string, blocks array<long>")
+    wanted = rows.mapInArrow(tidied(_wanted(cut)), "chunk string, blocks array<long>")
     lexicon = scratch.save(lattice(wanted, v).withColumn("n", F.size("blocks")))
     # the chunks of most blocks, at most FREQUENT
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -319,7 +328,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     got = lexicon.filter(level >= least).select("chunk", "ids").toArrow()
     flat, ends = _flat(got.column("ids"))
     answers = lexicon.filter(level < least).select(F.explode("blocks").alias("block"), "chunk", "ids")
-    packed = rows.mapInArrow(_packed, "block long, blob binary")
+    packed = rows.mapInArrow(tidied(_packed), "block long, blob binary")
     run = _assembled(cut, pa.array(got.column("chunk").to_pylist(), pa.string()), flat, ends, v.hex_of)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, text_crc32 long, decoded_crc32 long")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_batches
+from lexloom.llm.common import bounded_batches, tidied
 
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -405,13 +405,13 @@ _SCHEMA = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, base counts by kind, base_sha256, spans (base and added), n_added."""
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_detect(trained(), False), f"doc_id long, {_SCHEMA}")
+    return rows.mapInArrow(tidied(_detect(trained(), False)), f"doc_id long, {_SCHEMA}")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by a mark of its kind; n_chars follows the text."""
     names = ["doc_id", "lang", "source", "n_chars"]
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), F.col("text").cast("string").alias("text"))
-    done = rows.mapInArrow(_detect(trained(), True), f"doc_id long, lang string, source string, n_chars long, {_SCHEMA}, text string")
+    done = rows.mapInArrow(tidied(_detect(trained(), True)), f"doc_id long, lang string, source string, n_chars long, {_SCHEMA}, text string")
     n = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text")).cast("long")
     return done.select("doc_id", "text", *names[1:3], n.alias("n_chars"))

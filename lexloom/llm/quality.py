@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, bounded_batches
+from lexloom.llm.common import Scratch, bounded_batches, tidied
 
 FEATURES = 192
 RIDGE = 1.0
@@ -83,7 +83,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_stats, "doc_id long, x array<double>")
+    return rows.mapInArrow(tidied(_stats), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -130,7 +130,7 @@ def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
                 total += np.frombuffer(s)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    got = rows.mapInArrow(first, "s binary").repartition(FAN_IN).mapInArrow(second, "s binary").collect()
+    got = rows.mapInArrow(tidied(first), "s binary").repartition(FAN_IN).mapInArrow(tidied(second), "s binary").collect()
     return sum((np.frombuffer(bytes(r["s"])) for r in got), np.zeros(size))
 
 
@@ -195,5 +195,5 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
             s = model.score(_matrix(b)) if model and b.num_rows else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = stats.mapInArrow(tidied(run), "doc_id long, score double")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
