@@ -58,12 +58,12 @@ def ranked_choices(posteriors: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def cooccurrence_support(wordnets: DataFrame, candidates: DataFrame) -> DataFrame:
+def cooccurrence_support(senses: DataFrame, candidates: DataFrame) -> DataFrame:
     """(fun, lang, lin, c): over the other languages' candidates of the same function, the number of
-    senses that hold both forms; wordnets(lang, sense, lin), candidates(fun, lang, lin)."""
+    senses that hold both forms; senses(lang, sense, lin), candidates(fun, lang, lin)."""
     a = candidates.select("fun", "lang", "lin").distinct()
     b = a.select("fun", F.col("lang").alias("lang2"), F.col("lin").alias("lin2"))
-    w = wordnets.select("lang", "sense", "lin").distinct()
+    w = senses.select("lang", "sense", "lin").distinct()
     w2 = w.select(F.col("lang").alias("lang2"), "sense", F.col("lin").alias("lin2"))
     hit = a.join(b, "fun").filter("lang <> lang2").join(w, ["lang", "lin"]).join(w2, ["lang2", "lin2", "sense"]).groupBy("fun", "lang", "lin").agg(F.count("*").alias("c"))
     return a.join(hit, ["fun", "lang", "lin"], "left").select("fun", "lang", "lin", F.coalesce("c", F.lit(0)).alias("c"))

@@ -162,7 +162,7 @@ def conllu(sentences: DataFrame) -> DataFrame:
     return t.select("sent", "pos", *(F.get(f, i).alias(c) for i, c in enumerate(CONLLU)))
 
 
-def open_wordnet(rows: DataFrame, remap: DataFrame | None = None) -> DataFrame:
+def multilingual_tab(rows: DataFrame, remap: DataFrame | None = None) -> DataFrame:
     """``offset-tag<TAB>lang:lemma<TAB>form`` to (sense, form), senses renamed by remap(old, new)."""
     p = F.split("value", "\t")
     out = rows.filter((F.size(p) >= 3) & ~F.col("value").startswith("#") & F.get(p, 1).rlike("lemma")).select(F.get(p, 0).alias("sense"), F.trim(F.get(p, 2)).alias("form"))
