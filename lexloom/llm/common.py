@@ -100,7 +100,7 @@ class Scratch:
         conf, was = self.spark.conf, self.spark.conf.get(CLEANUP)
         conf.set(CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.select("*").write.option("compression", "zstd").parquet(path)  # a plan takes the setting when it is made
         finally:
             conf.set(CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)
