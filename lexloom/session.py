@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,16 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom_ckpt_"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone: what is left belongs to the folder's owner
+            return
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage of iterative plans and
     survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
