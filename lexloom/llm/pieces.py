@@ -177,7 +177,9 @@ def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
     Everything behind the one exchange stays in its partition: grouping, explode, join, grouping."""
     spark = wanted.sparkSession
     table = spark.createDataFrame(v.pieces, "own string, id int, score double").select(F.xxhash64("own").alias("ph"), "own", "id", "score")
-    keyed = wanted.repartition(F.xxhash64("chunk"), F.hash("chunk"))
+    # a chunk unfolds into some fifty rows, so more and smaller partitions than usual
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = wanted.repartition(partitions, F.xxhash64("chunk"), F.hash("chunk"))
     keyed = keyed.select(F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2"), "chunk", "blocks")
     keyed = keyed.groupBy("h1", "h2", "chunk").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     # start 0 stands for the chunk itself and carries the blocks; the others are substrings
@@ -249,11 +251,16 @@ def _wanted(cut: Cutter):
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's rows, compressed batch by batch: values of megabytes sit badly in a heap."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
     for key, t in _blocks(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as w:
-            w.write_table(t)
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "blob"])
+        blobs = []
+        for b in t.to_batches():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=options) as w:
+                w.write_batch(b)
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array([key] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
 
 def _spread(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,32 +279,29 @@ def _assembled(cut: Cutter, frequent: pa.Array, flat: np.ndarray, ends: np.ndarr
         more, more_ends = _flat(asked.column("ids"))
         all_flat, all_ends = np.concatenate([flat, more]), np.concatenate([ends, more_ends[1:] + ends[-1]])
         known = pa.concat_arrays([frequent, *asked.column("chunk").chunks])
-        out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "text_crc32": pa.array([], pa.int64()), "decoded_crc32": pa.array([], pa.int64())})]
-        for blob in docs.column("blob").to_pylist():
-            t = pa.ipc.open_stream(blob).read_all()
-            # each distinct word of the block once, then the documents as runs of words
-            lists = word_lists(t.column("text"))
-            coded = pc.dictionary_encode(lists.flatten())
-            found, count = cut(coded.dictionary.to_pylist())
-            place = pc.index_in(pa.array(found, pa.string()), value_set=known)
-            if place.null_count:
-                raise RuntimeError("a block asks for chunks that it did not name before")
-            ids, size = _spread(all_flat, all_ends, place.to_numpy())
-            to = upto(size)[upto(count)]
-            n = upto(lists.value_lengths().to_numpy())
-            got, size = _spread(ids, to, coded.indices.to_numpy())
-            at = upto(size)[n]
-            crc = [zlib.crc32(x or b"") for x in t.column("text").cast(pa.binary()).to_pylist()]
-            back = []
-            for i in range(0, len(n) - 1, 128):  # a few documents at a time: the bytes are many
-                own = got[at[i] : at[min(i + 128, len(n) - 1)]]
-                read, size = _spread(raw_flat, raw_ends, own)
-                read_to = upto(size)[at[i : i + 129] - at[i]]
-                back += [zlib.crc32(read[a + (a < b) : b]) for a, b in zip(read_to[:-1], read_to[1:], strict=True)]
-            pieces = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got, pa.int32()))
-            out.append(pa.table({"doc_id": t.column("doc_id"), "ids": pieces, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(back, pa.int64())}))
-        result = pa.concat_tables(out)
-        del out, known, all_flat, all_ends
+        t = pa.concat_tables([pa.ipc.open_stream(blob).read_all() for blob in docs.column("blob").to_pylist()] or [pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})])
+        # each distinct word of the block once, then the documents as runs of words
+        lists = word_lists(t.column("text"))
+        coded = pc.dictionary_encode(lists.flatten())
+        found, count = cut(coded.dictionary.to_pylist())
+        place = pc.index_in(pa.array(found, pa.string()), value_set=known)
+        if place.null_count:
+            raise RuntimeError("a block asks for chunks that it did not name before")
+        ids, size = _spread(all_flat, all_ends, place.to_numpy())
+        to = upto(size)[upto(count)]
+        n = upto(lists.value_lengths().to_numpy())
+        got, size = _spread(ids, to, coded.indices.to_numpy())
+        at = upto(size)[n]
+        crc = [zlib.crc32(x or b"") for x in t.column("text").cast(pa.binary()).to_pylist()]
+        back = []
+        for i in range(0, len(n) - 1, 128):  # a few documents at a time: the bytes are many
+            own = got[at[i] : at[min(i + 128, len(n) - 1)]]
+            read, size = _spread(raw_flat, raw_ends, own)
+            read_to = upto(size)[at[i : i + 129] - at[i]]
+            back += [zlib.crc32(read[a + (a < b) : b]) for a, b in zip(read_to[:-1], read_to[1:], strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got, pa.int32()))
+        result = pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(back, pa.int64())})
+        del t, known, all_flat, all_ends, coded, found
         release()
         return result
 
