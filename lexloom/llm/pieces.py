@@ -41,6 +41,7 @@ from lexloom.llm.common import Scratch, bounded_batches, release, tidied
 MARK = "▁"
 FREQUENT = 1 << 18
 HELD = 200_000
+SLICE = 50_000  # words cut at a time
 LONGEST_CHUNK = 128
 BLOCK_BYTES = 4 << 20
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
@@ -65,8 +66,10 @@ class Cutter:
 
     def __init__(self, pairs: list[tuple[str, str]]):
         chars = sorted({c for ab in pairs for c in ab})
+        if len(chars) >= 1 << 15:
+            raise ValueError("the pieces hold too many different characters")
         place = {c: i + 1 for i, c in enumerate(chars)}
-        self.of = np.zeros(0x110000, np.int32)
+        self.of = np.zeros(0x110000, np.uint16)
         self.of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.width = len(chars) + 1
         self.joined = np.zeros(self.width * self.width, bool)
@@ -78,7 +81,7 @@ class Cutter:
         t = "".join(full)
         if not t:
             return [], np.zeros(len(words), np.int64)
-        x = self.of[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        x = self.of[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
         stop = np.cumsum(np.fromiter(map(len, full), np.int64, len(full)))
         end = np.append(~self.joined[x[:-1] * self.width + x[1:]], True)
         end[stop - 1] = True
@@ -236,11 +239,13 @@ def _wanted(cut: Cutter):
             return pa.RecordBatch.from_arrays([pa.array(list(asked), pa.string()), blocks], names=["chunk", "blocks"])
 
         for key, t in _blocks(batches):
-            for c in set(cut(pc.unique(word_lists(t.column("text")).flatten()).to_pylist())[0]):
-                if c in asked:
-                    asked[c].append(key)
-                else:
-                    asked[c] = [key]
+            own = pc.unique(word_lists(t.column("text")).flatten())
+            for i in range(0, len(own), SLICE):
+                for c in set(cut(own.slice(i, SLICE).to_pylist())[0]):
+                    if c not in asked:
+                        asked[c] = [key]
+                    elif asked[c][-1] != key:
+                        asked[c].append(key)
             if len(asked) > HELD:
                 yield flush()
                 asked.clear()
@@ -283,12 +288,16 @@ def _assembled(cut: Cutter, frequent: pa.Array, flat: np.ndarray, ends: np.ndarr
         # each distinct word of the block once, then the documents as runs of words
         lists = word_lists(t.column("text"))
         coded = pc.dictionary_encode(lists.flatten())
-        found, count = cut(coded.dictionary.to_pylist())
-        place = pc.index_in(pa.array(found, pa.string()), value_set=known)
-        if place.null_count:
-            raise RuntimeError("a block asks for chunks that it did not name before")
-        ids, size = _spread(all_flat, all_ends, place.to_numpy())
-        to = upto(size)[upto(count)]
+        places, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(0, len(coded.dictionary), SLICE):
+            found, count = cut(coded.dictionary.slice(i, SLICE).to_pylist())
+            place = pc.index_in(pa.array(found, pa.string()), value_set=known)
+            if place.null_count:
+                raise RuntimeError("a block asks for chunks that it did not name before")
+            places.append(place.to_numpy())
+            counts.append(count)
+        ids, size = _spread(all_flat, all_ends, np.concatenate(places))
+        to = upto(size)[upto(np.concatenate(counts))]
         n = upto(lists.value_lengths().to_numpy())
         got, size = _spread(ids, to, coded.indices.to_numpy())
         at = upto(size)[n]
@@ -301,7 +310,7 @@ def _assembled(cut: Cutter, frequent: pa.Array, flat: np.ndarray, ends: np.ndarr
             back += [zlib.crc32(read[a + (a < b) : b]) for a, b in zip(read_to[:-1], read_to[1:], strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got, pa.int32()))
         result = pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(back, pa.int64())})
-        del t, known, all_flat, all_ends, coded, found
+        del t, known, all_flat, all_ends, coded, places, counts
         release()
         return result
 
