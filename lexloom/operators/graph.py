@@ -82,17 +82,21 @@ def generalize(groups: DataFrame, reach: DataFrame, limit: int = 2000) -> DataFr
     """(grp, id): what lies under all lowest common ancestors of a group (themselves included), if
     that is fewer than limit nodes; a group without one gives nothing."""
     top = common_ancestors(groups, reach)
+    # many groups share their ancestors: each set of them is unfolded once, from its smallest subtree
+    named = settled(top.groupBy("grp").agg(F.sort_array(F.collect_set("anc")).alias("tops")))
+    sets = named.select("tops").distinct()
     under = reach.select("src", "anc").unionByName(top.select(F.col("anc").alias("src"), "anc").distinct())
-    # only the smallest subtree of a group is unfolded, and a single one only if it is small enough
     size = under.groupBy("anc").agg(F.count("*").alias("size"))
-    least = top.join(size, "anc").groupBy("grp").agg(F.min_by("anc", F.struct("size", "anc")).alias("least"), F.min("size").alias("size"), F.count("*").alias("tops"))
-    least = settled(least.filter((F.col("tops") > 1) | (F.col("size") < limit)))
-    inside = least.join(under, F.col("least") == F.col("anc")).select("grp", "tops", F.col("src").alias("id"))
-    one = inside.filter("tops = 1").select("grp", "id")
-    more = inside.filter("tops > 1").join(top, "grp").join(under.withColumnRenamed("src", "id"), ["id", "anc"])
-    more = more.groupBy("grp", "id", "tops").agg(F.count("*").alias("hit")).filter("hit = tops").select("grp", "id")
-    fits = more.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") < limit).select("grp")
-    return one.unionByName(more.join(fits, "grp"))
+    each = sets.select("tops", F.explode("tops").alias("anc"))
+    least = each.join(size, "anc").groupBy("tops").agg(F.min_by("anc", F.struct("size", "anc")).alias("least"), F.min("size").alias("size"))
+    least = settled(least.filter((F.size("tops") > 1) | (F.col("size") < limit)))
+    inside = least.join(under, F.col("least") == F.col("anc")).select("tops", F.col("src").alias("id"))
+    one = inside.filter(F.size("tops") == 1)
+    more = inside.filter(F.size("tops") > 1).select("tops", "id", F.explode("tops").alias("anc")).join(under.withColumnRenamed("src", "id"), ["id", "anc"])
+    more = more.groupBy("tops", "id").agg(F.count("*").alias("hit")).filter(F.col("hit") == F.size("tops")).select("tops", "id")
+    fits = more.groupBy("tops").agg(F.count("*").alias("size")).filter(F.col("size") < limit).select("tops")
+    found = settled(one.unionByName(more.join(fits, "tops")))
+    return named.join(found, "tops").select("grp", "id")
 
 
 def crawl(edges: DataFrame, starts: DataFrame, depth: int = 4) -> tuple[DataFrame, DataFrame]:

@@ -65,7 +65,9 @@ def cooccurrence_support(senses: DataFrame, candidates: DataFrame) -> DataFrame:
     b = a.select("fun", F.col("lang").alias("lang2"), F.col("lin").alias("lin2"))
     w = senses.select("lang", "sense", "lin").distinct()
     w2 = w.select(F.col("lang").alias("lang2"), "sense", F.col("lin").alias("lin2"))
-    hit = a.join(b, "fun").filter("lang <> lang2").join(w, ["lang", "lin"]).join(w2, ["lang2", "lin2", "sense"]).groupBy("fun", "lang", "lin").agg(F.count("*").alias("c"))
+    # forms that share a sense are few; pairs of candidates of one function may be many
+    both = w.join(w2, "sense").filter("lang <> lang2").groupBy("lang", "lin", "lang2", "lin2").agg(F.count("*").alias("n"))
+    hit = both.join(a, ["lang", "lin"]).join(b, ["fun", "lang2", "lin2"]).groupBy("fun", "lang", "lin").agg(F.sum("n").alias("c"))
     return a.join(hit, ["fun", "lang", "lin"], "left").select("fun", "lang", "lin", F.coalesce("c", F.lit(0)).alias("c"))
 
 
