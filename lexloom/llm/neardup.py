@@ -316,7 +316,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = taken(scratch, near.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
     more = scratch.save(near.join(texts, "rep").groupBy("k", "p", "q").applyInArrow(_joined(least, percent), "u long, v long").distinct())
     wide = components(scratch, more).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
-    comp = comp.join(wide, "comp", "full").select(F.coalesce("node", "comp").alias("node"), F.coalesce("whole", "comp").alias("comp"))
+    # members follow their component; its root is no member, so it comes from wide itself
+    moved = comp.join(wide, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
+    comp = moved.unionByName(wide.select(F.col("comp").alias("node"), F.col("whole").alias("comp")))
 
     named = scratch.save(
         reps.select(*key, "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))

@@ -88,6 +88,21 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
         assert all(g.kept == (g.doc_id == g.component_id) for g in got)
 
 
+def test_near_duplicates_chain_of_edited_copies(spark):
+    """The second pass joins components of several classes: the larger root must follow its members."""
+    texts = []
+    for c in range(4):
+        base = [f"w{c}x{i}" for i in range(404)]
+        edited = lambda m: " ".join("new" + w if i % 40 == 20 and i < 40 * m else w for i, w in enumerate(base))  # noqa: E731, B023
+        # 0.798 between the first and the second, 0.818 and 0.975 from the third to them
+        texts += [edited(0), edited(9), edited(8), edited(9)]
+    got = neardup.near_duplicates(docs(spark, *texts), 80).collect()
+    want = brute_components(list(enumerate(texts)), 80)
+    assert {i // 4 * 4 for i in want} == {c for _, c in want.values()}
+    assert {g.doc_id: (g.n_shingles, g.component_id) for g in got} == want
+    assert [g.doc_id for g in got if g.kept] == [g.doc_id for g in got if g.doc_id % 4 == 0]
+
+
 def test_components_of_a_chain(spark):
     from lexloom.llm.common import Scratch
 
