@@ -189,14 +189,13 @@ def _pairs(g: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
     component, with enough agreement, met here in the first band that both share."""
     comp, mine = g.column("comp").to_numpy(), g.column("mine").to_numpy()
     band, p, q = g.column("band")[0].as_py(), g.column("p")[0].as_py(), g.column("q")[0].as_py()
+    earlier = g.column("earlier").combine_chunks().flatten().to_numpy().reshape(len(comp), band)
     sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(-1, K)
     for i in range(len(comp) - 1):
         j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((mine[i + 1 :] != mine[i]) | (p == q))) + i + 1
-        same = sig[j] == sig[i]
-        j, same = j[same.sum(1) >= least], same[same.sum(1) >= least]
+        j = j[(sig[j] == sig[i]).sum(1) >= least]
         if len(j):
-            shared = same.reshape(-1, ROWS, BANDS).all(axis=1)
-            yield i, j[~shared[:, :band].any(axis=1)]
+            yield i, j[~(earlier[j] == earlier[i]).any(axis=1)]
 
 
 def _likely(least: int):
@@ -307,11 +306,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k", "band", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
     placed = scratch.save(placed)
     mixed = placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
-    open_ = placed.join(scratch.save(mixed), "k").join(sig("rep").withColumnRenamed("sig_rep", "sig"), "rep")
+    # a pair has met before if a bucket key of an earlier band is the same; a signature only looks so
+    open_ = placed.join(scratch.save(mixed), "k").join(reps.select("rep", "sig", "bands"), "rep").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = open_.select("k", "band", "rep", "comp", "sig", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("k", "band", "rep", "comp", "sig", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    dealt = open_.select("k", "band", "rep", "comp", "sig", "earlier", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("k", "band", "rep", "comp", "sig", "earlier", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
     near = scratch.save(dealt.groupBy("k", "p", "q").applyInArrow(_likely(least), dealt.schema))
     texts = taken(scratch, near.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
     more = scratch.save(near.join(texts, "rep").groupBy("k", "p", "q").applyInArrow(_joined(least, percent), "u long, v long").distinct())

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,6 +104,33 @@ def test_near_duplicates_chain_of_edited_copies(spark):
     assert [g.doc_id for g in got if g.kept] == [g.doc_id for g in got if g.doc_id % 4 == 0]
 
 
+def test_pairs_are_compared_in_the_first_band_they_share():
+    """Once each, also where an earlier band agrees in the signature's bytes but not in its key."""
+    r = random.Random(6)
+    texts = []
+    for i in range(1500):
+        base = [f"w{i}x{j}" for j in range(84)]
+        texts += [" ".join(base), " ".join("new" + w if j in (20, r.randrange(30, 80)) else w for j, w in enumerate(base))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(neardup._sketches(iter([batch])))
+    least, misled = neardup.least_agreement(0.8), 0
+    for i in range(0, len(texts), 2):
+        two = rows.slice(i, 2)
+        keys = np.array(two.column("bands").to_pylist())
+        sig = np.frombuffer(b"".join(two.column("sig").to_pylist()), np.uint8).reshape(2, -1)
+        shared = np.flatnonzero(keys[0] == keys[1])
+        if not len(shared) or (sig[0] == sig[1]).sum() < least:
+            continue
+        looks = np.flatnonzero((sig[0] == sig[1]).reshape(neardup.ROWS, neardup.BANDS).all(axis=0))
+        misled += looks[0] < shared[0]
+        met = []
+        for band in shared:
+            part = pa.table({"comp": [0, 1], "mine": [0, 0], "band": [band] * 2, "p": [0, 0], "q": [0, 0], "sig": two.column("sig"), "earlier": pa.array([k[:band] for k in keys])})
+            met += [int(band)] * sum(len(j) for _, j in neardup._pairs(part, least))
+        assert met == [shared[0]]
+    assert misled
+
+
 def test_components_of_a_chain(spark):
     from lexloom.llm.common import Scratch
 
