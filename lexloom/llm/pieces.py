@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut between two characters that stand side by side in no piece; no path reaches across
-such a place, so the best path of a text is that of its chunks. A run of more than LONGEST_CHUNK
-characters without such a place, which no natural word is, is cut there besides. Each distinct chunk of the corpus
+such a place, so the best path of a text is that of its chunks. A chunk of more than LONGEST_CHUNK
+characters, which no natural word is, takes the same path of the highest score in one pass over its
+characters (``walked``), as its lattice would crowd a task. Each other distinct chunk of the corpus
 is encoded once: its substrings, no longer than the longest piece, meet the piece table in an
 equi-join; the edges are grouped by chunk, and a higher-order aggregate folds them into the path
 of the highest score (Viterbi, ties to the longer last piece). Unknown characters become byte
@@ -24,8 +25,10 @@ text that holds the mark U+2581 decodes with a blank in its place, as the librar
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,10 +89,6 @@ class Cutter:
         end = np.append(~self.joined[x[:-1] * self.width + x[1:]], True)
         end[stop - 1] = True
         ends = np.flatnonzero(end) + 1
-        wide = np.flatnonzero(np.diff(ends, prepend=0) > LONGEST_CHUNK)
-        if len(wide):
-            more = [np.arange((ends[i - 1] if i else 0) + LONGEST_CHUNK, ends[i], LONGEST_CHUNK) for i in wide]
-            ends = np.sort(np.concatenate([ends, *more]))
         upto = ends.tolist()
         return [t[i:j] for i, j in zip([0, *upto[:-1]], upto, strict=True)], np.diff(np.searchsorted(ends, stop, "right"), prepend=0)
 
@@ -174,8 +173,37 @@ def read_back(steps: Column, v: Vocabulary) -> Column:
     return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), start, back, lambda a: a["ids"])
 
 
+def walk(chunk: str, score: dict[str, tuple[float, int]], v: Vocabulary) -> list[int]:
+    """Ids of the best path of one chunk, ties to the longer last piece, as ``best_path`` has it."""
+    n = len(chunk)
+    best, start, last = array("d", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
+    for e in range(1, n + 1):
+        top = -math.inf
+        for s in range(max(0, e - v.longest), e):
+            hit = score.get(chunk[s:e]) or ((v.unknown_score, -1) if e - s == 1 else None)
+            if hit and best[s] + hit[0] > top:
+                top, start[e], last[e] = best[s] + hit[0], s, hit[1]
+        best[e] = top
+    ids: list[int] = []
+    while n:  # backwards, so the bytes of an unknown character too
+        ids += [last[n]] if last[n] >= 0 else [v.byte_zero + b for b in reversed(chunk[start[n]].encode("utf-8", "surrogatepass"))]
+        n = start[n]
+    return ids[::-1]
+
+
+def walked(v: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = {p: (s, i) for p, i, s in v.pieces}
+        for b in batches:
+            ids = pa.array([walk(c, score, v) for c in b.column("chunk").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), ids, b.column("blocks")], names=["chunk", "ids", "blocks"])
+
+    return run
+
+
 def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
     """(chunk, ids, blocks): each distinct chunk's ids and who asked for it; wanted(chunk, blocks).
+    The ids of a chunk of more than LONGEST_CHUNK characters are null.
 
     Everything behind the one exchange stays in its partition: grouping, explode, join, grouping."""
     spark = wanted.sparkSession
@@ -187,7 +215,8 @@ def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
     keyed = keyed.groupBy("h1", "h2", "chunk").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     # start 0 stands for the chunk itself and carries the blocks; the others are substrings
     n = F.length("chunk")
-    cut = keyed.select("h1", "h2", "chunk", "blocks", F.explode(F.sequence(F.lit(0), n)).alias("s"))
+    starts = F.sequence(F.lit(0), F.when(n <= LONGEST_CHUNK, n).otherwise(0))
+    cut = keyed.select("h1", "h2", "chunk", "blocks", F.explode(starts).alias("s"))
     ends = F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("s"), F.least(F.col("s") + v.longest - 1, n)))
     asked = F.when(F.col("s") == 0, F.struct("chunk", "blocks")).alias("asked")
     cut = cut.select("h1", "h2", "chunk", asked, "s", F.explode(ends).alias("e"))
@@ -200,7 +229,7 @@ def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
     edges = edges.select("h1", "h2", "asked", edge.alias("edge"))
     grouped = edges.groupBy("h1", "h2").agg(F.collect_list("edge").alias("edges"), F.first("asked", ignorenulls=True).alias("asked"))
     ways = grouped.select("asked", best_path(F.col("edges")).alias("steps"))
-    return ways.select("asked.chunk", read_back(F.col("steps"), v).alias("ids"), "asked.blocks")
+    return ways.select("asked.chunk", F.when(F.col("steps").isNotNull(), read_back(F.col("steps"), v)).alias("ids"), "asked.blocks")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -330,8 +359,11 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     scratch, cut = Scratch(docs.sparkSession), v.cutter()
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = rows.mapInArrow(tidied(_wanted(cut)), "chunk string, blocks array<long>")
-    lexicon = scratch.save(lattice(wanted, v).withColumn("n", F.size("blocks")))
-    # the chunks of most blocks, at most FREQUENT
+    found = scratch.save(lattice(wanted, v))
+    far = found.filter("ids is null").select("chunk", "blocks").mapInArrow(tidied(walked(v)), "chunk string, ids array<int>, blocks array<long>")
+    far = scratch.save(far)
+    lexicon = found.filter("ids is not null").withColumn("n", F.size("blocks"))
+    # the chunks of most blocks, at most FREQUENT; the long ones only go where they are asked for
     level = F.floor(F.log2("n") * 8).cast("int")
     least, total = 1 << 30, 0
     for r in sorted(lexicon.groupBy(level.alias("level")).count().collect(), reverse=True):
@@ -340,7 +372,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
         total, least = total + r["count"], r["level"]
     got = lexicon.filter(level >= least).select("chunk", "ids").toArrow()
     flat, ends = _flat(got.column("ids"))
-    answers = lexicon.filter(level < least).select(F.explode("blocks").alias("block"), "chunk", "ids")
+    answers = lexicon.filter(level < least).select("blocks", "chunk", "ids").unionByName(far).select(F.explode("blocks").alias("block"), "chunk", "ids")
     packed = rows.mapInArrow(tidied(_packed), "block long, blob binary")
     run = _assembled(cut, pa.array(got.column("chunk").to_pylist(), pa.string()), flat, ends, v.hex_of)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, text_crc32 long, decoded_crc32 long")

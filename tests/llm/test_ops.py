@@ -409,6 +409,17 @@ def test_pieces_against_brute_force(spark, vocabulary, monkeypatch):
         assert got[i].round_trip == ("▁" not in (t or ""))
 
 
+def test_long_runs_against_brute_force(spark, vocabulary):
+    r = random.Random(2)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = ["".join(r.choice(["the", "ing", "er", "tion", "a", "st", "q"]) for _ in range(400)) for _ in range(3)]
+    texts = [*words, "=" * 1000, "-" * 333, "".join(r.choice(base64) for _ in range(900)), "see " + words[0] + " end", "é" * 400 + "☃" + "a" * 200]
+    got = {g.doc_id: g for g in pieces.encoded(spark, docs(spark, *texts), queries.PIECE_MODEL).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i].ids) == brute_viterbi(pieces.MARK + t.replace(" ", pieces.MARK), vocabulary)
+        assert got[i].round_trip
+
+
 def test_native_decoding(spark, vocabulary):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     out = pieces.encoded(spark, d, queries.PIECE_MODEL).join(d, "doc_id")
