@@ -9,8 +9,8 @@ Rejection is calibrated on the counts: a language's own symbols cost mu on avera
 sigma, and a document of n symbols is rejected if even its best language costs it more than
 SLACK * mu + REACH * sigma / sqrt(n).
 
-Bounds: 4-grams are folded into 2^21 hash cells a language (the commonest gram of a cell stands
-for it), so what reaches the driver and the workers is bounded whatever the corpus.
+Every distinct 4-gram of each language is kept with its count. The driver builds the arrays and each
+worker holds them, so both need memory in proportion to the distinct grams.
 
 Defined results: a null text, or one without a letter, gets ``und`` with score 0, and so does
 everything when nothing can be learned; ties go to the first language by name; rows with null
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import bounded_batches, mix64, tidied
 
 ORDER = 4
-CELLS = 1 << 21
 SLACK, REACH = 1.6, 8.0
 CACHE = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -194,9 +193,7 @@ def fit(docs: DataFrame, training: Column) -> Model | None:
     rows = bounded_batches(docs).filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = rows.mapInArrow(tidied(_counts), "lang string, gram string, n long")
-    cell = F.pmod(F.xxhash64("gram"), F.lit(CELLS))
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("lang", cell).agg(F.max_by("gram", F.struct("n", "gram")).alias("gram"), F.sum("n").alias("n"))
-    return build(counts.select("lang", "gram", "n").toPandas())
+    return build(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
 
 
 def _predict(model: Model | None, carry: list[str]):

@@ -178,6 +178,15 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.all(total < 1 + 1e-9) and np.all(total > 0.7)
 
 
+def test_language_keeps_every_gram(spark):
+    r = random.Random(3)
+    text = " ".join("".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(4)) for _ in range(6000))
+    grams = {(("   " + w + " ")[i : i + 4]) for w in text.split() for i in range(5)}
+    m = langid.fit(docs(spark, text), F.lit(True))
+    rows = np.array([[ord(c) for c in g] for g in sorted(grams)], np.uint32)
+    assert len(grams) > 20_000 and set(m.full[0]) == set(langid.hashes(rows))
+
+
 def test_language_held_out(spark):
     out = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
     n, ok, acc = out.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred")), F.count_if("accepted")).first()
