@@ -19,6 +19,12 @@ def test_query(spark, name):
         assert df.limit(1).count() == 1
 
 
+def test_generalize_keeps_middle_sized_groups(spark):
+    got = {r.grp: r.n for r in QUERIES["generalize_2000"](spark, SF).collect()}
+    few = {r.grp: r.n for r in QUERIES["generalize"](spark, SF).collect()}
+    assert max(got.values()) >= 20 and few == {g: n for g, n in got.items() if n < 20}
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
