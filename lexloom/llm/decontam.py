@@ -4,17 +4,23 @@ Numbers, names and the units behind numbers become typed placeholders that keep
 beside them. Windows of WINDOW template tokens of the documents meet those of the benchmark in a
 hash join; matches on one diagonal (document position minus item position) must map every slot
 value of the item to one value in the document. An item is found in a document if consistent
-diagonals cover at least COVER of its windows; so copies are caught and re-parameterised
+diagonals cover at least COVER of its windows, or if one of them matches RUN windows in a row,
+which are WINDOW + RUN - 1 tokens; so copies are caught, long excerpts and re-parameterised
 questions too, while a few shared words are not enough.
 
 A name is a run of capitalised words behind a lower-case letter or a comma, so not at the start
-of a sentence. A window needs LITERALS words that are not placeholders; an item of fewer than
-LITERALS literal words can't be judged and matches nothing. An item shorter than a window is one
-window.
+of a sentence. Each item is sought a second time without names, as copies in upper or lower case
+show none. A window of fewer than LITERALS words that are no placeholders must agree in its
+values too. An item shorter than a window is one window; one of fewer than LITERALS tokens is
+found only where it is the whole document.
+
+A window carries the hashes of its slot values, never the text, and long texts are cut into runs
+of CHUNK windows, so time and memory follow the length of the text.
 
 Defined results: null texts and items count as empty and match nothing; repeated items or
-documents match once each by id; ties need no order; a null doc_id or item_id matches nothing;
-extra columns are ignored; empty tables give no rows.
+documents match once each by id, and rows that share a doc_id are searched one by one; ties need
+no order; a null doc_id or item_id matches nothing; extra columns are ignored; empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -22,90 +28,136 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LITERALS, COVER = 8, 4, 0.5
-#: Up to so many benchmark windows are broadcast (a few dozen MB); beyond it the join shuffles.
-BROADCAST_WINDOWS = 1_000_000
+WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 6
+CHUNK = 4096
+#: Up to so many benchmark windows are broadcast: some 250 bytes each, so 50 MB. Beyond it the join shuffles.
+BROADCAST_WINDOWS = 200_000
 NUM, NAME, UNIT, STOP = "\ue000", "\ue001", "\ue002", "\ue003"
 UNITS = (
     "km|cm|mm|kg|mg|ml|mph|kmh|miles|mile|meters|metres|meter|metre|feet|foot|inches|inch|yards|yard|grams|gram|pounds|pound|ounces|ounce|liters|litres|liter|litre"
     "|gallons|gallon|dollars|dollar|euros|euro|cents|cent|percent|seconds|second|minutes|minute|hours|hour|days|day|weeks|week|months|month|years|year|degrees|degree"
 )
-# (pattern, replacement by group): own marks out first, then names, numbers, units
-STEPS = (
-    (f"[{NUM}-{STOP}]", " "),
-    (r"([\p{Ll},;:] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)", f"@1{NAME}@2{STOP}"),
-    (r"([0-9]+(?:[.,][0-9]+)*)", f" {NUM}@1{STOP}"),
-    (rf"({STOP} ?)({UNITS}|%|€|\$|£)([^\p{{L}}]|$)", f"@1 {UNIT}@2{STOP}@3"),
+# (pattern, replacement by group): own marks out first, then names, numbers, units. Repetitions are
+# possessive (++, *+): others recurse in Java, once a repetition.
+OWN = (f"[{NUM}-{STOP}]", " ")
+NAMES = (r"([\p{Ll},;:] )(\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+)", f"@1{NAME}@2{STOP}")
+REST = (
+    (r"([0-9]++(?:[.,][0-9]++)*+)", f" {NUM}@1{STOP}"),
+    (rf"({STOP} ?)((?i:{UNITS})|%|€|\$|£)([^\p{{L}}]|$)", f"@1 {UNIT}@2{STOP}@3"),
 )
-VALUE = f"([{NUM}-{UNIT}])[^{STOP}]*{STOP}"
-TOKEN = rf"[{NUM}-{UNIT}]|[\p{{L}}\p{{M}}]+"
 VALUED = rf"[{NUM}-{UNIT}][^{STOP}]*{STOP}|[\p{{L}}\p{{M}}]+"
 
 
-def annotated(text: Column) -> Column:
+def annotated(text: Column, names: bool = True) -> Column:
     """The text in lower case with its placeholders, values inside them."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    for pattern, by in STEPS:
+    for pattern, by in (OWN, *[NAMES] * names, *REST):
         text = F.regexp_replace(text, pattern, by.replace("@", "$"))
     return F.lower(text)
 
 
-def template_tokens(marked: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(marked, VALUE, " $1 "), F.lit(TOKEN), F.lit(0))
+def _slot(token: Column) -> Column:
+    return token.substr(1, 1).isin(NUM, NAME, UNIT)
 
 
-def valued_tokens(marked: Column) -> Column:
-    return F.regexp_extract_all(marked, F.lit(VALUED), F.lit(0))
+def coded(rows: DataFrame) -> DataFrame:
+    """Adds t, the hashes of the template's tokens, and v, those of the slots' values (0 for a
+    literal word), of the column ``marked``, which goes."""
+    rest = [c for c in rows.columns if c != "marked"]
+    rows = rows.select(*rest, F.regexp_extract_all("marked", F.lit(VALUED), F.lit(0)).alias("own"))
+    t = F.transform("own", lambda x: F.xxhash64(F.when(_slot(x), x.substr(1, 1)).otherwise(x)))
+    v = F.transform("own", lambda x: F.when(_slot(x), F.xxhash64(x).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    return rows.select(*rest, t.alias("t"), v.alias("v"))
 
 
-def _starts(size: Column, length: Column) -> Column:
-    """Positions of windows, from 1; none if the array is shorter."""
-    return F.when(size >= length, F.sequence(F.lit(1), F.greatest(size - length + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+def _window(t: Column, v: Column, at: Column, size: int | Column) -> tuple[Column, Column]:
+    """The key of a window and its slot values; with few literal words the values are part of the key."""
+    own, values = F.slice(t, at, size), F.slice(v, at, size)
+    slots = F.size(F.array_remove(values, F.lit(0).cast("long")))
+    return F.when(slots <= F.lit(size) - LITERALS, F.xxhash64(own)).otherwise(F.xxhash64(own, values)), values
 
 
-def _window_hash(size: int):
-    return lambda i: F.xxhash64(F.slice("tokens", i, size))
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """item_id, named (whether names are placeholders), at, len, h, own (slot values), n (windows of the item)."""
+    rows = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    cut = None
+    for named in (True, False):
+        part = coded(rows.select("item_id", F.lit(named).alias("named"), annotated(F.col("text"), named).alias("marked")))
+        cut = part if cut is None else cut.unionByName(part)
+    cut = cut.groupBy("item_id", "t", "v").agg(F.max("named").alias("named")).filter(F.size("t") > 0)
+    cut = cut.withColumn("len", F.least(F.size("t"), F.lit(WINDOW)))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("len") + 1)).alias("at"))
+    h, own = _window(F.col("t"), F.col("v"), F.col("at"), F.col("len"))
+    # texts that repeat an item_id are items of their own
+    return cut.select("item_id", F.xxhash64("t", "v", "named").alias("form"), "named", "at", "len", h.alias("h"), own.alias("own"), (F.size("t") - F.col("len") + 1).alias("n"))
 
 
-def _slot(token: Column) -> Column:
-    return token.substr(1, 1).isin(NUM, NAME, UNIT)
+def doc_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, text_key, p (from 0), len, h, seen (slot values) of all windows of the given sizes."""
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), annotated(F.col("text")).alias("marked"))
+    rows = coded(rows).withColumn("n", F.greatest(F.size("t"), F.size("v")))
+    part = lambda c: F.struct(c.alias("c"), F.slice("t", c, CHUNK + WINDOW - 1).alias("t"), F.slice("v", c, CHUNK + WINDOW - 1).alias("v"))
+    # both arrays are named outside the lambdas too, so that they are computed once a row
+    starts = F.when(F.least(F.size("t"), F.size("v")) > 0, F.sequence(F.lit(1), F.col("n"), F.lit(CHUNK)))
+    rows = rows.select("doc_id", "text_key", "n", F.explode(F.transform(starts, part)).alias("x"))
+    rows = rows.select("doc_id", "text_key", "n", F.col("x.c").alias("c"), F.concat(F.col("x.t"), F.array().cast("array<bigint>")).alias("t"), F.concat(F.col("x.v"), F.array().cast("array<bigint>")).alias("v"))
 
+    def of(size: int) -> Column:
+        last = F.least(F.least(F.size("t"), F.size("v")) - size + 1, F.lit(CHUNK))
+        fits = (last >= 1) if size >= LITERALS else (F.col("n") == size)
+        at = F.when(fits, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+        def row(i: Column) -> Column:
+            h, seen = _window(F.col("t"), F.col("v"), i, size)
+            return F.struct((F.col("c") + i - 2).alias("p"), F.lit(size).alias("len"), h.alias("h"), seen.alias("seen"))
+
+        return F.transform(at, row)
+
+    rows = rows.select("doc_id", "text_key", F.explode(F.concat(*[of(s) for s in sizes])).alias("x"))
+    return rows.select("doc_id", "text_key", "x.*")
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, at, len, h, own (tokens with values), n (windows of the item)."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), annotated(F.col("text")).alias("marked")).filter("item_id is not null")
-    rows = rows.select("item_id", template_tokens(F.col("marked")).alias("tokens"), valued_tokens(F.col("marked")).alias("own")).distinct()
-    rows = rows.withColumn("len", F.least(F.size("tokens"), F.lit(WINDOW)))
-    rows = rows.select("item_id", "tokens", "own", "len", F.explode(_starts(F.size("tokens"), F.col("len"))).alias("at"))
-    cut = rows.select("item_id", "len", "at", F.slice("tokens", F.col("at"), F.col("len")).alias("ts"), F.slice("own", F.col("at"), F.col("len")).alias("own"))
-    cut = cut.filter(F.size(F.filter("ts", lambda t: ~_slot(t))) >= LITERALS)
-    n = cut.groupBy("item_id").agg(F.count_distinct("at").alias("n"))
-    return cut.select("item_id", "at", "len", F.xxhash64("ts").alias("h"), "own").join(n, "item_id")
+
+def _longest_run(ats: Column) -> Column:
+    """The length of the longest run of numbers without a gap in a sorted array."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(ats, start, step, lambda a: a["most"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, matched, changed (slot values that differ from the item's),
-    for each item that a document holds."""
+    """doc_id, item_id, n_windows, matched, longest (windows in a row), changed (slot values that
+    differ from the item's), for each item that a document holds."""
+    return _found(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "n", "longest", "changed")).alias("x")).select(
+        "doc_id", "item_id", F.col("x.n").alias("n_windows"), "x.matched", "x.longest", "x.changed"
+    )
+
+
+def dirty_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id and text_key (xxhash64 of the text) of the rows that hold an item."""
+    return _found(docs, benchmark).select("doc_id", "text_key").distinct()
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = item_windows(benchmark)
     lengths, total = items.agg(F.collect_set("len"), F.count("*")).first()
+    if not total:
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, n long, matched long, longest long, changed long")
     items = F.broadcast(items) if total <= BROADCAST_WINDOWS else items
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), annotated(F.col("text")).alias("marked")).filter("doc_id is not null")
-    rows = rows.select("doc_id", "marked", template_tokens(F.col("marked")).alias("tokens"))
-    found = None
-    for size in sorted(lengths):
-        hashes = F.transform(_starts(F.size("tokens"), F.lit(size)), _window_hash(size))
-        part = rows.select("doc_id", "marked", F.posexplode(hashes).alias("p", "h")).join(items.filter(F.col("len") == size), "h")
-        # values only of what has matched
-        part = part.select("doc_id", "item_id", "n", "at", (F.col("p") + 1 - F.col("at")).alias("diagonal"), "own", F.slice(valued_tokens(F.col("marked")), F.col("p") + 1, size).alias("seen"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, matched long, changed long")
-    slots = F.filter(F.arrays_zip("own", "seen"), lambda z: _slot(z["own"]))
-    lines = found.groupBy("doc_id", "item_id", "n", "diagonal").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
-    one_value = F.size(F.array_distinct(F.transform("slots", lambda z: z["own"]))) == F.size("slots")
-    lines = lines.filter(one_value)
-    whole = lines.groupBy("doc_id", "item_id", "n").agg(
+    met = doc_windows(docs, sorted(lengths)).join(items, ["h", "len"])
+    pairs = F.filter(F.arrays_zip("own", "seen"), lambda z: z["own"] != 0)
+    key = ["doc_id", "text_key", "item_id", "form", "n"]
+    lines = met.groupBy(*key, (F.col("p") + 1 - F.col("at")).alias("diagonal")).agg(
+        F.array_sort(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
+    )
+    lines = lines.filter(F.size(F.array_distinct(F.transform("slots", lambda z: z["own"]))) == F.size("slots"))
+    whole = lines.groupBy(*key).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"),
+        F.max(_longest_run(F.col("ats"))).cast("long").alias("longest"),
         F.max(F.size(F.filter("slots", lambda z: z["own"] != z["seen"]))).cast("long").alias("changed"),
     )
-    return whole.filter(F.col("matched") >= COVER * F.col("n")).select("doc_id", "item_id", F.col("n").cast("long").alias("n_windows"), "matched", "changed")
+    whole = whole.filter((F.col("matched") >= COVER * F.col("n")) | (F.col("longest") >= RUN))
+    return whole.select("doc_id", "text_key", "item_id", F.col("n").cast("long").alias("n"), "matched", "longest", "changed")

@@ -95,42 +95,51 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _marked_sql(text: str) -> str:
+def _marked_sql(text: str, names: bool = True) -> str:
     out = f"coalesce({text}, '')"
-    for pattern, by in decontam.STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{by.replace('@', chr(92))}', 'g')"
+    for pattern, by in (decontam.OWN, *[decontam.NAMES] * names, *decontam.REST):
+        # possessive repetitions only spare Java the stack; here the plain ones are the same
+        out = f"regexp_replace({out}, '{pattern.replace('++', '+').replace('*+', '*')}', '{by.replace('@', chr(92))}', 'g')"
     return f"lower({out})"
 
 
 _IS_SLOT = f"left(t, 1) IN ('{decontam.NUM}', '{decontam.NAME}', '{decontam.UNIT}')"
+_KEY = f"""array_to_string(list_transform(x, lambda t: CASE WHEN {_IS_SLOT} THEN left(t, 1) ELSE t END), ' ')
+      || CASE WHEN len(list_filter(x, lambda t: NOT {_IS_SLOT})) >= {decontam.LITERALS} THEN '' ELSE '|' || array_to_string(x, ' ') END"""
 ORACLES["op7_benchmark_decontamination"] = rf"""
-WITH docs AS (
-  SELECT doc_id AS id, {_marked_sql("text")} AS marked FROM documents WHERE doc_id IS NOT NULL),
-items AS (
-  SELECT DISTINCT item_id AS id, {_marked_sql("text")} AS marked FROM benchmark WHERE item_id IS NOT NULL),
-cut AS (
-  SELECT kind, id, regexp_extract_all(regexp_replace(marked, '{decontam.VALUE}', '  ', 'g'), '{decontam.TOKEN}') AS tokens,
-    regexp_extract_all(marked, '{decontam.VALUED}') AS own
-  FROM (SELECT 'd' AS kind, * FROM docs UNION ALL SELECT 'i', * FROM items)),
-item_w AS (
-  SELECT id, w, pos, array_to_string(tokens[pos:pos + w - 1], ' ') AS h, own[pos:pos + w - 1] AS own
-  FROM (SELECT *, unnest(range(1, len(tokens) - w + 2)) AS pos FROM (SELECT *, least(len(tokens), {decontam.WINDOW}) AS w FROM cut WHERE kind = 'i'))
-  WHERE len(list_filter(tokens[pos:pos + w - 1], lambda t: NOT {_IS_SLOT})) >= {decontam.LITERALS}),
-sized AS (SELECT id, count(DISTINCT pos) AS n FROM item_w GROUP BY id),
+WITH cut AS MATERIALIZED (
+  SELECT kind, id, form, regexp_extract_all(marked, '{decontam.VALUED}') AS own FROM (
+    SELECT DISTINCT 'd' AS kind, doc_id AS id, md5(coalesce(text, '')) AS form, {_marked_sql("text")} AS marked FROM documents WHERE doc_id IS NOT NULL
+    UNION ALL SELECT DISTINCT 'i', item_id, '', {_marked_sql("text")} FROM benchmark WHERE item_id IS NOT NULL
+    UNION ALL SELECT DISTINCT 'i', item_id, '', {_marked_sql("text", False)} FROM benchmark WHERE item_id IS NOT NULL)),
+items AS (SELECT id, own, least(len(own), {decontam.WINDOW}) AS w, row_number() OVER () AS form FROM (SELECT DISTINCT id, own FROM cut WHERE kind = 'i' AND len(own) > 0)),
+item_w AS MATERIALIZED (
+  SELECT *, {_KEY} AS h FROM (SELECT id, form, w, pos, len(own) - w + 1 AS n, own[pos:pos + w - 1] AS x
+    FROM (SELECT *, unnest(range(1, len(own) - w + 2)) AS pos FROM items))),
 doc_w AS (
-  SELECT id, w, pos, array_to_string(tokens[pos:pos + w - 1], ' ') AS h, own[pos:pos + w - 1] AS seen
-  FROM (SELECT *, unnest(range(1, len(tokens) - w + 2)) AS pos FROM cut, (SELECT DISTINCT w FROM item_w) WHERE kind = 'd' AND len(tokens) >= w)),
-met AS (
-  SELECT d.id AS doc_id, i.id AS item_id, n, i.pos, d.pos - i.pos AS diagonal, i.own, d.seen
-  FROM doc_w d JOIN item_w i ON d.h = i.h AND d.w = i.w JOIN sized s ON s.id = i.id),
-slot AS (
-  SELECT doc_id, item_id, diagonal, unnest(own) AS t, unnest(seen) AS v FROM met),
+  SELECT *, {_KEY} AS h FROM (SELECT id, form, w, pos, own[pos:pos + w - 1] AS x
+    FROM (SELECT *, unnest(range(1, len(own) - w + 2)) AS pos FROM cut, (SELECT DISTINCT w FROM item_w)
+          WHERE kind = 'd' AND (len(own) = w OR len(own) > w AND w >= {decontam.LITERALS})))),
+met AS MATERIALIZED (
+  SELECT d.id AS doc_id, d.form AS dform, i.id AS item_id, i.form AS form, n, i.pos, d.pos - i.pos AS diagonal, i.x AS own, d.x AS seen
+  FROM doc_w d JOIN item_w i ON d.h = i.h AND d.w = i.w),
+slot AS (SELECT doc_id, dform, item_id, form, diagonal, unnest(own) AS t, unnest(seen) AS v FROM met),
 checked AS (
-  SELECT doc_id, item_id, diagonal, count(DISTINCT t || chr(0) || v) = count(DISTINCT t) AS fits, count(DISTINCT CASE WHEN t <> v THEN t END) AS changed
-  FROM slot WHERE {_IS_SLOT} GROUP BY ALL)
-SELECT m.doc_id, m.item_id, n AS n_windows, count(DISTINCT pos) AS matched, CAST(max(coalesce(changed, 0)) AS BIGINT) AS changed
-FROM met m LEFT JOIN checked c ON m.doc_id = c.doc_id AND m.item_id = c.item_id AND m.diagonal = c.diagonal
-WHERE coalesce(fits, true) GROUP BY m.doc_id, m.item_id, n HAVING count(DISTINCT pos) >= {decontam.COVER} * n
+  SELECT doc_id, dform, item_id, form, diagonal, count(DISTINCT t || chr(0) || v) = count(DISTINCT t) AS fits, count(DISTINCT CASE WHEN t <> v THEN t END) AS changed
+  FROM slot WHERE {_IS_SLOT} GROUP BY ALL),
+good AS (
+  SELECT m.*, coalesce(changed, 0) AS changed FROM (SELECT DISTINCT doc_id, dform, item_id, form, n, pos, diagonal FROM met) m
+  LEFT JOIN checked c USING (doc_id, dform, item_id, form, diagonal) WHERE coalesce(fits, true)),
+runs AS (
+  SELECT doc_id, dform, item_id, form, max(c) AS longest FROM (
+    SELECT doc_id, dform, item_id, form, diagonal, pos - i, count(*) AS c FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id, dform, item_id, form, diagonal ORDER BY pos) AS i FROM good) GROUP BY ALL) GROUP BY ALL),
+whole AS (
+  SELECT doc_id, item_id, n, count(DISTINCT pos) AS matched, max(longest) AS longest, max(changed) AS changed
+  FROM good JOIN runs USING (doc_id, dform, item_id, form) GROUP BY doc_id, dform, item_id, form, n)
+SELECT doc_id, item_id, n AS n_windows, matched, CAST(longest AS BIGINT) AS longest, CAST(changed AS BIGINT) AS changed
+FROM whole WHERE matched >= {decontam.COVER} * n OR longest >= {decontam.RUN}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, n DESC, longest DESC, changed DESC) = 1
 """
 
 
