@@ -28,10 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import Scratch
+
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 6
 CHUNK = 4096
 #: Up to so many benchmark windows are broadcast: some 250 bytes each, so 50 MB. Beyond it the join shuffles.
 BROADCAST_WINDOWS = 200_000
+BROADCAST_TEXTS = 1_000_000
 NUM, NAME, UNIT, STOP = "\ue000", "\ue001", "\ue002", "\ue003"
 UNITS = (
     "km|cm|mm|kg|mg|ml|mph|kmh|miles|mile|meters|metres|meter|metre|feet|foot|inches|inch|yards|yard|grams|gram|pounds|pound|ounces|ounce|liters|litres|liter|litre"
@@ -136,9 +139,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def dirty_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and text_key (xxhash64 of the text) of the rows that hold an item."""
-    return _found(docs, benchmark).select("doc_id", "text_key").distinct()
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows whose text holds no item. Equal texts share that fate, so rows are told by a hash of
+    the text; hashes of up to BROADCAST_TEXTS dirty texts (8 MB) are broadcast, more are joined."""
+    key = F.xxhash64("text")
+    found = _found(docs.select(key.alias("doc_id"), "text"), benchmark).select("text_key").distinct()
+    found = Scratch(docs.sparkSession).save(found)
+    found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
+    return docs.join(found, key == found["text_key"], "left_anti")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ and A-law, whole blocks for IMA ADPCM. Reading expands the codes: mu-law and A-l
 256-entry lookup tables, ADPCM with numpy across blocks (the loop runs over positions inside a
 block, every step handles all blocks). The 16-bit PCM is resampled and stored.
 
+By default the codec of a text follows from the checksum of its payload, so a table holds all
+three, and equal texts have equal forms.
+
 Defined results: a null text is an empty payload; an empty payload is padded to one unit; equal
 texts give equal values; a null doc_id stays null; extra columns are ignored.
 """
@@ -26,6 +29,7 @@ from lexloom.llm.common import bounded_batches, tidied
 UNIT = 64
 RATE, RATE_OUT = 8000, 16000
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "ima_adpcm": 0x11}
+CODECS = ("mulaw", "alaw", "ima_adpcm")
 
 # Fixed values of the IMA ADPCM format: the step sizes and the index moves of a 3-bit magnitude.
 STEPS = np.array([
@@ -106,12 +110,8 @@ def store(codec: str, payload: bytes) -> bytes:
 
 
 def expand(tag: int, data: bytes) -> np.ndarray:
-    codes = np.frombuffer(data, np.uint8)
-    if tag == TAGS["mulaw"]:
-        return _MULAW[codes]
-    if tag == TAGS["alaw"]:
-        return _ALAW[codes]
-    return adpcm_decode(codes).reshape(-1)
+    """PCM of mu-law or A-law codes, by their tables."""
+    return (_MULAW if tag == TAGS["mulaw"] else _ALAW)[np.frombuffer(data, np.uint8)]
 
 
 def resample(pcm: np.ndarray) -> np.ndarray:
@@ -133,35 +133,42 @@ def features(pcm: np.ndarray) -> str:
     return f"{int(np.abs(wide).max())}:{int((wide * wide).sum() // len(wide))}:{int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))}"
 
 
-def _columns(codec: str, keep: bool):
+def codec_of(payload: bytes) -> str:
+    return CODECS[zlib.crc32(payload) % len(CODECS)]
+
+
+def _columns(codec: str | None, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 64):
                 b = big.slice(at, 64)
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-                media = [store(codec, x + bytes(-len(x) % UNIT or (0 if x else UNIT))) for x in raw]
+                payloads = [x + bytes(-len(x) % UNIT or (0 if x else UNIT)) for x in raw]
+                used = [codec or codec_of(x) for x in payloads]
+                media = [store(c, x) for c, x in zip(used, payloads, strict=True)]
                 back = [read_wav(m) for m in media]
-                # all payloads of the batch as ADPCM blocks in one go
-                blocks = adpcm_decode(np.frombuffer(b"".join(d for _, _, d in back), np.uint8))
+                # the ADPCM files of the batch are decoded in one go, across all their blocks
+                blocks = adpcm_decode(np.frombuffer(b"".join(d for tag, _, d in back if tag == TAGS["ima_adpcm"]), np.uint8))
                 rows, start = [], 0
-                for x, m, (tag, rate, d) in zip(raw, media, back, strict=True):
-                    own = blocks[start : start + len(d) // UNIT].reshape(-1)
-                    start += len(d) // UNIT
-                    pcm = own if codec == "ima_adpcm" else expand(tag, d)
-                    high = resample(pcm)
-                    text = f"{codec}@{rate} {features(pcm)} adpcm {features(own)} at{RATE_OUT} {zlib.crc32(high):08x}"
-                    row = [len(x), len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), text]
-                    rows.append(row + [m, wav(1, RATE_OUT, 16, 2, 1, high.tobytes())] * keep)
+                for x, c, m, (tag, rate, d) in zip(raw, used, media, back, strict=True):
+                    if tag == TAGS["ima_adpcm"]:
+                        n = len(d) // UNIT
+                        pcm, start = blocks[start : start + n].reshape(-1), start + n
+                    else:
+                        pcm = expand(tag, d)
+                    sound = wav(1, RATE_OUT, 16, 2, 1, resample(pcm).tobytes())
+                    row = [len(x), len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f"{c}@{rate} {features(pcm)}"]
+                    rows.append([*row, c, len(sound), zlib.crc32(sound)] + [m, sound] * keep)
                 cols = [pa.array(c) for c in zip(*rows, strict=True)]
-                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media", "pcm"] * keep
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", *names])
+                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "pcm_bytes", "pcm_crc32"]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", *names, *["media", "pcm"] * keep])
 
     return run
 
 
-def media_columns(docs: DataFrame, codec: str = "mulaw", keep: bool = True) -> DataFrame:
-    """Digests and features of each text's stored form; with ``keep`` also the stored file
-    (``media``) and the resampled 16-bit WAV (``pcm``)."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def media_columns(docs: DataFrame, codec: str | None = None, keep: bool = True) -> DataFrame:
+    """Digests and features of each text's stored form and of its resampled 16-bit WAV; with ``keep``
+    also both files (``media``, ``pcm``). codec: one for all texts, or None."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm_bytes long, pcm_crc32 long"
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(tidied(_columns(codec, keep)), schema + (", media binary, pcm binary" if keep else ""))

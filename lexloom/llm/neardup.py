@@ -7,13 +7,15 @@ so groups of copies never become pairs.
 
 Links are sought in two passes. First every class is held against one other only: the smallest
 class of the buckets that it shares with it most often. Then only buckets that still span
-several components are compared within, in pairs of blocks of bounded size, only across
-components, and each pair only in the first band that it shares; a block pair gives a spanning
-set of the components it joins. No bucket is capped and no group meets in one task.
+several components are compared within, only across components, and each pair only in the first
+band that it shares: signatures in pairs of blocks of SIGNATURES rows, then the texts of what may
+link in pairs of blocks of TEXTS rows; such a pair gives a spanning set of the components it joins.
+No bucket is capped and no group meets in one task.
 
 Defined results: a null text counts as empty; a document without words has an empty set and
 no links; a null doc_id is linked with nothing, its component is null and it is kept; rows
-that repeat a doc_id each get a row; extra columns are ignored.
+that repeat a doc_id each get a row, and doc_id names one text (number the rows first where it
+does not, as the pipeline does); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ K = BANDS * ROWS
 SHINGLE = 5
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 128
+SIGNATURES, TEXTS = 1024, 128
+SALTS = 64
 BLOOM_BITS = 1 << 27
 
 
@@ -280,6 +283,15 @@ def components(scratch: Scratch, links: DataFrame, most_rounds: int = 60) -> Dat
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """The rows of each bucket k in blocks of some ``size`` of its n rows; a row goes to all pairs
+    (p, q) of blocks that hold its own."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    out = rows.select("k", "band", "rep", "comp", "sig", "earlier", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return out.select("k", "band", "rep", "comp", "sig", "earlier", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links with
     100 * |A∩B| >= percent * |A∪B|), kept (doc_id = component_id)."""
@@ -308,16 +320,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     mixed = placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
     # a pair has met before if a bucket key of an earlier band is the same; a signature only looks so
     open_ = placed.join(scratch.save(mixed), "k").join(reps.select("rep", "sig", "bands"), "rep").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = open_.select("k", "band", "rep", "comp", "sig", "earlier", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("k", "band", "rep", "comp", "sig", "earlier", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    near = scratch.save(dealt.groupBy("k", "p", "q").applyInArrow(_likely(least), dealt.schema))
+    dealt = _dealt(open_, SIGNATURES)
+    near = scratch.save(dealt.groupBy("k", "p", "q").applyInArrow(_likely(least), dealt.schema).dropDuplicates(["k", "rep"]))
+    near = _dealt(near.join(near.groupBy("k").agg(F.count("*").alias("n")), "k"), TEXTS)
     texts = taken(scratch, near.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
     more = scratch.save(near.join(texts, "rep").groupBy("k", "p", "q").applyInArrow(_joined(least, percent), "u long, v long").distinct())
     wide = components(scratch, more).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
-    # members follow their component; its root is no member, so it comes from wide itself
-    moved = comp.join(wide, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
+    # members follow their component, salted as one may hold a third of all; its root is no member, so it comes from wide itself
+    salted = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    moved = comp.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["comp", "salt"], "left")
+    moved = moved.select("node", F.coalesce("whole", "comp").alias("comp"))
     comp = moved.unionByName(wide.select(F.col("comp").alias("node"), F.col("whole").alias("comp")))
 
     named = scratch.save(

@@ -11,9 +11,10 @@ pieces. The scores are those of the model file, so this is the segmentation of h
 score, not the order of merges of a merge model.
 
 Chunks go back to their documents by blocks of bounded size: each block asks for the distinct
-chunks that it needs, the answers go out to the blocks that asked, and meet the block's
-compressed texts again under its key. The commonest chunks, up to FREQUENT of them, are sent to
-the workers instead, which only saves traffic. The lattice tells chunks apart by 96 bits of hash.
+chunks that it needs, the requests meet the answers under the chunk, and both the block's
+compressed texts under its key. The commonest chunks, up to FREQUENT of them, are sent to the
+workers instead, so no hot chunk gathers its requests. The lattice tells chunks apart by 128 bits
+of hash.
 
 Decoding joins the pieces' bytes in document order, in built-in functions alone (``decode``);
 encoded documents carry the checksum of their decoded bytes besides.
@@ -138,15 +139,15 @@ def load(model_path: str) -> Vocabulary:
 def best_path(edges: Column) -> Column:
     """For each position the best way to it: an array of struct(t, s, id), position 0 first, with
     the sum of scores, minus the first character of the last piece, and its id. edges:
-    struct(e, s, id, score); positions count from 1 and an edge covers s to e."""
+    struct(e, s, id, score); positions count from 1, an edge covers s to e, and each e has one."""
     way = lambda t, s, i: F.struct(t.cast("double").alias("t"), s.cast("int").alias("s"), i.cast("int").alias("id"))
 
-    def step(a: Column, e: Column) -> Column:
-        here = F.filter(edges, lambda x: x["e"] == e)
-        return F.array_append(a, F.array_max(F.transform(here, lambda x: way(F.get(a, x["s"] - 1)["t"] + x["score"], -x["s"], x["id"]))))
+    def step(a: Column, x: Column) -> Column:
+        new = way(F.get(a, x["s"] - 1)["t"] + x["score"], -x["s"], x["id"])
+        better = F.concat(F.slice(a, F.lit(1), x["e"]), F.array(F.greatest(F.get(a, x["e"]), new)))
+        return F.when(F.size(a) == x["e"], F.array_append(a, new)).otherwise(better)
 
-    last = F.array_max(F.transform(edges, lambda x: x["e"]))
-    return F.aggregate(F.sequence(F.lit(1), last), F.array(way(F.lit(0.0), F.lit(0), F.lit(0))), step)
+    return F.aggregate(F.sort_array(edges), F.array(way(F.lit(0.0), F.lit(0), F.lit(0))), step)
 
 
 def read_back(steps: Column, v: Vocabulary) -> Column:
@@ -196,29 +197,29 @@ def walked(v: Vocabulary):
         score = {p: (s, i) for p, i, s in v.pieces}
         for b in batches:
             ids = pa.array([walk(c, score, v) for c in b.column("chunk").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), ids, b.column("blocks")], names=["chunk", "ids", "blocks"])
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), ids], names=["chunk", "ids"])
 
     return run
 
 
 def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
-    """(chunk, ids, blocks): each distinct chunk's ids and who asked for it; wanted(chunk, blocks).
-    The ids of a chunk of more than LONGEST_CHUNK characters are null.
+    """(chunk, n, ids): each distinct chunk of wanted(chunk, n), how often it was asked for, and its
+    ids. The ids of a chunk of more than LONGEST_CHUNK characters are null.
 
     Everything behind the one exchange stays in its partition: grouping, explode, join, grouping."""
     spark = wanted.sparkSession
     table = spark.createDataFrame(v.pieces, "own string, id int, score double").select(F.xxhash64("own").alias("ph"), "own", "id", "score")
     # a chunk unfolds into some fifty rows, so more and smaller partitions than usual
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = wanted.repartition(partitions, F.xxhash64("chunk"), F.hash("chunk"))
-    keyed = keyed.select(F.xxhash64("chunk").alias("h1"), F.hash("chunk").alias("h2"), "chunk", "blocks")
-    keyed = keyed.groupBy("h1", "h2", "chunk").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
-    # start 0 stands for the chunk itself and carries the blocks; the others are substrings
-    n = F.length("chunk")
-    starts = F.sequence(F.lit(0), F.when(n <= LONGEST_CHUNK, n).otherwise(0))
-    cut = keyed.select("h1", "h2", "chunk", "blocks", F.explode(starts).alias("s"))
-    ends = F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("s"), F.least(F.col("s") + v.longest - 1, n)))
-    asked = F.when(F.col("s") == 0, F.struct("chunk", "blocks")).alias("asked")
+    h1, h2 = F.xxhash64("chunk"), F.xxhash64("chunk", F.lit(1))
+    keyed = wanted.repartition(partitions, h1, h2).select(h1.alias("h1"), h2.alias("h2"), "chunk", "n")
+    keyed = keyed.groupBy("h1", "h2", "chunk").agg(F.sum("n").alias("n"))
+    # start 0 stands for the chunk itself; the others are substrings
+    size = F.length("chunk")
+    starts = F.sequence(F.lit(0), F.when(size <= LONGEST_CHUNK, size).otherwise(0))
+    cut = keyed.select("h1", "h2", "chunk", "n", F.explode(starts).alias("s"))
+    ends = F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("s"), F.least(F.col("s") + v.longest - 1, size)))
+    asked = F.when(F.col("s") == 0, F.struct("chunk", "n")).alias("asked")
     cut = cut.select("h1", "h2", "chunk", asked, "s", F.explode(ends).alias("e"))
     cut = cut.select("h1", "h2", "asked", "s", "e", F.substr("chunk", F.col("s"), F.col("e") - F.col("s") + 1).alias("piece"))
     # joined by a hash, which is the quicker key, and held against the piece itself
@@ -228,8 +229,8 @@ def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
     edge = F.when(F.col("s") > 0, F.struct("e", "s", F.coalesce("id", -F.ascii("piece")).alias("id"), score))
     edges = edges.select("h1", "h2", "asked", edge.alias("edge"))
     grouped = edges.groupBy("h1", "h2").agg(F.collect_list("edge").alias("edges"), F.first("asked", ignorenulls=True).alias("asked"))
-    ways = grouped.select("asked", best_path(F.col("edges")).alias("steps"))
-    return ways.select("asked.chunk", F.when(F.col("steps").isNotNull(), read_back(F.col("steps"), v)).alias("ids"), "asked.blocks")
+    ways = grouped.select("asked", F.when(F.size("edges") > 0, best_path(F.col("edges"))).alias("steps"))
+    return ways.select("asked.chunk", "asked.n", F.when(F.col("steps").isNotNull(), read_back(F.col("steps"), v)).alias("ids"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -358,21 +359,22 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     the bytes of the ids' pieces, without the blank that leads every text)."""
     scratch, cut = Scratch(docs.sparkSession), v.cutter()
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = rows.mapInArrow(tidied(_wanted(cut)), "chunk string, blocks array<long>")
-    found = scratch.save(lattice(wanted, v))
-    far = found.filter("ids is null").select("chunk", "blocks").mapInArrow(tidied(walked(v)), "chunk string, ids array<int>, blocks array<long>")
-    far = scratch.save(far)
-    lexicon = found.filter("ids is not null").withColumn("n", F.size("blocks"))
+    wanted = scratch.save(rows.mapInArrow(tidied(_wanted(cut)), "chunk string, blocks array<long>"))
+    lexicon = scratch.save(lattice(wanted.select("chunk", F.size("blocks").cast("long").alias("n")), v))
+    far = lexicon.filter("ids is null").select("chunk").mapInArrow(tidied(walked(v)), "chunk string, ids array<int>")
+    far, near = scratch.save(far), lexicon.filter("ids is not null")
     # the chunks of most blocks, at most FREQUENT; the long ones only go where they are asked for
     level = F.floor(F.log2("n") * 8).cast("int")
     least, total = 1 << 30, 0
-    for r in sorted(lexicon.groupBy(level.alias("level")).count().collect(), reverse=True):
+    for r in sorted(near.groupBy(level.alias("level")).count().collect(), reverse=True):
         if total + r["count"] > FREQUENT:
             break
         total, least = total + r["count"], r["level"]
-    got = lexicon.filter(level >= least).select("chunk", "ids").toArrow()
+    got = near.filter(level >= least).select("chunk", "ids").toArrow()
     flat, ends = _flat(got.column("ids"))
-    answers = lexicon.filter(level < least).select("blocks", "chunk", "ids").unionByName(far).select(F.explode("blocks").alias("block"), "chunk", "ids")
+    rare = wanted.join(F.broadcast(near.filter(level >= least).select("chunk")), "chunk", "left_anti")
+    coded = near.filter(level < least).select("chunk", "ids").unionByName(far)
+    answers = rare.select("chunk", F.explode("blocks").alias("block")).join(coded, "chunk").select("block", "chunk", "ids")
     packed = rows.mapInArrow(tidied(_packed), "block long, blob binary")
     run = _assembled(cut, pa.array(got.column("chunk").to_pylist(), pa.string()), flat, ends, v.hex_of)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, text_crc32 long, decoded_crc32 long")

@@ -58,7 +58,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), codec="mulaw", keep=False)
+    return media.media_columns(table(spark, sf_dir, "documents")).drop("media", "pcm")
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,25 +152,26 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), RULES).select(
-        "page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust")
+        "page_id", "host", "path", "rule", "verdict", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust")
     )
 
 
 def _rank_sql(name: str, edges: str, seed: str) -> str:
-    d, steps = urlfilter.DAMPING, urlfilter.STEPS
+    """As many steps as leave a change under 1e-6, all written out; flows stop by themselves where links do."""
+    d = urlfilter.DAMPING
     out = [
-        f"{name}_w AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM {edges})",
-        f"{name}_s AS MATERIALIZED (SELECT host, 1.0::DOUBLE / count(*) OVER () AS score FROM hosts WHERE 2 * {seed} > n)",
-        f"{name}_0 AS (SELECT * FROM {name}_s)",
+        f"{name}_w AS MATERIALIZED (SELECT src, dst, {d} * n / sum(n) OVER (PARTITION BY src) AS w FROM {edges})",
+        f"{name}_0 AS MATERIALIZED (SELECT host, {1 - d!r}::DOUBLE / count(*) OVER () AS score FROM hosts WHERE 2 * {seed} > n)",
     ]
-    for i in range(steps):
+    for i in range(_STEPS):
         out.append(
-            f"{name}_{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT host, {1 - d!r} * score AS score FROM {name}_s "
-            f"UNION ALL SELECT dst, {d} * score * w FROM {name}_{i} JOIN {name}_w ON host = src) GROUP BY host)"
+            f"{name}_{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT host, score FROM {name}_0 "
+            f"UNION ALL SELECT dst, score * w FROM {name}_{i} JOIN {name}_w ON host = src) GROUP BY host)"
         )
-    flows = "(SELECT count(*) FROM edges) > 0"
-    out.append(f"{name} AS (SELECT * FROM {name}_{steps} WHERE {flows} UNION ALL SELECT host, 1.0 FROM {name}_s WHERE NOT {flows})")
-    return ",\n".join(out)
+    return ",\n".join([*out, f"{name} AS (SELECT * FROM {name}_{_STEPS})"])
+
+
+_STEPS = 60
 
 
 def _rule_sql() -> str:
@@ -190,14 +191,14 @@ WITH parsed AS (
 tagged AS MATERIALIZED (SELECT *, {_rule_sql()} AS rule FROM parsed),
 says AS (SELECT *, {_SAYS} AS ruled FROM tagged),
 hosts AS MATERIALIZED (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM says GROUP BY host),
-links AS (SELECT host AS src, {_LOWER.format("unnest(list_distinct(regexp_extract_all(html, '" + _LINK + "', 2)))")} AS dst FROM says),
+links AS (SELECT host AS src, {_LOWER.format("unnest(regexp_extract_all(html, '" + _LINK + "', 2))")} AS dst FROM says),
 edges AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND src <> '' GROUP BY src, dst),
 redges AS (SELECT dst AS src, src AS dst, n FROM edges),
 {_rank_sql("good_rank", "edges", "good")},
 {_rank_sql("bad_rank", "redges", "bad")}
 SELECT page_id, s.host, path, rule,
-  coalesce(ruled, CASE WHEN coalesce(b.score, 0) > coalesce(g.score, 0) + 1e-12 THEN 'block' ELSE 'allow' END) AS verdict,
-  round(coalesce(g.score, 0), 9) AS trust, round(coalesce(b.score, 0), 9) AS distrust
+  coalesce(ruled, CASE WHEN coalesce(b.score, 0) > coalesce(g.score, 0) + 1e-9 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(g.score, 0), 6) AS trust, round(coalesce(b.score, 0), 6) AS distrust
 FROM says s LEFT JOIN good_rank g USING (host) LEFT JOIN bad_rank b USING (host)
 """
 

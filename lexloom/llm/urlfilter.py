@@ -5,8 +5,10 @@ trusted hosts along the links, and distrust from blocked hosts against them. A h
 when rules allow, or block, more than half of its pages. A host whose distrust exceeds its trust
 is blocked; with equal scores, as for a host that no seed reaches, it is allowed.
 
-A host's share that flows over a link is in proportion to the number of links. What a host
-without links holds flows nowhere.
+Each kind of seed shares a mass of 1. A host's share that flows over a link is in proportion to
+the number of links. What a host without links holds flows nowhere. Steps go on until the scores
+of all hosts together change by less than TOLERANCE; each step shrinks that change by DAMPING, so
+their number is bounded.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, which is a host
 like any other but never links; null html has no links; repeated rows count each; a null
@@ -15,12 +17,14 @@ page_id stays null; extra columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import Scratch, ascii_lower
 
-DAMPING, STEPS = 0.85, 20
+DAMPING, TOLERANCE = 0.85, 1e-9
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -42,25 +46,29 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 def host_links(pages: DataFrame) -> DataFrame:
     """src, dst, n: absolute links between different hosts."""
-    links = pages.select(
-        host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col("html"), F.lit(LINK), 2))).alias("dst")
-    ).select("src", ascii_lower(F.col("dst")).alias("dst"))
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.col("html"), F.lit(LINK), 2)).alias("dst")).select("src", ascii_lower(F.col("dst")).alias("dst"))
     return links.filter("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def spread(scratch: Scratch, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Personalised PageRank of seeds (host, seed) over edges (src, dst, n) as (host, score)."""
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    share = scratch.save(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")))
-    total = seeds.agg(F.sum("seed")).first()[0] or 1.0
-    base = scratch.save(seeds.select("host", (F.col("seed") / F.lit(float(total))).alias("score")))
+    """Personalised PageRank of seeds (kind, host) over edges (kind, src, dst, n) as (kind, host,
+    score), each kind by itself."""
+    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
+    share = scratch.save(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.lit(DAMPING) * F.col("n") / F.col("total")).alias("w")))
+    total = F.broadcast(seeds.groupBy("kind").agg(F.count("*").alias("total")))  # one row a kind
+    base = scratch.save(seeds.join(total, "kind").select("kind", "host", ((1 - DAMPING) / F.col("total")).alias("score")))
     rank = base
-    for _ in range(STEPS):
-        flow = rank.join(share, rank["host"] == share["src"]).select(F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("score") * F.col("w")).alias("score"))
-        new = scratch.save(base.select("host", ((1 - DAMPING) * F.col("score")).alias("score")).union(flow).groupBy("host").agg(F.sum("score").alias("score")))
+    for _ in range(math.ceil(math.log(TOLERANCE / 4) / math.log(DAMPING)) + 1):
+        flow = rank.join(share, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w")).alias("score"))
+        new = base.select("kind", "host", "score", F.lit(0.0).alias("was")).unionAll(flow.withColumn("was", F.lit(0.0)))
+        new = new.unionAll(rank.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was")))
+        new = scratch.save(new.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")))
+        change = new.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
         if rank is not base:
             scratch.drop(rank)
-        rank = new
+        rank = new.select("kind", "host", "score")
+        if change < TOLERANCE:
+            break
     return rank
 
 
@@ -77,13 +85,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     )
     hosts = scratch.save(hosts)
     edges = scratch.save(host_links(pages))
-    seed = lambda c: hosts.filter(2 * F.col(c) > F.col("n")).select("host", F.lit(1.0).alias("seed"))
-    if edges.limit(1).count():
-        trust = spread(scratch, edges, seed("good"))
-        distrust = spread(scratch, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seed("bad"))
-    else:  # nothing flows: every score is the seed's own
-        trust, distrust = (seed(c).select("host", F.col("seed").alias("score")) for c in ("good", "bad"))
-    scored = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
+    seeds = hosts.select("host", F.explode(F.expr("filter(array('good', 'bad'), k -> 2 * if(k = 'good', good, bad) > n)")).alias("kind"))
+    against = edges.select(F.lit("bad").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    ranks = spread(scratch, edges.select(F.lit("good").alias("kind"), "src", "dst", "n").unionAll(against), seeds)
+    scores = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(name) for k, name in (("good", "trust"), ("bad", "distrust"))])
+    scored = hosts.select("host").join(scores, "host", "left")
     scored = scratch.save(scored.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
-    method = F.when(F.col("distrust") > F.col("trust") + 1e-12, "block").otherwise("allow")
+    method = F.when(F.col("distrust") > F.col("trust") + TOLERANCE, "block").otherwise("allow")
     return rows.join(scored, "host").select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")

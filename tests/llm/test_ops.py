@@ -81,7 +81,8 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
                 t[r.randrange(len(t))] = word()
             texts.append(r.choice([" ", "\n"]).join(t) if r.random() < 0.9 else " ".join(t).upper())
     texts += ["", None, "  ", "one", "One", "one two"]
-    monkeypatch.setattr(neardup, "BLOCK", 2)  # several blocks even in small buckets
+    monkeypatch.setattr(neardup, "SIGNATURES", 3)  # several blocks even in small buckets
+    monkeypatch.setattr(neardup, "TEXTS", 2)
     for percent in (80, 85):
         got = neardup.near_duplicates(docs(spark, *texts), percent).collect()
         want = brute_components(list(enumerate(texts)), percent)
@@ -89,6 +90,26 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
         assert all(g.kept == (g.doc_id == g.component_id) for g in got)
 
 
+def test_no_link_is_lost_just_above_the_threshold(spark):
+    """Pairs of texts whose only link lies at 0.80 to 0.82, and others just below, all by themselves."""
+    r = random.Random(8)
+    texts = []
+    for i in range(2000):
+        base = [f"w{i}x{j}" for j in range(r.randint(90, 104))]
+        edit = list(base)
+        for j in (20, r.randint(30, 80)):
+            edit[j] = "new" + edit[j]
+        texts += [" ".join(base), " ".join(edit)]
+    got = {g.doc_id: g.component_id for g in neardup.near_duplicates(docs(spark, *texts), 80).collect()}
+    near = 0
+    for i in range(0, len(texts), 2):
+        a, b = shingles(texts[i]), shingles(texts[i + 1])
+        linked = 100 * len(a & b) >= 80 * len(a | b)
+        near += linked
+        assert (got[i], got[i + 1]) == (i, i if linked else i + 1)
+    assert 1200 < near < 1700
+
+
 def test_near_duplicates_chain_of_edited_copies(spark):
     """The second pass joins components of several classes: the larger root must follow its members."""
     texts = []
@@ -178,6 +199,63 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.all(total < 1 + 1e-9) and np.all(total > 0.7)
 
 
+def slow_kneser_ney(words, alphabet):
+    """Interpolated Kneser-Ney with dictionaries: the probability of the last character of a string of four."""
+    from collections import Counter
+
+    pad = lambda w: "   " + w + " "
+    counts = {4: Counter(pad(w)[i : i + 4] for w in words for i in range(len(w) + 1))}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        n1, n2 = (sum(x == v for x in c.values()) for v in (1, 2))
+        discount[k] = min(0.9, max(0.1, (n1 + 0.5) / (n1 + 2 * n2 + 1)))
+
+    def p(g):
+        if not g:
+            return 1 / (alphabet + 1)
+        k, c = len(g), counts[len(g)]
+        own = {x: n for x, n in c.items() if x[:-1] == g[:-1]}
+        total = sum(own.values())
+        if not total:
+            return p(g[1:])
+        return max(c[g] - discount[k], 0) / total + discount[k] * len(own) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_against_brute_force(spark):
+    words = {"x": ("abba cab bad dab a " * 3 + "ada acda bb").split(), "y": ("ebbe feb bed " * 2 + "fed be").split()}
+    d = spark.createDataFrame([(i, " ".join(w), k, "s", 1) for i, (k, w) in enumerate(words.items())], DOCS)
+    m = langid.fit(d, F.lit(True))
+    letters = sorted({c for w in words.values() for x in w for c in x} | {" "})
+    for j, k in enumerate(m.langs):
+        p = slow_kneser_ney(words[k], len(letters))
+        for hist in ("   ", "  a", " ba", "bad", "abb", "zzz", "  b", "feb"):
+            got = m.chance(np.array([[ord(c) for c in hist + x] for x in letters], np.uint32))[:, j]
+            assert np.allclose(got, [p(hist + x) for x in letters])
+    text = "bad dab zebra ½ ² 12"
+    want = [-sum(math.log(slow_kneser_ney(words[k], len(letters))(("   " + w + " ")[i : i + 4])) for w in ("bad", "dab", "zebra") for i in range(len(w) + 1)) / 14 for k in m.langs]
+    g = langid.identify(docs(spark, text), m).first()
+    assert g.lang_pred == m.langs[int(np.argmin(want))] and math.isclose(g.cross_entropy, min(want))
+
+
+def test_numerals_are_no_letters(spark):
+    m = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"), F.lit(True))
+    got = langid.identify(docs(spark, "½ ² ⅷ ٣", "①②③", "½a", "日本"), m).orderBy("doc_id").collect()
+    assert [g.lang_pred == "und" for g in got] == [True, True, False, False] and got[0].score == 0
+
+
+def test_rejection_follows_held_out_texts():
+    r = np.random.default_rng(5)
+    n = 2.0 ** r.integers(5, 14, 5000)
+    e = 0.05 * r.standard_normal(5000) + r.standard_normal(5000) / np.sqrt(n)
+    kappa, limit = langid.tail(e, n, np.ones(5000, np.int64))
+    assert 0.03 < kappa < 0.08 and (e <= limit * (kappa + 1 / np.sqrt(n))).all()
+    assert limit * (kappa + 1 / np.sqrt(1000)) < 1  # a text that costs twice as much goes
+
+
 def test_language_keeps_every_gram(spark):
     r = random.Random(3)
     text = " ".join("".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(4)) for _ in range(6000))
@@ -219,6 +297,19 @@ def test_media_payload_round_trip(spark, odd, none):
             tag, rate, pcm = media.read_wav(g.pcm)
             assert (tag, rate) == (1, media.RATE_OUT)
     assert media.media_columns(none).count() == 0
+    texts = [f"text {i} " + "é" * i for i in range(60)] + [f"text {i} " + "é" * i for i in range(60)]
+    got = {g.doc_id: g for g in media.media_columns(docs(spark, *texts)).collect()}
+    assert {g.codec for g in got.values()} == set(media.CODECS)
+    for i, t in enumerate(texts):
+        g = got[i]
+        tag, rate, data = media.read_wav(g.media)
+        assert data == t.encode() + bytes(-len(t.encode()) % 64) and tag == media.TAGS[g.codec]
+        samples = slow_pcm(g.codec, data)
+        wide = [x for a, b in zip(samples, [*samples[1:], samples[-1]], strict=True) for x in (a, (a + b) >> 1)]
+        assert media.read_wav(g.pcm)[2] == np.array(wide, np.int16).tobytes() and (len(g.pcm), zlib.crc32(g.pcm)) == (g.pcm_bytes, g.pcm_crc32)
+        flips = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+        assert g.feature == f"{g.codec}@8000 {max(map(abs, samples))}:{sum(x * x for x in samples) // len(samples)}:{flips}"
+        assert (g.media, g.pcm) == (got[i % 60].media, got[i % 60].pcm)
     g = media.media_columns(docs(spark, "é" * 40)).first()
     assert g.n_bytes == 80 and g.payload_sha256 == hashlib.sha256(("é" * 40).encode() + bytes(48)).hexdigest()
 
@@ -231,14 +322,25 @@ def test_codec_tables():
     assert len(set(mu.tolist())) == 255 and len(set(a.tolist())) == 256
 
 
-def test_adpcm_against_one_block_at_a_time():
-    r = np.random.default_rng(1)
-    data = r.integers(0, 256, 64 * 5, np.uint8)
-    got = media.adpcm_decode(data)
-    for b in range(5):
-        block = data[64 * b : 64 * b + 64].tolist()
+def slow_pcm(codec, data):
+    """Samples one by one: the two laws by their formulas, ADPCM block by block."""
+    out = []
+    if codec != "ima_adpcm":
+        for byte in data:
+            if codec == "mulaw":
+                u = ~byte & 255
+                size = (((u & 15) * 2 + 33) << ((u >> 4) & 7)) * 4 - 132
+                out.append(-size if u & 128 else size)
+            else:
+                u = byte ^ 0x55
+                seg, low = (u >> 4) & 7, u & 15
+                size = (low * 2 + 1) * 8 if seg == 0 else ((low * 2 + 33) << (seg - 1)) * 8
+                out.append(size if u & 128 else -size)
+        return out
+    for b in range(len(data) // 64):
+        block = list(data[64 * b : 64 * b + 64])
         value, index = int.from_bytes(bytes(block[:2]), "little", signed=True), min(block[2], 88)
-        want = [value]
+        out.append(value)
         for byte in block[4:]:
             for code in (byte & 15, byte >> 4):
                 step = int(media.STEPS[index])
@@ -248,8 +350,13 @@ def test_adpcm_against_one_block_at_a_time():
                 move += step >> 2 if code & 1 else 0
                 value = max(-32768, min(32767, value - move if code & 8 else value + move))
                 index = max(0, min(88, index + int(media.MOVES[code & 7])))
-                want.append(value)
-        assert got[b].tolist() == want
+                out.append(value)
+    return out
+
+
+def test_adpcm_against_one_block_at_a_time():
+    data = np.random.default_rng(1).integers(0, 256, 64 * 5, np.uint8)
+    assert media.adpcm_decode(data).reshape(-1).tolist() == slow_pcm("ima_adpcm", data.tobytes())
 
 
 # 4
@@ -415,6 +522,48 @@ def test_rank_follows_links(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string"), queries.RULES).count() == 0
 
 
+def brute_rank(links, seeds, hosts):
+    """Personalised PageRank by 400 steps of a dense matrix."""
+    at = {h: i for i, h in enumerate(hosts)}
+    w = np.zeros((len(hosts), len(hosts)))
+    for a, b in links:
+        w[at[b], at[a]] += 1
+    w = w / np.maximum(w.sum(axis=0), 1)
+    base = np.zeros(len(hosts))
+    base[[at[h] for h in seeds]] = 1 / max(1, len(seeds))
+    x = base
+    for _ in range(400):
+        x = 0.15 * base + 0.85 * (w @ x)
+    return dict(zip(hosts, 0.15 * base if not links else x, strict=True))
+
+
+def test_rank_against_brute_force(spark):
+    r = random.Random(12)
+    hosts = [f"h{i}.io" for i in range(25)] + ["a.net", "b.net", "c.org", "d.org", "e.example.net"]
+    pages, links = [], []
+    for h in hosts:
+        path = {"org": "/fr/", "net": "/en/"}.get(h.split(".")[-1], "/")
+        out = [r.choice(hosts) for _ in range(r.randint(0, 6))]
+        links += [(h, o) for o in out if o != h]
+        pages.append((len(pages), f"https://{h}{path}", " ".join(f'<a href="http://{o}/x">' for o in out)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("trust", F.lit(9)).withColumn("n", F.lit(1)).withColumn("rule", F.lit(1))
+    got = {g.host: g for g in urlfilter.judge(df, queries.RULES).collect()}
+    trust = brute_rank(links, ["c.org", "d.org", "e.example.net"], hosts)
+    distrust = brute_rank([(b, a) for a, b in links], ["a.net", "b.net"], hosts)
+    for h in hosts:
+        assert math.isclose(got[h].trust, trust[h], abs_tol=1e-7) and math.isclose(got[h].distrust, distrust[h], abs_tol=1e-7)
+        if got[h].rule is None:
+            assert got[h].verdict == ("block" if distrust[h] > trust[h] + 1e-9 else "allow")
+    assert {g.verdict for g in got.values() if g.rule is None} == {"allow", "block"}
+
+
+def test_seeds_score_the_same_whether_or_not_others_link(spark):
+    pages = [(1, "http://a.org/fr/", ""), (2, "http://b.net/", "")]
+    more = [*pages, (3, "http://x.io/", "<a href='http://y.io/'>" * 3), (3, "http://x.io/", "<a href='http://y.io/'> " + "long " * 50_000)]
+    of = lambda rows: {g.host: (round(g.trust, 9), round(g.distrust, 9)) for g in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES).collect()}
+    assert of(pages) == {"a.org": (0.15, 0), "b.net": (0, 0.15)} and of(more).items() >= of(pages).items()
+
+
 # 2
 def brute_viterbi(chunk, v):
     score = {p: (s, i) for p, i, s in v.pieces}
@@ -511,6 +660,50 @@ def queries_dir(spark):
 def test_pipeline_odd_rows(spark, odd, none):
     import corpus_pipeline
 
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, SF).count() >= 0
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id if r.doc_id is not None else -1) for r in df.select("doc_id").collect())
+    # language ID: no letters or no language to learn goes, and so does what is like no training text
+    d = odd.unionByName(docs(spark, "a plain line of words for the model to learn " * 9, first=20), allowMissingColumns=True)
+    assert ids(stages["language_id"](spark, d, SF)) == [3, 20] or set(ids(stages["language_id"](spark, d, SF))) <= {-1, 3, 4, 20}
+    # all but language ID keep rows of any kind; texts without words are copies of nothing
+    assert ids(stages["near_dedup"](spark, odd, SF)) == [-1, 1, 2, 2, 3, 4, 5]
+    assert ids(stages["decontamination"](spark, odd, SF)) == [-1, 1, 2, 2, 3, 4, 5]
+    redacted = {r.doc_id: r.text for r in stages["personal_data"](spark, odd, SF).collect()}
+    assert len(redacted) == 6 and redacted[1] is None and redacted[2] == "" and redacted[3] == "word " * 30000
+    assert ids(stages["sentencepiece"](spark, odd, SF)) == [-1, 1, 2, 2, 3, 4, 5]
+    for stage in stages.values():
         assert stage(spark, none, SF).count() == 0
+
+
+def test_pipeline_decides_by_row(spark):
+    """Rows that share a doc_id, and rows without one, are judged one by one."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    a, b = ("one two three four five six seven eight nine ten " + x * 20 for x in ("red fox ", "blue cat "))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, "only here and nowhere else at all"), (7, ""), (7, ""), (8, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = stages["near_dedup"](spark, d, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(1, a), (5, b), (None, "only here and nowhere else at all"), (7, ""), (7, ""), (8, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, f"so. {item}"), (1, "clean"), (1, f"so. {item}"), (None, item), (None, "clean"), (2, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in stages["decontamination"](spark, d, SF).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, "clean"), (None, "clean"), (2, None)]))
+    d = spark.createDataFrame([(1, "ann@x.org", "en", "s", 9), (1, "none", "en", "s", 4), (None, "+1 (212) 555-0100", "en", "s", 17)], DOCS)
+    got = sorted((r.text, r.n_chars) for r in stages["personal_data"](spark, d, SF).collect())
+    assert got == [("<email>", 7), ("<phone>", 7), ("none", 4)]
+    got = sorted((r.n_pieces, r.round_trip) for r in stages["sentencepiece"](spark, d, SF).collect())
+    assert len(got) == 3 and all(ok for _, ok in got)
+
+
+def test_pipeline_run(spark):
+    """run() is its stages one after the other."""
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        d = stage(spark, d, SF)
+    assert rows_of(corpus_pipeline.run(spark, SF).select("doc_id", "n_pieces", "text_crc32")) == rows_of(d.select("doc_id", "n_pieces", "text_crc32"))
