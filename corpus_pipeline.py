@@ -1,7 +1,8 @@
 """The corpus pipeline over ``documents``: its stages in order, each over all that the one before kept.
 
-Every stage but the last returns the columns of ``documents``; null texts count as empty, and a
-row without a doc_id is kept unless its language is rejected.
+Every stage but the last returns the columns of ``documents`` and decides row by row: rows that
+share a doc_id, or have none, are judged by themselves. Null texts count as empty. Empty tables
+give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 or more) stays, the one with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs, percent=80).filter("kept and doc_id is not null").select("doc_id")
-    rest = docs.filter("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(rest).select(*COLUMNS)
+    """One row of each group of near copies (similarity 0.8 or more) stays, the one with the smallest
+    doc_id; a null doc_id comes last, and of rows that repeat one any single row. Texts without words are no copies."""
+    # the numbered rows are written, so that a row keeps its number whatever runs again
+    rows = Scratch(spark).save(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    groups = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(F.min(by_id).alias("x")).select("x.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose text holds a benchmark item go."""
+    return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
