@@ -2,12 +2,14 @@
 
 The rules give the base spans (email, ip, card, phone) and always stay. The tagger is trained in
 numpy from labelled spans that are written by rule from a fixed seed, and adds spans that the
-rules miss, such as telephone numbers without a plus or spelled-out addresses.
+rules miss: national telephone numbers, spelled-out or spaced addresses, other separators.
 
-Every kind holds a digit or an at sign, in characters or spelled out; the tagger reads
-overlapping windows around all such places of the whole text, however long. Overlaps are reconciled over the
-whole text: each character takes its tag from the window where it stands furthest from an edge.
-A tagged span is added if it has the form of its kind and touches no base span.
+The tagger reads windows of WIN characters that start at every HOP-th character of the whole text;
+each character takes its tag from the window where it stands furthest from an edge. A tagged span
+is added if it touches no base span, is at most LONGEST characters long, and keeps to what its kind
+allows (``plausible``): numbers of digits, signs, checksums. All that is allowed holds a digit, an
+at sign or a spelled-out one, so windows whose characters lie further than LONGEST from any such
+place cannot change the result; they are not decoded, and a test holds this against decoding all.
 
 Defined results: a null text counts as empty and has no spans; equal spans of different kinds
 are listed in the order of KINDS; a null doc_id stays null; repeated rows count each; extra
@@ -31,8 +33,9 @@ from lexloom.llm.common import bounded_batches, tidied
 
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-WIN, HOP, MARGIN = 64, 32, 24
-EMBED, HIDDEN = 10, 16
+WIN, HOP, LONGEST = 128, 64, 64
+TRAIN_WIN = 64
+EMBED, HIDDEN = 10, 24
 ALPHABET = 100
 
 # The base patterns. The lookbehinds only skip starts that can't match.
@@ -42,7 +45,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_TRIGGER = re.compile(r"[0-9@]+|[\[(]at[\])]")
+_TRIGGER = re.compile(r"[0-9@]+|[\[({]\s?at\s?[\])}]|\bdot\b", re.I)
+_AT = re.compile(r"\s?[\[({]\s?(?:at|@)\s?[\])}]\s?|\s?@\s?", re.I)
+_DOT = re.compile(r"\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s+dot\s+|\s\.\s", re.I)
+_SPELLED = re.compile(r"\s+at\s+", re.I)
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{2,}@[A-Za-z0-9-]{2,}(?:\.[A-Za-z0-9-]{2,})+")
+_FOUR = re.compile(r"([0-9]{1,3})(\.|-|_| |\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s+dot\s+|\s?\.\s?)([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})", re.I)
+_GROUPS = re.compile(r"[0-9]+(?:[ ./_-]{1,2}[0-9]+)+")
+_DIAL = re.compile(r"(?:\+|00?|\()[0-9]+\)?(?:[ ./-]{0,2}\(?[0-9]+\)?)+|(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}")
 
 
 def luhn(digits: str) -> bool:
@@ -179,7 +189,7 @@ class Tagger:
         np.add.at(g["E"], ids.T, dx)
         return float((logz - gold).mean()), g
 
-    def train(self, ids: np.ndarray, tags: np.ndarray, steps: int, batch: int = 64, rate: float = 0.02) -> float:
+    def train(self, ids: np.ndarray, tags: np.ndarray, steps: int, batch: int = 96, rate: float = 0.02) -> float:
         r = np.random.default_rng(5)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -196,82 +206,140 @@ class Tagger:
                 self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
         return loss
 
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """As ``emit``, for decoding: what a character brings to the gates is looked up."""
+        H = HIDDEN
+        half = np.r_[np.full(3 * H, 0.5, np.float32), np.ones(H, np.float32)]  # a sigmoid is a tanh of half its input
+        out = np.broadcast_to(self.p["ob"], (ids.shape[1], len(ids), TAGS)).astype(np.float32)
+        for d, order in (("f", range(ids.shape[1])), ("b", range(ids.shape[1] - 1, -1, -1))):
+            table, w = (self.p["E"] @ self.p[f"x{d}"] + self.p[f"c{d}"]) * half, self.p[f"h{d}"] * half
+            part = self.p["out"][:H] if d == "f" else self.p["out"][H:]
+            h = c = np.zeros((len(ids), H), np.float32)
+            for t in order:
+                a = h @ w
+                a += table[ids[:, t]]
+                np.tanh(a, out=a)
+                g = a[:, : 3 * H]
+                g *= 0.5
+                g += 0.5
+                c = g[:, H : 2 * H] * c + g[:, :H] * a[:, 3 * H :]
+                h = g[:, 2 * H :] * np.tanh(c)
+                out[t] += h @ part
+        return out
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Viterbi tags, (rows, steps)."""
-        e = self.emit(ids)
-        steps, rows, _ = e.shape
+        e = self.emissions(ids)
         trans = self.p["T"] + self.bar
-        best, back = e[0] + self.first, np.empty((steps, rows, TAGS), np.int8)
+        # a path that leaves "outside" gains at most this by its transitions; where no character makes up for it, all is outside
+        gain = 2 * max(0.0, float(trans.max() - trans[0, 0])) + 1e-3
+        open_ = np.flatnonzero(((e[:, :, 1:].max(axis=2) - e[:, :, 0]) > -gain).any(axis=0))
+        out = np.zeros(ids.shape, np.int64)
+        if len(open_):
+            out[open_] = self._viterbi(np.ascontiguousarray(e[:, open_].transpose(0, 2, 1)), trans)
+        return out
+
+    def _viterbi(self, e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+        """e: (steps, TAGS, rows)."""
+        steps, _, rows = e.shape
+        best, back = e[0] + self.first[:, None], np.zeros((steps, TAGS, rows), np.int8)
         for t in range(1, steps):
-            w = best[:, :, None] + trans
-            back[t] = w.argmax(1)
-            best = w.max(1) + e[t]
-        out = np.empty((rows, steps), np.int64)
-        out[:, -1] = best.argmax(1)
+            top = best[0] + trans[0][:, None]
+            for i in range(1, TAGS):
+                w = best[i] + trans[i][:, None]
+                back[t][w > top] = i
+                np.maximum(top, w, out=top)
+            best = top + e[t]
+        out, at = np.empty((rows, steps), np.int64), np.arange(rows)
+        out[:, -1] = best.argmax(0)
         for t in range(steps - 1, 0, -1):
-            out[:, t - 1] = back[t][np.arange(rows), out[:, t]]
+            out[:, t - 1] = back[t][out[:, t], at]
         return out
 
 
 def labelled(n: int, seed: int = 3) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
     """Texts with labelled spans, written by rule: all kinds among words, plain numbers, keys and versions."""
     r = random.Random(seed)
-    word = lambda: "".join(r.choice("etaoinshrdluéüñcmfwyp") for _ in range(r.randint(1, 9)))
+    part = lambda: r.choice("b c d f g h j k l m n p r s t v w st tr ch br pl".split()) + r.choice("a e i o u ou ea é ü".split()) + r.choice(["", "n", "r", "s", "t", "l", "ng"])
+    word = lambda: r.choice(["a", "the", "is", "to", "de", "und", "la", "of", "or", "and", "in", *("".join(part() for _ in range(r.randint(1, 3))) for _ in range(12))])
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    name = lambda: re.sub("[éüñ]", "e", word())
+    name = lambda: re.sub("[éü]", "e", "".join(part() for _ in range(r.randint(1, 3))))
 
     def card() -> str:
-        body = r.choice(["4", "5", "37"]) + num(13)
-        body = body[:15]
+        body = (r.choice(["4", "5", "37", "6011"]) + num(15))[:15]
         body += next(c for c in "0123456789" if luhn(body + c))
-        return r.choice([body, " ".join(body[i : i + 4] for i in range(0, 16, 4)), "-".join(body[i : i + 4] for i in range(0, 16, 4))])
-
-    make = [
-        lambda: name() + r.choice(["", "." + name(), num(2), "_" + name()]) + r.choice(["@", "@", "@", " [at] ", " (at) "]) + name() + r.choice([".com", ".org", ".example.net", "1.example.com", ".de"]),
-        lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
-        card,
-        lambda: r.choice([f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(11)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{r.randint(1, 99)} {num(3)} {num(3)} {num(4)}"]),
-    ]
+        return r.choice(["", " ", "-", ".", "/", "  "]).join(body[i : i + 4] for i in range(0, 16, 4))
+
+    def email() -> str:
+        local = name() + r.choice(["", ".", ".", "_", "-"]) + r.choice(["", name(), name(), num(2)])
+        host = name() + r.choice(["", name(), "-" + name(), num(1)])
+        end = r.choice(["com", "org", "net", "de", "edu", "co.uk"])
+        at, dot = r.choice([("@", ".")] * 5 + [(" @ ", "."), (" @ ", " . "), (" [at] ", "."), ("[at]", "."), (" (at) ", "."), ("(at)", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" AT ", " DOT "), (" {at} ", " {dot} ")])
+        spelled = local.replace(".", dot) if dot.strip().lower() == "dot" else local
+        return spelled.rstrip("._-") + at + (host + "." + end).replace(".", dot)
+
+    def ip() -> str:
+        sep = r.choice([".", ".", ".", "-", " . ", "[.]", "(.)", " dot ", "[dot]", "_"])
+        return sep.join(str(r.choice([10, 127, 192, 168, 172, r.randint(0, 255), r.randint(0, 255), r.randint(0, 9)])) for _ in range(4))
+
+    def phone() -> str:
+        cc, area, trunk = r.choice(["1", "44", "49", "33", "34", "39", "7", "91", "351"]), num(r.randint(2, 4)), "0" + str(r.randint(1, 9)) + num(r.randint(1, 3))
+        body = r.choice([num(r.randint(6, 8)), f"{num(3)} {num(4)}", f"{num(4)} {num(4)}", f"{num(2)} {num(2)} {num(3)}", f"{num(3)}-{num(4)}", f"{num(2)}.{num(2)}.{num(2)}.{num(2)}"])
+        return r.choice([
+            f"+{cc} ({num(3)}) {num(3)}-{num(4)}", f"+{num(11)}", f"+{cc} {num(3)} {num(3)} {num(4)}", f"00{cc} {area} {body}", f"00{cc}-{area}-{num(7)}",
+            f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}",
+            f"{trunk} {body}", f"{trunk}-{body}", f"{trunk}/{body}", f"({trunk}) {body}", f"{trunk} / {body}", " ".join(["0" + num(1), *(num(2) for _ in range(4))]), f"0{num(4)} {num(6)}",
+        ])
+
+    make = [email, ip, card, phone]
     other = [
-        lambda: num(r.randint(1, 6)),
-        lambda: f"{num(1)}.{num(1)}",
+        lambda: num(r.randint(1, 10)),
+        lambda: f"{num(1)}.{num(r.randint(1, 4))}",
         lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([18, 32, 40]))),
         lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)),
-        lambda: f"{num(4)}-{num(2)}-{num(2)}",
+        lambda: r.choice([f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(4)}-{num(4)}"]),
         lambda: f"version {num(1)}.{num(2)}.{num(1)}",
         lambda: f"${num(2)},{num(3)}.{num(2)}",
         lambda: f"@{name()}",
-        lambda: f"{num(2)}:{num(2)}",
-    ]
+        lambda: r.choice([f"{num(2)}:{num(2)}", f"{num(2)}:{num(2)}:{num(2)}"]),
+        lambda: " ".join(num(r.choice([1, 2, 4])) for _ in range(r.randint(2, 5))),
+        lambda: r.choice([f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{num(r.randint(12, 24))}", f"-{num(2)}.{num(6)}", f"{num(1)},{num(3)},{num(3)}", f"{num(2)}-{num(2)}", f"#{num(5)}", f"{num(3)}%"]),
+        lambda: r.choice(["at", "dot", f"at {name()}", f"at {name()}.com", f"the dot {name()}", f"at {num(2)}", f"{name()} dot"]),
+        lambda: "https://" + name() + ".com/" + name() + "/" + num(4),
+    ]
     texts, spans = [], []
     for _ in range(n):
         text, own = "", []
-        while len(text) < WIN:
+        while len(text) < TRAIN_WIN:
             x = r.random()
             if x < 0.16:
-                k = r.randrange(len(KINDS))
+                k = r.choice([0, 0, 1, 2, 3, 3])
                 piece = make[k]()
+                text += r.choice(["", "", "", "", "(", "tel: ", "mail: ", "<", '"', "at ", "call "])
                 own.append((len(text), len(text) + len(piece), k))
+                piece += r.choice(["", "", "", ",", ".", ")", ";", "?", '"'])
             else:
-                piece = r.choice(other)() if x < 0.3 else word() + r.choice(["", "", "", ".", ","])
-            text += piece + r.choice([" ", " ", " ", "\n", ". "])
+                piece = r.choice(other)() if x < 0.34 else word() + r.choice(["", "", "", "", ".", ",", ":"])
+                piece = piece[:1].upper() + piece[1:] if r.random() < 0.15 else piece
+            text += piece + r.choice([" ", " ", " ", " ", "\n"])
         texts.append(text)
         spans.append(own)
     return texts, spans
 
 
 @functools.lru_cache(maxsize=1)
-def trained(steps: int = 220) -> Tagger:
+def trained(steps: int = 1200) -> Tagger:
     r = random.Random(17)
-    texts, spans = labelled(3000)
-    ids, tags = np.zeros((len(texts), WIN), np.int64), np.zeros((len(texts), WIN), np.int64)
+    texts, spans = labelled(12000)
+    ids, tags = np.zeros((len(texts), TRAIN_WIN), np.int64), np.zeros((len(texts), TRAIN_WIN), np.int64)
     for i, (t, own) in enumerate(zip(texts, spans, strict=True)):
-        at = r.randint(0, max(0, len(t) - WIN))
+        at = r.randint(0, max(0, len(t) - TRAIN_WIN))
         whole = np.zeros(len(t), np.int64)
         for s, e, k in own:
             whole[s:e] = 2 + 2 * k
             whole[s] = 1 + 2 * k
-        row, tag = char_ids(t)[at : at + WIN], whole[at : at + WIN]
+        end = at + (TRAIN_WIN if r.random() < 0.6 else r.randint(8, TRAIN_WIN))  # some texts end here, and padding follows
+        row, tag = char_ids(t)[at:end], whole[at:end]
         if tag[0] and tag[0] % 2 == 0:  # cut in the middle of a span: it begins here
             tag[0] -= 1
         ids[i, : len(row)], tags[i, : len(row)] = row, tag
@@ -280,78 +348,77 @@ def trained(steps: int = 220) -> Tagger:
     return tagger
 
 
+def _zone(i: int) -> int:
+    """The window in which character i stands furthest from an edge."""
+    return max(0, (i - (WIN - HOP) // 2) // HOP)
+
+
 def places(text: str) -> list[int]:
-    """Starts of the windows of WIN characters that cover all places of interest with a margin."""
+    """The windows, by number, that decide on characters within LONGEST + 1 of a place of interest."""
     out: list[int] = []
-    reach = -1
+    last = _zone(len(text) - 1)
     for m in _TRIGGER.finditer(text):
-        at, end = max(0, m.start() - MARGIN), m.end() + MARGIN
-        if out and at < reach:
-            at = out[-1] + HOP
-        while reach < end or not out:
-            out.append(at)
-            reach = at + WIN
-            at += HOP
+        lo, hi = _zone(m.start() - LONGEST - 1), min(last, _zone(m.end() + LONGEST))
+        out.extend(range(max(lo, out[-1] + 1) if out else lo, hi + 1))
     return out
 
 
-def _form(kind: int, s: str) -> bool:
+def plausible(kind: int, s: str) -> bool:
+    """Whether a tagged span keeps to what its kind allows; each of them holds a match of _TRIGGER."""
+    if len(s) > LONGEST:
+        return False
     digits = "".join(_DIGITS.findall(s))
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]{2,}(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]{2,}(?:\.[A-Za-z0-9-]+)+", s))
+        plain = _DOT.sub(".", _AT.sub("@", s))
+        if "@" not in plain and _DOT.search(s):  # a bare "at" only counts beside a spelled-out dot
+            plain = _SPELLED.sub("@", plain)
+        return bool(_ADDRESS.fullmatch(plain))
     if kind == 1:
-        return bool(re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", s)) and all(int(x) <= 255 for x in s.split("."))
+        m = _FOUR.fullmatch(s)
+        return bool(m) and len(digits) >= 5 and all(int(m[i]) <= 255 for i in (1, 3, 4, 5))
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9 -]+", s)) and 12 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"(?:\+?[0-9]{1,3} ?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", s))
-
-
-def reconciled(text: str, starts: list[int], tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """Spans of the windows' tags over the whole text."""
-    best: dict[int, tuple[int, int]] = {}
-    for at, row in zip(starts, tags, strict=True):
-        for i in np.flatnonzero(row):
-            best[at + int(i)] = (-1, 0)
-    for at, row in zip(starts, tags, strict=True):
-        for i in range(min(WIN, len(text) - at)):
-            if at + i in best:
-                depth = min(i if at else WIN, WIN - 1 - i if at + WIN < len(text) else WIN)
-                if depth > best[at + i][0]:
-                    best[at + i] = (depth, int(row[i]))
+        return 12 <= len(digits) <= 19 and luhn(digits) and bool(_GROUPS.fullmatch(s) or s == digits)
+    return 9 <= len(digits) <= 15 and s != digits and bool(_DIAL.fullmatch(s))
+
+
+def reconciled(text: str, windows: list[int], tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """Spans over the whole text from the windows' tags; what no window decides on is outside."""
     out: list[tuple[int, int, int]] = []
-    for i in sorted(best):
-        tag = best[i][1]
-        if not tag:
+    for k, row in zip(windows, tags, strict=True):
+        if not row.any():
             continue
-        kind = (tag - 1) // 2
-        if tag % 2 == 0 and out and out[-1][1] == i and out[-1][2] == kind:
-            out[-1] = (out[-1][0], i + 1, kind)
-        else:
-            out.append((i, i + 1, kind))
+        lo, hi = (k * HOP + (WIN - HOP) // 2 if k else 0), min(len(text), k * HOP + (WIN + HOP) // 2)
+        own = row[lo - k * HOP : hi - k * HOP]
+        for i in np.flatnonzero(own).tolist():
+            tag, at = int(own[i]), lo + i
+            kind = (tag - 1) // 2
+            if tag % 2 == 0 and out and out[-1][1] == at and out[-1][2] == kind:
+                out[-1] = (out[-1][0], at + 1, kind)
+            else:
+                out.append((at, at + 1, kind))
     return out
 
 
-def find(texts: list[str | None], tagger: Tagger) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """Base spans and added spans of each text."""
+def find(texts: list[str | None], tagger: Tagger, everywhere: bool = False) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Base spans and added spans of each text; ``everywhere`` decodes all windows, to the same end."""
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
-    starts = [places(t) for t in texts]
-    rows = [(i, s) for i, own in enumerate(starts) for s in own]
-    tags = np.zeros((len(rows), WIN), np.int64)
-    for at in range(0, len(rows), 2048):
-        ids = np.zeros((min(2048, len(rows) - at), WIN), np.int64)
-        for k, (i, s) in enumerate(rows[at : at + 2048]):
-            x = char_ids(texts[i][s : s + WIN])
-            ids[k, : len(x)] = x
+    windows = [(list(range(_zone(len(t) - 1) + 1)) if t and everywhere else places(t)) for t in texts]
+    rows = [(i, k) for i, own in enumerate(windows) for k in own]
+    tags = np.zeros((len(rows), WIN), np.int8)
+    for at in range(0, len(rows), 512):
+        ids = np.zeros((min(512, len(rows) - at), WIN), np.int64)
+        for j, (i, k) in enumerate(rows[at : at + 512]):
+            x = char_ids(texts[i][k * HOP : k * HOP + WIN])
+            ids[j, : len(x)] = x
         tags[at : at + len(ids)] = tagger.decode(ids)
     out, at = [], 0
-    for t, own, ss in zip(texts, base, starts, strict=True):
-        more = []
-        if ss:
-            for s, e, k in reconciled(t, ss, tags[at : at + len(ss)]):
-                if _form(k, t[s:e]) and not any(s < y and x < e for x, y, _ in own):
-                    more.append((s, e, k))
-            at += len(ss)
+    for t, own, ks in zip(texts, base, windows, strict=True):
+        more = [x for x in reconciled(t, ks, tags[at : at + len(ks)]) if plausible(x[2], t[x[0] : x[1]])]
+        at += len(ks)
+        if more and own:
+            starts = sorted(own)
+            more = [(s, e, k) for s, e, k in more if not any(s < y and x < e for x, y, _ in starts)]
         out.append((own, more))
     return out
 
