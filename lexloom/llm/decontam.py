@@ -14,8 +14,9 @@ show none. A window of fewer than LITERALS words that are no placeholders must a
 values too. An item shorter than a window is one window; one of fewer than LITERALS tokens is
 found only where it is the whole document.
 
-A window carries the hashes of its slot values, never the text, and long texts are cut into runs
-of CHUNK windows, so time and memory follow the length of the text.
+Texts are cut into runs of CHUNK windows. The hashes of all windows of a run come from those of half
+the size, pair by pair, so in three passes over its tokens; a run's slot values, as hashes, go along
+only if it has any. So time and memory follow the length of the text.
 
 Defined results: null texts and items count as empty and match nothing; repeated items or
 documents match once each by id, and rows that share a doc_id are searched one by one; ties need
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 6
-CHUNK = 4096
+CHUNK = 256
 #: Up to so many benchmark windows are broadcast: some 250 bytes each, so 50 MB. Beyond it the join shuffles.
 BROADCAST_WINDOWS = 200_000
 BROADCAST_TEXTS = 1_000_000
@@ -43,7 +44,7 @@ UNITS = (
 # (pattern, replacement by group): own marks out first, then names, numbers, units. Repetitions are
 # possessive (++, *+): others recurse in Java, once a repetition.
 OWN = (f"[{NUM}-{STOP}]", " ")
-NAMES = (r"([\p{Ll},;:] )(\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+)", f"@1{NAME}@2{STOP}")
+NAMES = (r" (?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+)", f" {NAME}@1{STOP}")
 REST = (
     (r"([0-9]++(?:[.,][0-9]++)*+)", f" {NUM}@1{STOP}"),
     (rf"({STOP} ?)((?i:{UNITS})|%|€|\$|£)([^\p{{L}}]|$)", f"@1 {UNIT}@2{STOP}@3"),
@@ -60,7 +61,8 @@ def annotated(text: Column, names: bool = True) -> Column:
 
 
 def _slot(token: Column) -> Column:
-    return token.substr(1, 1).isin(NUM, NAME, UNIT)
+    """Whether a token begins with a placeholder's mark; the marks are neighbours."""
+    return (token >= NUM) & (token < STOP)
 
 
 def coded(rows: DataFrame) -> DataFrame:
@@ -73,51 +75,85 @@ def coded(rows: DataFrame) -> DataFrame:
     return rows.select(*rest, t.alias("t"), v.alias("v"))
 
 
-def _window(t: Column, v: Column, at: Column, size: int | Column) -> tuple[Column, Column]:
-    """The key of a window and its slot values; with few literal words the values are part of the key."""
-    own, values = F.slice(t, at, size), F.slice(v, at, size)
-    slots = F.size(F.array_remove(values, F.lit(0).cast("long")))
-    return F.when(slots <= F.lit(size) - LITERALS, F.xxhash64(own)).otherwise(F.xxhash64(own, values)), values
+def _pairwise(a: str, b: str, shift: int) -> Column:
+    """Hashes of a's windows with b's that stand shift tokens behind."""
+    m = F.greatest(F.size(b) - shift, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), m), F.slice(b, F.lit(shift + 1), m), lambda x, y: F.xxhash64(x, y))
+
+
+def _with_values(size: int):
+    """A window's key from its template's hash and its position."""
+
+    def key(h: Column, i: Column) -> Column:
+        values = F.slice("v", i + 1, size)
+        slots = F.size(F.array_remove(values, F.lit(0).cast("long")))
+        return F.when(slots <= size - LITERALS, h).otherwise(F.xxhash64(h, values))
+
+    return key
+
+
+def window_keys(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Adds k<size>, the keys of all windows of each size (at most WINDOW) of the token hashes t and
+    slot values v. With few literal words the values are part of the key. Each array is a column of
+    its own before it is used twice, so nothing is computed again for each window."""
+    rows = rows.withColumn("h1", F.col("t"))
+    for k in (1, 2, 4):
+        rows = rows.withColumn(f"h{2 * k}", _pairwise(f"h{k}", f"h{k}", k))
+    for size in sizes:
+        done, at = None, 0
+        for k in (8, 4, 2, 1):
+            if size & k:
+                rows = rows.withColumn(f"k{size}", F.col(f"h{k}") if done is None else _pairwise(f"k{size}", f"h{k}", at))
+                done, at = k, at + k
+        slots = F.size(F.array_remove("v", F.lit(0).cast("long"))) > 0
+        rows = rows.withColumn(f"k{size}", F.when(slots | F.lit(size < LITERALS), F.transform(f"k{size}", _with_values(size))).otherwise(F.col(f"k{size}")))
+    return rows.drop("h1", "h2", "h4", "h8")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, named (whether names are placeholders), at, len, h, own (slot values), n (windows of the item)."""
+    """item_id, form (a number of the item's text, read with or without names), at, len, h, own (slot values), n (windows)."""
     rows = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     cut = None
     for named in (True, False):
-        part = coded(rows.select("item_id", F.lit(named).alias("named"), annotated(F.col("text"), named).alias("marked")))
+        part = coded(rows.select("item_id", annotated(F.col("text"), named).alias("marked")))
         cut = part if cut is None else cut.unionByName(part)
-    cut = cut.groupBy("item_id", "t", "v").agg(F.max("named").alias("named")).filter(F.size("t") > 0)
-    cut = cut.withColumn("len", F.least(F.size("t"), F.lit(WINDOW)))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("len") + 1)).alias("at"))
-    h, own = _window(F.col("t"), F.col("v"), F.col("at"), F.col("len"))
-    # texts that repeat an item_id are items of their own
-    return cut.select("item_id", F.xxhash64("t", "v", "named").alias("form"), "named", "at", "len", h.alias("h"), own.alias("own"), (F.size("t") - F.col("len") + 1).alias("n"))
+    cut = window_keys(cut.distinct().filter(F.size("t") > 0), list(range(1, WINDOW + 1)))
+    size = F.least(F.size("t"), F.lit(WINDOW))
+    keys = F.coalesce(*[F.when(size == k, F.col(f"k{k}")) for k in range(1, WINDOW + 1)])
+    cut = cut.select("item_id", F.xxhash64("t", "v").alias("form"), "v", size.alias("len"), F.size("t").alias("tokens"), F.posexplode(keys).alias("i", "h"))
+    own = F.slice("v", F.col("i") + 1, F.col("len"))
+    return cut.select("item_id", "form", (F.col("i") + 1).alias("at"), "len", "h", own.alias("own"), (F.col("tokens") - F.col("len") + 1).alias("n"))
 
 
 def doc_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, text_key, p (from 0), len, h, seen (slot values) of all windows of the given sizes."""
+    """doc_id, text_key, h of all windows of the given sizes, with c, size, slots and pos to place them (see ``placed``)."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), annotated(F.col("text")).alias("marked"))
-    rows = coded(rows).withColumn("n", F.greatest(F.size("t"), F.size("v")))
+    rows = coded(rows)
     part = lambda c: F.struct(c.alias("c"), F.slice("t", c, CHUNK + WINDOW - 1).alias("t"), F.slice("v", c, CHUNK + WINDOW - 1).alias("v"))
-    # both arrays are named outside the lambdas too, so that they are computed once a row
-    starts = F.when(F.least(F.size("t"), F.size("v")) > 0, F.sequence(F.lit(1), F.col("n"), F.lit(CHUNK)))
-    rows = rows.select("doc_id", "text_key", "n", F.explode(F.transform(starts, part)).alias("x"))
-    rows = rows.select("doc_id", "text_key", "n", F.col("x.c").alias("c"), F.concat(F.col("x.t"), F.array().cast("array<bigint>")).alias("t"), F.concat(F.col("x.v"), F.array().cast("array<bigint>")).alias("v"))
-
-    def of(size: int) -> Column:
-        last = F.least(F.least(F.size("t"), F.size("v")) - size + 1, F.lit(CHUNK))
-        fits = (last >= 1) if size >= LITERALS else (F.col("n") == size)
-        at = F.when(fits, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-
-        def row(i: Column) -> Column:
-            h, seen = _window(F.col("t"), F.col("v"), i, size)
-            return F.struct((F.col("c") + i - 2).alias("p"), F.lit(size).alias("len"), h.alias("h"), seen.alias("seen"))
-
-        return F.transform(at, row)
-
-    rows = rows.select("doc_id", "text_key", F.explode(F.concat(*[of(s) for s in sizes])).alias("x"))
-    return rows.select("doc_id", "text_key", "x.*")
+    # both arrays are named outside the lambda too, so that they are computed once a row
+    starts = F.when(F.least(F.size("t"), F.size("v")) > 0, F.sequence(F.lit(1), F.size("t"), F.lit(CHUNK)))
+    rows = rows.select("doc_id", "text_key", F.size("t").alias("tokens"), F.explode(F.transform(starts, part)).alias("x"))
+    rows = window_keys(rows.select("doc_id", "text_key", "tokens", "x.*"), sizes)
+    # an item of fewer than LITERALS tokens must be the whole document
+    keys = [F.col(f"k{s}") if s >= LITERALS else F.when(F.col("tokens") == s, F.col(f"k{s}")).otherwise(F.array().cast("array<bigint>")) for s in sizes]
+    slots = F.when(F.size(F.array_remove("v", F.lit(0).cast("long"))) > 0, F.col("v"))
+    rows = rows.select("doc_id", "text_key", "tokens", "c", F.size("t").alias("size"), slots.alias("slots"), F.concat(*keys).alias("keys"))
+    # outer: a plain explode would have the planner test the arrays by computing them once more; the join drops null keys
+    return rows.select("doc_id", "text_key", "tokens", "c", "size", "slots", F.posexplode_outer("keys").alias("pos", "h"))
+
+
+def placed(met: DataFrame, sizes: list[int]) -> DataFrame:
+    """Adds p, the position of a matched window in its document (from 0), and seen, its slot values."""
+    before = F.lit(0)
+    for i, s in enumerate(sizes):
+        ahead = F.lit(0)
+        for x in sizes[:i]:
+            own = F.greatest(F.col("size") - x + 1, F.lit(0))
+            ahead = ahead + (own if x >= LITERALS else F.when(F.col("tokens") == x, own).otherwise(0))
+        before = F.when(F.col("len") == s, ahead).otherwise(before)
+    met = met.withColumn("i", F.col("pos") - before)
+    # no slots in the document's window means none in the item's
+    return met.withColumn("p", F.col("c") - 1 + F.col("i")).withColumn("seen", F.coalesce(F.slice("slots", F.col("i") + 1, F.col("len")), "own"))
 
 
 def _longest_run(ats: Column) -> Column:
@@ -155,7 +191,8 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not total:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, n long, matched long, longest long, changed long")
     items = F.broadcast(items) if total <= BROADCAST_WINDOWS else items
-    met = doc_windows(docs, sorted(lengths)).join(items, ["h", "len"])
+    sizes = sorted(lengths)
+    met = placed(doc_windows(docs, sizes).join(items, "h"), sizes)
     pairs = F.filter(F.arrays_zip("own", "seen"), lambda z: z["own"] != 0)
     key = ["doc_id", "text_key", "item_id", "form", "n"]
     lines = met.groupBy(*key, (F.col("p") + 1 - F.col("at")).alias("diagonal")).agg(

@@ -98,7 +98,9 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def _marked_sql(text: str, names: bool = True) -> str:
     out = f"coalesce({text}, '')"
     for pattern, by in (decontam.OWN, *[decontam.NAMES] * names, *decontam.REST):
-        # possessive repetitions only spare Java the stack; here the plain ones are the same
+        # possessive repetitions only spare Java the stack; here the plain ones are the same. A look back is a group
+        if pattern.startswith(" (?<="):
+            pattern, by = pattern.replace(" (?<=", "("), "@1" + by.replace("@1", "@2").lstrip()
         out = f"regexp_replace({out}, '{pattern.replace('++', '+').replace('*+', '*')}', '{by.replace('@', chr(92))}', 'g')"
     return f"lower({out})"
 
@@ -171,7 +173,7 @@ def _rank_sql(name: str, edges: str, seed: str) -> str:
     return ",\n".join([*out, f"{name} AS (SELECT * FROM {name}_{_STEPS})"])
 
 
-_STEPS = 60
+_STEPS = 100
 
 
 def _rule_sql() -> str:
