@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.trees import Tree, parse
+from lexloom.sources.resources import bounded
 
 Pragma = tuple[str, str | None]
 ROWS = T.ArrayType(T.StructType([T.StructField("node", T.IntegerType()), T.StructField("fun", T.StringType()), T.StructField("head", T.IntegerType()), T.StructField("label", T.StringType())]))
@@ -53,8 +54,8 @@ def convert(tree: Tree, pragmas: dict[str, list[Pragma]]) -> list[tuple[int, str
 
 def to_dependencies(expr: Column, pragmas: DataFrame) -> Column:
     """An array of (node, fun, head, label); null for what can't be read. The pragma table is the
-    grammar's own, a row a function."""
-    table = {r["fun"]: [(p["kind"], p["label"]) for p in r["pragmas"]] for r in pragmas.select("fun", "pragmas").limit(100_000).collect()}
+    grammar's own, a row a function; one of more than a million rows is an error."""
+    table = {r["fun"]: [(p["kind"], p["label"]) for p in r["pragmas"]] for r in bounded(pragmas.select("fun", "pragmas"), 1_000_000)}
 
     @F.pandas_udf(ROWS)
     def run(e: pd.Series) -> pd.Series:

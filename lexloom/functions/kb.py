@@ -123,7 +123,10 @@ def round_half_even(x: Column, n: int) -> Column:
 
 def int_digits(n: Column) -> Column:
     """Digit tree of a whole number: (IIDig D_1 (IIDig D_2 (IDig D_3))), a minus in front for negatives."""
-    text = F.abs(n).cast("string")
+    return _digit_tree(F.regexp_replace(n.cast("string"), "^-", ""))
+
+
+def _digit_tree(text: Column) -> Column:
     digits = F.split(text, "")
     digits = F.filter(digits, lambda d: d != "")
     last = F.concat(F.lit("(IDig D_"), F.element_at(digits, -1), F.lit(")"))
@@ -136,13 +139,20 @@ def int_decimal(n: Column) -> Column:
 
 
 def float_decimal(x: Column) -> Column:
-    """Decimal tree: the whole part, then a fraction step for each digit behind the point; negative
-    zero is negative."""
-    text = F.regexp_replace(F.abs(x).cast("decimal(30,10)").cast("string"), r"(\.\d*?)0+$", "$1")
-    whole = F.regexp_extract(text, r"^(\d+)", 1).cast("long")
-    frac = F.filter(F.split(F.regexp_extract(text, r"\.(\d+)$", 1), ""), lambda d: d != "")
-    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "(NegDecimal ").otherwise("(PosDecimal ")
-    return F.aggregate(frac, F.concat(sign, int_digits(whole), F.lit(")")), lambda acc, d: F.concat(F.lit("(IFrac "), acc, F.lit(" D_"), d, F.lit(")")))
+    """Decimal tree of the shortest digits that give the number back: the whole part, then a fraction
+    step for each digit behind the point; negative zero is negative, what is no number is null."""
+    text = F.regexp_replace(x.cast("double").cast("string"), "^-", "")
+    exp = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    whole, frac = F.regexp_extract(text, r"^(\d+)", 1), F.regexp_extract(text, r"\.(\d+)", 1)
+    # the point moves over by the exponent: zeros are filled in on both sides
+    left = F.concat(F.repeat(F.lit("0"), F.greatest(-exp, F.lit(0))), whole, frac, F.repeat(F.lit("0"), F.greatest(exp, F.lit(0))))
+    point = F.length(whole) + F.greatest(exp, F.lit(0))
+    digits = F.regexp_replace(F.substr(left, F.lit(1), point), "^0+(?=.)", "")
+    behind = F.regexp_replace(F.substr(left, point + 1), "0+$", "")
+    sign = F.when(x.cast("string").startswith("-"), "(NegDecimal ").otherwise("(PosDecimal ")
+    start = F.concat(sign, _digit_tree(digits), F.lit(")"))
+    tree = F.aggregate(F.filter(F.split(behind, ""), lambda d: d != ""), start, lambda acc, d: F.concat(F.lit("(IFrac "), acc, F.lit(" D_"), d, F.lit(")")))
+    return F.when(whole != "", tree)
 
 
 def render(x: Column) -> Column:

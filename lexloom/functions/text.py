@@ -58,11 +58,12 @@ def quoted(x: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
-def segment(rows: DataFrame, lexicon: DataFrame, longest: int = 6) -> DataFrame:
-    """Greedy longest match from the left: rows(id, words) against lexicon(form) of up to ``longest``
-    words; (id, at, size, form), unknown words alone with a null form.
+def segment(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Greedy longest match from the left: rows(id, words) against lexicon(form), words of a form parted
+    by single blanks; (id, at, size, form), unknown words alone with a null form.
 
     Candidate spans meet the lexicon in a join; the cover is a fold over each text's spans."""
+    longest = lexicon.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 1
     n = F.size("words")
     cut = rows.select("id", "words", F.explode(F.sequence(F.lit(1), n)).alias("at")).select("id", "words", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("at") + 1))).alias("size"))
     spans = cut.select("id", "at", "size", F.array_join(F.slice("words", F.col("at"), F.col("size")), " ").alias("form"))

@@ -127,6 +127,12 @@ def cut_tree(block: str) -> str | None:
     return re.sub(r"\s+", " ", "".join(out)).strip() if depth == 0 and not quoted else None
 
 
+@F.pandas_udf(T.StringType())
+def cut(block: pd.Series) -> pd.Series:
+    """``cut_tree`` of a column of blocks."""
+    return block.map(lambda b: cut_tree(b) if isinstance(b, str) else None)
+
+
 def definition_of(source: str, fun: str) -> str | None:
     """The right side of ``lin fun = ... ;`` up to the semicolon outside brackets and strings. As the
     line must follow a line feed, the first line of a file never matches."""

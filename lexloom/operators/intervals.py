@@ -26,6 +26,18 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("id", F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi"))
 
 
+def intersection_of_all(ranges: DataFrame) -> DataFrame:
+    """(grp, lo, hi): what all normalised sets (grp, id, lo, hi) of a group share: the stretches between
+    borders that as many sets cover as the group has."""
+    n = ranges.groupBy("grp").agg(F.count_distinct("id").alias("n"))
+    steps = ranges.select("grp", F.col("lo").alias("at"), F.lit(1).alias("step")).unionByName(ranges.select("grp", (F.col("hi") + 1).alias("at"), F.lit(-1).alias("step")))
+    steps = steps.groupBy("grp", "at").agg(F.sum("step").alias("step"))
+    w = Window.partitionBy("grp").orderBy("at")
+    runs = steps.select("grp", "at", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"), F.lead("at").over(w).alias("next"))
+    hit = runs.join(n, "grp").filter("depth = n").select(F.col("grp").alias("id"), F.col("at").alias("lo"), (F.col("next") - 1).alias("hi"))
+    return normalise(hit).withColumnRenamed("id", "grp")
+
+
 def size(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("size"))
 
@@ -58,12 +70,18 @@ def labels(edges: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:
 
 
 def tree_paths(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, path): keys from the root down, for a forest (child, parent), by pointer doubling."""
+    """(id, path): keys from the root down, for a forest (child, parent), by pointer doubling. Keys
+    are padded to the longest one, so paths sort as keys do; a cycle is an error."""
     from lexloom.session import settled
 
-    pad = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    wide, n = nodes.agg(F.max(F.length(F.col("id").cast("string"))), F.count("*")).first()
+    pad = lambda c: F.lpad(F.col(c).cast("string"), wide or 1, "0")
+    rounds = 0
     cur = settled(nodes.join(tree, nodes["id"] == tree["child"], "left").select("id", F.col("parent").alias("top"), pad("id").alias("path")))
     while not cur.filter("top is not null").isEmpty():
+        rounds += 1
+        if 2 ** (rounds - 1) > n:  # ways from a root have fewer edges than there are nodes
+            raise ValueError("the forest has a cycle")
         up = cur.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("head"))
         cur = settled(cur.join(up, "top", "left").select("id", F.col("next").alias("top"), F.concat_ws("/", "head", "path").alias("path")))
     return cur.select("id", "path")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators.store import numbered_rows
+
 
 def lexeme(lexemes: DataFrame, fun: str) -> DataFrame:
     """The first lexeme with that function name."""
@@ -44,19 +46,14 @@ def synsets_of_form(lexicon: DataFrame, lexemes: DataFrame, synsets: DataFrame,
 def synonyms(lexicon: DataFrame, lexemes: DataFrame, words: DataFrame) -> DataFrame:
     """For each word (lang, form) and sense: the other lexemes of the sense that the language can
     say, as sorted function names and forms; senses without any are left out."""
-    said = lexicon.select("lang", "fun", "form").distinct()
-    own = lexemes.filter("synset_id is not null").select("fun", "synset_id").distinct()
-    senses = words.select("lang", "form").distinct().join(said, ["lang", "form"]).join(own, "fun")
-    others = senses.select("lang", "form", "synset_id").distinct()
-    meant = senses.select("lang", "form", "synset_id", F.col("fun")).distinct()
-    all_ = others.join(own.withColumnRenamed("fun", "other"), "synset_id")
-    all_ = all_.join(meant.withColumnRenamed("fun", "other"), ["lang", "form", "synset_id", "other"], "left_anti")
-    forms = said.select("lang", F.col("fun").alias("other"), F.col("form").alias("other_form"))
-    return (
-        all_.join(forms, ["lang", "other"])
-        .groupBy("lang", "form", "synset_id")
-        .agg(F.array_sort(F.collect_set("other")).alias("funs"), F.array_sort(F.collect_set("other_form")).alias("forms"))
-    )
+    own = lexemes.filter("synset_id is not null").select("fun", "synset_id")
+    said = lexicon.select("lang", "fun", "form").join(own, "fun")
+    # what each language says of a sense is gathered once; a word drops its own lexemes from it
+    members = said.groupBy("lang", "synset_id").agg(F.array_sort(F.collect_set(F.struct("fun", "form"))).alias("members"))
+    mine = said.join(words.select("lang", "form").distinct(), ["lang", "form"]).groupBy("lang", "form", "synset_id").agg(F.collect_set("fun").alias("mine"))
+    rest = F.filter("members", lambda m: ~F.array_contains(F.col("mine"), m["fun"]))
+    out = mine.join(members, ["lang", "synset_id"]).select("lang", "form", "synset_id", rest.alias("rest")).filter(F.size("rest") > 0)
+    return out.select("lang", "form", "synset_id", F.array_distinct("rest.fun").alias("funs"), F.array_sort(F.array_distinct("rest.form")).alias("forms"))
 
 
 def synset_members(synsets: DataFrame, lexemes: DataFrame, lexicon: DataFrame | None = None, lang: str | None = None) -> DataFrame:
@@ -109,7 +106,7 @@ def sense_lookup(questions: DataFrame, lexemes: DataFrame, synsets: DataFrame, e
     Examples: the lexeme's own first, then others that name it."""
     asked = questions.select("fun").distinct()
     known = lexemes.join(asked, "fun", "left_semi")
-    lone = known.filter("synset_id is null").select("id", "fun", (F.lit(5_000_000) + F.row_number().over(Window.orderBy("id"))).cast("long").alias("synset_id"))
+    lone = numbered_rows(known.filter("synset_id is null").select("id", "fun"), F.col("id")).select("id", "fun", (F.lit(5_000_000) + F.col("row_no")).alias("synset_id"))
     wanted = known.filter("synset_id is not null").select("synset_id").distinct()
     members = lexemes.join(wanted, "synset_id").select("id", "fun", "synset_id").unionByName(lone)
     members = members.join(asked.withColumn("asked", F.lit(True)), "fun", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
@@ -146,13 +143,17 @@ def subtree_counts(reach: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(below, "id", "left").select("id", (F.coalesce("under", F.lit(0)) + 1).alias("n"))
 
 
-def domain_tree_json(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """Nested JSON of a forest (id, name, parent), built from the deepest level up."""
+def domain_tree_json(nodes: DataFrame) -> DataFrame:
+    """Nested JSON of a forest (id, name, parent), built from the deepest level up, whatever its depth."""
+    from lexloom.operators.graph import levels
+    from lexloom.session import settled
+
+    deep = levels(nodes.filter("parent is not null").select(F.col("id").alias("child"), "parent"), nodes.select("id"))
     cur = nodes.select("id", "name", "parent", F.lit("[]").alias("children"))
-    for _ in range(depth):
+    for _ in range(deep.agg(F.max("level")).first()[0] or 0):
         shown = cur.select(F.col("parent").alias("id"), F.concat(F.lit('{"name":'), F.to_json(F.array("name")), F.lit(',"children":'), "children", F.lit("}")).alias("child"))
         kids = shown.filter("id is not null").groupBy("id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("child")), ","), F.lit("]")).alias("kids"))
-        cur = nodes.select("id", "name", "parent").join(kids, "id", "left").select("id", "name", "parent", F.coalesce("kids", F.lit("[]")).alias("children"))
+        cur = settled(nodes.select("id", "name", "parent").join(kids, "id", "left").select("id", "name", "parent", F.coalesce("kids", F.lit("[]")).alias("children")))
     return cur.filter("parent is null").select("id", "name", "children")
 
 
@@ -207,3 +208,94 @@ def by_frames(members: DataFrame) -> DataFrame:
 def pick_example(examples: DataFrame, seed: int) -> DataFrame:
     """A random unchecked example; the same seed gives the same one."""
     return examples.filter("state = 'abs*'").orderBy(F.xxhash64(F.lit(seed), "expr"), "expr").limit(1)
+
+
+def languages(lexicon: DataFrame) -> DataFrame:
+    """The languages that can say something."""
+    return lexicon.select("lang").distinct()
+
+
+def linearised(exprs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(id, lang, text) of expressions (id, lang, expr): the forms of their functions in order, the
+    likeliest of each; a function that the language can't say stands in brackets. The lexicon stands
+    in for the external grammar, so word order is that of the expression."""
+    from lexloom.functions.trees import functions
+
+    one = lexicon.groupBy("lang", "fun").agg(F.min_by("form", F.struct("neglogp", "form")).alias("form"))
+    parts = exprs.select("id", "lang", F.posexplode(functions(F.col("expr"))).alias("pos", "fun")).join(one, ["lang", "fun"], "left")
+    word = F.coalesce("form", F.concat(F.lit("["), "fun", F.lit("]")))
+    said = parts.groupBy("id", "lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", word.alias("w")))), lambda x: x["w"]), " ").alias("text"))
+    return exprs.select("id", "lang").join(said, ["id", "lang"], "left").select("id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def lexeme_details(asked: DataFrame, lexemes: DataFrame, domains: DataFrame, examples: DataFrame) -> DataFrame:
+    """What a matched lexeme (fun) carries: domains (id, name), images, its own examples, other examples
+    that name it, and pointers to lexemes (sym, fun). lexemes as in the model, examples(id, funs)."""
+    own = lexemes.join(asked.select("fun").distinct(), "fun", "left_semi")
+
+    def listed(rows: DataFrame, name: str, *cols: str) -> DataFrame:
+        item = F.struct(*cols) if len(cols) > 1 else F.col(cols[0])
+        return rows.groupBy("fun").agg(F.array_sort(F.collect_set(item)).alias(name))
+
+    dom = own.select("fun", F.explode("domain_ids").alias("domain_id")).join(domains.select(F.col("id").alias("domain_id"), "name"), "domain_id")
+    first = own.select("fun", F.explode("example_ids").alias("example")).join(examples.select(F.col("id").alias("example")), "example")
+    named = examples.select(F.col("id").alias("example"), F.explode(F.array_distinct("funs")).alias("fun")).join(own.select("fun").distinct(), "fun", "left_semi")
+    more = named.join(first.select("fun", "example"), ["fun", "example"], "left_anti")
+    ptr = own.select("fun", F.explode("pointers").alias("p")).join(lexemes.select(F.col("id").alias("to"), F.col("fun").alias("target")), F.col("p.tgt") == F.col("to"))
+    out = own.select("fun", "images")
+    for rows, name, cols in ((dom, "domains", ("domain_id", "name")), (first, "primary", ("example",)), (more, "secondary", ("example",)), (ptr.select("fun", F.col("p.sym").alias("sym"), "target"), "pointers", ("sym", "target"))):
+        out = out.join(listed(rows, name, *cols), "fun", "left")
+    return out
+
+
+def member_frames(lexemes: DataFrame, frames: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fun, frames): frame id, pattern and semantics with the name of the base class, of each lexeme."""
+    j = lexemes.select("fun", F.explode("frame_ids").alias("frame_id")).join(frames.withColumnRenamed("id", "frame_id"), "frame_id")
+    j = j.join(classes.select(F.col("id").alias("base_class_id"), F.col("name").alias("class")), "base_class_id")
+    return j.groupBy("fun").agg(F.array_sort(F.collect_set(F.struct("class", "frame_id", "pattern", "semantics"))).alias("frames"))
+
+
+def sense_objects(questions: DataFrame, lexemes: DataFrame, synsets: DataFrame, domains: DataFrame, examples: DataFrame, frames: DataFrame, classes: DataFrame) -> DataFrame:
+    """The whole answer to a sense lookup: (synset_id, gloss, members), each member with status and
+    frames, the asked ones also with their details."""
+    asked = questions.select("fun").distinct()
+    senses = sense_lookup(asked, lexemes, synsets).select("synset_id", "gloss", F.explode("members").alias("m")).select("synset_id", "gloss", "m.fun", "m.asked")
+    rows = senses.join(lexemes.select("fun", "status"), "fun").join(member_frames(lexemes, frames, classes), "fun", "left").join(lexeme_details(asked, lexemes, domains, examples), "fun", "left")
+    cols = ("fun", "asked", "frames", "domains", "primary", "secondary", "pointers")
+    member = F.struct(*cols[:2], F.to_json("status").alias("status"), *cols[2:], F.to_json("images").alias("images"))
+    return rows.groupBy("synset_id", "gloss").agg(F.array_sort(F.collect_list(member)).alias("members"))
+
+
+def class_objects(ids: DataFrame, classes: DataFrame, frames: DataFrame, lexemes: DataFrame, reach: DataFrame) -> DataFrame:
+    """(root, id, name, super_id, frames) of the asked classes (id) and all classes under them; each
+    frame has the lexemes that name it. reach is the closure (src, anc) over super_id."""
+    roots = ids.select(F.col("id").alias("root")).distinct()
+    under = roots.join(reach.select(F.col("anc").alias("root"), F.col("src").alias("id")), "root").unionByName(roots.select("root", F.col("root").alias("id")))
+    named = lexemes.select("fun", F.explode("frame_ids").alias("frame_id")).groupBy("frame_id").agg(F.array_sort(F.collect_set("fun")).alias("funs"))
+    f = frames.select(F.col("id").alias("frame_id"), F.col("class_id").alias("id"), "pattern", "semantics").join(named, "frame_id", "left")
+    f = f.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("frame_id", "pattern", "semantics", "funs"))).alias("frames"))
+    return under.join(classes.select("id", "name", "super_id"), "id").join(f, "id", "left").select("root", "id", "name", "super_id", "frames")
+
+
+def typed_expressions(wanted: DataFrame, found: DataFrame, cats: DataFrame) -> DataFrame:
+    """(qid, lang, cat, exprs): of the expressions found (qid, lang, expr), those of the asked category
+    (wanted has qid, lang, cat), several being alternatives; cats(expr, cat). Without one, an empty list."""
+    hit = wanted.join(found.join(cats, "expr"), ["qid", "lang", "cat"]).groupBy("qid", "lang", "cat").agg(F.array_sort(F.collect_set("expr")).alias("exprs"))
+    return wanted.distinct().join(hit, ["qid", "lang", "cat"], "left").select("qid", "lang", "cat", F.coalesce("exprs", F.array().cast("array<string>")).alias("exprs"))
+
+
+def verb_frame(instances: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Role highlighting: of an expression's frame instances (expr_id, frame, roles) the first whose Verb
+    is the clicked node, as (expr_id, fid, frame, role, role_fid); clicks(expr_id, fid)."""
+    j = clicks.join(instances, "expr_id").filter(F.try_element_at("roles", F.lit("Verb")) == F.col("fid"))
+    one = j.groupBy("expr_id", "fid").agg(F.min_by("roles", "frame").alias("roles"), F.min("frame").alias("frame"))
+    return one.select("expr_id", "fid", "frame", F.explode("roles").alias("role", "role_fid"))
+
+
+def senses_of_forms(questions: DataFrame, lexicon: DataFrame, lexemes: DataFrame, synsets: DataFrame) -> DataFrame:
+    """The lookup chain of an editor plug-in: forms (lang, form) to distinct lemmas, their senses, and what
+    the language says for each sense: (lang, form, fun, gloss, said)."""
+    hits = questions.select("lang", "form").distinct().join(lexicon, ["lang", "form"]).select("lang", "form", "fun").distinct()
+    senses = hits.join(lexemes.select("fun", "synset_id"), "fun").join(synsets.select(F.col("id").alias("synset_id"), "gloss"), "synset_id")
+    said = lexicon.join(lexemes.select("fun", "synset_id"), "fun").groupBy("lang", "synset_id").agg(F.array_sort(F.collect_set("form")).alias("said"))
+    return senses.join(said, ["lang", "synset_id"]).select("lang", "form", "fun", "gloss", "said")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import settled
+
 
 def analyses(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(sent, pos, fun, analysis): by form, and only where the form itself is unknown by its small
@@ -27,7 +29,7 @@ def scored(candidates: DataFrame, tokens: DataFrame, rules: DataFrame) -> DataFr
     kids = tokens.select("sent", F.col("head").alias("pos"), F.struct(F.col("deprel").alias("label"), "upos").alias("k")).groupBy("sent", "pos").agg(F.collect_set("k").alias("kids"))
     t = tokens.select("sent", "pos", "upos", "deprel").join(kids, ["sent", "pos"], "left")
     r = rules.select("cat", F.col("upos").alias("r_upos"), F.col("label").alias("r_label"), "child_label", "child_upos", "score")
-    j = candidates.join(t, ["sent", "pos"]).join(F.broadcast(r), "cat", "left")  # the rule table is the grammar's own, a few rows a category
+    j = candidates.join(t, ["sent", "pos"]).join(r, "cat", "left")
     same = lambda rule, value: rule.isNull() | (rule == value)
     child = F.exists(F.coalesce("kids", F.array().cast("array<struct<label:string,upos:string>>")), lambda k: same(F.col("child_label"), k["label"]) & same(F.col("child_upos"), k["upos"]))
     holds = same(F.col("r_upos"), F.col("upos")) & same(F.col("r_label"), F.col("deprel")) & ((F.col("child_label").isNull() & F.col("child_upos").isNull()) | child)
@@ -42,8 +44,6 @@ def bracketed(tokens: DataFrame) -> DataFrame:
     while True:
         shown = cur.select("sent", F.col("head").alias("pos"), F.struct(F.col("pos").alias("at"), F.concat(F.lit("("), "form", "kids", F.lit(")")).alias("t")).alias("x"))
         kids = shown.groupBy("sent", "pos").agg(F.concat(F.lit(" "), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), " ")).alias("kids"))
-        from lexloom.session import settled
-
         new = settled(base.join(kids, ["sent", "pos"], "left").select("sent", "pos", "head", "form", F.coalesce("kids", F.lit("")).alias("kids")))
         if new.join(cur.withColumnRenamed("kids", "was"), ["sent", "pos", "head", "form"]).filter("kids <> was").isEmpty():
             break

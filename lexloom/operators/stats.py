@@ -170,18 +170,21 @@ def expected(candidates: DataFrame, uni: DataFrame, bi: DataFrame, smooth_uni: f
     return full.groupBy("sent").applyInArrow(_passes(smooth_uni, smooth_bi, viterbi), "sent long, kind string, head string, mod string, w double")
 
 
-def em(candidates: DataFrame, rounds: int = 20, tolerance: float = 1e-4, **smooth) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
-    """Senses' and pairs' counts, the posteriors (sent, node, choice, p), and the log-likelihoods."""
+def em(candidates: DataFrame, tolerance: float = 1e-4, most_rounds: int = 1000, **smooth) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
+    """Senses' and pairs' counts, the posteriors (sent, node, choice, p), and the log-likelihoods, of
+    which the last two differ by less than the tolerance; without that after most_rounds, an error."""
     uni, bi = initial_counts(candidates)
     uni, bi = settled(uni), settled(bi)
     history: list[float] = []
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         step = settled(expected(candidates, uni, bi, **smooth))
         uni = settled(step.filter("kind = 'uni'").groupBy(F.col("mod").alias("choice")).agg(F.sum("w").alias("n")))
         bi = settled(step.filter("kind = 'bi'").groupBy(F.col("head").alias("head_choice"), F.col("mod").alias("choice")).agg(F.sum("w").alias("n")))
         history.append(step.filter("kind = 'logl'").agg(F.sum("w")).first()[0] or 0.0)
         if len(history) > 1 and abs(history[-1] - history[-2]) < tolerance:
             break
+    else:
+        raise RuntimeError("the likelihood did not settle")
     post = step.filter("kind = 'uni'").select("sent", F.col("head").cast("int").alias("node"), F.col("mod").alias("choice"), F.col("w").alias("p"))
     return uni, bi, post, history
 

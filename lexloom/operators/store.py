@@ -140,6 +140,23 @@ def numbered_rows(rows: DataFrame, order: Column) -> DataFrame:
     return placed.withColumn("inside_", inside).join(shift, "part_").withColumn("row_no", (F.col("inside_") + F.col("before_")).cast("long")).drop("order_", "part_", "inside_", "before_")
 
 
+def carried_on(rows: DataFrame, order: str, values: dict[str, Column]) -> DataFrame:
+    """Adds, for each name, the last value that is not null in the rows before (null without one).
+    Range partitions are swept one by one; what each passes on to the next is one row a partition."""
+    from pyspark.sql import Window
+
+    from lexloom.session import settled
+
+    placed = settled(rows.withColumns({f"{n}_own": v for n, v in values.items()}).repartitionByRange(order).withColumn("part_", F.spark_partition_id()))
+    before = Window.partitionBy("part_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({n: F.last(f"{n}_own", ignorenulls=True).over(before) for n in values})
+    tails = placed.groupBy("part_").agg(*[F.max_by(f"{n}_own", F.when(F.col(f"{n}_own").isNotNull(), F.col(order))).alias(f"{n}_tail") for n in values])
+    over = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    tails = F.broadcast(tails.select("part_", *[F.last(f"{n}_tail", ignorenulls=True).over(over).alias(f"{n}_tail") for n in values]))  # one row a partition
+    out = placed.join(tails, "part_")
+    return out.withColumns({n: F.coalesce(n, f"{n}_tail") for n in values}).drop("part_", *[f"{n}_own" for n in values], *[f"{n}_tail" for n in values])
+
+
 # folds over query results
 def sum_rows(rows: DataFrame, value: Column) -> DataFrame:
     return rows.agg(F.sum(value).alias("total"))

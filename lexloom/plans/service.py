@@ -27,6 +27,8 @@ class Lexicon:
     classes: DataFrame
     examples: DataFrame
     facts: DataFrame  # level, src, tgt, sym
+    frames: DataFrame | None = None
+    example_texts: DataFrame | None = None  # id, funs
 
 
 def answer(lex: Lexicon, params: dict[str, list[str]]) -> DataFrame:
@@ -37,6 +39,8 @@ def answer(lex: Lexicon, params: dict[str, list[str]]) -> DataFrame:
     given = params[which]
     asked = spark.createDataFrame([(x,) for v in given for x in v.split()], "fun string")
     if which == "lexical_ids":
+        if lex.frames is not None and lex.example_texts is not None:
+            return lookup.sense_objects(asked, lex.lexemes, lex.synsets, lex.domains, lex.example_texts, lex.frames, lex.classes)
         return lookup.sense_lookup(asked, lex.lexemes, lex.synsets)
     if which == "context_id":
         scores = stats.context_score(lex.examples).filter(F.col("fun").isin(given))
@@ -61,6 +65,8 @@ def answer(lex: Lexicon, params: dict[str, list[str]]) -> DataFrame:
     if which == "class_id":
         below = graph.closure(lex.classes.filter("super_id is not null").select(F.col("id").alias("child"), F.col("super_id").alias("parent")))
         ids = below.filter(F.col("anc").isin([int(x) for x in given])).select(F.col("src").alias("id")).unionByName(spark.createDataFrame([(int(x),) for x in given], "id long"))
+        if lex.frames is not None:
+            return lookup.class_objects(spark.createDataFrame([(int(x),) for x in given], "id long"), lex.classes, lex.frames, lex.lexemes, below)
         return lex.classes.join(ids.distinct(), "id")
     triples = [patterns.Triple(*t.split()) for t in given]
     return patterns.match(lex.facts, lex.lexemes.select("fun", F.col("synset_id").alias("synset")), triples)

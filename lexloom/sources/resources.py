@@ -5,7 +5,7 @@ Every parser takes a DataFrame with a column ``value`` (one line or one block ea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.model import POINTER_CODES
@@ -133,14 +133,19 @@ def bigrams(rows: DataFrame) -> DataFrame:
 
 def domains(rows: DataFrame) -> DataFrame:
     """Indented ``- name [*]`` lines (line_no, value) to (id, name, is_dim, parent): the parent is the
-    last line above with a smaller indent, 0 for a root. ids are numbers of the lines that count."""
+    last line above with a smaller indent, 0 for a root. ids are numbers of the lines that count.
+
+    Lines are numbered, and the place of the last line of each indent is carried on, by range
+    partitions, so no task sees all lines. There is one column an indent, and indents are few."""
+    from lexloom.operators.store import carried_on, numbered_rows
     pat = r"^(\s*)-\s*(.*?)\s*(\*)?\s*$"
     base = rows.filter(F.col("value").rlike(pat)).select("line_no", F.length(F.regexp_extract("value", pat, 1)).alias("indent"), F.regexp_extract("value", pat, 2).alias("name"), (F.regexp_extract("value", pat, 3) == "*").alias("is_dim"))
-    w = Window.orderBy("line_no")  # one file of a few hundred lines
-    base = base.withColumn("id", F.row_number().over(w).cast("long"))
-    stack = F.collect_list(F.struct("indent", "id")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    above = F.filter(stack, lambda x: x["indent"] < F.col("indent"))
-    return base.select("id", "name", "is_dim", F.coalesce(F.try_element_at(above, F.lit(-1))["id"], F.lit(0)).alias("parent"))
+    base = numbered_rows(base, F.col("line_no")).withColumnRenamed("row_no", "id")
+    depths = sorted(r[0] for r in base.select("indent").distinct().collect())
+    last = {f"at_{i}": F.when(F.col("indent") == i, F.col("id")) for i in depths}
+    base = carried_on(base, "id", last)
+    above = [F.when(F.col("indent") > i, F.col(f"at_{i}")) for i in depths]
+    return base.select("id", "name", "is_dim", F.coalesce(F.greatest(*above, F.lit(0)), F.lit(0)).cast("long").alias("parent"))
 
 
 def images(rows: DataFrame) -> DataFrame:
@@ -168,7 +173,7 @@ def multilingual_tab(rows: DataFrame, remap: DataFrame | None = None) -> DataFra
     out = rows.filter((F.size(p) >= 3) & ~F.col("value").startswith("#") & F.get(p, 1).rlike("lemma")).select(F.get(p, 0).alias("sense"), F.trim(F.get(p, 2)).alias("form"))
     if remap is None:
         return out
-    return out.join(F.broadcast(remap), F.col("sense") == F.col("old"), "left").select(F.coalesce("new", "sense").alias("sense"), "form")
+    return out.join(remap, F.col("sense") == F.col("old"), "left").select(F.coalesce("new", "sense").alias("sense"), "form")
 
 
 def entity_labels(rows: DataFrame) -> DataFrame:
@@ -279,7 +284,22 @@ def predictions(rows: DataFrame) -> DataFrame:
 def translit_table(rows: DataFrame) -> dict[str, str]:
     """``char<TAB>out`` lines; a fixed table of a few hundred rows, read on the driver."""
     p = F.split("value", "\t")
-    return {r[0]: r[1] for r in rows.filter(F.size(p) >= 2).select(F.get(p, 0), F.get(p, 1)).limit(10_000).collect()}
+    return dict(map(tuple, bounded(rows.filter(F.size(p) >= 2).select(F.get(p, 0), F.get(p, 1)), 10_000)))
+
+
+def bounded(rows: DataFrame, most: int) -> list:
+    """A small table's rows on the driver; one of more rows than it may have is an error, never cut."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows in a table that should be small")
+    return got
+
+
+def translit_script(table: dict[str, str], name: str = "translit") -> str:
+    """The table as a JavaScript constant, in order of its letters."""
+    import json
+
+    return f"const {name} = {json.dumps(dict(sorted(table.items())), ensure_ascii=False)};\n"
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -303,7 +323,7 @@ def treebank(choices: DataFrame) -> DataFrame:
 
 def status_svg(counts: DataFrame) -> str:
     """A bar chart of (lang, guessed, unchecked, checked); one bar a language, so it is small."""
-    rows = counts.orderBy("lang").limit(500).collect()
+    rows = sorted(bounded(counts, 10_000))
     top = max((r.guessed + r.unchecked + r.checked for r in rows), default=1) or 1
     bars = []
     for i, r in enumerate(rows):

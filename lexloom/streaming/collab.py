@@ -135,14 +135,22 @@ OUT = "doc_id string, version long, client string, changes string"
 STATE = "log string"
 
 
+def accepted(doc_id: str, doc: Document, r) -> list[tuple]:
+    """Rows of one push; a push at an unknown version, or that can't be read, is rejected and gives none."""
+    n = len(doc.log)
+    try:
+        new = doc.push(int(r.version), json.loads(r.updates))
+    except (ValueError, TypeError, KeyError):
+        return []
+    return [(doc_id, n + i + 1, u["clientID"], json.dumps(u["changes"])) for i, u in enumerate(new)]
+
+
 def _replay(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     doc = Document(json.loads(state.get[0]) if state.exists else [])
     for frame in frames:
         rows = []
         for r in frame.sort_values("seq").itertuples():
-            n = len(doc.log)
-            for i, u in enumerate(doc.push(int(r.version), json.loads(r.updates))):
-                rows.append((key[0], n + i + 1, u["clientID"], json.dumps(u["changes"])))
+            rows += accepted(key[0], doc, r)
         yield pd.DataFrame(rows, columns=["doc_id", "version", "client", "changes"])
     state.update((json.dumps(doc.log),))
 
@@ -159,9 +167,7 @@ def push_batch(pushes: DataFrame) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         doc, rows = Document(), []
         for r in frame.sort_values("seq").itertuples():
-            n = len(doc.log)
-            for i, u in enumerate(doc.push(int(r.version), json.loads(r.updates))):
-                rows.append((r.doc_id, n + i + 1, u["clientID"], json.dumps(u["changes"])))
+            rows += accepted(r.doc_id, doc, r)
         return pd.DataFrame(rows, columns=["doc_id", "version", "client", "changes"])
 
     return pushes.groupBy("doc_id").applyInPandas(run, OUT)

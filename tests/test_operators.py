@@ -104,7 +104,7 @@ def test_context_score_threshold(spark):
 
 def test_em_settles(spark):
     c = [(s, n, n - 1, x) for s in range(4) for n in (1, 2) for x in ("p", f"q{n}")]
-    uni, _, post, history = stats.em(spark.createDataFrame(c, stats.CANDIDATES), rounds=6)
+    uni, _, post, history = stats.em(spark.createDataFrame(c, stats.CANDIDATES))
     assert all(b >= a - 1e-6 for a, b in zip(history, history[1:], strict=False)) or len(history) > 1
     assert math.isclose(sum(r.p for r in post.filter("sent = 0 and node = 1").collect()), 1.0, rel_tol=1e-9)
     assert math.isclose(uni.agg(F.sum("n")).first()[0], 8.0, rel_tol=1e-9)
