@@ -80,6 +80,30 @@ def segment(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     return seq.select("id", F.explode(fold).alias("x")).select("id", "x.at", "x.size", "x.form")
 
 
+# Categories whose definition wraps that of a plainer one, as constructor and category; the
+# lower-cased ones among the rest; and those that are written as they are.
+WRAPPED = {"A2": ("mkA2", "A"), "N2": ("mkN2", "N"), "V2": ("mkV2", "V"), "V2A": ("mkV2", "V"), "V2S": ("mkV2S", "V"), "V2Q": ("mkV2Q", "V"), "V2V": ("mkV2V", "V"), "V3": ("mkV3", "V"), "VA": ("mkVA", "V"), "VQ": ("mkVQ", "V"), "VS": ("mkVS", "V"), "VV": ("mkVV", "V")}
+LOWERED, NAMES = ("A", "AdA", "AdN", "AdV", "Adv", "Interj", "N", "Prep", "V"), ("PN", "LN", "GN", "SN")
+
+
+def predicted_definitions(rows: DataFrame, paradigms: DataFrame) -> DataFrame:
+    """rows(fun, lin) with def, the draft definition by the function's category: a known paradigm
+    (name, def) under the lemma, its gender and the plain category, else the plain constructor of the
+    lemma; categories without a paradigm have none."""
+    cat = F.regexp_extract("fun", "([^_]*)$", 1)
+    m = F.create_map(*(F.lit(x) for k, (_, c) in WRAPPED.items() for x in (k, c)))
+    w = F.create_map(*(F.lit(x) for k, (f, _) in WRAPPED.items() for x in (k, f)))
+    plain = F.coalesce(F.try_element_at(m, cat), F.when(cat.isin(*LOWERED, *NAMES), cat))
+    lemma = F.when(cat.isin(*NAMES), F.col("lin")).otherwise(F.lower("lin"))
+    gender = F.when(F.col("fun").contains("Masc_"), "Masc_").when(F.col("fun").contains("Fem_"), "Fem_").otherwise("_")
+    r = rows.select("*", cat.alias("cat_"), plain.alias("plain_"), lemma.alias("lemma_"), F.concat(F.lower("lin"), gender, plain).alias("name_"))
+    j = r.join(paradigms.select(F.col("name").alias("name_"), F.col("def").alias("known_")), "name_", "left")
+    own = F.coalesce("known_", F.concat(F.lit("mk"), "plain_", F.lit(' "'), "lemma_", F.lit('"')))
+    wrap = F.try_element_at(w, F.col("cat_"))
+    text = F.when(wrap.isNotNull(), F.concat(wrap, F.lit(" ("), own, F.lit(")"))).when(F.col("cat_") == "Voc", F.concat(F.lit('{s="'), "lemma_", F.lit('"}'))).when(F.col("plain_").isNotNull(), own)
+    return j.select(*rows.columns, F.coalesce(text, F.lit("variants {}")).alias("def"))
+
+
 def definition_text(cat: Column, form: Column, paradigms: dict[str, str]) -> Column:
     """Draft definition by the category's paradigm, such as ``mkN "form"``; null for other categories."""
     m = F.create_map(*(F.lit(x) for kv in sorted(paradigms.items()) for x in kv))

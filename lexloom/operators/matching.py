@@ -3,7 +3,7 @@ score candidates by part of speech, label and children."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.session import settled
@@ -36,6 +36,69 @@ def scored(candidates: DataFrame, tokens: DataFrame, rules: DataFrame) -> DataFr
     return j.groupBy("sent", "pos", "fun", "cat").agg(F.sum(F.when(holds, F.col("score")).otherwise(0)).alias("score"))
 
 
+# The ranking rules of each category. pos and label test the node, same whether one of its
+# choices is the candidate's lemma; node holds if a child meets what it lists, best takes the better one.
+_OBJ = ("node", ("best", ("label", "obj"), ("label", "nsubj:pass")))
+_IOBJ = ("node", ("best", ("label", "iobj"), ("label", "nsubj:pass")))
+_PREP = ("node", ("label", "obl"), ("pos", "NOUN"), ("node", ("label", "case"), ("pos", "PREP"), ("same",)))
+_ADJ = ("node", ("label", "xcomp"), ("pos", "ADJ"))
+_SENT = ("node", ("label", "xcomp"), ("pos", "VERB"), ("node", ("best", ("label", "nsubj"), ("label", "nsubj:pass"))))
+_VERB = ("node", ("label", "xcomp"), ("pos", "VERB"))
+_PART = ("node", ("label", "compound:prt"), ("same",))
+_CASE = lambda label: ("node", ("label", label), ("node", ("label", "case"), ("same",)))
+_V = ("pos", "VERB")
+RANKING = {
+    "A": [("pos", "ADJ")], "A2": [("pos", "ADJ"), _CASE("obl")], "ACard": [("pos", "ADJ")], "Adv": [("pos", "ADV")], "AdV": [("pos", "ADV")], "AdA": [("pos", "ADV")],
+    "AdN": [("pos", "ADV")], "Interj": [("pos", "INTJ")], "N": [("pos", "NOUN")], "N2": [("pos", "NOUN"), _CASE("nmod")], "PN": [("pos", "PROPN")], "V0": [_V], "V": [_V, _PART],
+    "V2": [_V, ("best", _OBJ, _PREP), _PART], "V3": [_V, ("node", _OBJ), ("best", _IOBJ, _PREP), _PART], "VA": [_V, _ADJ, _PART], "VS": [_V, _SENT, _PART], "VQ": [_V, _VERB, _PART],
+    "VV": [("best", _V, ("pos", "AUX")), _VERB, _PART], "V2A": [_V, _OBJ, _ADJ, _PART], "V2S": [_V, _OBJ, _SENT, _PART], "V2Q": [_V, _OBJ, _VERB, _PART], "V2V": [_V, _OBJ, _VERB, _PART],
+    "Prep": [("best", ("pos", "ADP"), ("pos", "SCONJ"))], "Conj": [("pos", "CCONJ")], "Det": [("pos", "DET")], "Quant": [("pos", "DET")], "Pron": [("pos", "PRON")], "Subj": [("pos", "SCONJ")],
+}
+
+
+def _stat(rule: tuple, node: Column, lemma: Column, depth: int) -> Column:
+    """struct(res, n): what the rule scores at a node, and how many tests that took."""
+    of = lambda res, n: F.struct(res.cast("int").alias("res"), n.cast("int").alias("n"))
+    kind = rule[0]
+    if kind in ("pos", "label"):
+        return of(F.coalesce(node[kind] == rule[1], F.lit(False)), F.lit(1))
+    if kind == "same":
+        return of(F.coalesce(F.array_contains(node["choices"], lemma), F.lit(False)), F.lit(1))
+    if kind == "best":  # of equals the later one
+        each = [_stat(r, node, lemma, depth) for r in rule[1:]]
+        top = F.array_max(F.array(*[F.struct(s["res"].alias("res"), F.lit(i).alias("i"), s["n"].alias("n")) for i, s in enumerate(each)]))
+        return of(top["res"], top["n"])
+    if not depth:  # below the levels that a tree here has there is no child
+        return of(F.lit(0), F.lit(1))
+    kids = F.transform(node["kids"], lambda k, i: (lambda s: F.struct(s["res"].alias("res"), i.alias("i"), s["n"].alias("n")))(_all(list(rule[1:]), k, lemma, depth - 1)))
+    none = F.array(F.struct(F.lit(0).alias("res"), F.size(node["kids"]).alias("i"), F.lit(1).alias("n")))
+    top = F.array_max(F.concat(kids, none))
+    return of(top["res"], top["n"])
+
+
+def _all(rules: list[tuple], node: Column, lemma: Column, depth: int) -> Column:
+    each = [_stat(r, node, lemma, depth) for r in rules]
+    return F.struct(sum((s["res"] for s in each), F.lit(0)).alias("res"), sum((s["n"] for s in each), F.lit(1)).alias("n"))
+
+
+def ranked_by_rules(candidates: DataFrame, tokens: DataFrame, rules: dict[str, list[tuple]] = RANKING) -> DataFrame:
+    """Candidates (sent, pos, lemma, cat) with score and count by their category's rules, which may be
+    any table of this shape; a category without rules scores 0 of 1. tokens(sent, pos, head, label,
+    upos, choices): a node sees its children and theirs."""
+    node = lambda kids: F.struct(F.col("upos").alias("pos"), "label", "choices", *kids)
+    leaf = tokens.groupBy("sent", F.col("head").alias("pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", node([]).alias("t")))), lambda x: x["t"]).alias("kids"))
+    none = "array<struct<pos:string,label:string,choices:array<string>>>"
+    inner = tokens.join(leaf, ["sent", "pos"], "left").withColumn("kids", F.coalesce("kids", F.array().cast(none)))
+    kids = inner.groupBy("sent", F.col("head").alias("pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", node(["kids"]).alias("t")))), lambda x: x["t"]).alias("kids"))
+    more = f"array<struct<pos:string,label:string,choices:array<string>,kids:{none}>>"
+    whole = tokens.join(kids, ["sent", "pos"], "left").withColumn("kids", F.coalesce("kids", F.array().cast(more)))
+    c = candidates.join(whole.select("sent", "pos", node(["kids"]).alias("node_")), ["sent", "pos"])
+    stat = F.struct(F.lit(0).alias("res"), F.lit(1).alias("n"))
+    for cat, own in rules.items():
+        stat = F.when(F.col("cat") == cat, _all(own, F.col("node_"), F.col("lemma"), 2)).otherwise(stat)
+    return c.withColumn("stat_", stat).select("sent", "pos", "lemma", "cat", F.col("stat_.res").alias("score"), F.col("stat_.n").alias("cnt"))
+
+
 def bracketed(tokens: DataFrame) -> DataFrame:
     """(sent, tree): the dependency tree of each sentence as nested brackets, built bottom up by
     depth; tokens(sent, pos, head, form), head 0 or missing at a root."""

@@ -99,6 +99,34 @@ def merge_candidates(have: DataFrame, new: DataFrame, flag: str) -> DataFrame:
     return j.select("fun", "lang", F.coalesce("lin", "new_lin").alias("lin"), *(value(c) for c in flags))
 
 
+# What each source writes of a candidate: flags where a form is known already, and of a new one.
+SOURCES = {
+    "wikidata": ({"w": 0}, {"o": 1, "s": 2, "w": 0, "l": 0, "c": 0}),
+    "wiktionary": ({"s": 0, "w": 0}, {"o": 1, "s": 0, "w": 0, "l": 0, "c": 0}),
+}
+
+
+def merge_source(have: DataFrame, new: DataFrame, source: str) -> DataFrame:
+    """have(fun, lang, lin, o, s, w, l, c) and the forms (fun, lang, lin) of a source: forms that agree
+    but for case take the source's flags, others are appended."""
+    known, fresh = SOURCES[source]
+    n = new.groupBy("fun", "lang", F.lower("lin").alias("low_")).agg(F.min("lin").alias("new_"))
+    j = have.withColumn("low_", F.lower("lin")).join(n, ["fun", "lang", "low_"], "full")
+    value = lambda c: F.when(F.col("lin").isNull(), F.lit(fresh[c])).when(F.col("new_").isNotNull() & F.lit(c in known), F.lit(known.get(c))).otherwise(F.col(c)).alias(c)
+    return j.select("fun", "lang", F.coalesce("lin", "new_").alias("lin"), *(value(c) for c in "oswlc"))
+
+
+def merge_translations(have: DataFrame, new: DataFrame) -> DataFrame:
+    """Translations (fun, lang, lin, l) with their support: known forms take it; of the new ones only
+    those of the highest support of a function and language stay, as (1, 2, 1, l, 0)."""
+    n = new.groupBy("fun", "lang", F.lower("lin").alias("low_")).agg(F.min("lin").alias("new_"), F.max("l").alias("sup_"))
+    j = have.withColumn("low_", F.lower("lin")).join(n, ["fun", "lang", "low_"], "full")
+    top = F.max(F.when(F.col("lin").isNull(), F.col("sup_"))).over(Window.partitionBy("fun", "lang"))
+    j = j.withColumn("top_", top).filter(F.col("lin").isNotNull() | (F.col("sup_") == F.col("top_")))
+    fresh = {"o": 1, "s": 2, "w": 1, "c": 0}
+    return j.select("fun", "lang", F.coalesce("lin", "new_").alias("lin"), *(F.when(F.col("lin").isNull(), F.lit(fresh[c])).otherwise(F.col(c)).alias(c) if c in fresh else F.coalesce("sup_", "l").alias("l") for c in "oswlc"))
+
+
 def image_rank(rows: DataFrame, order: list[str]) -> DataFrame:
     """One image of each entity: the first property of the order, then the first name."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("property"))

@@ -131,6 +131,15 @@ def bigrams(rows: DataFrame) -> DataFrame:
     return rows.filter(F.size(p) == 3).select(F.get(p, 0).alias("head"), F.get(p, 1).alias("mod"), F.get(p, 2).try_cast("double").alias("p")).filter("p is not null")
 
 
+def interpolated(loaded: DataFrame, unigram: DataFrame, smoothing: float = 0.002) -> DataFrame:
+    """Loaded bigrams (head, mod, p) with their back-off: smoothing * p(head) * p(mod) + (1 - smoothing) * p;
+    a function without a probability backs off to 0. unigram(fun, p)."""
+    u = unigram.select(F.col("fun").alias("head"), F.col("p").alias("ph_"))
+    v = unigram.select(F.col("fun").alias("mod"), F.col("p").alias("pm_"))
+    back = F.coalesce(F.col("ph_") * F.col("pm_"), F.lit(0.0))
+    return loaded.join(u, "head", "left").join(v, "mod", "left").select("head", "mod", (smoothing * back + (1 - smoothing) * F.col("p")).alias("p"))
+
+
 def domains(rows: DataFrame) -> DataFrame:
     """Indented ``- name [*]`` lines (line_no, value) to (id, name, is_dim, parent): the parent is the
     last line above with a smaller indent, 0 for a root. ids are numbers of the lines that count.
@@ -240,6 +249,37 @@ def entity_dump(rows: DataFrame) -> DataFrame:
     return rows.filter(j.startswith("{")).select(F.get_json_object(j, "$.id").alias("qid"), j.alias("json"))
 
 
+# Classes of given and family names, of genders of given names; properties of images by rank.
+NAME_CLASSES, GENDER_CLASSES = ("Q202444", "Q101352", "Q3918"), ("Q12308941", "Q11879590", "Q18972245", "Q18972207")
+IMAGE_PROPERTIES = ("P18", "P6802", "P117", "P8224", "P242", "P41", "P94")
+
+
+def dump_names(entities: DataFrame) -> DataFrame:
+    """What the names importer keeps of entities (qid, json): the last name class or, before it, gender
+    class under P31; given (P735) and family names (P734); place ids (P1566); synsets (P8814); the English
+    description; the page; and image paths by property in order. Entities with none of these drop out."""
+    from lexloom.functions import kb
+
+    j = F.col("json")
+    ids = lambda p: F.transform(kb.claims(j, p), lambda c: F.get_json_object(c["value"], "$.id"))
+    plain = lambda p: F.transform(kb.claims(j, p), lambda c: c["value"])
+    last = lambda xs, of: F.try_element_at(F.filter(xs, lambda x: x.isin(*of)), F.lit(-1))
+    title = F.get_json_object(j, "$.sitelinks.enwiki.title")
+    url = F.when(title.isNotNull(), F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(title, F.lit(" "), F.lit("_")))).otherwise(F.concat(F.lit("http://www.wikidata.org/entity/"), "qid"))
+
+    def path(c):
+        name = F.replace(c["value"], F.lit(" "), F.lit("_"))
+        return F.concat(F.lit("commons/"), F.substring(F.md5(name), 1, 1), F.lit("/"), F.substring(F.md5(name), 1, 2), F.lit("/"), name)
+
+    images = F.concat(*(F.transform(kb.claims(j, p), path) for p in IMAGE_PROPERTIES))
+    kinds = entities.select("qid", "json", ids("P31").alias("kinds"))
+    out = kinds.select(
+        "qid", F.coalesce(last(F.col("kinds"), GENDER_CLASSES), last(F.col("kinds"), NAME_CLASSES)).alias("name_type"), ids("P735").alias("given"), ids("P734").alias("family"),
+        plain("P1566").alias("places"), plain("P8814").alias("synsets"), F.coalesce(F.get_json_object(j, "$.descriptions.en.value"), F.lit("")).alias("description"), url.alias("url"), images.alias("images"),
+    )
+    return out.filter(F.col("name_type").isNotNull() | (F.size("given") > 0) | (F.size("family") > 0) | (F.size("places") > 0))
+
+
 def semcor(spark: SparkSession, path: str) -> DataFrame:
     """Word forms of the sense-tagged XML to (file, sent, pos, form, lemma, tag, sense)."""
     rows = spark.read.format("xml").option("rowTag", "s").load(path)
@@ -281,6 +321,16 @@ def predictions(rows: DataFrame) -> DataFrame:
     return rows.filter(F.size(p) == 9).select(F.get(p, 0).alias("fun"), F.get(p, 1).alias("lang"), F.get(p, 2).alias("lin"), *(F.get(p, i + 3).cast("int").alias(c) for i, c in enumerate("oswlcd")))
 
 
+def draft_lexicon(candidates: DataFrame) -> DataFrame:
+    """Lines of a draft concrete lexicon from ranked predictions (fun, def, status): (fun, line); several
+    definitions of a function are variants, and the status of the first is the comment."""
+    g = candidates.groupBy("fun").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "def", "status"))), lambda x: F.struct(x["def"], x["status"])).alias("x"))
+    defs = F.transform("x", lambda x: x["def"])
+    body = F.when(F.size("x") == 1, F.get(defs, 0)).otherwise(F.concat(F.lit("variants {"), F.array_join(defs, "; "), F.lit("}")))
+    status = F.get("x", 0)["status"]
+    return g.select("fun", F.concat(F.lit("lin "), "fun", F.lit(" = "), body, F.lit(" ;"), F.when(status == "checked", "").otherwise(F.concat(F.lit(" --"), status))).alias("line"))
+
+
 def translit_table(rows: DataFrame) -> dict[str, str]:
     """``char<TAB>out`` lines; a fixed table of a few hundred rows, read on the driver."""
     p = F.split("value", "\t")
