@@ -99,6 +99,11 @@ def time_adverb(t: Column) -> Column:
     return F.when(p.isNull(), F.lit(None)).when(p["month"].isNull(), F.concat_ws(" ", F.lit("yearAdv"), year)).when(p["day"].isNull(), F.concat_ws(" ", F.lit("monthYearAdv"), month, year)).otherwise(full)
 
 
+def language(code: str) -> str:
+    """The current language's code: ParseEng is eng."""
+    return code.removeprefix("Parse").lower()
+
+
 def compare(a: Column, b: Column) -> Column:
     return F.when(a < b, "LT").when(a == b, "EQ").when(a > b, "GT")
 

@@ -193,6 +193,13 @@ def restrict(rows: DataFrame, token: str, keep: Column) -> DataFrame:
     return rows.withColumn("keep_", keep).withColumn("n_", n).filter((F.col("n_") == 0) | F.col("keep_")).drop("keep_", "n_")
 
 
+def annotated(rows: DataFrame, token: str) -> DataFrame:
+    """Analyses of tokens, restricted rule by rule, each with its fallback: the analysis fits the tag
+    (tag, analysis), then its particle or preposition stands in the sentence (particle, words; null needs none)."""
+    fit = restrict(rows, token, F.coalesce(F.col("tag") == F.col("analysis"), F.lit(False)))
+    return restrict(fit, token, F.col("particle").isNull() | F.array_contains("words", F.col("particle")))
+
+
 def gold_keys(tokens: DataFrame, sense_index: DataFrame, lexemes: DataFrame) -> DataFrame:
     """(token, funs): sense key to synset offset and tag to lexemes; tokens(token, sense_key),
     sense_index(sense_key, offset), lexemes(fun, offset)."""

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from lexloom.operators import ranking, stats
 from lexloom.plans.views import view, with_views
 from lexloom.session import table
 from lexloom.sources import resources
-from lexloom.streaming import collab, tail
+from lexloom.streaming import tail
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -115,26 +114,40 @@ def variants_cross(spark, d):
 def numeral_round_trip(spark, d):
     """Trees of numerals are read back by their value."""
 
-    @F.udf("boolean")
-    def same(n, t):
-        return t is not None and numeral_value(t) == n
+    @F.pandas_udf("boolean")
+    def same(n: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and numeral_value(x) == k for k, x in zip(n, t, strict=True)])
 
     n = table(spark, d, "lineitem").select(F.col("l_partkey").alias("n")).distinct()
     return n.select("n", same("n", numerals.numeral("n")).alias("ok"))
 
 
-@query()
+BELOW_10 = "CASE WHEN {n} = 1 THEN 'pot01' ELSE '(pot0 n' || {n} || ')' END"
+BELOW_100 = (
+    "CASE WHEN {n} < 10 THEN '(pot0as1 ' || " + BELOW_10 + " || ')' WHEN {n} = 10 THEN 'pot110' WHEN {n} = 11 THEN 'pot111' WHEN {n} < 20 THEN '(pot1to19 n' || {n} - 10 || ')' "
+    "WHEN {n} % 10 = 0 THEN '(pot1 n' || {n} // 10 || ')' ELSE '(pot1plus n' || {n} // 10 || ' ' || " + BELOW_10.replace("{n}", "({n} % 10)") + " || ')' END"
+)
+
+
+@query(f"""
+WITH s AS (SELECT n, CASE WHEN n < 100 THEN '(pot1as2 ' || {BELOW_100.format(n="n")} || ')' WHEN n = 100 THEN 'pot21' WHEN n % 100 = 0 THEN '(pot2 ' || {BELOW_10.format(n="(n // 100)")} || ')'
+  ELSE '(pot2plus ' || {BELOW_10.format(n="(n // 100)")} || ' ' || {BELOW_100.format(n="(n % 100)")} || ')' END AS t FROM range(1, 1000) r(n)),
+o AS (SELECT o_orderkey AS n, o_orderkey // 1000 AS h, o_orderkey % 1000 AS r FROM orders)
+SELECT o.n, CASE WHEN o.n > 0 THEN '(num (pot4as5 (pot3as4 ' || CASE WHEN o.h = 0 THEN '(pot2as3 ' || b.t || ')' WHEN o.r > 0 THEN '(pot3plus ' || a.t || ' ' || b.t || ')' WHEN o.h = 1 THEN 'pot31' ELSE '(pot3 ' || a.t || ')' END || ')))' END AS tree
+FROM o LEFT JOIN s a ON a.n = o.h LEFT JOIN s b ON b.n = o.r""")
 def numeral_tree(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), numerals.numeral("o_orderkey").alias("tree"))
 
 
-@query("SELECT DISTINCT a.p_name AS name, (SELECT min(b.p_type) FROM part b WHERE levenshtein(a.p_name, b.p_type) = (SELECT min(levenshtein(a.p_name, c.p_type)) FROM part c)) AS nearest FROM part a")
+@query("""
+WITH t AS (SELECT DISTINCT p_brand, p_type FROM part)
+SELECT p_partkey AS id, (SELECT arg_min(t.p_type, (levenshtein(p_name, t.p_type), t.p_type)) FROM t WHERE t.p_brand = part.p_brand) AS nearest FROM part""")
 def levenshtein_nearest(spark, d):
-    """Names against the few types."""
+    """Each part's name against the types of its brand, which are its candidate labels."""
     part = table(spark, d, "part")
-    types = part.select(F.col("p_type").alias("form")).distinct()
-    rows = part.select(F.col("p_name").alias("name")).distinct().withColumn("k", F.lit(1)).join(types.withColumn("k", F.lit(1)), "k")
-    return ranking.nearest_by_edits(rows, "name", "name", "form").select("name", F.col("form").alias("nearest"))
+    types = part.select("p_brand", F.col("p_type").alias("form")).distinct()
+    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_brand").join(types, "p_brand")
+    return ranking.nearest_by_edits(rows, "id", "name", "form").select("id", F.col("form").alias("nearest"))
 
 
 TRANSLIT = dict(zip("äöüßéèêçñáíóúàâîôûëïœæ", ["ae", "oe", "ue", "ss", *"eeecnaiouaaioueioe"], strict=False))
@@ -166,7 +179,11 @@ def bow_cosine(spark, d):
     return stats.cosine(a, b).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS n, p_type FROM part),
+s AS (SELECT id, unnest(range(1, len(n) + 1)) AS p, 1 AS size, NULL AS form FROM p UNION ALL SELECT id, len(n) + 1, len(string_split(p_type, ' ')), p_type FROM p
+  UNION ALL SELECT id, unnest(range(len(n) + len(string_split(p_type, ' ')) + 1, 2 * len(n) + len(string_split(p_type, ' ')) + 1)), 1, NULL FROM p)
+SELECT id, CAST(p AS INT) AS "at", size::INT AS size, form FROM s""")
 def segment_longest(spark, d):
     """Types as multi-word entries, part names and types strung together as texts."""
     part = table(spark, d, "part")
@@ -249,7 +266,9 @@ def taxonomy_parse(spark, d):
     return syn.filter(ok).select("id", F.size("children").cast("long").alias("n"), F.aggregate("pointers", F.lit(0).cast("long"), lambda a, p: a + p["tgt"]).alias("total"))
 
 
-@query()
+@query("""
+WITH k AS (SELECT l_orderkey AS o, string_agg('p' || l_partkey || '_N', ' ' ORDER BY 'p' || l_partkey || '_N') AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT 'abs*' AS state, 'PhrUtt ' || k AS expr, 'text ' || o AS eng, (n + 1)::INT AS n_funs FROM k""")
 def examples_blocks(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("p"), "l_partkey", F.lit("_N")))), " ").alias("k"))
     v = F.concat(F.lit("abs* PhrUtt "), "k", F.lit("\neng: text "), "l_orderkey", F.lit("\nswe: \nbul: \nkey: 1 "), "k")
@@ -290,10 +309,10 @@ def em_initial_counts(spark, d):
     return stats.initial_counts(_sentences(spark, d))[0].select("choice", F.round("n", 6).alias("n"))
 
 
-@query()
+@query("SELECT DISTINCT p_brand AS fun, 100::INT AS rank FROM part JOIN lineitem ON l_partkey = p_partkey")
 def nmf_embedding(spark, d):
     p = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("head"), F.col("p_type").alias("mod")).agg(F.count("*").cast("double").alias("p"))
-    left, _ = stats.nmf(p, rank=4, rounds=5)
+    left, _ = stats.nmf(p, rounds=3)
     return stats.normalised_vectors(left).select("fun", F.size("vector").alias("rank"))
 
 
@@ -306,20 +325,3 @@ def stream_edit_counts(spark, d):
 def stream_daily_windows(spark, d):
     out = tail.drained(tail.windowed(tail.follow(spark, f"{d}/events.parquet"), "1 day", late="3650 days"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
-
-
-@query()
-def collab_ot_replay(spark, d):
-    """Conversations as documents: each turn was written without knowing the one before."""
-    t = table(spark, d, "conversations").filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("x"))
-    up = F.to_json(F.array(F.struct(F.coalesce("x.role", F.lit("")).alias("clientID"), F.array(F.array(F.lit("0"), F.coalesce("x.text", F.lit("")))).alias("changes"))))
-    up = F.replace(up, F.lit('[["0",'), F.lit("[[0,"))
-    v = F.greatest(F.row_number().over(_by_turn()) - 2, F.lit(0)).cast("long")
-    pushes = t.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").alias("seq"), v.alias("version"), up.alias("updates"))
-    return collab.push_batch(pushes)
-
-
-def _by_turn():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("conv_id").orderBy("turn")
