@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("lexical", "graphs", "knowledge", "editing", "syntax", "access", "formats", "learning")
+MODULES: tuple[str, ...] = ("lexical", "graphs", "knowledge", "editing", "syntax", "access", "formats", "learning", "programs")
 
 
 def collect() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:

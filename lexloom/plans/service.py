@@ -4,11 +4,14 @@ One request may name several things; the first that is present in the order belo
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import program
+from lexloom.operators import edits as ed
 from lexloom.operators import graph, lookup, patterns, stats
 
 ORDER = ("lexical_ids", "context_id", "gloss_id", "generalize_ids", "list_domains", "domain", "list_top_classes", "class_id", "pattern_match")
@@ -72,6 +75,49 @@ def answer(lex: Lexicon, params: dict[str, list[str]]) -> DataFrame:
     return patterns.match(lex.facts, lex.lexemes.select("fun", F.col("synset_id").alias("synset")), triples)
 
 
+def functions(entities: DataFrame, params: dict[str, str]) -> DataFrame:
+    """A program over entities (qid, json): code, lang, and input, a JSON list of option and index in turn.
+    Results grouped by headers; a program that can't be read is an error."""
+    given = json.loads(params.get("input", "[]"))
+    if len(given) % 2:
+        raise ValueError("choices come in pairs")
+    lang = params.get("lang", "ParseEng").removeprefix("Parse").lower()
+    return program.datasets(program.run(entities, params["code"], lang, dict(zip(given[::2], given[1::2], strict=True))))
+
+
+@dataclass
+class Content:
+    """The edit workflow: definitions (lex_id, lang, def), lexemes, the concrete files' lines, the edit log
+    and the examples (state, expr). Changes replace the tables that the next request sees."""
+
+    definitions: DataFrame | None
+    lexemes: DataFrame
+    lines: DataFrame | None
+    edits: DataFrame
+    examples: DataFrame | None = None
+
+    def answer(self, params: dict[str, str]) -> DataFrame:
+        """The first of these that is present: get_id, update_id, commit, pick_example, update_example."""
+        user, lang = params.get("user", ""), params.get("lang", "")
+        if "get_id" in params:
+            return ed.definitions(self.definitions, self.edits, user).filter((F.col("lex_id") == params["get_id"]) & (F.col("lang") == lang))
+        seq = (self.edits.agg(F.max("seq")).first()[0] or 0) + 1
+        if "update_id" in params:
+            self.lexemes, self.edits = ed.update_lexeme(self.lexemes, self.edits, seq, user, params["update_id"], lang, params["def"])
+            return ed.counts(self.edits).filter(F.col("user") == user)
+        if "commit" in params:
+            self.lines, self.edits = ed.commit(self.lines, self.edits, user)
+            return self.lines
+        if "pick_example" in params:
+            return lookup.pick_example(self.examples, int(params["pick_example"] or 0))
+        if "update_example" in params:
+            named = self.lexemes.sparkSession.createDataFrame([(x,) for x in params["key"].split()], "fun string")
+            self.lexemes, _ = ed.promote(self.lexemes, named, ["bul", "swe"])
+            self.lexemes = ed.add_example(self.lexemes, named, int(params["update_example"]))
+            return self.lexemes
+        raise ValueError("one of get_id, update_id, commit, pick_example, update_example is needed")
+
+
 def as_json(df: DataFrame, callback: str | None = None) -> DataFrame:
     """One JSON text a row, wrapped in a call where a callback is named."""
     j = F.to_json(F.struct(*df.columns))
