@@ -336,3 +336,31 @@ ORACLES["conjunct_lists"] = """
 WITH i AS (SELECT l_orderkey AS id, list_reverse(list_sort(list_distinct(list('p' || l_partkey)))) AS x FROM lineitem GROUP BY 1),
 c(cat) AS (VALUES ('S'), ('Adv'), ('AP'), ('NP'), ('RS'))
 SELECT id, cat, list_reduce(list_prepend('Base' || cat || ' ' || x[2] || ' ' || x[1], x[3:]), lambda a, y: 'Cons' || cat || ' ' || y || ' (' || a || ')') AS tree FROM i, c WHERE len(x) > 1"""
+
+
+def constructor_dispatch(spark, d):
+    """Overloads chosen by what the arguments are: names, verbs with and without object, and numbers."""
+    from lexloom.session import table
+
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_linenumber") % 3).alias("kind")).distinct()
+
+    @F.pandas_udf("string")
+    def built(p: pd.Series, s: pd.Series, k: pd.Series) -> pd.Series:
+        def one(a, b, kind):
+            cats = {f"p{a}_PN": "PN", f"s{b}_NP": "NP", "sleep_V": "V", "see_V2": "V2"}
+            if kind == 0:
+                return constructors.dispatched("mkCl", f"s{b}_NP", "sleep_V", cats=cats)
+            if kind == 1:
+                return constructors.dispatched("mkCl", f"s{b}_NP", "see_V2", f"s{b}_NP", cats=cats)
+            return constructors.dispatched("mkDigits", int(b), cats=cats)
+
+        return pd.Series([one(*r) for r in zip(p, s, k, strict=True)])
+
+    return li.select("l_partkey", "l_suppkey", "kind", built("l_partkey", "l_suppkey", "kind").alias("tree"))
+
+
+QUERIES["constructor_dispatch"] = constructor_dispatch
+ORACLES["constructor_dispatch"] = """
+SELECT l_partkey, l_suppkey, kind, CASE kind WHEN 0 THEN 'PredVP s' || l_suppkey || '_NP (UseV sleep_V)' WHEN 1 THEN 'PredVP s' || l_suppkey || '_NP (ComplV2 see_V2 s' || l_suppkey || '_NP)'
+  ELSE list_reduce(list_prepend('IDig D_' || right(l_suppkey::VARCHAR, 1), list_reverse(string_split(left(l_suppkey::VARCHAR, -1), ''))), lambda a, x: CASE WHEN x = '' THEN a ELSE 'IIDig D_' || x || ' (' || a || ')' END) END AS tree
+FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber % 3 AS kind FROM lineitem)"""
