@@ -94,7 +94,10 @@ def ranked_by_rules(candidates: DataFrame, tokens: DataFrame, rules: dict[str, l
     whole = tokens.join(kids, ["sent", "pos"], "left").withColumn("kids", F.coalesce("kids", F.array().cast(more)))
     c = candidates.join(whole.select("sent", "pos", node(["kids"]).alias("node_")), ["sent", "pos"])
     stat = F.struct(F.lit(0).alias("res"), F.lit(1).alias("n"))
-    for cat, own in rules.items():
+    # only the categories that occur become part of the plan; there are at most as many as rules
+    present = {r[0] for r in candidates.filter(F.col("cat").isin(*rules)).select("cat").distinct().collect()}
+    for cat in sorted(present):
+        own = rules[cat]
         stat = F.when(F.col("cat") == cat, _all(own, F.col("node_"), F.col("lemma"), 2)).otherwise(stat)
     return c.withColumn("stat_", stat).select("sent", "pos", "lemma", "cat", F.col("stat_.res").alias("score"), F.col("stat_.n").alias("cnt"))
 

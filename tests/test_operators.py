@@ -342,3 +342,68 @@ def test_services(spark):
     assert service.as_json(ask(gloss_id="dog_N"), "cb").first().value.startswith("cb({")
     with pytest.raises(ValueError):
         ask(other="x")
+
+
+def test_programs_are_checked_when_read():
+    from lexloom.functions import program
+
+    p = program.read("main = f 1 ; f = \\x -> g x ; g : Int -> Int = \\x -> plusInt x 1 ; -- a comment")
+    assert p.order.index("g") < p.order.index("f") < p.order.index("main")
+    run = lambda text, fixed=None: [(v, c) for v, c in program.Evaluator(program.read(text), lambda q: {"P1": [1, 2], "label": ["x"]} if q == "Q1" else None, "Q1", "eng", fixed).main()]
+    assert run("main = f 1 ; f = \\x -> g x ; g : Int -> Int = \\x -> plusInt x 1 ;") == [(2, ())]
+    assert run("main = plusInt (entity qid).P1 variants {10; 20} ;") == [(11, ()), (21, ()), (12, ()), (22, ())]
+    # an option that was chosen once holds wherever it comes again
+    assert run("main = {a = o; b = o} ; o = [k: 1 | 2] ;") == [({"a": 1, "b": 1}, (("k", 0),)), ({"a": 2, "b": 2}, (("k", 1),))]
+    assert run("main = {a = o} ; o = [k: 1 | 2] ;", {"k": 1}) == [({"a": 2}, (("k", 1),))]
+    assert run("main = divInt (minusInt 0 7) 2 ;") == [(-4, ())] and run("main = round 2.5 0 ;") == [(2.0, ())]
+    for bad in ("x = 1 ;", "main = a ; a = main ;", "main = nothing ;", "main = ( 1 ;", "main = plusInt 1 2 3 ;", "main = {a = 1 ;"):
+        with pytest.raises(program.ProgramError):
+            program.read(bad)
+    for bad in ('main = plusInt "a" 1 ;', "main = modInt 1 0 ;", 'main = entity "Q9" ;', "main = case 1 of {2 => 3} ;", "main = compare 1 1.0 ;", "f : Int -> Int = \\x -> x ; f : Str -> Int = \\x -> 1 ; main = f 1.5 ;"):
+        with pytest.raises(program.RowError):
+            run(bad)
+
+
+def test_entity_cache_keeps_the_last():
+    from lexloom.functions import program
+
+    asked = []
+    get = program.Entities(lambda q: asked.append(q) or '{"labels":{"en":{"value":"x"}},"claims":{}}', "de", most=2)
+    for q in ("a", "b", "a", "c", "a", "b"):
+        assert get(q)["label"] == ["x"]
+    assert asked == ["a", "b", "c", "b"]
+
+
+def test_cycles_are_errors(spark):
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "child long, parent long")
+    nodes = spark.range(1, 5)
+    with pytest.raises(ValueError, match="cycle"):
+        graph.levels(loop, nodes)
+    with pytest.raises(ValueError, match="cycle"):
+        intervals.tree_paths(loop, nodes)
+    assert rows(graph.closure(loop).select("src", "anc").filter("src = anc")) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_deep_domains_and_shortest_digits(spark):
+    chain = spark.createDataFrame([(i, f"d{i}", i - 1 if i else None) for i in range(12)], "id long, name string, parent long")
+    out = lookup.domain_tree_json(chain).first()
+    assert out.children.count('"name"') == 11
+    val = lambda x: spark.range(1).select(kb.float_decimal(F.lit(x))).first()[0]
+    assert val(1e-5) == "(IFrac (IFrac (IFrac (IFrac (IFrac (PosDecimal (IDig D_0)) D_0) D_0) D_0) D_0) D_1)"
+    assert val(1.5e7).startswith("(PosDecimal (IIDig D_1 (IIDig D_5") and val(0.1) == "(IFrac (PosDecimal (IDig D_0)) D_1)" and val(float("nan")) is None
+
+
+def test_small_tables_are_never_cut(spark):
+    with pytest.raises(ValueError, match="more than"):
+        resources.bounded(spark.range(11), 10)
+    assert len(resources.bounded(spark.range(10), 10)) == 10
+
+
+def test_a_bad_push_is_rejected():
+    class Push:
+        def __init__(self, version, updates):
+            self.version, self.updates = version, updates
+
+    doc = collab.Document()
+    assert collab.accepted("d", doc, Push(5, "[]")) == [] and collab.accepted("d", doc, Push(0, "not json")) == []
+    assert collab.accepted("d", doc, Push(0, '[{"clientID": "a", "changes": [[0, "x"]]}]')) == [("d", 1, "a", '[[0, "x"]]')]
