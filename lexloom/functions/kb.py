@@ -42,6 +42,30 @@ def decoded(datatype: Column, value: Column) -> Column:
     )
 
 
+# The types of the language and the datatypes that they take.
+DATATYPES = {"Int": ("quantity",), "Float": ("quantity",), "Time": ("time",), "Str": ("commonsMedia", "wikibase-item", "monolingualtext", "string"), "Coordinate": ("globe-coordinate",)}
+
+
+def typed_entity(entities: DataFrame, fields: dict[str, str], lang: str = "en") -> DataFrame:
+    """qid and a column for each field of the asked record type, an array of alternatives: properties
+    decoded by their datatype, of which those that don't fit the field's type drop out, and ``label``.
+    A missing property has no alternatives."""
+    fits = lambda kinds: lambda c: c["datatype"].isin(*kinds)
+    cast_to = lambda to: lambda x: x.try_cast(to)
+    cols = []
+    for name, kind in fields.items():
+        if name == "label":
+            one = label(F.col("json"), lang)
+            cols.append(F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>")).alias("label"))
+            continue
+        fit = F.filter(claims(F.col("json"), name), fits(DATATYPES[kind]))
+        values = F.transform(fit, lambda c: decoded(c["datatype"], c["value"]))
+        if kind in ("Int", "Float"):
+            values = F.transform(values, cast_to("long" if kind == "Int" else "double"))
+        cols.append(F.filter(values, lambda x: x.isNotNull()).alias(name))
+    return entities.select("qid", *cols)
+
+
 def qualifier(snak: Column, prop: str) -> Column:
     """Values of a qualifier or a reference, whichever has the property; undecodable ones drop out."""
     kind = "array<struct<snaktype:string,datatype:string,datavalue:struct<value:string>>>"

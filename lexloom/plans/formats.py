@@ -302,3 +302,25 @@ SELECT fun, lin, 1 AS o, 2 AS s, 1 AS w, coalesce(l, 0) AS l FROM t WHERE old OR
 def merge_translations(spark, d):
     have, new = _candidates(spark, d)
     return ranking.merge_translations(have, new).select("fun", "lin", "o", "s", "w", "l")
+
+
+@query("SELECT n_nationkey AS id, n_name || ' <&> \"x\"' AS name FROM nation")
+def workbook_report(spark, d):
+    """A spreadsheet written and its cells read again."""
+    import io
+    import re
+    import zipfile
+    from xml.sax.saxutils import unescape
+
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat("n_name", F.lit(' <&> "x"')).alias("name"))
+    xml = zipfile.ZipFile(io.BytesIO(resources.workbook(n))).read("xl/sheet.xml").decode()
+    cells = re.findall(r"<row><c><v>([0-9]+)</v></c><c[^>]*><is><t[^>]*>(.*?)</t></is></c></row>", xml)
+    return spark.createDataFrame([(int(a), unescape(b)) for a, b in cells], "id int, name string")
+
+
+@query("SELECT 'Q' || c_custkey AS qid, c_name AS label, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS kinds, CASE WHEN c_custkey % 5 = 0 THEN 'Q1' ELSE '' END AS given, 0 AS none FROM customer")
+def typed_entities(spark, d):
+    """A record type's fields: references, a property whose values are of another type, and one that is missing."""
+    j = F.replace("json", F.lit('"snaktype":"value","datavalue"'), F.lit('"snaktype":"value","datatype":"wikibase-item","datavalue"'))
+    out = kb.typed_entity(_dump(spark, d).withColumn("json", j), {"label": "Str", "P31": "Str", "P735": "Str", "P18": "Int", "P999": "Float"}, "de")
+    return out.select("qid", F.get("label", 0).alias("label"), F.size("P31").alias("kinds"), F.array_join("P735", ",").alias("given"), (F.size("P18") + F.size("P999")).alias("none"))

@@ -362,6 +362,60 @@ def write_json(df: DataFrame, path: str, callback: str | None = None) -> None:
     df.select((F.concat(F.lit(f"{callback}("), j, F.lit(")")) if callback else j).alias("value")).write.mode("overwrite").text(path)
 
 
+def xz_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of xz-compressed text files, one task a file; lines are streamed, never held."""
+    import io
+    import lzma
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                with lzma.open(io.BytesIO(content.as_buffer()), "rt", encoding="utf-8", newline="\n") as f:
+                    part: list[str] = []
+                    n = 0
+                    for line in f:
+                        part.append(line.rstrip("\n"))
+                        if len(part) == 10_000:
+                            yield rows(name, n, part)
+                            n, part = n + len(part), []
+                    if part:
+                        yield rows(name, n, part)
+
+    def rows(name: str, n: int, part: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(n + 1, n + len(part) + 1), pa.int64()), pa.array(part, pa.string())], names=["file", "line_no", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, line_no long, value string")
+
+
+SHEET_ROWS = 1_048_575
+
+
+def workbook(df: DataFrame) -> bytes:
+    """A report as a spreadsheet file with a header row; more rows than a sheet holds are an error."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    cell = lambda x: "<c/>" if x is None else f"<c><v>{x}</v></c>" if isinstance(x, (int, float)) and not isinstance(x, bool) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(x))}</t></is></c>'
+    lines = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [df.columns, *map(tuple, bounded(df, SHEET_ROWS))])
+    space, kind = "http://schemas.openxmlformats.org", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    files = {
+        "[Content_Types].xml": f'<Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/sheet.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="r1" Type="{space}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="r1" Type="{space}/officeDocument/2006/relationships/worksheet" Target="sheet.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets><sheet name="report" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/sheet.xml": f'<worksheet xmlns="{space}/spreadsheetml/2006/main"><sheetData>{lines}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+    return out.getvalue()
+
+
 def treebank(choices: DataFrame) -> DataFrame:
     """(sent, line): each token's choices as ``[best best | others]`` in order of position; choices
     (sent, pos, first, rest)."""

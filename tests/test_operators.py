@@ -407,3 +407,12 @@ def test_a_bad_push_is_rejected():
     doc = collab.Document()
     assert collab.accepted("d", doc, Push(5, "[]")) == [] and collab.accepted("d", doc, Push(0, "not json")) == []
     assert collab.accepted("d", doc, Push(0, '[{"clientID": "a", "changes": [[0, "x"]]}]')) == [("d", 1, "a", '[[0, "x"]]')]
+
+
+def test_xz_lines(spark, tmp_path):
+    import lzma
+
+    with lzma.open(tmp_path / "a.conllu.xz", "wt") as f:
+        f.write("1\tdog\n\n2\tcat é\n" + "x\n" * 25_000)
+    got = resources.xz_lines(spark, str(tmp_path)).filter("line_no <= 3 or line_no > 25002").orderBy("line_no").collect()
+    assert [(r.line_no, r.value) for r in got] == [(1, "1\tdog"), (2, ""), (3, "2\tcat é"), (25003, "x")]
