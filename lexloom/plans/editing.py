@@ -78,10 +78,11 @@ def image_choice(spark, d):
 
 @query("""
 WITH p AS (SELECT l_orderkey AS key, concat('c', l_linenumber) AS choice, l_discount AS p FROM lineitem), m AS (SELECT key, max(round(p, 6)) AS m FROM p GROUP BY key)
-SELECT p.key, string_agg(choice, ' ' ORDER BY choice) FILTER (round(p, 6) = m) AS first FROM p JOIN m ON m.key = p.key GROUP BY p.key""")
+SELECT p.key, string_agg(choice, ' ' ORDER BY choice) FILTER (round(p, 6) = m) AS first,
+  coalesce(string_agg(choice, ' ' ORDER BY round(p, 6) DESC, choice) FILTER (round(p, 6) < m), '') AS rest FROM p JOIN m ON m.key = p.key GROUP BY p.key""")
 def ranked_choices(spark, d):
     p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.concat(F.lit("c"), "l_linenumber").alias("choice"), F.col("l_discount").alias("p"))
-    return ranking.ranked_choices(p).select("key", F.array_join("first", " ").alias("first"))
+    return ranking.ranked_choices(p).select("key", F.array_join("first", " ").alias("first"), F.array_join("rest", " ").alias("rest"))
 
 
 @query(f"""

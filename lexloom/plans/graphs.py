@@ -157,6 +157,21 @@ def crawl_neighbourhood(spark, d):
     return graph.crawl(edges, starts, 4)[0]
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT child AS a, parent AS b FROM hyper UNION SELECT parent, child FROM hyper),
+go(start, node, dist) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey IN (SELECT id FROM syn) UNION SELECT g.start, e.b, g.dist + 1 FROM go g JOIN e ON e.a = g.node WHERE g.dist < 2),
+n AS (SELECT DISTINCT start, node FROM go)
+SELECT x.start, h.child AS src, h.parent AS tgt FROM hyper h JOIN n x ON x.node = h.child JOIN n y ON y.node = h.parent AND y.start = x.start""")
+def crawl_edges(spark, d):
+    """Edges among the nodes of a neighbourhood; each is stored with its inverse, and one direction is kept."""
+    up = view(spark, d, "hyper").select(F.col("child").alias("src"), F.col("parent").alias("tgt"), F.lit("Hypernym").alias("sym"))
+    edges = up.unionByName(up.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), F.lit("Hyponym").alias("sym")))
+    starts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).join(view(spark, d, "syn").select("id"), "id", "left_semi")
+    kept = graph.crawl(edges, starts, 2)[1]
+    up = F.col("sym") == "Hypernym"
+    return kept.select("start", F.when(up, F.col("src")).otherwise(F.col("tgt")).alias("src"), F.when(up, F.col("tgt")).otherwise(F.col("src")).alias("tgt"))
+
+
 @query("""
 WITH RECURSIVE up(id, lv) AS (SELECT id, 0 FROM syn UNION SELECT h.child, u.lv + 1 FROM up u JOIN hyper h ON h.parent = u.id)
 SELECT id, CAST(max(lv) AS BIGINT) AS level FROM up GROUP BY id""")

@@ -293,14 +293,6 @@ def _sentences(spark, d) -> DataFrame:
     return j.select(F.col("l_orderkey").alias("sent"), F.col("l_linenumber").alias("node"), (F.col("l_linenumber") - 1).alias("head"), F.explode(F.array("p_brand", "p_type")).alias("choice"))
 
 
-@query()
-def em_expected_counts(spark, d):
-    c = _sentences(spark, d)
-    uni, bi = stats.initial_counts(c)
-    step = stats.expected(c, uni, bi)
-    return step.filter("kind = 'uni'").groupBy(F.col("mod").alias("choice")).agg(F.round(F.sum("w"), 6).alias("expected"))
-
-
 @query("""
 WITH li AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_partkey FROM lineitem),
 c AS (SELECT l_orderkey AS sent, l_linenumber AS node, unnest([p_brand, p_type]) AS choice FROM li JOIN part ON p_partkey = l_partkey)

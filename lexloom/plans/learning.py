@@ -292,3 +292,11 @@ def collab_unseen(spark, d):
     done = collab.push_batch(pushes(spark, d))
     known = done.select("doc_id").distinct().select("doc_id", F.lit("r").alias("reader"), F.lit(1).cast("long").alias("version"))
     return collab.pull(done, known).select("doc_id", "version", "client")
+
+
+@query("SELECT n_name AS fun, 'i' || n_regionkey AS image FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT n_name || '_Fem', 'i' || n_regionkey FROM nation WHERE n_nationkey % 2 = 0")
+def mirrored_images(spark, d):
+    """The other gender's form of a name gets the same image."""
+    n = table(spark, d, "nation")
+    have = n.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("fun"), F.concat(F.lit("i"), "n_regionkey").alias("image"))
+    return ranking.mirrored(have, n.select(F.col("n_name").alias("fun"), F.concat("n_name", F.lit("_Fem")).alias("twin")))
