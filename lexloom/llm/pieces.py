@@ -12,9 +12,9 @@ score, not the order of merges of a merge model.
 
 Chunks go back to their documents by blocks of bounded size: each block asks for the distinct
 chunks that it needs, the requests meet the answers under the chunk, and both the block's
-compressed texts under its key. The commonest chunks, up to FREQUENT of them, are sent to the
-workers instead, so no hot chunk gathers its requests. The lattice tells chunks apart by 128 bits
-of hash.
+compressed texts under its key. The commonest chunks, up to FREQUENT of them, are encoded first and
+sent to the workers, so nothing asks for them. Which these are is told from a sample;
+that only saves traffic and changes no result. The lattice tells chunks apart by 128 bits of hash.
 
 Decoding joins the pieces' bytes in document order, in built-in functions alone (``decode``);
 encoded documents carry the checksum of their decoded bytes besides.
@@ -30,6 +30,7 @@ import math
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch, bounded_batches, release, tidied
 
 MARK = "▁"
-FREQUENT = 1 << 18
+FREQUENT, SAMPLE = 3 << 17, 40_000
 HELD = 200_000
 SLICE = 50_000  # words cut at a time
 LONGEST_CHUNK = 128
@@ -136,23 +137,32 @@ def load(model_path: str) -> Vocabulary:
     return Vocabulary(pieces, hex_of, max(len(p) for p, *_ in pieces), min(s for *_, s in pieces) - 10.0, bytes_[0])
 
 
-def best_path(edges: Column) -> Column:
-    """For each position the best way to it: an array of struct(t, s, id), position 0 first, with
-    the sum of scores, minus the first character of the last piece, and its id. edges:
-    struct(e, s, id, score); positions count from 1, an edge covers s to e, and each e has one."""
-    way = lambda t, s, i: F.struct(t.cast("double").alias("t"), s.cast("int").alias("s"), i.cast("int").alias("id"))
+def best_scores(edges: Column) -> Column:
+    """The highest total score of a way to each position, position 0 first. edges: struct(e, s, id,
+    score), sorted; an edge covers the characters -s to e, counted from 1, and each e has one."""
 
     def step(a: Column, x: Column) -> Column:
-        new = way(F.get(a, x["s"] - 1)["t"] + x["score"], -x["s"], x["id"])
-        better = F.concat(F.slice(a, F.lit(1), x["e"]), F.array(F.greatest(F.get(a, x["e"]), new)))
-        return F.when(F.size(a) == x["e"], F.array_append(a, new)).otherwise(better)
+        # the greatest of a score and none is that score; appending is far cheaper than concat here
+        return F.array_append(F.slice(a, F.lit(1), x["e"]), F.greatest(F.get(a, x["e"]), F.get(a, -x["s"] - 1) + x["score"]))
 
-    return F.aggregate(F.sort_array(edges), F.array(way(F.lit(0.0), F.lit(0), F.lit(0))), step)
+    return F.aggregate(edges, F.array(F.lit(0.0).cast("double")), step)
 
 
-def read_back(steps: Column, v: Vocabulary) -> Column:
-    """Ids along the best way to the last position; the id of an unknown character is minus its
-    code point and becomes its UTF-8 bytes."""
+def read_back(edges: Column, scores: Column) -> Column:
+    """Ids along the best way to the last position: from the last edge back, the first that reaches
+    its end with that end's score, so of equals the longer piece, as starts are sorted by their
+    negative. The id of an unknown character is minus its code point."""
+
+    def back(a: Column, x: Column) -> Column:
+        on = (a["e"] == x["e"]) & (F.get(scores, x["e"]) == F.get(scores, -x["s"] - 1) + x["score"])
+        return F.when(on, F.struct((-x["s"] - 1).alias("e"), F.array_append(a["ids"], x["id"]).alias("ids"))).otherwise(a)
+
+    start = F.struct((F.size(scores) - 1).alias("e"), F.array().cast("array<int>").alias("ids"))
+    return F.aggregate(F.reverse(edges), start, back, lambda a: F.reverse(a["ids"]))
+
+
+def spelled(ids: str, v: Vocabulary) -> Column:
+    """Ids with each unknown character, which is minus its code point, as its UTF-8 byte pieces."""
 
     def as_bytes(cp: Column) -> Column:
         tail = lambda k: cp.bitwiseAND(0) + 128 + F.shiftright(cp, k).bitwiseAND(63)
@@ -164,14 +174,8 @@ def read_back(steps: Column, v: Vocabulary) -> Column:
         )
         return F.transform(units, lambda u: u + v.byte_zero)
 
-    def back(a: Column, i: Column) -> Column:
-        way = F.get(steps, i)
-        ids = F.when(way["id"] >= 0, F.array(way["id"])).otherwise(as_bytes(-way["id"]))
-        return F.when(a["e"] == i, F.struct((-way["s"] - 1).alias("e"), F.concat(ids, a["ids"]).alias("ids"))).otherwise(a)
-
-    n = F.size(steps) - 1
-    start = F.struct(n.alias("e"), F.array().cast("array<int>").alias("ids"))
-    return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), start, back, lambda a: a["ids"])
+    each = F.transform(ids, lambda i: F.when(i < 0, as_bytes(-i)).otherwise(F.array(i)))
+    return F.when(F.exists(ids, lambda i: i < 0), F.flatten(each)).otherwise(F.col(ids))
 
 
 def walk(chunk: str, score: dict[str, tuple[float, int]], v: Vocabulary) -> list[int]:
@@ -203,8 +207,8 @@ def walked(v: Vocabulary):
 
 
 def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
-    """(chunk, n, ids): each distinct chunk of wanted(chunk, n), how often it was asked for, and its
-    ids. The ids of a chunk of more than LONGEST_CHUNK characters are null.
+    """(chunk, ids): each distinct chunk of wanted(chunk) and its ids, which are null for a chunk of
+    more than LONGEST_CHUNK characters.
 
     Everything behind the one exchange stays in its partition: grouping, explode, join, grouping."""
     spark = wanted.sparkSession
@@ -212,25 +216,26 @@ def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
     # a chunk unfolds into some fifty rows, so more and smaller partitions than usual
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     h1, h2 = F.xxhash64("chunk"), F.xxhash64("chunk", F.lit(1))
-    keyed = wanted.repartition(partitions, h1, h2).select(h1.alias("h1"), h2.alias("h2"), "chunk", "n")
-    keyed = keyed.groupBy("h1", "h2", "chunk").agg(F.sum("n").alias("n"))
+    keyed = wanted.select("chunk").repartition(partitions, h1, h2).select(h1.alias("h1"), h2.alias("h2"), "chunk").distinct()
     # start 0 stands for the chunk itself; the others are substrings
     size = F.length("chunk")
     starts = F.sequence(F.lit(0), F.when(size <= LONGEST_CHUNK, size).otherwise(0))
-    cut = keyed.select("h1", "h2", "chunk", "n", F.explode(starts).alias("s"))
+    cut = keyed.select("h1", "h2", "chunk", F.explode(starts).alias("s"))
     ends = F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("s"), F.least(F.col("s") + v.longest - 1, size)))
-    asked = F.when(F.col("s") == 0, F.struct("chunk", "n")).alias("asked")
+    asked = F.when(F.col("s") == 0, F.struct("chunk")).alias("asked")
     cut = cut.select("h1", "h2", "chunk", asked, "s", F.explode(ends).alias("e"))
     cut = cut.select("h1", "h2", "asked", "s", "e", F.substr("chunk", F.col("s"), F.col("e") - F.col("s") + 1).alias("piece"))
     # joined by a hash, which is the quicker key, and held against the piece itself
     hit = cut.withColumn("ph", F.when(F.col("s") > 0, F.xxhash64("piece"))).join(F.broadcast(table), "ph", "left")
     edges = hit.withColumn("id", F.when(F.col("own") == F.col("piece"), F.col("id"))).filter(F.col("id").isNotNull() | (F.col("s") == F.col("e")))
     score = F.when(F.col("id").isNull(), v.unknown_score).otherwise(F.col("score")).alias("score")
-    edge = F.when(F.col("s") > 0, F.struct("e", "s", F.coalesce("id", -F.ascii("piece")).alias("id"), score))
+    edge = F.when(F.col("s") > 0, F.struct("e", (-F.col("s")).alias("s"), F.coalesce("id", -F.ascii("piece")).alias("id"), score))
     edges = edges.select("h1", "h2", "asked", edge.alias("edge"))
     grouped = edges.groupBy("h1", "h2").agg(F.collect_list("edge").alias("edges"), F.first("asked", ignorenulls=True).alias("asked"))
-    ways = grouped.select("asked", F.when(F.size("edges") > 0, best_path(F.col("edges"))).alias("steps"))
-    return ways.select("asked.chunk", "asked.n", F.when(F.col("steps").isNotNull(), read_back(F.col("steps"), v)).alias("ids"))
+    sorted_ = grouped.select("asked", F.sort_array("edges").alias("edges"))
+    ways = sorted_.select("asked", "edges", F.when(F.size("edges") > 0, best_scores(F.col("edges"))).alias("scores"))
+    found = ways.select("asked", F.when(F.size("edges") > 0, read_back(F.col("edges"), F.col("scores"))).alias("ids"))
+    return found.select("asked.chunk", spelled("ids", v).alias("ids"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -257,10 +262,32 @@ def _keyed(held: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
     return h.intdigest() - (1 << 63), t
 
 
-def _wanted(cut: Cutter):
-    """Distinct chunks with the blocks that need them; a chunk comes once in HELD of them."""
+def _counted(cut: Cutter):
+    """Chunks with the number of documents whose words hold them; a document counts once a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _blocks(batches):
+            seen: Counter[str] = Counter()
+            lists = word_lists(t.column("text"))
+            coded = pc.dictionary_encode(lists.flatten())
+            many = max(1, len(coded.dictionary))
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            once = np.unique(owner * many + coded.indices.to_numpy()) % many
+            counts = np.bincount(once, minlength=many)
+            for i in range(0, len(coded.dictionary), SLICE):
+                chunks, size = cut(coded.dictionary.slice(i, SLICE).to_pylist())
+                for c, n in zip(chunks, np.repeat(counts[i : i + len(size)], size).tolist(), strict=True):
+                    seen[c] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+
+    return run
+
+
+def _wanted(cut: Cutter, frequent: pa.Array):
+    """Distinct chunks, but for the frequent ones, with the blocks that need them; a chunk comes once in HELD of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(frequent.to_pylist())
         asked: dict[str, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
@@ -271,7 +298,7 @@ def _wanted(cut: Cutter):
         for key, t in _blocks(batches):
             own = pc.unique(word_lists(t.column("text")).flatten())
             for i in range(0, len(own), SLICE):
-                for c in set(cut(own.slice(i, SLICE).to_pylist())[0]):
+                for c in set(cut(own.slice(i, SLICE).to_pylist())[0]) - known:
                     if c not in asked:
                         asked[c] = [key]
                     elif asked[c][-1] != key:
@@ -318,15 +345,16 @@ def _assembled(cut: Cutter, frequent: pa.Array, flat: np.ndarray, ends: np.ndarr
         # each distinct word of the block once, then the documents as runs of words
         lists = word_lists(t.column("text"))
         coded = pc.dictionary_encode(lists.flatten())
-        places, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        chunks, counts = [], [np.empty(0, np.int64)]
         for i in range(0, len(coded.dictionary), SLICE):
             found, count = cut(coded.dictionary.slice(i, SLICE).to_pylist())
-            place = pc.index_in(pa.array(found, pa.string()), value_set=known)
-            if place.null_count:
-                raise RuntimeError("a block asks for chunks that it did not name before")
-            places.append(place.to_numpy())
+            chunks.append(pa.array(found, pa.string()))
             counts.append(count)
-        ids, size = _spread(all_flat, all_ends, np.concatenate(places))
+        # one look-up a block, as it makes a table of all that is known
+        place = pc.index_in(pa.chunked_array(chunks, pa.string()), value_set=known)
+        if place.null_count:
+            raise RuntimeError("a block asks for chunks that it did not name before")
+        ids, size = _spread(all_flat, all_ends, place.to_numpy())
         to = upto(size)[upto(np.concatenate(counts))]
         n = upto(lists.value_lengths().to_numpy())
         got, size = _spread(ids, to, coded.indices.to_numpy())
@@ -340,7 +368,7 @@ def _assembled(cut: Cutter, frequent: pa.Array, flat: np.ndarray, ends: np.ndarr
             back += [zlib.crc32(read[a + (a < b) : b]) for a, b in zip(read_to[:-1], read_to[1:], strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got, pa.int32()))
         result = pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(back, pa.int64())})
-        del t, known, all_flat, all_ends, coded, places, counts
+        del t, known, all_flat, all_ends, coded, chunks, place, counts
         release()
         return result
 
@@ -354,29 +382,36 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
-def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """doc_id, ids (array of piece ids), text_crc32 (of the text's UTF-8 bytes), decoded_crc32 (of
-    the bytes of the ids' pieces, without the blank that leads every text)."""
-    scratch, cut = Scratch(docs.sparkSession), v.cutter()
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = scratch.save(rows.mapInArrow(tidied(_wanted(cut)), "chunk string, blocks array<long>"))
-    lexicon = scratch.save(lattice(wanted.select("chunk", F.size("blocks").cast("long").alias("n")), v))
-    far = lexicon.filter("ids is null").select("chunk").mapInArrow(tidied(walked(v)), "chunk string, ids array<int>")
-    far, near = scratch.save(far), lexicon.filter("ids is not null")
-    # the chunks of most blocks, at most FREQUENT; the long ones only go where they are asked for
+def commonest(scratch: Scratch, rows: DataFrame, cut: Cutter, v: Vocabulary) -> pa.Table:
+    """(chunk, ids) of at most FREQUENT chunks, those of most documents in a sample of one in five, or
+    of about SAMPLE if that is fewer. Long ones are left out."""
+    every = max(5, rows.count() // SAMPLE)
+    some = rows.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(every)) == 0).mapInArrow(tidied(_counted(cut)), "chunk string, n long")
+    some = scratch.save(some.filter(F.length("chunk") <= LONGEST_CHUNK).groupBy("chunk").agg(F.sum("n").alias("n")))
     level = F.floor(F.log2("n") * 8).cast("int")
     least, total = 1 << 30, 0
-    for r in sorted(near.groupBy(level.alias("level")).count().collect(), reverse=True):
+    for r in sorted(some.groupBy(level.alias("level")).count().collect(), reverse=True):
         if total + r["count"] > FREQUENT:
             break
         total, least = total + r["count"], r["level"]
-    got = near.filter(level >= least).select("chunk", "ids").toArrow()
+    return lattice(some.filter(level >= least), v).toArrow()
+
+
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """doc_id, ids (array of piece ids), text_crc32 (of the text's UTF-8 bytes), decoded_crc32 (of
+    the bytes of the ids' pieces, without the blank that leads every text)."""
+    scratch, cut = Scratch(docs.sparkSession), v.cutter()
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    got = commonest(scratch, rows, cut, v)
+    frequent = pa.array(got.column("chunk").to_pylist(), pa.string())
     flat, ends = _flat(got.column("ids"))
-    rare = wanted.join(F.broadcast(near.filter(level >= least).select("chunk")), "chunk", "left_anti")
-    coded = near.filter(level < least).select("chunk", "ids").unionByName(far)
-    answers = rare.select("chunk", F.explode("blocks").alias("block")).join(coded, "chunk").select("block", "chunk", "ids")
+    wanted = scratch.save(rows.mapInArrow(tidied(_wanted(cut, frequent)), "chunk string, blocks array<long>"))
+    near = scratch.save(lattice(wanted.filter(F.length("chunk") <= LONGEST_CHUNK), v))
+    far = wanted.filter(F.length("chunk") > LONGEST_CHUNK).select("chunk").distinct().mapInArrow(tidied(walked(v)), "chunk string, ids array<int>")
+    coded = near.unionByName(scratch.save(far))
+    answers = wanted.join(coded, "chunk").select(F.explode("blocks").alias("block"), "chunk", "ids")
     packed = rows.mapInArrow(tidied(_packed), "block long, blob binary")
-    run = _assembled(cut, pa.array(got.column("chunk").to_pylist(), pa.string()), flat, ends, v.hex_of)
+    run = _assembled(cut, frequent, flat, ends, v.hex_of)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, text_crc32 long, decoded_crc32 long")
 
 
