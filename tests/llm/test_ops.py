@@ -173,6 +173,38 @@ def test_isotonic():
     assert np.allclose(quality.isotonic(np.array([1, 1, 1, 1.0]), np.array([0, 1, 0, 1.0])), [0, 0.5, 0.5, 1])
 
 
+def test_isotonic_against_brute_force():
+    """Pooling gives the greatest of the least means over all intervals around a bin."""
+    r = np.random.default_rng(1)
+    for _ in range(40):
+        n = r.integers(1, 9, 12).astype(float)
+        y = np.minimum(n, r.integers(0, 9, 12))
+        mean = lambda a, b: y[a : b + 1].sum() / n[a : b + 1].sum()  # noqa: B023, E731
+        want = [max(min(mean(a, b) for b in range(i, 12)) for a in range(i + 1)) for i in range(12)]
+        assert np.allclose(quality.isotonic(n, y), want)
+
+
+def test_quality_against_one_matrix(spark):
+    """Partition sums give the ridge solution of the whole matrix, and its features the Gaussian kernel."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["good", "bad", "long-word", "1", "x!"]) for _ in range(r.randint(1, 60))) for _ in range(240)]
+    y = [float("good" in t) for t in texts]
+    stats = quality.document_statistics(docs(spark, *texts).repartition(7))
+    model = quality.fit(stats.join(spark.createDataFrame(list(enumerate(y)), "doc_id long, y double"), "doc_id").select("x", "y"))
+    x = np.array([quality.statistics(t) for t in texts])
+    z = quality.features(x, x.mean(0), np.where(x.std(0) < 1e-9, 1, x.std(0)), model.w, model.phase)
+    penalty = np.eye(z.shape[1]) * quality.RIDGE
+    penalty[-1, -1] = 1e-6
+    beta = np.linalg.solve(z.T @ z + penalty, z.T @ np.array(y))
+    assert np.allclose(z @ beta, model.raw(x), atol=1e-6)
+    norm = np.clip((x - model.mean) / model.scale, -6, 6)
+    for i, j in ((0, 1), (5, 9), (30, 200)):
+        kernel = np.exp(-((norm[i] - norm[j]) ** 2).sum() / (4 * quality.N_STATS))
+        assert abs(z[i, :-1] @ z[j, :-1] - kernel) < 0.2
+    order = np.argsort(model.raw(x))
+    assert (np.diff(model.score(x)[order]) >= -1e-12).all()
+
+
 def test_quality_held_out(spark):
     out = queries.op1_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out")
     n, ok = out.agg(F.count("*"), F.count_if(F.col("predicted") == F.col("quality"))).first()
@@ -539,6 +571,13 @@ def test_chat_reads_back(spark):
     assert chat.digest(chat.examples(df.limit(0))).count() == 0
 
 
+def test_chat_many_turns_and_long_texts(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(400)] + [(2, 0, "user", "long " * 50_000), (2, 1, "assistant", "<|im_end|>" * 20_000)]
+    got = {g.conv_id: g for g in chat.digest(chat.examples(spark.createDataFrame(rows, CONV))).collect()}
+    assert got[1].n_turns == 400 and got[1].loss_sha256 == hashlib.sha256("".join(f"t{i}" for i in range(1, 400, 2)).encode()).hexdigest()
+    assert got[2].loss_chars == 200_000 and got[2].loss_sha256 == hashlib.sha256(("<|im_end|>" * 20_000).encode()).hexdigest()
+
+
 # 8
 def slow_jump(key, n):
     b, j = -1, 0
