@@ -122,7 +122,7 @@ FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey,
 def domain_tree(spark, d):
     nodes = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"))
     nodes = nodes.unionByName(table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.col("n_name"), F.concat(F.lit("r"), "n_regionkey")).toDF("id", "name", "parent"))
-    return lookup.domain_tree_json(nodes, 2).select(F.substr("id", F.lit(2)).cast("int").alias("id"), "name", "children")
+    return lookup.domain_tree_json(nodes).select(F.substr("id", F.lit(2)).cast("int").alias("id"), "name", "children")
 
 
 @query("""
