@@ -322,7 +322,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_ = placed.join(scratch.save(mixed), "k").join(reps.select("rep", "sig", "bands"), "rep").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
     dealt = _dealt(open_, SIGNATURES)
     near = scratch.save(dealt.groupBy("k", "p", "q").applyInArrow(_likely(least), dealt.schema).dropDuplicates(["k", "rep"]))
-    near = _dealt(near.join(near.groupBy("k").agg(F.count("*").alias("n")), "k"), TEXTS)
+    near = scratch.save(near.drop("mine", "p", "q").join(near.groupBy("k").agg(F.count("*").alias("n")), "k"))
+    # large buckets are dealt again, and only rows that may link within a pair of small blocks ask for their texts
+    fine = _dealt(near.filter(F.col("n") > TEXTS), TEXTS)
+    fine = fine.groupBy("k", "p", "q").applyInArrow(_likely(least), fine.schema)
+    near = scratch.save(fine.unionByName(_dealt(near.filter(F.col("n") <= TEXTS), TEXTS)))
     texts = taken(scratch, near.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
     more = scratch.save(near.join(texts, "rep").groupBy("k", "p", "q").applyInArrow(_joined(least, percent), "u long, v long").distinct())
     wide = components(scratch, more).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
