@@ -37,7 +37,7 @@ K = BANDS * ROWS
 SHINGLE = 5
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-SIGNATURES, TEXTS = 1024, 128
+SIGNATURES, TEXTS = 1024, 256
 SALTS = 64
 BLOOM_BITS = 1 << 27
 
