@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontam, langid, media, neardup, pieces, pii, quality, sharding, urlfilter
+from lexloom.llm import bpe, chat, decontam, langid, media, neardup, periods, pieces, pii, quality, sharding, spelling, urlfilter
 from lexloom.llm.common import crc_mod, table
 
 ORACLES: dict[str, str] = {}
@@ -204,4 +204,105 @@ SELECT page_id, s.host, path, rule,
 FROM says s LEFT JOIN good_rank g USING (host) LEFT JOIN bad_rank b USING (host)
 """
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rules = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.count_tokens(table(spark, sf_dir, "documents"), rules).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), typos=31)
+    return spelling.variants(words.filter("n >= 2"))
+
+
+#: CRC-32 of lists of bytes: its table from the polynomial, then a fold over the bytes.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def _crc_sql(bytes_: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], {bytes_}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _latin_bytes(text: str) -> str:
+    """The UTF-8 bytes of text up to U+00FF."""
+    code = "CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [192 | (unicode(ch) >> 6)::BIGINT, 128 | (unicode(ch) & 63)::BIGINT] END"
+    return f"flatten(list_transform(string_split({text}, ''), lambda ch: {code}))"
+
+
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[" + spelling.LETTERS + "]+'))")} AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, c, {_crc_sql(_latin_bytes("coalesce(doc_id::VARCHAR, '') || ':' || run"))} AS h FROM runs, crc_table),
+written AS (
+  SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM written WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT less.word, words.word FROM less JOIN words ON less.d = words.word
+  UNION SELECT words.word, less.word FROM less JOIN words ON less.d = words.word),
+near AS (SELECT a AS word, count(*) AS n_near, arg_min(struct_pack(f := b, n := w.n), struct_pack(n := -w.n, f := b)) AS top FROM pairs JOIN words w ON w.word = b GROUP BY a),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 10 * w.n THEN top.f END AS form, CASE WHEN top.n >= 10 * w.n THEN top.n END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+way AS (SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL UNION ALL SELECT way.word, forms.form, step + 1 FROM way JOIN forms ON forms.word = root WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM way GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(periods.repeated_tail(table(spark, sf_dir, "documents"))).withColumn("top", periods.longest(F.col("runs")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    sha = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"),
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        sha(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"),
+        sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+ORACLES["op13_periodic_runs"] = rf"""
+WITH {_CRC_TABLE},
+split AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS ws,
+    {_crc_sql(_latin_bytes("coalesce(doc_id::VARCHAR, '')"))} AS h
+  FROM documents, crc_table),
+cut AS (SELECT rid, doc_id, ws, len(ws) AS n, h, h // 10 AS g FROM split),
+tail AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM cut),
+seen AS MATERIALIZED (
+  SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE ws END AS ws
+  FROM tail),
+grams AS MATERIALIZED (
+  SELECT rid, i, array_to_string(ws[i + 1:i + 6], ' ') AS k FROM (SELECT rid, ws, unnest(range(n - 5)) AS i FROM seen WHERE n >= 12)),
+alike AS (SELECT a.rid, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.rid = b.rid AND a.k = b.k AND a.i < b.i),
+held AS (
+  SELECT rid, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM alike)
+  GROUP BY rid, q, island),
+runs AS MATERIALIZED (SELECT rid, start, length, min(q) AS period FROM held WHERE length >= greatest(12, 2 * q) GROUP BY rid, start, length),
+listed AS (
+  SELECT rid, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period), struct_pack(l := -length, s := start, p := period)) AS top,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT rid, string_agg(w, ' ' ORDER BY i) AS words FROM (SELECT rid, unnest(ws) AS w, unnest(range(n)) AS i FROM seen) ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period, 1000 * top.l // top.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM seen LEFT JOIN listed USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k.startswith("op") and callable(v)}
