@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexloom.functions.trees import parse
 
@@ -53,10 +52,24 @@ def tree(n: int, special: bool = True) -> str:
     return f"(num {level(n, 5)})"
 
 
-@F.pandas_udf(T.StringType())
-def numeral(n: pd.Series) -> pd.Series:
-    """Null outside the range."""
-    return n.map(lambda x: tree(int(x)) if pd.notna(x) and 1 <= x < LIMIT else None)
+def numeral(n: Column) -> Column:
+    """The tree of a column of whole numbers; null outside the range. A group of three digits is looked up in
+    a constant table of the numbers below a thousand, and the levels hold one another."""
+    n = n.cast("long")
+    text = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    small = F.split(F.lit("|".join(below_1000(k, True) if k else "(pot1as2 none)" for k in range(1000))), r"\|")
+    out = F.get(small, n % 1000)
+    for power in (3, 4, 5):
+        unit = 1000 ** (power - 2)
+        head = F.call_function("div", n, F.lit(unit)) % 1000
+        # nothing of this unit; something below it; the unit once; so many of it
+        out = (
+            F.when(head == 0, text(f"(pot{power - 1}as{power} ", out, ")"))
+            .when(n % unit > 0, text(f"(pot{power}plus ", F.get(small, head), " ", out, ")"))
+            .when(head == 1, f"pot{power}1")
+            .otherwise(text(f"(pot{power} ", F.get(small, head), ")"))
+        )
+    return F.when(n.between(1, LIMIT - 1), text("(num ", out, ")"))
 
 
 def value(text: str) -> int:

@@ -21,9 +21,14 @@ def transliterate(text: Column, table: dict[str, str]) -> Column:
     return F.when(F.forall(out, lambda c: c.isNotNull()), F.array_join(out, ""))
 
 
-@F.pandas_udf(T.StringType())
-def nfd(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFD", t) if isinstance(t, str) else None)
+def nfd(text: Column) -> Column:
+    """Canonical decomposition; Spark has no function for it, so it runs in Arrow batches. The function
+    is made when it is asked for: one that a module holds could not travel with that module."""
+
+    def decomposed(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: unicodedata.normalize("NFD", x) if isinstance(x, str) else None)
+
+    return F.pandas_udf(decomposed, T.StringType())(text)
 
 
 def replaced_in_order(text: Column, table: list[tuple[str, str]]) -> Column:

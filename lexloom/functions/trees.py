@@ -1,4 +1,8 @@
-"""Abstract syntax trees as text: parsing, printing, numbering, functions, subtrees."""
+"""Abstract syntax trees as text: parsing, printing, numbering, functions, subtrees.
+
+Tables of trees are read by built-in functions alone. An expression becomes a row a token; depths are
+running sums of its brackets, and what a token belongs to is the last head at its depth, so all is
+linear in the text but for the sorting of its tokens. Quoted text is one token, whatever it holds."""
 
 from __future__ import annotations
 
@@ -6,14 +10,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-NODES = T.ArrayType(
-    T.StructType([T.StructField("fid", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("fun", T.StringType())])
-)
 _TOKEN = re.compile(r"""\s*(?:(\()|(\))|("(?:\\.|[^"\\])*")|(\?\d*)|(\\[^>]*->)|([^\s()"]+))""")
 
 
@@ -72,89 +71,100 @@ def functions(expr: Column) -> Column:
     return F.filter(F.regexp_extract_all(bare, F.lit(r"[^\s()]+"), F.lit(0)), lambda x: ~x.rlike(r"^(\?\d*|-?\d+(\.\d+)?)$"))
 
 
-@F.pandas_udf(T.StringType())
-def subexpression(expr: pd.Series, fid: pd.Series) -> pd.Series:
-    """The subtree at a pre-order id; null without one."""
-
-    def one(e, i):
-        try:
-            return next((str(t) for k, t in enumerate(parse(e).nodes()) if k == i), None)
-        except (ValueError, TypeError, AttributeError):
-            return None
-
-    return pd.Series([one(e, i) for e, i in zip(expr, fid, strict=True)], dtype=object)
-
-
-@F.pandas_udf(NODES)
-def node_table(expr: pd.Series) -> pd.Series:
-    """One row a node; null for what can't be read."""
-
-    def one(e):
-        try:
-            root = parse(e)
-        except (ValueError, TypeError, AttributeError):
-            return None
-        out, todo = [], [(root, None, 0)]
-        while todo:
-            t, up, pos = todo.pop()
-            me = len(out)
-            out.append({"fid": me, "parent": up, "pos": pos, "fun": t.fun})
-            todo += [(a, me, k) for k, a in reversed(list(enumerate(t.args)))]
-        return out
-
-    return expr.map(one)
-
-
-def cut_tree(block: str) -> str | None:
-    """The first balanced expression behind ``abs`` in an edited block of several lines; null if unbalanced."""
-    m = re.search(r"^abs[:*^]\s*", block, re.M)
-    if not m:
-        return None
-    depth, quoted, out = 0, False, []
-    text = block[m.end() :]
-    for i, c in enumerate(text):
-        if quoted:
-            quoted = c != '"' or text[i - 1] == "\\"
-        elif c == '"':
-            quoted = True
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-            if depth < 0:
-                return None
-        elif c == "\n" and depth == 0 and re.match(r"\s*(\w+:|$)", text[i + 1 :]):
-            break
-        out.append(c)
-    return re.sub(r"\s+", " ", "".join(out)).strip() if depth == 0 and not quoted else None
-
-
-@F.pandas_udf(T.StringType())
-def cut(block: pd.Series) -> pd.Series:
-    """``cut_tree`` of a column of blocks."""
-    return block.map(lambda b: cut_tree(b) if isinstance(b, str) else None)
-
-
-def definition_of(source: str, fun: str) -> str | None:
+# the same tokens for Java; possessive repetitions, as others recurse
+_QUOTED = r'"(?:\\.|[^"\\]++)*+"'
+_TOKENS = rf'[()]|{_QUOTED}|\?\d*+|\\[^>]*->|[^\s()"]++'
+
+
+def _tokens(exprs: DataFrame, key: list[str], expr: str) -> DataFrame:
+    """key, at, tok, depth, head, words, end of all tokens of the expressions that can be read. A bracket
+    that opens in the place of a head belongs to the expression around it and has no depth. head: whether a
+    token is the function of its brackets; words: the tokens up to here that are no brackets; end: how many there are
+    where its brackets close."""
+    e = F.col(expr).cast("string")
+    readable = exprs.filter(F.regexp_replace(F.regexp_replace(e, _TOKENS, ""), r"\s+", "") == "")
+    t = readable.select(*key, F.posexplode(F.regexp_extract_all(e, F.lit(_TOKENS), F.lit(0))).alias("at", "tok"))
+    whole = Window.partitionBy(*key)
+    along = whole.orderBy("at")
+    opens, closes = F.col("tok") == "(", F.col("tok") == ")"
+    step = lambda up, down: F.sum(F.when(up, 1).when(down, -1).otherwise(0)).over(along)
+    t = t.select("*", F.lag("tok").over(along).alias("before"), step(opens, closes).alias("raw"))
+    first = F.coalesce(F.col("before") == "(", F.lit(True))
+    wrong = (F.min("raw").over(whole) < 0) | (F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(whole) != 0) | F.max(closes & first).over(whole)
+    t = t.withColumn("wrong", wrong).filter("not wrong").withColumn("own", F.when(closes, F.col("raw") + 1).otherwise(F.col("raw")))
+    # a closing bracket meets the last one that opened at its own count
+    flat = F.last(F.when(opens, first), ignorenulls=True).over(Window.partitionBy(*key, "own").orderBy("at"))
+    t = t.withColumn("flat", flat).withColumn("depth", step(opens & ~F.col("flat"), closes & ~F.col("flat")))
+    t = t.withColumn("word", ~opens & ~closes).withColumn("words", F.sum(F.when(F.col("word"), 1).otherwise(0)).over(along).cast("int"))
+    t = t.withColumn("inside", F.when(closes & ~F.col("flat"), F.col("depth") + 1).otherwise(F.col("depth")))
+    behind = Window.partitionBy(*key, "inside").orderBy("at").rowsBetween(0, Window.unboundedFollowing)
+    end = F.first(F.when(closes & ~F.col("flat"), F.col("words")), ignorenulls=True).over(behind)
+    return t.withColumn("end", F.coalesce(end, F.max("words").over(whole))).filter("word").select(*key, "at", "tok", "depth", first.alias("head"), "words", "end")
+
+
+def node_table(exprs: DataFrame, key: list[str], expr: str = "expr") -> DataFrame:
+    """key, fid (number in pre-order), last (that of the last node below), level, parent, pos (among its
+    arguments), fun: a row a node of each expression; what can't be read has none. key tells expressions apart."""
+    t = _tokens(exprs, key, expr)
+    t = t.select(*key, "at", "depth", "head", "tok", (F.col("words") - 1).alias("fid"), F.when(F.col("head"), F.col("end") - 1).otherwise(F.col("words") - 1).alias("last"))
+    # a head stands one level above its arguments; it is there once as a node and once as what they hang on
+    above = F.struct((F.col("depth") - F.col("head").cast("int")).cast("int").alias("level"), F.lit(False).alias("holds"))
+    events = F.when(F.col("head"), F.array(above, F.struct(F.col("depth").cast("int").alias("level"), F.lit(True).alias("holds")))).otherwise(F.array(above))
+    t = t.select(*key, "at", "tok", "fid", "last", F.explode(events).alias("x")).select(*key, "at", "tok", "fid", "last", "x.*")
+    parent = F.last(F.when(F.col("holds"), F.col("fid")), ignorenulls=True).over(Window.partitionBy(*key, "level").orderBy("at"))
+    n = t.withColumn("parent", parent).filter("not holds")
+    pos = F.row_number().over(Window.partitionBy(*key, "parent").orderBy("fid")) - 1
+    return n.select(*key, "fid", "last", (F.col("level") + 1).alias("level"), "parent", pos.alias("pos"), F.col("tok").alias("fun"))
+
+
+def subexpressions(exprs: DataFrame, key: list[str], wanted: DataFrame, expr: str = "expr") -> DataFrame:
+    """wanted(key, fid) with sub, the subtree at that pre-order number in plain brackets; null without one.
+    A node's text is its own with a bracket before it if it has arguments, and behind it one for each node that ends there."""
+    n = node_table(exprs, key, expr)
+    top = wanted.join(n.select(*key, "fid", F.col("last").alias("to"), F.col("level").alias("top")), [*key, "fid"]).select(*key, F.col("fid").alias("at"), "to", "top")
+    below = n.select(*key, F.col("fid").alias("n"), "last", "level", "fun").withColumn("next", F.lead("level").over(Window.partitionBy(*key).orderBy("n")))
+    parts = top.join(below, key).filter("n between at and to")
+    ends = F.when(F.col("n") < F.col("to"), F.greatest(F.col("level") - F.col("next"), F.lit(0))).otherwise(F.greatest(F.col("level") - F.col("top") - 1, F.lit(0)))
+    piece = F.concat(F.when((F.col("last") > F.col("n")) & (F.col("n") > F.col("at")), "(").otherwise(""), "fun", F.repeat(F.lit(")"), ends.cast("int")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("t")))), lambda x: x["t"]), " ")
+    found = parts.groupBy(*key, F.col("at").alias("fid")).agg(text.alias("sub"))
+    return wanted.join(found, [*key, "fid"], "left")
+
+
+def _stopped(segments: Column, opening: str, closing: str, stop: str, strict: bool) -> Column:
+    """How many segments stand before the first ``stop`` outside brackets; null where none is in place.
+    strict: brackets must close, and the end of the text stops too."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.lit(-1).alias("at"), F.lit(False).alias("bad"))
+
+    def step(a: Column, x: Column) -> Column:
+        depth = a["depth"] + F.when(x.isin(*opening), 1).when(x.isin(*closing), -1).otherwise(0)
+        bad = a["bad"] | (x == '"') | (F.lit(strict) & (depth < 0))
+        over = F.lit(strict) & (a["depth"] == 0) | F.lit(not strict) & (a["depth"] <= 0)
+        next_ = F.struct(depth.alias("depth"), (a["i"] + 1).alias("i"), F.when((x == stop) & over, a["i"]).otherwise(F.lit(-1)).alias("at"), bad.alias("bad"))
+        return F.when((a["at"] >= 0) | a["bad"], a).otherwise(next_)
+
+    def end(a: Column) -> Column:
+        at_end = F.when(F.lit(strict) & (a["depth"] == 0), a["i"])
+        return F.when(~a["bad"], F.when(a["at"] >= 0, a["at"]).otherwise(at_end))
+
+    return F.aggregate(segments, start, step, end)
+
+
+def cut(block: Column) -> Column:
+    """The first balanced expression behind ``abs`` in an edited block of several lines; null if
+    unbalanced. It ends before a line that names a field, or at the end."""
+    begin, mark = r"(?s)(?:^|\n)abs[:*^]\s*(.*)$", "\ue000"
+    body = F.regexp_replace(F.translate(F.regexp_extract(block, begin, 1), mark, ""), r"\n(?=\s*(?:\w+:|\z))", mark)
+    segments = F.regexp_extract_all(body, F.lit(rf'{_QUOTED}|[()]|{mark}|[^"(){mark}]++|"'), F.lit(0))
+    text = F.array_join(F.slice(segments, F.lit(1), _stopped(segments, "(", ")", mark, True)), "")
+    return F.when(block.rlike(begin), F.trim(F.regexp_replace(text, rf"[\s{mark}]+", " ")))
+
+
+def definitions(source: Column, fun: Column) -> Column:
     """The right side of ``lin fun = ... ;`` up to the semicolon outside brackets and strings. As the
     line must follow a line feed, the first line of a file never matches."""
-    m = re.search(rf"\nlin {re.escape(fun)} =\s*", source)
-    if not m:
-        return None
-    depth, quoted = 0, False
-    for i in range(m.end(), len(source)):
-        c = source[i]
-        if quoted:
-            quoted = c != '"' or source[i - 1] == "\\"
-        elif c == '"':
-            quoted = True
-        elif c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-        elif c == ";" and depth <= 0:
-            return source[m.end() : i].strip()
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def definitions(source: pd.Series, fun: pd.Series) -> pd.Series:
-    return pd.Series([definition_of(s or "", f) if f else None for s, f in zip(source, fun, strict=True)], dtype=object)
+    begin = F.concat(F.lit("\nlin "), fun, F.lit(" ="))
+    at = F.call_function("locate", begin, source)
+    rest = F.when((at > 0) & (fun != ""), F.regexp_replace(F.substr(source, at + F.length(begin)), r"^\s+", ""))
+    segments = F.regexp_extract_all(rest, F.lit(rf'{_QUOTED}|[()\[\]{{}};]|[^"()\[\]{{}};]++|"'), F.lit(0))
+    return F.regexp_replace(F.array_join(F.slice(segments, F.lit(1), _stopped(segments, "([{", ")]}", ";", False)), ""), r"\s+$", "")

@@ -3,7 +3,9 @@ score candidates by part of speech, label and children."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.session import settled
@@ -36,83 +38,143 @@ def scored(candidates: DataFrame, tokens: DataFrame, rules: DataFrame) -> DataFr
     return j.groupBy("sent", "pos", "fun", "cat").agg(F.sum(F.when(holds, F.col("score")).otherwise(0)).alias("score"))
 
 
-# The ranking rules of each category. pos and label test the node, same whether one of its
-# choices is the candidate's lemma; node holds if a child meets what it lists, best takes the better one.
-_OBJ = ("node", ("best", ("label", "obj"), ("label", "nsubj:pass")))
-_IOBJ = ("node", ("best", ("label", "iobj"), ("label", "nsubj:pass")))
-_PREP = ("node", ("label", "obl"), ("pos", "NOUN"), ("node", ("label", "case"), ("pos", "PREP"), ("same",)))
-_ADJ = ("node", ("label", "xcomp"), ("pos", "ADJ"))
-_SENT = ("node", ("label", "xcomp"), ("pos", "VERB"), ("node", ("best", ("label", "nsubj"), ("label", "nsubj:pass"))))
-_VERB = ("node", ("label", "xcomp"), ("pos", "VERB"))
-_PART = ("node", ("label", "compound:prt"), ("same",))
-_CASE = lambda label: ("node", ("label", label), ("node", ("label", "case"), ("same",)))
-_V = ("pos", "VERB")
-RANKING = {
-    "A": [("pos", "ADJ")], "A2": [("pos", "ADJ"), _CASE("obl")], "ACard": [("pos", "ADJ")], "Adv": [("pos", "ADV")], "AdV": [("pos", "ADV")], "AdA": [("pos", "ADV")],
-    "AdN": [("pos", "ADV")], "Interj": [("pos", "INTJ")], "N": [("pos", "NOUN")], "N2": [("pos", "NOUN"), _CASE("nmod")], "PN": [("pos", "PROPN")], "V0": [_V], "V": [_V, _PART],
-    "V2": [_V, ("best", _OBJ, _PREP), _PART], "V3": [_V, ("node", _OBJ), ("best", _IOBJ, _PREP), _PART], "VA": [_V, _ADJ, _PART], "VS": [_V, _SENT, _PART], "VQ": [_V, _VERB, _PART],
-    "VV": [("best", _V, ("pos", "AUX")), _VERB, _PART], "V2A": [_V, _OBJ, _ADJ, _PART], "V2S": [_V, _OBJ, _SENT, _PART], "V2Q": [_V, _OBJ, _VERB, _PART], "V2V": [_V, _OBJ, _VERB, _PART],
-    "Prep": [("best", ("pos", "ADP"), ("pos", "SCONJ"))], "Conj": [("pos", "CCONJ")], "Det": [("pos", "DET")], "Quant": [("pos", "DET")], "Pron": [("pos", "PRON")], "Subj": [("pos", "SCONJ")],
-}
-
-
-def _stat(rule: tuple, node: Column, lemma: Column, depth: int) -> Column:
-    """struct(res, n): what the rule scores at a node, and how many tests that took."""
-    of = lambda res, n: F.struct(res.cast("int").alias("res"), n.cast("int").alias("n"))
-    kind = rule[0]
-    if kind in ("pos", "label"):
-        return of(F.coalesce(node[kind] == rule[1], F.lit(False)), F.lit(1))
-    if kind == "same":
-        return of(F.coalesce(F.array_contains(node["choices"], lemma), F.lit(False)), F.lit(1))
-    if kind == "best":  # of equals the later one
-        each = [_stat(r, node, lemma, depth) for r in rule[1:]]
-        top = F.array_max(F.array(*[F.struct(s["res"].alias("res"), F.lit(i).alias("i"), s["n"].alias("n")) for i, s in enumerate(each)]))
-        return of(top["res"], top["n"])
-    if not depth:  # below the levels that a tree here has there is no child
-        return of(F.lit(0), F.lit(1))
-    kids = F.transform(node["kids"], lambda k, i: (lambda s: F.struct(s["res"].alias("res"), i.alias("i"), s["n"].alias("n")))(_all(list(rule[1:]), k, lemma, depth - 1)))
-    none = F.array(F.struct(F.lit(0).alias("res"), F.size(node["kids"]).alias("i"), F.lit(1).alias("n")))
-    top = F.array_max(F.concat(kids, none))
-    return of(top["res"], top["n"])
-
-
-def _all(rules: list[tuple], node: Column, lemma: Column, depth: int) -> Column:
-    each = [_stat(r, node, lemma, depth) for r in rules]
-    return F.struct(sum((s["res"] for s in each), F.lit(0)).alias("res"), sum((s["n"] for s in each), F.lit(1)).alias("n"))
-
-
-def ranked_by_rules(candidates: DataFrame, tokens: DataFrame, rules: dict[str, list[tuple]] = RANKING) -> DataFrame:
-    """Candidates (sent, pos, lemma, cat) with score and count by their category's rules, which may be
-    any table of this shape; a category without rules scores 0 of 1. tokens(sent, pos, head, label,
-    upos, choices): a node sees its children and theirs."""
-    node = lambda kids: F.struct(F.col("upos").alias("pos"), "label", "choices", *kids)
-    leaf = tokens.groupBy("sent", F.col("head").alias("pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", node([]).alias("t")))), lambda x: x["t"]).alias("kids"))
-    none = "array<struct<pos:string,label:string,choices:array<string>>>"
-    inner = tokens.join(leaf, ["sent", "pos"], "left").withColumn("kids", F.coalesce("kids", F.array().cast(none)))
-    kids = inner.groupBy("sent", F.col("head").alias("pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", node(["kids"]).alias("t")))), lambda x: x["t"]).alias("kids"))
-    more = f"array<struct<pos:string,label:string,choices:array<string>,kids:{none}>>"
-    whole = tokens.join(kids, ["sent", "pos"], "left").withColumn("kids", F.coalesce("kids", F.array().cast(more)))
-    c = candidates.join(whole.select("sent", "pos", node(["kids"]).alias("node_")), ["sent", "pos"])
-    stat = F.struct(F.lit(0).alias("res"), F.lit(1).alias("n"))
-    # only the categories that occur become part of the plan; there are at most as many as rules
-    present = {r[0] for r in candidates.filter(F.col("cat").isin(*rules)).select("cat").distinct().collect()}
-    for cat in sorted(present):
-        own = rules[cat]
-        stat = F.when(F.col("cat") == cat, _all(own, F.col("node_"), F.col("lemma"), 2)).otherwise(stat)
-    return c.withColumn("stat_", stat).select("sent", "pos", "lemma", "cat", F.col("stat_.res").alias("score"), F.col("stat_.n").alias("cnt"))
+# What each category asks of a word's tree, a test a line: categories, place, field, allowed
+# values. A place is group.alternative: at the candidate's own token first, and behind > at a child of the
+# token before. ``lemma`` asks whether one of the token's choices is the candidate's lemma.
+RULES_OF_CATEGORIES = """
+A A2                                    0.0           upos   ADJ
+Adv AdV AdA AdN                         0.0           upos   ADV
+Interj                                  0.0           upos   INTJ
+N N2                                    0.0           upos   NOUN
+PN                                      0.0           upos   PROPN
+Conj                                    0.0           upos   CCONJ
+Det Quant                               0.0           upos   DET
+Pron                                    0.0           upos   PRON
+Subj                                    0.0           upos   SCONJ
+Prep                                    0.0           upos   ADP
+Prep                                    0.1           upos   SCONJ
+V0 V V2 V3 VA VS VQ V2A V2S V2Q V2V VV  0.0           upos   VERB
+VV                                      0.1           upos   AUX
+A2                                      1.0>0.0       label  obl
+A2                                      1.0>1.0>0.0   label  case
+A2                                      1.0>1.0>1.0   lemma
+N2                                      1.0>0.0       label  nmod
+N2                                      1.0>1.0>0.0   label  case
+N2                                      1.0>1.0>1.0   lemma
+V2 V2A V2S V2Q V2V                      1.0>0.0       label  obj nsubj:pass
+V2                                      1.1>0.0       label  obl
+V2                                      1.1>1.0       upos   NOUN
+V2                                      1.1>2.0>0.0   label  case
+V2                                      1.1>2.0>1.0   upos   PREP
+V2                                      1.1>2.0>2.0   lemma
+V3                                      1.0>0.0>0.0   label  obj nsubj:pass
+V3                                      2.0>0.0       label  iobj nsubj:pass
+V3                                      2.1>0.0       label  obl
+V3                                      2.1>1.0       upos   NOUN
+V3                                      2.1>2.0>0.0   label  case
+V3                                      2.1>2.0>1.0   upos   PREP
+V3                                      2.1>2.0>2.0   lemma
+VA                                      1.0>0.0       label  xcomp
+VA                                      1.0>1.0       upos   ADJ
+V2A                                     2.0>0.0       label  xcomp
+V2A                                     2.0>1.0       upos   ADJ
+VS VQ VV                                1.0>0.0       label  xcomp
+VS VQ VV                                1.0>1.0       upos   VERB
+VS                                      1.0>2.0>0.0   label  nsubj nsubj:pass
+V2S V2Q V2V                             2.0>0.0       label  xcomp
+V2S V2Q V2V                             2.0>1.0       upos   VERB
+V2S                                     2.0>2.0>0.0   label  nsubj nsubj:pass
+V                                       1.0>0.0       label  compound:prt
+V                                       1.0>1.0       lemma
+VA VS VQ VV V2                          2.0>0.0       label  compound:prt
+VA VS VQ VV V2                          2.0>1.0       lemma
+V3 V2A V2S V2Q V2V                      3.0>0.0       label  compound:prt
+V3 V2A V2S V2Q V2V                      3.0>1.0       lemma
+"""
+
+Test = tuple[str, str, str, tuple[str, ...]]
+
+
+def rule_rows(text: str = RULES_OF_CATEGORIES) -> list[Test]:
+    """(category, place, field, values) of a table of tests as text."""
+    out = []
+    for line in text.strip().splitlines():
+        cells = re.split(r"\s{2,}", line.strip())
+        out += [(cat, cells[1], cells[2], tuple(cells[3].split()) if len(cells) > 3 else ()) for cat in cells[0].split()]
+    return out
+
+
+FRAME = ["sent", "pos", "lemma", "cat", "place", "tok"]
+
+
+def ranked_by_rules(candidates: DataFrame, tokens: DataFrame, tests: list[Test] | None = None) -> DataFrame:
+    """Candidates (sent, pos, lemma, cat) with score and cnt, the number of tests that count.
+    tokens(sent, pos, head, label, upos, choices); tests as in ``rule_rows``, of any depth.
+
+    A group scores its best alternative, of equals the later one; a test scores one if it holds, and an
+    alternative that stands at a child scores what its groups do at the best child, the last of equals,
+    or nothing in one test where none scores. Categories without tests score 0 of 1.
+
+    The table of tests is joined with the tokens: going down, each candidate meets the children that a place
+    asks for, a join a level of the table; going up, the scores of a group are a grouped maximum."""
+    tests = rule_rows() if tests is None else tests
+    spark = candidates.sparkSession
+    path = lambda place: place.rsplit(">", 1) if ">" in place else ["", place]
+    of = lambda x: tuple(map(int, x.split(".")))
+    own = [(cat, path(p)[0], *of(path(p)[1]), field, list(values)) for cat, p, field, values in tests]
+    steps = {(cat, path(up)[0], *of(path(up)[1]), up) for cat, up, *_ in own if up}
+    while more := {(cat, path(up)[0], *of(path(up)[1]), up) for cat, up, *_ in steps if up} - steps:
+        steps |= more
+    depth = max((place.count(">") + 1 for *_, place in steps), default=0)
+    # rules are as many as a grammar has categories and tests; they are broadcast by their size alone
+    test = spark.createDataFrame(own, "cat string, place string, grp int, alt int, field string, allowed array<string>")
+    step = spark.createDataFrame(sorted(steps), "cat string, place string, grp int, alt int, below string")
+    node = tokens.select("sent", F.col("pos").alias("tok"), "head", "label", "upos", "choices")
+
+    frames = [candidates.select("sent", "pos", "lemma", "cat").distinct().select("*", F.lit("").alias("place"), F.col("pos").alias("tok"))]
+    for _ in range(depth):
+        asked = frames[-1].join(step, ["cat", "place"])
+        kids = node.select("sent", F.col("head").alias("tok"), F.col("tok").alias("kid"))
+        frames.append(asked.join(kids, ["sent", "tok"]).select("sent", "pos", "lemma", "cat", F.col("below").alias("place"), F.col("kid").alias("tok")).distinct())
+
+    below = None
+    for frame in reversed(frames):
+        value = F.when(F.col("field") == "upos", F.col("upos")).when(F.col("field") == "label", F.col("label"))
+        holds = F.when(F.col("field") == "lemma", F.array_contains("choices", F.col("lemma"))).otherwise(F.array_contains("allowed", value))
+        tried = frame.join(test, ["cat", "place"]).join(node, ["sent", "tok"]).select(*FRAME, "grp", "alt", F.coalesce(holds, F.lit(False)).cast("int").alias("res"), F.lit(1).alias("n"))
+        if below is not None:
+            asked = frame.join(step, ["cat", "place"])
+            kids = below.select("sent", "pos", "lemma", "cat", F.col("place").alias("below"), F.col("tok").alias("kid"), "res", "n")
+            kids = kids.join(node.select("sent", F.col("tok").alias("kid"), F.col("head").alias("tok")), ["sent", "kid"]).filter("res > 0")
+            best = kids.groupBy("sent", "pos", "lemma", "cat", "below", "tok").agg(F.max(F.struct("res", "kid", "n")).alias("x"))
+            found = asked.join(best, ["sent", "pos", "lemma", "cat", "below", "tok"], "left")
+            tried = tried.unionByName(found.select(*FRAME, "grp", "alt", F.coalesce("x.res", F.lit(0)).alias("res"), F.coalesce("x.n", F.lit(1)).alias("n")))
+        top = tried.groupBy(*FRAME, "grp").agg(F.max(F.struct("res", "alt", "n")).alias("x"))
+        sums = top.groupBy(*FRAME).agg(F.sum("x.res").alias("res"), F.sum("x.n").alias("n"))
+        below = frame.join(sums, FRAME, "left").select(*FRAME, F.coalesce("res", F.lit(0)).alias("res"), (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+    scored_ = below.select("sent", "pos", "lemma", "cat", F.col("res").cast("int").alias("score"), F.col("n").cast("int").alias("cnt"))
+    return candidates.select("sent", "pos", "lemma", "cat").join(scored_, ["sent", "pos", "lemma", "cat"])
 
 
 def bracketed(tokens: DataFrame) -> DataFrame:
-    """(sent, tree): the dependency tree of each sentence as nested brackets, built bottom up by
-    depth; tokens(sent, pos, head, form), head 0 or missing at a root."""
-    cur = tokens.select("sent", "pos", "head", "form", F.lit("").alias("kids"))
-    base = cur.drop("kids")
+    """(sent, tree): the dependency tree of each sentence as nested brackets; tokens(sent, pos, head,
+    form), head 0 or missing at a root. A cycle of heads is an error.
+
+    Each token's way from its root, as the places on it, puts the tokens in the order of the text: the
+    ways are built by depth, a join a level, and the brackets that close follow from the depth of the next
+    token, so no subtree is copied level by level."""
+    t = settled(tokens.select("sent", "pos", "head", "form"))
+    roots = t.join(t.select("sent", F.col("pos").alias("head")), ["sent", "head"], "left_anti").select("sent", "pos", "form", F.array("pos").alias("way"))
+    done = level = settled(roots)
     while True:
-        shown = cur.select("sent", F.col("head").alias("pos"), F.struct(F.col("pos").alias("at"), F.concat(F.lit("("), "form", "kids", F.lit(")")).alias("t")).alias("x"))
-        kids = shown.groupBy("sent", "pos").agg(F.concat(F.lit(" "), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), " ")).alias("kids"))
-        new = settled(base.join(kids, ["sent", "pos"], "left").select("sent", "pos", "head", "form", F.coalesce("kids", F.lit("")).alias("kids")))
-        if new.join(cur.withColumnRenamed("kids", "was"), ["sent", "pos", "head", "form"]).filter("kids <> was").isEmpty():
+        level = settled(level.select("sent", F.col("pos").alias("head"), "way").join(t, ["sent", "head"]).select("sent", "pos", "form", F.array_append("way", F.col("pos")).alias("way")))
+        if level.isEmpty():
             break
-        cur = new
-    roots = new.join(base.select("sent", F.col("pos").alias("head")), ["sent", "head"], "left_anti")
-    return roots.groupBy("sent").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat(F.lit("("), "form", "kids", F.lit(")")).alias("t")))), lambda x: x["t"]), " ").alias("tree"))
+        done = done.unionByName(level)
+    if t.count() != done.count():
+        raise ValueError("the heads of a sentence form a cycle")
+    depth = F.size("way")
+    ends = depth - F.coalesce(F.lead(depth).over(Window.partitionBy("sent").orderBy("way")), F.lit(1)) + 1
+    piece = F.concat(F.lit("("), "form", F.repeat(F.lit(")"), ends))
+    rows = done.withColumn("piece", piece)
+    return rows.groupBy("sent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("way", "piece"))), lambda x: x["piece"]), " ").alias("tree"))

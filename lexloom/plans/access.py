@@ -284,7 +284,7 @@ def definitions_in_source(spark, d):
     line = F.concat(F.lit("lin n"), "n_nationkey", F.lit("_N = mk"), F.upper(F.substring("n_name", 1, 1)), F.lit(' "'), "n_name", F.lit(';" {a = b} ; --guessed'))
     src = n.groupBy("n_regionkey").agg(F.concat(F.lit("concrete X = {\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n}")).alias("source"))
     rows = n.join(src, "n_regionkey").select(F.col("n_nationkey").alias("id"), "source", F.concat(F.lit("n"), "n_nationkey", F.lit("_N")).alias("fun"))
-    return rows.select("id", trees.definitions("source", "fun").alias("def"))
+    return rows.select("id", trees.definitions(F.col("source"), F.col("fun")).alias("def"))
 
 
 @query("SELECT o_orderkey AS id, 'abs: F (G x' || o_orderkey || ')' AS approved FROM orders")
@@ -292,19 +292,38 @@ def approved_trees(spark, d):
     """Trees cut out of edited blocks that run over lines, approved."""
     block = F.concat(F.lit("abs* F (G\n   x"), "o_orderkey", F.lit(")\neng: a text (so\nkey: 1"))
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), block.alias("b"))
-    return rows.select("id", F.concat(F.lit("abs: "), trees.cut("b")).alias("approved"))
+    return rows.select("id", F.concat(F.lit("abs: "), trees.cut(F.col("b"))).alias("approved"))
 
 
-@query("SELECT o_orderkey AS id, k, CASE k WHEN 0 THEN 'F (G x' || o_orderkey || ') y' WHEN 1 THEN 'G x' || o_orderkey WHEN 2 THEN 'x' || o_orderkey WHEN 3 THEN 'y' END AS sub FROM orders, (VALUES (0), (1), (2), (3), (4)) t(k)")
+# three shapes of expressions: one argument inside another, brackets in the place of heads and around single
+# words, and a quoted word that holds brackets
+SHAPES = """e AS (SELECT o_orderkey AS id, o_orderkey % 3 AS shape, 'x' || o_orderkey AS x FROM orders),
+n AS (SELECT id, unnest(CASE shape
+  WHEN 0 THEN [(0, 3, 0, NULL, 0, 'F'), (1, 2, 1, 0, 0, 'G'), (2, 2, 2, 1, 0, x), (3, 3, 1, 0, 1, 'y')]
+  WHEN 1 THEN [(0, 4, 0, NULL, 0, 'F'), (1, 1, 1, 0, 0, x), (2, 4, 1, 0, 1, 'H'), (3, 3, 2, 2, 0, 'a'), (4, 4, 2, 2, 1, 'b')]
+  ELSE [(0, 4, 0, NULL, 0, 'F'), (1, 4, 1, 0, 0, 'G'), (2, 4, 2, 1, 0, 'H'), (3, 3, 3, 2, 0, '"(' || x || ' \\" )"'), (4, 4, 3, 2, 1, '?')] END) AS r FROM e),
+t AS (SELECT id, r[1]::INT AS fid, r[2]::INT AS last, r[3]::INT AS level, r[4]::INT AS parent, r[5]::INT AS pos, r[6] AS fun FROM n)"""
+
+
+def _expressions(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("x"), "o_orderkey").alias("x"))
+    shapes = (F.concat(F.lit("F (G "), "x", F.lit(") y")), F.concat(F.lit("((F) ("), "x", F.lit(")) (((H a)) b)")), F.concat(F.lit('F (G (H "('), "x", F.lit(' \\" )" ?))')))
+    return o.select("id", F.when(F.col("id") % 3 == 0, shapes[0]).when(F.col("id") % 3 == 1, shapes[1]).otherwise(shapes[2]).alias("expr"))
+
+
+@query(f"""
+WITH {SHAPES} SELECT e.id, k AS fid, CASE shape * 10 + k WHEN 0 THEN 'F (G ' || x || ') y' WHEN 1 THEN 'G ' || x WHEN 2 THEN x WHEN 3 THEN 'y' WHEN 10 THEN 'F ' || x || ' (H a b)' WHEN 11 THEN x WHEN 12 THEN 'H a b'
+  WHEN 13 THEN 'a' WHEN 14 THEN 'b' WHEN 20 THEN 'F (G (H "(' || x || ' \\" )" ?))' WHEN 21 THEN 'G (H "(' || x || ' \\" )" ?)' WHEN 22 THEN 'H "(' || x || ' \\" )" ?' WHEN 23 THEN '"(' || x || ' \\" )"' WHEN 24 THEN '?' END AS sub
+FROM e, range(6) r(k)""")
 def subexpressions(spark, d):
-    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("F (G x"), "o_orderkey", F.lit(") y")).alias("e"), F.explode(F.array(*map(F.lit, range(5)))).alias("k"))
-    return e.select("id", "k", trees.subexpression("e", "k").alias("sub"))
+    """Subtrees by their number, in plain brackets; the last number has none."""
+    e = _expressions(spark, d)
+    return trees.subexpressions(e, ["id"], e.select("id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("fid")))
 
 
-@query("SELECT o_orderkey AS id, fid::INT AS fid, parent::INT AS parent, fun FROM orders, LATERAL (VALUES (0, NULL, 'F'), (1, 0, 'G'), (2, 1, 'x' || o_orderkey), (3, 0, 'y')) t(fid, parent, fun)")
+@query(f"WITH {SHAPES} SELECT * FROM t")
 def node_tables(spark, d):
-    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("F (G x"), "o_orderkey", F.lit(") y")).alias("e"))
-    return e.select("id", F.explode(trees.node_table("e")).alias("n")).select("id", "n.fid", "n.parent", "n.fun")
+    return trees.node_table(_expressions(spark, d), ["id"])
 
 
 @query("""

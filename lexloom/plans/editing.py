@@ -178,13 +178,22 @@ def constructed_clauses(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), fill.alias("tree"))
 
 
+# the words of three shapes of clauses: (node, fun, head, label)
 @query("""
-SELECT id, node, fun, head, label FROM (SELECT o_orderkey AS id, 2 AS node, concat('p', o_custkey) AS fun, 4 AS head, 'nsubj' AS label FROM orders
-UNION ALL SELECT o_orderkey, 4, 'see', 0, 'root' FROM orders UNION ALL SELECT o_orderkey, 5, 'it', 4, 'obj' FROM orders)""")
+WITH e AS (SELECT o_orderkey AS id, o_orderkey % 3 AS shape, 'p' || o_custkey AS p FROM orders)
+SELECT id, r[1]::INT AS node, r[2] AS fun, r[3]::INT AS head, r[4] AS label FROM (SELECT id, unnest(CASE shape
+  WHEN 0 THEN [(2, p, 4, 'nsubj'), (4, 'see', 0, 'root'), (5, 'it', 4, 'obj')]
+  WHEN 1 THEN [(3, p, 12, 'nsubj'), (4, 'old', 3, 'dep'), (10, 'not', 12, 'anchor'), (12, 'see', 0, 'root'), (14, 'a', 15, 'rel'), (15, 'cat', 12, 'obj')]
+  ELSE [(4, p, 0, 'root'), (5, 'b', 4, 'dep'), (6, 'c', 4, 'dep'), (7, 'd', 4, 'dep')] END) AS r FROM e)""")
 def dependency_rows(spark, d):
-    rules = spark.createDataFrame([("PredVP", [("mod", "nsubj"), ("head", None)]), ("ComplV2", [("head", None), ("mod", "obj")])], "fun string, pragmas array<struct<kind:string,label:string>>")
-    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("PredVP p"), "o_custkey", F.lit(" (ComplV2 see it)")).alias("expr"))
-    return e.select("id", F.explode(dependencies.to_dependencies(F.col("expr"), rules)).alias("x")).select("id", "x.*")
+    """A plain clause; one with tense and polarity skipped and a modified subject; functions without pragmas, nested."""
+    rules = [("PredVP", [("mod", "nsubj"), ("head", None)]), ("ComplV2", [("head", None), ("mod", "obj")]), ("UseCl", [("skip", None), ("skip", None), ("head", None)]), ("AdvVP", [("anchor", None), ("head", None)]), ("DetCN", [("rel", None), ("head", None)])]
+    rules = spark.createDataFrame(rules, "fun string, pragmas array<struct<kind:string,label:string>>")
+    p = F.concat(F.lit("p"), "o_custkey")
+    shapes = (F.concat(F.lit("PredVP "), p, F.lit(" (ComplV2 see it)")), F.concat(F.lit("PredVP (Adj "), p, F.lit(" old) (UseCl (TT past) pos (AdvVP not (ComplV2 see (DetCN a cat))))")), F.concat(F.lit("F (G (H "), p, F.lit(" b) c) d")))
+    k = F.col("o_orderkey") % 3
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(k == 0, shapes[0]).when(k == 1, shapes[1]).otherwise(shapes[2]).alias("expr"))
+    return dependencies.to_dependencies(e, ["id"], rules)
 
 
 @query("SELECT l_orderkey AS sent, l_linenumber AS pos, concat('f', l_partkey) AS fun FROM lineitem GROUP BY 1, 2, 3")

@@ -119,7 +119,7 @@ def numeral_round_trip(spark, d):
         return pd.Series([x is not None and numeral_value(x) == k for k, x in zip(n, t, strict=True)])
 
     n = table(spark, d, "lineitem").select(F.col("l_partkey").alias("n")).distinct()
-    return n.select("n", same("n", numerals.numeral("n")).alias("ok"))
+    return n.select("n", same("n", numerals.numeral(F.col("n"))).alias("ok"))
 
 
 BELOW_10 = "CASE WHEN {n} = 1 THEN 'pot01' ELSE '(pot0 n' || {n} || ')' END"
@@ -136,7 +136,7 @@ o AS (SELECT o_orderkey AS n, o_orderkey // 1000 AS h, o_orderkey % 1000 AS r FR
 SELECT o.n, CASE WHEN o.n > 0 THEN '(num (pot4as5 (pot3as4 ' || CASE WHEN o.h = 0 THEN '(pot2as3 ' || b.t || ')' WHEN o.r > 0 THEN '(pot3plus ' || a.t || ' ' || b.t || ')' WHEN o.h = 1 THEN 'pot31' ELSE '(pot3 ' || a.t || ')' END || ')))' END AS tree
 FROM o LEFT JOIN s a ON a.n = o.h LEFT JOIN s b ON b.n = o.r""")
 def numeral_tree(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), numerals.numeral("o_orderkey").alias("tree"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), numerals.numeral(F.col("o_orderkey")).alias("tree"))
 
 
 @query("""

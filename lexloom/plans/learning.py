@@ -112,23 +112,66 @@ def _tokens(spark, d) -> DataFrame:
     )
 
 
+# trees of three levels: the second and third line hang on the first, the others two places up
+DEEP_LABELS = ("compound:prt", "obj", "obl", "nmod", "xcomp", "case", "iobj", "nsubj", "nsubj:pass")
+DEEP_UPOS = ("VERB", "NOUN", "ADP", "ADJ", "AUX", "PREP", "ADV", "PROPN", "DET", "PRON", "SCONJ", "CCONJ", "INTJ")
+TOKENS_DEEP = f"""t AS (SELECT l_orderkey AS sent, l_linenumber AS pos, CASE WHEN l_linenumber <= 3 THEN (l_linenumber > 1)::INT ELSE l_linenumber - 2 END AS head, {list(DEEP_LABELS)}[k % 9 + 1] AS label,
+  {list(DEEP_UPOS)}[(k + l_linenumber) % 13 + 1] AS upos, 'm' || k % 4 AS own FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2))"""
+
+
+def _deep_tokens(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
+    pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (c % len(xs) + 1).cast("int"))
+    n = F.col("l_linenumber")
+    head = F.when(n <= 3, (n > 1).cast("int")).otherwise(n - 2)
+    return li.select(F.col("l_orderkey").alias("sent"), n.alias("pos"), head.alias("head"), pick(DEEP_LABELS, F.col("k")).alias("label"), pick(DEEP_UPOS, F.col("k") + n).alias("upos"), F.array(F.concat(F.lit("m"), F.col("k") % 4)).alias("choices"))
+
+
 TOKENS = """t AS (SELECT l_orderkey AS sent, l_linenumber AS pos, k, ['compound:prt', 'obj', 'obl', 'nmod'][k % 4 + 1] AS label, ['VERB', 'NOUN', 'ADP'][(k + l_linenumber) % 3 + 1] AS upos, 'm' || k % 4 AS own
   FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2))"""
 
 
-@query(f"""
-WITH {TOKENS}, root AS (SELECT * FROM t WHERE pos = 1), c AS (SELECT r.sent, r.upos, l.lemma FROM root r, (VALUES ('m0'), ('m1')) l(lemma)),
-k AS (SELECT c.sent, c.lemma, max((t.label = 'compound:prt')::INT + (t.own = c.lemma)::INT) AS part, max((t.label = 'obj')::INT) AS dir, max((t.label = 'obl')::INT + (t.upos = 'NOUN')::INT) AS prep
-  FROM c JOIN t ON t.sent = c.sent AND t.pos > 1 GROUP BY 1, 2),
-j AS (SELECT c.*, coalesce(part, 0) AS part, coalesce(dir, 0) AS dir, coalesce(prep, 0) AS prep FROM c LEFT JOIN k ON k.sent = c.sent AND k.lemma = c.lemma),
-s AS (SELECT *, (upos = 'VERB')::INT + part AS v, 2 + CASE WHEN part > 0 THEN 3 ELSE 1 END AS vn, greatest(dir, prep) AS arg, CASE WHEN dir > prep THEN 2 WHEN prep > 0 THEN 4 ELSE 1 END AS argn FROM j)
-SELECT sent, lemma, 'V' AS cat, v AS score, vn AS cnt FROM s UNION ALL SELECT sent, lemma, 'V2', v + arg, vn + argn FROM s
-UNION ALL SELECT sent, lemma, 'N', (upos = 'NOUN')::INT, 2 FROM s UNION ALL SELECT sent, lemma, 'X', 0, 1 FROM s""")
+# what each category sums up: its own part of speech, and the best child for each of its groups, as (score, tests).
+# A child's score and tests are written out; heads have children, those have some of their own
+CATEGORY_SQL = {
+    "A": "is_adj", "A2": "is_adj + obl_case", "Adv": "is_adv", "AdV": "is_adv", "AdA": "is_adv", "AdN": "is_adv", "Interj": "is_intj", "N": "is_noun", "N2": "is_noun + nmod_case",
+    "PN": "is_propn", "V0": "is_verb", "V": "is_verb + particle", "V2": "is_verb + obj_or_prep + particle", "V3": "is_verb + obj_below + iobj_or_prep + particle", "VA": "is_verb + adj + particle",
+    "VS": "is_verb + sent_ + particle", "VQ": "is_verb + verb_ + particle", "VV": "is_verb_or_aux + verb_ + particle", "V2A": "is_verb + obj + adj + particle", "V2S": "is_verb + obj + sent_ + particle",
+    "V2Q": "is_verb + obj + verb_ + particle", "V2V": "is_verb + obj + verb_ + particle", "Prep": "is_adp_or_sconj", "Conj": "is_cconj", "Det": "is_det", "Quant": "is_det", "Pron": "is_pron",
+    "Subj": "is_sconj", "X": "",
+}
+OWN_SQL = {"is_verb_or_aux": "upos IN ('VERB', 'AUX')", "is_adp_or_sconj": "upos IN ('ADP', 'SCONJ')"} | {f"is_{p.lower()}": f"upos = '{p}'" for p in ("ADJ", "ADV", "INTJ", "NOUN", "PROPN", "VERB", "CCONJ", "DET", "PRON", "SCONJ")}
+GRAND_SQL = {"case_": ("(label = 'case')::INT + (own = lemma)::INT", 3), "prep_": ("(label = 'case')::INT + (upos = 'PREP')::INT + (own = lemma)::INT", 4), "subj_": ("(label IN ('nsubj', 'nsubj:pass'))::INT", 2), "objs_": ("(label IN ('obj', 'nsubj:pass'))::INT", 2)}
+CHILD_SQL = {
+    "obl_case": ("(label = 'obl')::INT + case_", "2 + case_n"), "nmod_case": ("(label = 'nmod')::INT + case_", "2 + case_n"), "particle": ("(label = 'compound:prt')::INT + (own = lemma)::INT", "3"),
+    "obj": ("(label IN ('obj', 'nsubj:pass'))::INT", "2"), "iobj": ("(label IN ('iobj', 'nsubj:pass'))::INT", "2"), "prep": ("(label = 'obl')::INT + (upos = 'NOUN')::INT + prep_", "3 + prep_n"),
+    "obj_below": ("objs_", "1 + objs_n"), "adj": ("(label = 'xcomp')::INT + (upos = 'ADJ')::INT", "3"), "sent_": ("(label = 'xcomp')::INT + (upos = 'VERB')::INT + subj_", "3 + subj_n"), "verb_": ("(label = 'xcomp')::INT + (upos = 'VERB')::INT", "3"),
+}
+
+
+def _rules_sql() -> str:
+    # the best child, the last of equals; where none scores it is one test
+    best = lambda name, res, n, at: f"coalesce(max({res}), 0) AS {name}, CASE WHEN max({res}) > 0 THEN arg_max({n}, ({res}, {at})) ELSE 1 END AS {name}n"
+    grand = ", ".join(best(k, r, n, "g.pos") for k, (r, n) in GRAND_SQL.items()).replace("label", "g.label").replace("upos", "g.upos").replace("own", "g.own")
+    child = ", ".join(best(k + "_", r, n, "pos") for k, (r, n) in CHILD_SQL.items())
+    groups = {k: (f"{k}_", f"{k}_n") for k in CHILD_SQL} | {k: (f"({c})::INT", "1") for k, c in OWN_SQL.items()}
+    for name, first in (("obj_or_prep", "obj"), ("iobj_or_prep", "iobj")):  # of equals the later one
+        groups[name] = (f"greatest({first}_, prep_)", f"CASE WHEN {first}_ > prep_ THEN {first}_n ELSE prep_n END")
+    total = lambda start, i, e: " + ".join([start, *(groups[g][i] for g in e.split(" + ") if g)])
+    rows = [f"SELECT sent, pos, lemma, '{c}' AS cat, {total('0', 0, e)} AS score, {total('1', 1, e)} AS cnt FROM s" for c, e in CATEGORY_SQL.items()]
+    return f"""l(lemma) AS (VALUES ('m0'), ('m1')),
+kid AS (SELECT t.sent, t.pos, t.head, t.label, t.upos, t.own, lemma, {grand} FROM t CROSS JOIN l LEFT JOIN t g ON g.sent = t.sent AND g.head = t.pos GROUP BY ALL),
+best AS (SELECT sent, head AS pos, lemma, {child} FROM kid GROUP BY sent, head, lemma),
+s AS (SELECT t.sent, t.pos, l.lemma, t.upos, {", ".join(f"coalesce({k}_, 0) AS {k}_, coalesce({k}_n, 1) AS {k}_n" for k in CHILD_SQL)} FROM t CROSS JOIN l LEFT JOIN best b ON b.sent = t.sent AND b.pos = t.pos AND b.lemma = l.lemma)
+SELECT * FROM ({" UNION ALL ".join(rows)}) WHERE pos = 1"""
+
+
+@query(f"WITH {TOKENS_DEEP}, {_rules_sql()}")
 def candidate_rules(spark, d):
-    """Intransitive and transitive verbs, nouns and a category without rules, at the head of each sentence."""
-    t = _tokens(spark, d)
-    c = t.filter("pos = 1").select("sent", "pos", F.explode(F.array(F.lit("m0"), F.lit("m1"))).alias("lemma")).select("*", F.explode(F.array(*map(F.lit, ("V", "V2", "N", "X")))).alias("cat"))
-    return matching.ranked_by_rules(c, t).select("sent", "lemma", "cat", "score", "cnt")
+    """Every category, and one without rules, at the first word of each sentence, over trees of three levels."""
+    t = _deep_tokens(spark, d)
+    c = t.filter("pos = 1").select("sent", "pos", F.explode(F.array(F.lit("m0"), F.lit("m1"))).alias("lemma")).select("*", F.explode(F.array(*map(F.lit, CATEGORY_SQL))).alias("cat"))
+    return matching.ranked_by_rules(c, t)
 
 
 @query(f"WITH {TOKENS} SELECT sent, lemma, CASE WHEN upos = 'VERB' OR label = 'obj' THEN 1 ELSE 0 END AS score FROM t, (VALUES ('m0')) l(lemma) WHERE pos = 1")
@@ -136,7 +179,7 @@ def user_ranking(spark, d):
     """A user's own rules in place of the table."""
     t = _tokens(spark, d)
     c = t.filter("pos = 1").select("sent", "pos", F.lit("m0").alias("lemma"), F.lit("mine").alias("cat"))
-    return matching.ranked_by_rules(c, t, {"mine": [("best", ("pos", "VERB"), ("label", "obj"))]}).select("sent", "lemma", "score")
+    return matching.ranked_by_rules(c, t, [("mine", "0.0", "upos", ("VERB",)), ("mine", "0.1", "label", ("obj",))]).select("sent", "lemma", "score")
 
 
 @query(f"""

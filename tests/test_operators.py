@@ -163,16 +163,62 @@ def test_trees(spark):
     for bad in ("(a", "a)", "", "()"):
         with pytest.raises(ValueError):
             trees.parse(bad)
-    df = spark.createDataFrame([("F (G x) y", 1), ("F (G", 0), (None, 0), ("F", 5)], "e string, i int")
-    assert [r[0] for r in df.select(trees.subexpression("e", "i")).collect()] == ["G x", None, None, None]
-    assert df.select(trees.node_table("e").alias("n")).select(F.explode("n").alias("n")).select("n.*").count() == 5
+    df = spark.createDataFrame([(0, "F (G x) y", 1), (1, "F (G", 0), (2, None, 0), (3, "F", 5)], "id int, expr string, fid int")
+    assert [r[0] for r in trees.subexpressions(df.select("id", "expr"), ["id"], df.select("id", "fid")).orderBy("id").select("sub").collect()] == ["G x", None, None, None]
+    assert trees.node_table(df, ["id"]).count() == 5
+
+
+def test_trees_of_random_texts(spark):
+    """Node tables and subtrees by windows against the reader of single texts, broken ones besides."""
+    r = random.Random(6)
+    atoms = ["F", "G_x", "a1", "?", "?12", '"q (x"', '"\\\\"', '"a\\"b"', "3.5", r"\x ->"]
+
+    def text(depth):
+        if depth == 0 or r.random() < 0.3:
+            return r.choice(atoms)
+        out = " ".join(f"({text(depth - 1)})" if r.random() < 0.6 else text(0) for _ in range(r.randint(1, 4)))
+        return f"( {out})" if r.random() < 0.2 else out
+
+    texts = [text(r.randint(0, 5)) for _ in range(300)]
+    texts += [t[:k] + t[k + 1 :] for t in texts[:150] for k in [r.randrange(len(t))]] + ["", "  ", "()", "F ()", ")(", "F )", 'F "open', "(" * 300 + "F" + ")" * 300, "F (" * 300 + "x" + ")" * 300]
+    nodes, subs = {}, {}
+    for i, t in enumerate(texts):
+        try:
+            root = trees.parse(t)
+        except ValueError:
+            continue
+        todo, rows_ = [(root, None, 0)], []
+        while todo:
+            x, up, pos = todo.pop()
+            me = len(rows_)
+            rows_.append((up, pos, x.fun))
+            if i % 7 == 0 and len(t) < 500:
+                subs[i, me] = str(x)
+            todo += [(a, me, k) for k, a in reversed(list(enumerate(x.args)))]
+        nodes |= {(i, fid): v for fid, v in enumerate(rows_)}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, expr string")
+    got = {(x.id, x.fid): (x.parent, x.pos, x.fun) for x in trees.node_table(df, ["id"]).collect()}
+    assert got == nodes
+    wanted = spark.createDataFrame(list(subs), "id int, fid int")
+    assert {(x.id, x.fid): x.sub for x in trees.subexpressions(df, ["id"], wanted).collect()} == subs
+
+
+def test_definition_scanner(spark):
+    src = 'lin a = b ;\nlin dog_N = mkN "a;b" (f {x ; y}) ; --guessed\nlin open_N = mkN (x ;'
+    df = spark.createDataFrame([(src, "dog_N"), (src, "a"), (src, "open_N"), (src, None), (None, "a"), (src, ""), ("x\nlin q = ;", "q")], "s string, f string")
+    assert [x[0] for x in df.select(trees.definitions(F.col("s"), F.col("f"))).collect()] == ['mkN "a;b" (f {x ; y})', None, None, None, None, None, ""]
+    blocks = ["abs* F (G\n  x)\neng: y", "abs: F (G", "eng: a\nabs^ F x", "none", None, 'abs: F "(\neng: x" y\n\nkey: 1', "abs: F x)", 'abs: F "x', "abs: F (x\neng: z) y\n"]
+    df = spark.createDataFrame([(b,) for b in blocks], "b string")
+    assert [x[0] for x in df.select(trees.cut(F.col("b"))).collect()] == ["F (G x)", None, "F x", None, None, 'F "( eng: x" y', None, None, "F (x eng: z) y"]
+    texts = df.select(text.nfd(F.col("b")).alias("n"))
+    assert texts.count() == len(blocks)
 
 
-def test_definition_scanner():
-    src = 'lin a = b ;\nlin dog_N = mkN "a;b" (f {x ; y}) ; --guessed\nlin open_N = mkN (x ;'
-    assert trees.definition_of(src, "dog_N") == 'mkN "a;b" (f {x ; y})'
-    assert trees.definition_of(src, "a") is None and trees.definition_of(src, "open_N") is None
-    assert trees.cut_tree("abs* F (G\n  x)\neng: y") == "F (G x)" and trees.cut_tree("abs: F (G") is None
+def test_numeral_columns(spark):
+    r = random.Random(2)
+    ns = [*range(-1, 1200), *(r.randrange(10 ** r.randint(1, 12)) for _ in range(1500)), *(10**k for k in range(13)), *(10**k + 1 for k in range(12)), None]
+    df = spark.createDataFrame([(n,) for n in ns], "n long").select("n", numerals.numeral(F.col("n")).alias("t"))
+    assert all(x.t == (numerals.tree(x.n) if x.n is not None and 1 <= x.n < 10**12 else None) for x in df.collect())
 
 
 @pytest.mark.parametrize(
@@ -206,6 +252,20 @@ def test_dependencies(spark):
     got = dependencies.convert(trees.parse("PredVP she (ComplV2 loves him)"), rules)
     assert [(f, h, lab) for _, f, h, lab in got] == [("she", 4, "nsubj"), ("loves", 0, "root"), ("him", 4, "obj")]
     table = spark.createDataFrame([("PredVP nsubj head -- comment",)], "value string")
+    # random trees and pragmas, by joins as by the plain function
+    r = random.Random(9)
+    kinds = [("head", None), ("head", "own"), ("mod", "m"), ("mod", None), ("rel", None), ("anchor", None), ("skip", None)]
+    rules = {f"F{i}": [r.choice(kinds) for _ in range(r.randint(0, 4))] for i in range(12)} | {"S": [("skip", None)] * 4}
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.25:
+            return r.choice("abcd")
+        return " ".join([r.choice([*rules, "G"]), *(f"({tree(depth - 1)})" for _ in range(r.randint(1, 4)))])
+
+    texts = [tree(r.randint(0, 5)) for _ in range(150)] + ["F (", "F1 (" * 40 + "a" + ")" * 40]
+    want = {(i, *x) for i, t in enumerate(texts) if t != "F (" for x in dependencies.convert(trees.parse(t), rules)}
+    df, ps = spark.createDataFrame(list(enumerate(texts)), "id int, expr string"), spark.createDataFrame(list(rules.items()), "fun string, pragmas array<struct<kind:string,label:string>>")
+    assert {tuple(x) for x in dependencies.to_dependencies(df, ["id"], ps).collect()} == want
     assert resources.pragmas(table).select("fun", F.col("pragmas.kind")).first() == ("PredVP", ["mod", "head"])
 
 
