@@ -17,28 +17,60 @@ ENTITY = "http://www.wikidata.org/entity/"
 MONTHS = "january february march april may june july august september october november december".split()
 
 
+SNAK = "struct<snaktype:string,datatype:string,datavalue:struct<value:variant>>"
+CLAIMS = f"array<struct<mainsnak:{SNAK},qualifiers:variant,references:variant>>"
+
+
+def parsed(json: Column) -> Column:
+    """An entity's JSON as a variant, which is parsed once and then read by path; null for what is no JSON."""
+    return F.try_parse_json(json)
+
+
+def with_entity(entities: DataFrame, json: str = "json") -> DataFrame:
+    """entities with ``entity``, the variant of their JSON, as a column of its own before anything reads it."""
+    return entities.withColumn("entity", parsed(F.col(json)))
+
+
+def _at(value: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
 def claims(entity: Column, prop: str) -> Column:
-    """Main snaks of a property that hold a value, as JSON strings; missing or novalue: none."""
-    snaks = F.from_json(F.get_json_object(entity, f"$.claims.{prop}"), "array<struct<mainsnak:struct<snaktype:string,datatype:string,datavalue:struct<value:string>>,qualifiers:string,references:string>>")
-    some = F.filter(F.coalesce(snaks, F.array().cast("array<struct<mainsnak:struct<snaktype:string,datatype:string,datavalue:struct<value:string>>,qualifiers:string,references:string>>")), lambda s: s["mainsnak"]["snaktype"] == "value")
+    """Main snaks of a property that hold a value, each with its datatype, its value and its qualifiers and
+    references as variants; missing or novalue: none. entity is a variant."""
+    snaks = F.coalesce(_at(entity, f"$.claims.{prop}", CLAIMS), F.array().cast(CLAIMS))
+    some = F.filter(snaks, lambda s: s["mainsnak"]["snaktype"] == "value")
     return F.transform(some, lambda s: F.struct(s["mainsnak"]["datatype"].alias("datatype"), s["mainsnak"]["datavalue"]["value"].alias("value"), s["qualifiers"].alias("qualifiers"), s["references"].alias("references")))
 
 
 def properties(entity: Column) -> Column:
     """Names of all properties of an untyped entity."""
-    return F.array_sort(F.coalesce(F.json_object_keys(F.get_json_object(entity, "$.claims")), F.array().cast("array<string>")))
+    return F.array_sort(F.coalesce(F.map_keys(_at(entity, "$.claims", "map<string,variant>")), F.array().cast("array<string>")))
+
+
+def statements(entities: DataFrame) -> DataFrame:
+    """(qid, prop, pos, datatype, value, qualifiers): a row a statement of untyped entities (qid, json), whatever
+    their properties, values decoded, undecodable ones null; novalue has no row. qualifiers: (prop, value) pairs by name."""
+    e = with_entity(entities.select("qid", "json")).select("qid", "entity")
+    rows = e.sparkSession.sql(
+        "SELECT e.qid, p.key AS prop, c.pos, c.value AS claim FROM {e} e, LATERAL variant_explode(try_variant_get(e.entity, '$.claims', 'variant')) p, LATERAL variant_explode(p.value) c", e=e
+    )
+    main = F.try_variant_get("claim", "$.mainsnak", SNAK)
+    rows = rows.select("qid", "prop", "pos", main.alias("s"), _at(F.col("claim"), "$.qualifiers", f"map<string,array<{SNAK}>>").alias("q")).filter("s.snaktype = 'value'")
+    pairs = F.transform(F.array_sort(F.map_keys("q")), lambda k: F.transform(F.filter(F.col("q")[k], lambda s: s["snaktype"] == "value"), lambda s: F.struct(k.alias("prop"), decoded(s["datatype"], s["datavalue"]["value"]).alias("value"))))
+    return rows.select("qid", "prop", "pos", F.col("s.datatype").alias("datatype"), decoded(F.col("s.datatype"), F.col("s.datavalue.value")).alias("value"), F.coalesce(F.flatten(pairs), F.array()).alias("qualifiers"))
 
 
 def decoded(datatype: Column, value: Column) -> Column:
-    """A value by its datatype as text; an unknown datatype is null."""
+    """A value, which is a variant, by its datatype as text; an unknown datatype is null."""
     return (
-        F.when(datatype == "commonsMedia", image_url(value))
-        .when(datatype == "quantity", decimal_text(F.get_json_object(value, "$.amount")))
-        .when(datatype == "wikibase-item", F.get_json_object(value, "$.id"))
-        .when(datatype == "globe-coordinate", F.concat_ws(",", F.get_json_object(value, "$.latitude"), F.get_json_object(value, "$.longitude")))
-        .when(datatype == "time", F.get_json_object(value, "$.time"))
-        .when(datatype == "monolingualtext", F.get_json_object(value, "$.text"))
-        .when(datatype == "string", value)
+        F.when(datatype == "commonsMedia", image_url(_at(value, "$")))
+        .when(datatype == "quantity", decimal_text(_at(value, "$.amount")))
+        .when(datatype == "wikibase-item", _at(value, "$.id"))
+        .when(datatype == "globe-coordinate", F.concat_ws(",", _at(value, "$.latitude"), _at(value, "$.longitude")))
+        .when(datatype == "time", _at(value, "$.time"))
+        .when(datatype == "monolingualtext", _at(value, "$.text"))
+        .when(datatype == "string", _at(value, "$"))
     )
 
 
@@ -55,31 +87,31 @@ def typed_entity(entities: DataFrame, fields: dict[str, str], lang: str = "en")
     cols = []
     for name, kind in fields.items():
         if name == "label":
-            one = label(F.col("json"), lang)
+            one = label(F.col("entity"), lang)
             cols.append(F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>")).alias("label"))
             continue
-        fit = F.filter(claims(F.col("json"), name), fits(DATATYPES[kind]))
+        fit = F.filter(claims(F.col("entity"), name), fits(DATATYPES[kind]))
         values = F.transform(fit, lambda c: decoded(c["datatype"], c["value"]))
         if kind in ("Int", "Float"):
             values = F.transform(values, cast_to("long" if kind == "Int" else "double"))
         cols.append(F.filter(values, lambda x: x.isNotNull()).alias(name))
-    return entities.select("qid", *cols)
+    return with_entity(entities).select("qid", *cols)
 
 
 def qualifier(snak: Column, prop: str) -> Column:
     """Values of a qualifier or a reference, whichever has the property; undecodable ones drop out."""
-    kind = "array<struct<snaktype:string,datatype:string,datavalue:struct<value:string>>>"
+    kind = f"array<{SNAK}>"
     none = F.array().cast(kind)
-    q = F.coalesce(F.from_json(F.get_json_object(snak["qualifiers"], f"$.{prop}"), kind), none)
-    refs = F.from_json(snak["references"], "array<struct<snaks:string>>")
-    r = F.flatten(F.transform(F.coalesce(refs, F.array().cast("array<struct<snaks:string>>")), lambda x: F.coalesce(F.from_json(F.get_json_object(x["snaks"], f"$.{prop}"), kind), none)))
+    q = F.coalesce(_at(snak["qualifiers"], f"$.{prop}", kind), none)
+    refs = F.coalesce(_at(snak["references"], "$", "array<struct<snaks:variant>>"), F.array().cast("array<struct<snaks:variant>>"))
+    r = F.flatten(F.transform(refs, lambda x: F.coalesce(_at(x["snaks"], f"$.{prop}", kind), none)))
     values = F.transform(F.filter(F.concat(q, r), lambda s: s["snaktype"] == "value"), lambda s: decoded(s["datatype"], s["datavalue"]["value"]))
     return F.filter(values, lambda x: x.isNotNull())
 
 
 def label(entity: Column, lang: str) -> Column:
-    """In the language, else in English."""
-    return F.coalesce(F.get_json_object(entity, f"$.labels.{lang}.value"), F.get_json_object(entity, "$.labels.en.value"))
+    """In the language, else in English; entity is a variant."""
+    return F.coalesce(_at(entity, f"$.labels['{lang}'].value"), _at(entity, "$.labels.en.value"))
 
 
 def drop_url(x: Column) -> Column:
@@ -221,7 +253,7 @@ def page(template: Column, values: dict[str, Column]) -> Column:
 
 def page_script(entities: DataFrame, scripts: DataFrame, overrides: DataFrame) -> DataFrame:
     """(qid, script): an entity's own script, else that of its first class (P31) that has one."""
-    cls = entities.select("qid", F.posexplode(F.transform(claims(F.col("json"), "P31"), lambda c: F.get_json_object(c["value"], "$.id"))).alias("pos", "class"))
+    cls = with_entity(entities).select("qid", F.posexplode(F.transform(claims(F.col("entity"), "P31"), lambda c: _at(c["value"], "$.id"))).alias("pos", "class"))
     by = cls.join(scripts, "class").groupBy("qid").agg(F.min_by("script", "pos").alias("class_script"))
     own = overrides.select("qid", F.col("script").alias("own_script"))
     return entities.select("qid").join(by, "qid", "left").join(own, "qid", "left").select("qid", F.coalesce("own_script", "class_script").alias("script"))

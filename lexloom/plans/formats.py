@@ -181,7 +181,7 @@ def dump_names(spark, d):
 
 @query("SELECT 'Q' || c_custkey AS qid, 'P18,P31,P735' AS props FROM customer")
 def entity_properties(spark, d):
-    return _dump(spark, d).select("qid", F.array_join(kb.properties(F.col("json")), ",").alias("props"))
+    return _dump(spark, d).select("qid", F.array_join(kb.properties(kb.parsed(F.col("json"))), ",").alias("props"))
 
 
 @query("SELECT o_orderkey AS sent, pos::INT AS pos, form, CASE pos WHEN 0 THEN 'o' || o_orderkey ELSE o_orderstatus END AS lemma, 'NN' AS tag FROM orders, LATERAL (VALUES (0, 'Order'), (1, 'is')) t(pos, form) WHERE o_orderkey < 100")

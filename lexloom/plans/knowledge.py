@@ -42,16 +42,25 @@ SELECT event_id, CAST(event_id AS DOUBLE) AS amount, concat('e', user_id) AS lab
 UNION ALL SELECT event_id, -7.0, concat('e', user_id) FROM events WHERE event_id % 3 <> 0""")
 def json_claims(spark, d):
     e = entities(spark, d)
-    c = e.select("event_id", F.explode(kb.claims(F.col("json"), "P1")).alias("c"), kb.label(F.col("json"), "de").alias("label"))
+    c = kb.with_entity(e).select("event_id", F.explode(kb.claims(F.col("entity"), "P1")).alias("c"), kb.label(F.col("entity"), "de").alias("label"))
     return c.select("event_id", kb.decimal(kb.decoded(F.col("c.datatype"), F.col("c.value"))).alias("amount"), "label")
 
 
 @query("SELECT event_id, event_type AS kind FROM events")
 def json_qualifier(spark, d):
-    c = entities(spark, d).select("event_id", F.explode(kb.claims(F.col("json"), "P1")).alias("c"))
+    c = kb.with_entity(entities(spark, d)).select("event_id", F.explode(kb.claims(F.col("entity"), "P1")).alias("c"))
     return c.select("event_id", F.explode(kb.qualifier(F.col("c"), "P9")).alias("kind"))
 
 
+@query("""
+SELECT event_id::VARCHAR AS qid, 'P1' AS prop, 0 AS pos, 'quantity' AS datatype, event_id::VARCHAR AS value, 'P9=' || event_type AS qualifiers FROM events
+UNION ALL SELECT event_id::VARCHAR, 'P1', 1, 'quantity', '-7', '' FROM events WHERE event_id % 3 <> 0""")
+def entity_statements(spark, d):
+    """Untyped entities as rows: every statement with its decoded value and qualifiers, by exploding the variant."""
+    out = kb.statements(entities(spark, d).select(F.col("event_id").cast("string").alias("qid"), "json"))
+    return out.withColumn("qualifiers", F.array_join(F.transform("qualifiers", lambda q: F.concat(q["prop"], F.lit("="), q["value"])), ","))
+
+
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def json_field(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from lexloom.operators import intervals, matching, ranking, stats
 from lexloom.plans.access import lexemes
 from lexloom.plans.knowledge import _sentences, log
 from lexloom.plans.views import with_views
-from lexloom.session import table
+from lexloom.session import settled, shared_dir, table
 from lexloom.sources import resources
 from lexloom.streaming import collab
 
@@ -337,6 +339,44 @@ def collab_unseen(spark, d):
     return collab.pull(done, known).select("doc_id", "version", "client")
 
 
+def _with_refused(log: DataFrame) -> DataFrame:
+    """Each document also gets a push at a version that it never reaches, and one that can't be read, in the middle of the others."""
+    more = log.filter("seq = 1").selectExpr("doc_id", "inline(array(named_struct('seq', 3L, 'version', 1000000L, 'updates', '[]'), named_struct('seq', 5L, 'version', 0L, 'updates', '{')))")
+    return log.withColumn("seq", 2 * F.col("seq")).unionByName(more)
+
+
+def _streamed(spark, d) -> tuple[str, DataFrame]:
+    """The pushes come in three files; the stream is run after each and goes on where it stopped."""
+    root = f"{shared_dir(spark)}/collab-{uuid.uuid4().hex}"
+    log = settled(_with_refused(pushes(spark, d)))
+    top = (log.agg(F.max("seq")).first()[0] or 0) + 1
+    for k in range(3):
+        part = log.filter((F.col("seq") >= top * k // 3) & (F.col("seq") < top * (k + 1) // 3))
+        part.write.mode("append").parquet(f"{root}/pushes")
+        collab.drained(collab.push_stream(spark.readStream.schema(log.schema).parquet(f"{root}/pushes")), root)
+    return root, log
+
+
+@query(f"""
+WITH {TURNS} SELECT doc_id, 2 * version AS seq, version, client, CASE WHEN version % 2 = 0 THEN before ELSE 0 END AS at, NULL AS rejected FROM p
+UNION ALL SELECT DISTINCT doc_id, s, NULL, NULL, NULL, w FROM t, (VALUES (3, 'unknown version'), (5, 'unreadable')) r(s, w)""")
+def collab_stream(spark, d):
+    """The running stream over all turns: accepted updates, rebased, and rejected pushes as rows of their own."""
+    root, _ = _streamed(spark, d)
+    out = spark.read.schema(collab.OUT).parquet(f"{root}/out")
+    first = F.get_json_object("changes", "$[0]")
+    skip = F.when(first.startswith("["), F.lit(0)).otherwise(first.cast("long"))
+    return out.select("doc_id", "seq", "version", "client", skip.cast("long").alias("at"), "rejected")
+
+
+@query(f"WITH {TURNS} SELECT doc_id, version, client, 'r' AS reader FROM t WHERE version > 1")
+def collab_pulled(spark, d):
+    """Pulls answered from the state of the stream itself."""
+    root, log = _streamed(spark, d)
+    known = log.select("doc_id").distinct().select("doc_id", F.lit("r").alias("reader"), F.lit(1).cast("long").alias("version"))
+    return collab.pull_from_state(spark, root, known).select("doc_id", "version", "client", "reader")
+
+
 @query("SELECT n_name AS fun, 'i' || n_regionkey AS image FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT n_name || '_Fem', 'i' || n_regionkey FROM nation WHERE n_nationkey % 2 = 0")
 def mirrored_images(spark, d):
     """The other gender's form of a name gets the same image."""

@@ -260,22 +260,22 @@ def dump_names(entities: DataFrame) -> DataFrame:
     description; the page; and image paths by property in order. Entities with none of these drop out."""
     from lexloom.functions import kb
 
-    j = F.col("json")
-    ids = lambda p: F.transform(kb.claims(j, p), lambda c: F.get_json_object(c["value"], "$.id"))
-    plain = lambda p: F.transform(kb.claims(j, p), lambda c: c["value"])
+    j, get = F.col("entity"), F.try_variant_get
+    ids = lambda p: F.transform(kb.claims(j, p), lambda c: get(c["value"], "$.id", "string"))
+    plain = lambda p: F.transform(kb.claims(j, p), lambda c: get(c["value"], "$", "string"))
     last = lambda xs, of: F.try_element_at(F.filter(xs, lambda x: x.isin(*of)), F.lit(-1))
-    title = F.get_json_object(j, "$.sitelinks.enwiki.title")
+    title = get(j, "$.sitelinks.enwiki.title", "string")
     url = F.when(title.isNotNull(), F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(title, F.lit(" "), F.lit("_")))).otherwise(F.concat(F.lit("http://www.wikidata.org/entity/"), "qid"))
 
     def path(c):
-        name = F.replace(c["value"], F.lit(" "), F.lit("_"))
+        name = F.replace(get(c["value"], "$", "string"), F.lit(" "), F.lit("_"))
         return F.concat(F.lit("commons/"), F.substring(F.md5(name), 1, 1), F.lit("/"), F.substring(F.md5(name), 1, 2), F.lit("/"), name)
 
     images = F.concat(*(F.transform(kb.claims(j, p), path) for p in IMAGE_PROPERTIES))
-    kinds = entities.select("qid", "json", ids("P31").alias("kinds"))
+    kinds = kb.with_entity(entities).select("qid", "entity", ids("P31").alias("kinds"))
     out = kinds.select(
         "qid", F.coalesce(last(F.col("kinds"), GENDER_CLASSES), last(F.col("kinds"), NAME_CLASSES)).alias("name_type"), ids("P735").alias("given"), ids("P734").alias("family"),
-        plain("P1566").alias("places"), plain("P8814").alias("synsets"), F.coalesce(F.get_json_object(j, "$.descriptions.en.value"), F.lit("")).alias("description"), url.alias("url"), images.alias("images"),
+        plain("P1566").alias("places"), plain("P8814").alias("synsets"), F.coalesce(get(j, "$.descriptions.en.value", "string"), F.lit("")).alias("description"), url.alias("url"), images.alias("images"),
     )
     return out.filter(F.col("name_type").isNotNull() | (F.size("given") > 0) | (F.size("family") > 0) | (F.size("places") > 0))
 

@@ -4,8 +4,8 @@ A change list runs over a document's characters: an int skips so many, (n, text)
 characters out and puts text in. ``after`` rewrites changes made at the same time as others so
 that they apply behind them; insertions at one place keep the earlier writer first.
 
-The stream is one state a document: its number of updates and the updates themselves. A push at
-an old version is rebased on what it has not seen."""
+The stream is one state a document: its number of updates and the updates themselves, a row each. A push at
+an old version is rebased on what it has not seen, and one at an unknown version is rejected, as a row of its own."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 Change = int | tuple[int, str]
 
@@ -131,34 +133,97 @@ class Document:
         return base
 
 
-OUT = "doc_id string, version long, client string, changes string"
-STATE = "log string"
+OUT = "doc_id string, seq long, version long, client string, changes string, rejected string"
+COLUMNS = ["doc_id", "seq", "version", "client", "changes", "rejected"]
 
 
 def accepted(doc_id: str, doc: Document, r) -> list[tuple]:
-    """Rows of one push; a push at an unknown version, or that can't be read, is rejected and gives none."""
+    """Rows of one push: one an update, or one that says why it was rejected."""
     n = len(doc.log)
     try:
         new = doc.push(int(r.version), json.loads(r.updates))
-    except (ValueError, TypeError, KeyError):
-        return []
-    return [(doc_id, n + i + 1, u["clientID"], json.dumps(u["changes"])) for i, u in enumerate(new)]
-
-
-def _replay(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    doc = Document(json.loads(state.get[0]) if state.exists else [])
-    for frame in frames:
-        rows = []
-        for r in frame.sort_values("seq").itertuples():
-            rows += accepted(key[0], doc, r)
-        yield pd.DataFrame(rows, columns=["doc_id", "version", "client", "changes"])
-    state.update((json.dumps(doc.log),))
+    except (ValueError, TypeError, KeyError) as e:
+        return [(doc_id, r.seq, None, None, None, refusal(e))]
+    return [(doc_id, r.seq, n + i + 1, u["clientID"], json.dumps(u["changes"]), None) for i, u in enumerate(new)]
+
+
+def refusal(e: Exception) -> str:
+    return "unknown version" if "unknown version" in str(e) else "unreadable"
+
+
+class Documents(StatefulProcessor):
+    """One state a document: a map of its updates by version, of which a push adds its own and reads only
+    those that it has not seen, and their number."""
+
+    def init(self, handle) -> None:
+        self.log = handle.getMapState("log", "version long", "client string, changes string")
+        self.size = handle.getValueState("size", "n long")
+
+    def _push(self, doc_id: str, r, n: int) -> list[tuple]:
+        try:
+            version, updates = int(r.version), [(u["clientID"], decode(u["changes"])) for u in json.loads(r.updates)]
+            if not 0 <= version <= n:
+                raise ValueError(f"unknown version {version}")
+            since = [decode(json.loads(self.log.getValue((v,))[1])) for v in range(version + 1, n + 1)]
+            moved = rebase([c for _, c in updates], since)
+        except (ValueError, TypeError, KeyError) as e:
+            return [(doc_id, r.seq, None, None, None, refusal(e))]
+        out = []
+        for (client, _), changes in zip(updates, moved, strict=True):
+            n += 1
+            wire = json.dumps(encode(changes))
+            self.log.updateValue((n,), (client, wire))
+            out.append((doc_id, r.seq, n, client, wire, None))
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        was = n = self.size.get()[0] if self.size.exists() else 0
+        out: list[tuple] = []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            new = self._push(key[0], r, n)
+            n += sum(x[2] is not None for x in new)
+            out += new
+        if n > was:
+            self.size.update((n,))
+        yield pd.DataFrame(out, columns=COLUMNS).astype(NULLABLE)
+
+
+NULLABLE = {"seq": "Int64", "version": "Int64"}
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def push_stream(pushes: DataFrame) -> DataFrame:
     """A stream of pushes (doc_id, seq, version, updates as JSON) to the stream of accepted, rebased
-    updates (doc_id, version, client, changes); each document's log is its state."""
-    return pushes.groupBy("doc_id").applyInPandasWithState(_replay, OUT, STATE, "append", "NoTimeout")
+    updates and rejected pushes, as ``push_batch`` has them. Pushes of a micro-batch go by seq, and batches as they come."""
+    return pushes.groupBy("doc_id").transformWithStateInPandas(Documents(), OUT, "append", "none")
+
+
+def drained(stream: DataFrame, root: str) -> None:
+    """Takes a push stream on over all that is there now: its rows are appended under root/out, its state and progress stand
+    under root/progress, so a later call goes on where this one ended."""
+    conf = stream.sparkSession.conf
+    was = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKS)  # states of several variables need it; a running query keeps what it began with
+    try:
+        w = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress")
+        w.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(PROVIDER, was)
+
+
+def pull_from_state(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """What each reader (doc_id, reader, version) has not seen, read from the stream's state itself:
+    (doc_id, version, client, changes, reader)."""
+    conf = spark.conf
+    was = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKS)
+    try:
+        state = spark.read.format("statestore").option("stateVarName", "log").load(f"{root}/progress")
+    finally:
+        conf.set(PROVIDER, was)
+    log = state.select(F.col("key.doc_id").alias("doc_id"), F.col("user_map_key.version").alias("version"), "user_map_value.*")
+    return pull(log, known)
 
 
 def push_batch(pushes: DataFrame) -> DataFrame:
@@ -168,7 +233,7 @@ def push_batch(pushes: DataFrame) -> DataFrame:
         doc, rows = Document(), []
         for r in frame.sort_values("seq").itertuples():
             rows += accepted(r.doc_id, doc, r)
-        return pd.DataFrame(rows, columns=["doc_id", "version", "client", "changes"])
+        return pd.DataFrame(rows, columns=COLUMNS).astype(NULLABLE)
 
     return pushes.groupBy("doc_id").applyInPandas(run, OUT)
 

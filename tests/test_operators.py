@@ -1,7 +1,9 @@
 """Operators against results worked out by hand, and invariants."""
 
+import json
 import math
 import random
+from collections import namedtuple
 
 import pytest
 from hypothesis import given, settings
@@ -459,14 +461,46 @@ def test_small_tables_are_never_cut(spark):
     assert len(resources.bounded(spark.range(10), 10)) == 10
 
 
-def test_a_bad_push_is_rejected():
-    class Push:
-        def __init__(self, version, updates):
-            self.version, self.updates = version, updates
-
+def test_pushes_by_stream_and_by_batch(spark, tmp_path):
+    """The stream, taken on in three runs, and the batch form give the same rows."""
     doc = collab.Document()
-    assert collab.accepted("d", doc, Push(5, "[]")) == [] and collab.accepted("d", doc, Push(0, "not json")) == []
-    assert collab.accepted("d", doc, Push(0, '[{"clientID": "a", "changes": [[0, "x"]]}]')) == [("d", 1, "a", '[[0, "x"]]')]
+    push = namedtuple("Push", "seq version updates")
+    assert collab.accepted("d", doc, push(1, 5, "[]")) == [("d", 1, None, None, None, "unknown version")]
+    assert collab.accepted("d", doc, push(2, 0, "not json")) == [("d", 2, None, None, None, "unreadable")]
+    assert collab.accepted("d", doc, push(3, 0, '[{"clientID": "a", "changes": [[0, "x"]]}]')) == [("d", 3, 1, "a", '[[0, "x"]]', None)]
+    r = random.Random(5)
+    rows_, sizes = [], {}
+    for seq in range(60):
+        d = r.choice("pqr")
+        n, version = sizes.get(d, 0), r.randint(-1, sizes.get(d, 0) + 1)
+        many = r.randint(0, 2)
+        bad = r.random() < 0.1
+        rows_.append((d, seq, version, "{" if bad else json.dumps([{"clientID": f"c{seq}", "changes": [[0, f"t{seq}"]]}] * many)))
+        sizes[d] = n + many * (0 <= version <= n and not bad)
+    log = spark.createDataFrame(rows_, "doc_id string, seq long, version long, updates string")
+    root = str(tmp_path)
+    for k in range(3):
+        log.filter(f"seq div 20 = {k}").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        collab.drained(collab.push_stream(spark.readStream.schema(log.schema).parquet(f"{root}/in")), root)
+    got = spark.read.schema(collab.OUT).parquet(f"{root}/out")
+    assert rows(got) == rows(collab.push_batch(log))
+    known = spark.createDataFrame([("p", "r", 2), ("q", "r", 0)], "doc_id string, reader string, version long")
+    want = collab.pull(collab.push_batch(log).filter("rejected is null"), known).select("doc_id", "version", "client", "changes", "reader")
+    assert rows(collab.pull_from_state(spark, root, known)) == rows(want)
+
+
+def test_entities_are_parsed_once(spark):
+    one = """{"id":"Q1","labels":{"zh-hans":{"value":"x"},"en":{"value":"e"}},"claims":{"P1":[{"mainsnak":{"snaktype":"value","datatype":"quantity","datavalue":{"value":{"amount":"+3"}}},
+      "references":[{"snaks":{"P8":[{"snaktype":"value","datatype":"time","datavalue":{"value":{"time":"+2001"}}}]}}]}],"P2":[{"mainsnak":{"snaktype":"somevalue"}}],"P3":[{"mainsnak":{"snaktype":"value","datatype":"odd","datavalue":{"value":1}}}]}}"""
+    df = spark.createDataFrame([("Q1", one), ("Q2", "no json"), ("Q3", None), ("Q4", "{}")], "qid string, json string")
+    out = kb.typed_entity(df, {"label": "Str", "P1": "Int", "P2": "Str", "P3": "Str"}, "zh-hans")
+    assert [(r.qid, r.label, r.P1, r.P2, r.P3) for r in out.orderBy("qid").collect()] == [("Q1", ["x"], [3], [], [])] + [(q, [], [], [], []) for q in ("Q2", "Q3", "Q4")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1 and "get_json_object" not in plan and "from_json" not in plan
+    c = kb.with_entity(df).select(F.explode(kb.claims(F.col("entity"), "P1")).alias("c"))
+    assert [r[0] for r in c.select(kb.qualifier(F.col("c"), "P8")).collect()] == [["+2001"]]
+    assert rows(kb.statements(df).select("qid", "prop", "pos", "value")) == [("Q1", "P1", 0, "3"), ("Q1", "P3", 0, None)]
+    assert [r[0] for r in df.select(kb.properties(kb.parsed(F.col("json")))).collect()] == [["P1", "P2", "P3"], [], [], []]
 
 
 def test_xz_lines(spark, tmp_path):
