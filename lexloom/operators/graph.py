@@ -71,11 +71,13 @@ def lowest_common_hypernyms(groups: DataFrame, reach0: DataFrame) -> DataFrame:
 
 
 def common_ancestors(groups: DataFrame, reach: DataFrame) -> DataFrame:
-    """(grp, anc): proper ancestors that all distinct members reach, minus those strictly above another one."""
+    """(grp, anc): proper ancestors that all distinct members reach, minus those strictly above another one. If one
+    of them stands anywhere below a node, then so does a child of it, so direct edges alone tell."""
     members = groups.select("grp", "id").distinct()
     size = members.groupBy("grp").agg(F.count("*").alias("size"))
     hits = members.join(reach, members["id"] == reach["src"]).groupBy("grp", "anc").agg(F.count("*").alias("n")).join(size, "grp").filter("n = size").select("grp", "anc")
-    above = hits.join(reach.select(F.col("src").alias("anc"), F.col("anc").alias("top")), "anc").select("grp", F.col("top").alias("anc")).distinct()
+    edges = reach.filter("dist = 1").select(F.col("src").alias("anc"), F.col("anc").alias("top"))
+    above = hits.join(edges, "anc").select("grp", F.col("top").alias("anc")).distinct()
     return hits.join(above, ["grp", "anc"], "left_anti")
 
 

@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.store import numbered_rows
 from lexloom.session import settled
 
 
@@ -103,71 +102,86 @@ def initial_counts(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return uni, bi
 
 
-def _passes(smooth_uni: float, smooth_bi: float, viterbi: bool):
-    """Inside and outside pass of one sentence, in the log domain. Rows: node, head, choice, the
-    choice's weight lu, and a list of (head choice, weight) known pairs."""
-
-    def run(t: pa.Table) -> pa.Table:
-        sent = t.column("sent")[0].as_py()
-        nodes: dict[int, list[tuple[str, float, dict]]] = {}
-        head: dict[int, int] = {}
-        for row in t.to_pylist():
-            nodes.setdefault(row["node"], []).append((row["choice"], np.log(row["n"] + smooth_uni), {p["head_choice"]: p["n"] for p in row["pairs"] or []}))
-            head[row["node"]] = row["head"]
-        for v in nodes.values():
-            v.sort(key=lambda x: x[0])
-        kids: dict[int, list[int]] = {}
-        for k, h in sorted(head.items()):
-            kids.setdefault(h if h in nodes and h != k else -1, []).append(k)
-        order, todo = [], list(kids.get(-1, []))
-        while todo:
-            k = todo.pop()
-            order.append(k)
-            todo += kids.get(k, [])
-        pick = max if viterbi else (lambda xs: float(np.logaddexp.reduce(list(xs))))
-        inside: dict[int, np.ndarray] = {}
-        up: dict[int, np.ndarray] = {}  # of a child for each choice of its head
-        for k in reversed(order):
-            own = np.array([lu for _, lu, _ in nodes[k]])
-            for c in kids.get(k, []):
-                own = own + up[c]
-            inside[k] = own
-            h = head[k]
-            if h in nodes and h != k:
-                edge = np.array([[np.log(pairs.get(hc, 0.0) + smooth_bi) for hc, *_ in nodes[h]] for _, _, pairs in nodes[k]])
-                up[k] = np.array([pick(inside[k] + edge[:, j]) for j in range(edge.shape[1])])
-        out_sent, out_kind, out_head, out_mod, out_w = [], [], [], [], []
-        logl = sum(float(np.logaddexp.reduce(inside[r])) for r in kids.get(-1, []))
-        outside = {r: np.zeros(len(nodes[r])) for r in kids.get(-1, [])}
-        for k in order:
-            post = inside[k] + outside[k]
-            post = np.exp(post - np.logaddexp.reduce(post))
-            for (c, *_), w in zip(nodes[k], post, strict=True):
-                out_sent.append(sent), out_kind.append("uni"), out_head.append(str(k)), out_mod.append(c), out_w.append(float(w))
-            for c in kids.get(k, []):
-                edge = np.array([[np.log(pairs.get(hc, 0.0) + smooth_bi) for hc, *_ in nodes[k]] for _, _, pairs in nodes[c]])
-                rest = outside[k] + inside[k] - up[c]
-                joint = rest[None, :] + edge + inside[c][:, None]
-                outside[c] = np.array([float(np.logaddexp.reduce(rest + edge[i])) for i in range(len(nodes[c]))])
-                joint = np.exp(joint - np.logaddexp.reduce(joint.reshape(-1)))
-                for i, (m, *_) in enumerate(nodes[c]):
-                    for j, (hc, *_) in enumerate(nodes[k]):
-                        out_sent.append(sent), out_kind.append("bi"), out_head.append(hc), out_mod.append(m), out_w.append(float(joint[i, j]))
-        out_sent.append(sent), out_kind.append("logl"), out_head.append(""), out_mod.append(""), out_w.append(logl)
-        return pa.table({"sent": pa.array(out_sent, pa.int64()), "kind": out_kind, "head": out_head, "mod": out_mod, "w": pa.array(out_w, pa.float64())})
-
-    return run
+def tree_levels(candidates: DataFrame) -> DataFrame:
+    """(sent, node, head, level): depth below the roots, which are nodes without a head in their sentence
+    or their own; what hangs on a cycle has no level. A join a level, over all sentences at once."""
+    nodes = settled(candidates.select("sent", "node", "head").distinct())
+    heads = nodes.select("sent", F.col("node").alias("head")).distinct()
+    roots = nodes.filter("node = head").unionByName(nodes.join(heads, ["sent", "head"], "left_anti").select("sent", "node", "head"))
+    done = level = settled(roots.withColumn("level", F.lit(0)))
+    rest = nodes.filter("head is not null and node <> head")
+    while True:
+        up = level.select("sent", F.col("node").alias("head"), (F.col("level") + 1).alias("level"))
+        level = settled(rest.join(up, ["sent", "head"]).select("sent", "node", "head", "level"))
+        if level.isEmpty():
+            return done
+        done = done.unionByName(level)
+
+
+def log_total(x):
+    """The log of a sum of exponentials, stable by the largest; the values of one group are a word's senses, so few."""
+    xs = F.collect_list(x)
+    top = F.array_max(xs)
+    return top + F.log(F.aggregate(xs, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+
+
+def _shares(rows: DataFrame, *names: str) -> DataFrame:
+    """rows(sent, node, names, v) with w, each row's share of its node in the log domain."""
+    packed = rows.groupBy("sent", "node").agg(F.collect_list(F.struct(*names, "v")).alias("xs"))
+    top = F.array_max(F.transform("xs", lambda x: x["v"]))
+    packed = packed.withColumn("top", top)
+    total = F.aggregate("xs", F.lit(0.0), lambda a, x: a + F.exp(x["v"] - F.col("top")))
+    packed = packed.withColumn("total", total).select("sent", "node", "top", "total", F.explode("xs").alias("x"))
+    return packed.select("sent", "node", *[f"x.{n}" for n in names], (F.exp(F.col("x.v") - F.col("top")) / F.col("total")).alias("w"))
 
 
 def expected(candidates: DataFrame, uni: DataFrame, bi: DataFrame, smooth_uni: float = 1.0, smooth_bi: float = 0.002, viterbi: bool = False) -> DataFrame:
     """One expectation step: (sent, kind, head, mod, w); kind uni (posterior of a node's sense, head
-    holds the node), bi (expected pair) or logl. viterbi takes the best choice on the inside pass."""
-    c = candidates.join(uni, "choice", "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
-    heads = candidates.select("sent", F.col("node").alias("head"), F.col("choice").alias("head_choice"))
-    pairs = c.select("sent", "node", "head", "choice").join(heads, ["sent", "head"]).join(bi, ["head_choice", "choice"])
-    pairs = pairs.groupBy("sent", "node", "choice").agg(F.collect_list(F.struct("head_choice", "n")).alias("pairs"))
-    full = c.join(pairs, ["sent", "node", "choice"], "left").select("sent", "node", "head", "choice", "n", "pairs")
-    return full.groupBy("sent").applyInArrow(_passes(smooth_uni, smooth_bi, viterbi), "sent long, kind string, head string, mod string, w double")
+    holds the node), bi (expected pair) or logl. viterbi takes the best choice on the inside pass.
+
+    Messages pass level by level over all sentences at once: up from the leaves, each node's senses by its
+    children's sums, then down from the roots by what is left of their heads without them. Each level is a
+    join on (sentence, node, sense) and is written, so there are as many rounds as the deepest tree has levels."""
+    levels = tree_levels(candidates)
+    own = candidates.join(uni, "choice", "left").select("sent", "node", "choice", F.log(F.coalesce("n", F.lit(0.0)) + smooth_uni).alias("lu"))
+    own = settled(own.join(levels, ["sent", "node"]))
+    above = own.select("sent", F.col("node").alias("head"), F.col("choice").alias("head_choice"))
+    pairs = own.filter("level > 0").join(above, ["sent", "head"]).join(bi, ["head_choice", "choice"], "left")
+    pairs = settled(pairs.select("sent", "node", "head", "choice", "head_choice", "level", F.log(F.coalesce("n", F.lit(0.0)) + smooth_bi).alias("e")))
+    deep = own.agg(F.max("level")).first()[0]
+    if deep is None:
+        return candidates.sparkSession.createDataFrame([], "sent long, kind string, head string, mod string, w double")
+
+    at = lambda df, k: df.filter(F.col("level") == k)
+    inside: dict[int, DataFrame] = {}
+    up: dict[int, DataFrame] = {}  # (sent, node, head, head_choice, up): what a child says to each sense of its head
+    for k in range(deep, -1, -1):
+        x = at(own, k).select("sent", "node", "choice", "lu")
+        if k < deep:
+            said = up[k + 1].groupBy("sent", F.col("head").alias("node"), F.col("head_choice").alias("choice")).agg(F.sum("up").alias("said"))
+            x = x.join(said, ["sent", "node", "choice"], "left").withColumn("lu", F.col("lu") + F.coalesce("said", F.lit(0.0)))
+        inside[k] = settled(x.select("sent", "node", "choice", F.col("lu").alias("inside")))
+        if k:
+            way = at(pairs, k).join(inside[k], ["sent", "node", "choice"]).withColumn("x", F.col("inside") + F.col("e"))
+            up[k] = settled(way.groupBy("sent", "node", "head", "head_choice").agg((F.max("x") if viterbi else log_total(F.col("x"))).alias("up")))
+
+    out = inside[0].withColumn("outside", F.lit(0.0))
+    roots = inside[0].groupBy("sent", "node").agg(log_total(F.col("inside")).alias("z")).groupBy("sent").agg(F.sum("z").alias("w"))
+    posts, joints = out, None
+    for k in range(1, deep + 1):
+        heads = out.select("sent", F.col("node").alias("head"), F.col("choice").alias("head_choice"), (F.col("inside") + F.col("outside")).alias("all"))
+        rest = up[k].join(heads, ["sent", "head", "head_choice"]).select("sent", "node", "head_choice", (F.col("all") - F.col("up")).alias("rest"))
+        way = at(pairs, k).join(rest, ["sent", "node", "head_choice"]).select("sent", "node", "choice", "head_choice", (F.col("rest") + F.col("e")).alias("x"))
+        way = settled(way.join(inside[k], ["sent", "node", "choice"]))
+        out = settled(way.groupBy("sent", "node", "choice").agg(F.any_value("inside").alias("inside"), log_total(F.col("x")).alias("outside")))
+        posts = posts.unionByName(out)
+        joint = way.select("sent", "node", "head_choice", "choice", (F.col("x") + F.col("inside")).alias("v"))
+        joints = joint if joints is None else joints.unionByName(joint)
+    row = lambda kind, head, mod: [F.col("sent").cast("long").alias("sent"), F.lit(kind).alias("kind"), head.cast("string").alias("head"), mod.alias("mod"), "w"]
+    result = _shares(posts.withColumn("v", F.col("inside") + F.col("outside")), "choice").select(*row("uni", F.col("node"), F.col("choice")))
+    if joints is not None:
+        result = result.unionByName(_shares(joints, "head_choice", "choice").select(*row("bi", F.col("head_choice"), F.col("choice"))))
+    return result.unionByName(roots.select(*row("logl", F.lit(""), F.lit(""))))
 
 
 def em(candidates: DataFrame, tolerance: float = 1e-4, most_rounds: int = 1000, **smooth) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
@@ -185,7 +199,7 @@ def em(candidates: DataFrame, tolerance: float = 1e-4, most_rounds: int = 1000,
             break
     else:
         raise RuntimeError("the likelihood did not settle")
-    post = step.filter("kind = 'uni'").select("sent", F.col("head").cast("int").alias("node"), F.col("mod").alias("choice"), F.col("w").alias("p"))
+    post = step.filter("kind = 'uni'").select("sent", F.col("head").try_cast("int").alias("node"), F.col("mod").alias("choice"), F.col("w").alias("p"))
     return uni, bi, post, history
 
 
@@ -194,17 +208,109 @@ def tree_counts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.groupBy("mod").agg(F.count("*").alias("n")), edges.filter("head is not null").groupBy("head", "mod").agg(F.count("*").alias("n"))
 
 
-def nmf(pairs: DataFrame, rank: int = 100, rounds: int = 30, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Non-negative factors of the head by modifier matrix (head, mod, p): (fun, vector) for heads
-    and modifiers, by alternating least squares with a non-negativity constraint."""
-    from pyspark.ml.recommendation import ALS
-
-    heads = settled(numbered_rows(pairs.select("head").distinct(), F.col("head")).select("head", F.col("row_no").cast("int").alias("h")))
-    mods = settled(numbered_rows(pairs.select("mod").distinct(), F.col("mod")).select("mod", F.col("row_no").cast("int").alias("m")))
-    m = ALS(rank=rank, maxIter=rounds, nonnegative=True, userCol="h", itemCol="m", ratingCol="p", seed=seed, regParam=0.01).fit(pairs.join(heads, "head").join(mods, "mod"))
-    left = m.userFactors.join(heads, F.col("id") == F.col("h")).select(F.col("head").alias("fun"), F.col("features").alias("vector"))
-    right = m.itemFactors.join(mods, F.col("id") == F.col("m")).select(F.col("mod").alias("fun"), F.col("features").alias("vector"))
-    return left, right
+# Endings of functions that no embedding is made for.
+STOP_ENDINGS = (
+    "_Prep", "_Conj", "_DConj", "_Subj", "RP", "n2", "n3", "n4", "n5", "n6", "n7", "n8", "n9", "D_0", "D_1", "D_2", "D_3", "D_4", "D_5", "D_6", "D_7", "D_8", "D_9", "pot01", "pot41", "pot31", "_Pron",
+    "_IAdv", "_CAdv", "FullStop", "QuestMark", "ExclMark", "DefArt", "IndefArt", "_Quant", "_Det", "_IDet", "_Predet", "UseCopula", "_VP", "_Card", "_ACard",
+)
+
+
+def without_stops(pairs: DataFrame) -> DataFrame:
+    """pairs(head, mod, p) without those of functions with a stop ending."""
+    stop = rf"({'|'.join(STOP_ENDINGS)})$"
+    return pairs.filter(~F.col("head").rlike(stop) & ~F.col("mod").rlike(stop))
+
+
+SIDE = 2048
+TINY = 1e-12
+
+
+def _start(fun, side: str, rank: int):
+    """The first vector of a function: from the md5 of its name, side and dimension, so it is the same everywhere."""
+    one = lambda i: F.conv(F.substring(F.md5(F.concat(fun, F.lit(f"|{side}|"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    return F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), one)
+
+
+def _gram(vectors: DataFrame, rank: int) -> np.ndarray:
+    """The matrix of the vectors' inner products by dimension: summed by task, then by groups of tasks; rank^2 numbers come back."""
+
+    def part(batches):
+        total = np.zeros((rank, rank))
+        for b in batches:
+            x = b.column("vector").flatten().to_numpy().reshape(-1, rank)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["g"])
+
+    parts = vectors.select("vector").mapInArrow(part, "g array<double>").select(F.posexplode("g").alias("i", "x"))
+    rows = parts.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    return np.array([r.x for r in rows] or [0.0] * rank * rank).reshape(rank, rank)
+
+
+def _products(blocks: DataFrame, of: DataFrame, mine: str, theirs: str, rank: int) -> DataFrame:
+    """(block, fun, vector): for each function of one side the sum of its cells times the other side's vectors.
+    A block of cells meets the vectors of its rows; the parts of all blocks of a function add up afterwards."""
+
+    def run(cells: pa.Table, vectors: pa.Table) -> pa.Table:
+        place = {f: i for i, f in enumerate(vectors.column(f"{theirs}_fun").to_pylist())}
+        x = vectors.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, rank)
+        names = cells.column(mine).dictionary_encode().combine_chunks()
+        out = np.zeros((len(names.dictionary), rank))
+        np.add.at(out, names.indices.to_numpy(), x[[place[f] for f in cells.column(theirs).to_pylist()]] * cells.column("p").to_numpy()[:, None])
+        block = cells.column(f"{mine}_block")[0].as_py() if cells.num_rows else 0
+        return pa.table({"block": pa.array([block] * len(out), pa.int32()), "fun": names.dictionary, "vector": pa.array(list(out), pa.list_(pa.float64()))})
+
+    key = ["head_block", "mod_block"]
+    need = blocks.select(*key).distinct().withColumnRenamed(f"{theirs}_block", "block")
+    sent = of.join(need, "block").select(*[F.col("block" if k == f"{theirs}_block" else k).alias(k) for k in key], F.col("fun").alias(f"{theirs}_fun"), "vector")
+    cells = blocks.select(*[F.col(c).alias(c) for c in ("head", "mod", "p", *key)])
+    return cells.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(run, "block int, fun string, vector array<double>")
+
+
+def _updated(parts: DataFrame, old: DataFrame, gram: np.ndarray, rank: int) -> DataFrame:
+    """Each vector times its product over what the other side's inner products make of it."""
+
+    def run(parts: pa.Table, old: pa.Table) -> pa.Table:
+        names = old.column("own_fun").to_pylist()
+        place = {f: i for i, f in enumerate(names)}
+        x = old.column("own").combine_chunks().flatten().to_numpy().reshape(-1, rank)
+        top = np.zeros_like(x)
+        np.add.at(top, [place[f] for f in parts.column("fun").to_pylist()], parts.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, rank))
+        new = x * top / np.maximum(x @ gram, TINY)
+        block = old.column("own_block")[0].as_py() if len(names) else 0
+        return pa.table({"block": pa.array([block] * len(names), pa.int32()), "fun": pa.array(names, pa.string()), "vector": pa.array(list(new), pa.list_(pa.float64()))})
+
+    own = old.select(F.col("block").alias("own_block"), F.col("fun").alias("own_fun"), F.col("vector").alias("own"))
+    return parts.groupBy("block").cogroup(own.groupBy("own_block")).applyInArrow(run, "block int, fun string, vector array<double>")
+
+
+def nmf(pairs: DataFrame, rank: int = 100, rounds: int = 200, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Non-negative factors of the head by modifier matrix (head, mod, p): (fun, vector) for heads and
+    for modifiers, and the squared error before each round and after the last. It ends when a round takes less than
+    tolerance of the first error away, or after so many rounds.
+
+    Multiplicative updates, first of the modifiers. The cells lie in blocks of some SIDE heads by SIDE modifiers, so a
+    task holds the vectors of two sides of a block at most; only rank^2 inner products and the error come to the driver."""
+    n = max(pairs.agg(F.count_distinct("head"), F.count_distinct("mod")).first())
+    sides = max(1, -(-n // SIDE))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
+    cells = pairs.groupBy("head", "mod").agg(F.sum("p").cast("double").alias("p"))
+    cells = settled(cells.select("head", "mod", "p", block("head").alias("head_block"), block("mod").alias("mod_block")))
+    side = lambda c, name: settled(cells.select(F.col(c).alias("fun")).distinct().select(block("fun").alias("block"), "fun", _start(F.col("fun"), name, rank).alias("vector")))
+    heads, mods = side("head", "h"), side("mod", "m")
+    square = cells.agg(F.sum(F.col("p") * F.col("p"))).first()[0] or 0.0
+    dot = F.aggregate(F.zip_with("vector", "own", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    gh, errors = _gram(heads, rank), []
+    while True:
+        parts = settled(_products(cells, heads, "mod", "head", rank))
+        gm = _gram(mods, rank)
+        # the cells' products with both sides are the parts' products with the modifiers
+        both = parts.join(mods.select("fun", F.col("vector").alias("own")), "fun").agg(F.sum(dot)).first()[0] or 0.0
+        errors.append(square - 2 * both + float((gh * gm).sum()))
+        if len(errors) > rounds or len(errors) > 1 and errors[-2] - errors[-1] < tolerance * errors[0]:
+            return heads.select("fun", "vector"), mods.select("fun", "vector"), errors
+        mods = settled(_updated(parts, mods, gh, rank))
+        heads = settled(_updated(settled(_products(cells, mods, "head", "mod", rank)), heads, _gram(mods, rank), rank))
+        gh = _gram(heads, rank)
 
 
 def normalised_vectors(vectors: DataFrame) -> DataFrame:

@@ -43,9 +43,9 @@ def store_index_lookup(spark, d):
     return parts(spark, d).lookup("brand", "Brand#11").select("id", "size")
 
 
-@query("SELECT p_partkey AS id, p_size AS size FROM part WHERE list_contains(string_split(p_type, ' '), 'BRASS')")
+@query("SELECT p_partkey AS id, p_size AS size FROM part WHERE list_contains(string_split(p_type, ' '), 'PROMO')")
 def store_multi_index_lookup(spark, d):
-    return parts(spark, d).lookup("word", "BRASS").select("id", "size")
+    return parts(spark, d).lookup("word", "PROMO").select("id", "size")
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#12'")

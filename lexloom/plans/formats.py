@@ -184,13 +184,13 @@ def entity_properties(spark, d):
     return _dump(spark, d).select("qid", F.array_join(kb.properties(kb.parsed(F.col("json"))), ",").alias("props"))
 
 
-@query("SELECT o_orderkey AS sent, pos::INT AS pos, form, CASE pos WHEN 0 THEN 'o' || o_orderkey ELSE o_orderstatus END AS lemma, 'NN' AS tag FROM orders, LATERAL (VALUES (0, 'Order'), (1, 'is')) t(pos, form) WHERE o_orderkey < 100")
+@query("SELECT o_orderkey AS sent, pos::INT AS pos, form, CASE pos WHEN 0 THEN 'o' || o_orderkey ELSE o_orderstatus END AS lemma, 'NN' AS tag FROM orders, LATERAL (VALUES (0, 'Order'), (1, 'is')) t(pos, form)")
 def semcor_xml(spark, d):
-    """Sense-tagged sentences as XML files, written and read back."""
-    o, root = table(spark, d, "orders").filter("o_orderkey < 100"), place(spark)
+    """Sense-tagged sentences as XML files of up to 500, written and read back."""
+    o, root = table(spark, d, "orders"), place(spark)
     s = F.concat(F.lit('<s snum="'), "o_orderkey", F.lit('"><wf pos="NN" lemma="o'), "o_orderkey", F.lit('" lexsn="1:00:00::">Order</wf><wf pos="NN" lemma="'), "o_orderstatus", F.lit('">is</wf></s>'))
-    one = o.agg(F.concat(F.lit("<corpus>\n"), F.array_join(F.array_sort(F.collect_list(s)), "\n"), F.lit("\n</corpus>")).alias("value"))
-    one.write.text(root)
+    files = o.groupBy(F.floor(F.col("o_orderkey") / 500).alias("part")).agg(F.concat(F.lit("<corpus>\n"), F.array_join(F.collect_list(s), "\n"), F.lit("\n</corpus>")).alias("value"))
+    files.write.partitionBy("part").text(root)
     return resources.semcor(spark, root).select(F.col("sent").cast("long").alias("sent"), "pos", "form", "lemma", "tag")
 
 

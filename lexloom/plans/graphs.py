@@ -74,7 +74,7 @@ def lca_min_distance(spark, d):
 WITH RECURSIVE up(src, anc) AS (SELECT child, parent FROM hyper UNION SELECT u.src, h.parent FROM up u JOIN hyper h ON h.child = u.anc),
 g AS (SELECT DISTINCT l_orderkey AS grp, l_partkey AS id FROM lineitem), n AS (SELECT grp, count(*) AS n FROM g GROUP BY grp),
 h AS (SELECT g.grp, anc FROM g JOIN up ON src = id JOIN n ON n.grp = g.grp GROUP BY g.grp, anc, n HAVING count(*) = n)
-SELECT grp, anc FROM h ANTI JOIN (SELECT DISTINCT h.grp, up.anc FROM h JOIN up ON up.src = h.anc) above USING (grp, anc)""")
+SELECT grp, anc FROM h ANTI JOIN (SELECT DISTINCT h.grp, hyper.parent AS anc FROM h JOIN hyper ON hyper.child = h.anc) above USING (grp, anc)""")
 def lca_all_hits(spark, d):
     groups = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("id"))
     return graph.common_ancestors(groups, reach(spark, d))
@@ -126,7 +126,7 @@ WITH RECURSIVE up(src, anc) AS (SELECT child, parent FROM hyper UNION SELECT u.s
 self AS (SELECT * FROM up UNION SELECT id, id FROM syn),
 g AS (SELECT DISTINCT l_orderkey AS grp, l_partkey AS id FROM lineitem), n AS (SELECT grp, count(*) AS n FROM g GROUP BY grp),
 h AS (SELECT g.grp, anc FROM g JOIN up ON src = id JOIN n ON n.grp = g.grp GROUP BY g.grp, anc, n HAVING count(*) = n),
-t AS (SELECT grp, anc FROM h ANTI JOIN (SELECT DISTINCT h.grp, up.anc FROM h JOIN up ON up.src = h.anc) above USING (grp, anc)),
+t AS (SELECT grp, anc FROM h ANTI JOIN (SELECT DISTINCT h.grp, hyper.parent AS anc FROM h JOIN hyper ON hyper.child = h.anc) above USING (grp, anc)),
 k AS (SELECT grp, count(*) AS k FROM t GROUP BY grp),
 m AS (SELECT t.grp, self.src AS id FROM t JOIN self ON self.anc = t.anc JOIN k ON k.grp = t.grp GROUP BY t.grp, self.src, k HAVING count(*) = k)
 SELECT grp, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM m GROUP BY grp HAVING count(*) < 20""")

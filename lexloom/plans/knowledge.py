@@ -310,11 +310,44 @@ def em_initial_counts(spark, d):
     return stats.initial_counts(_sentences(spark, d))[0].select("choice", F.round("n", 6).alias("n"))
 
 
-@query("SELECT DISTINCT p_brand AS fun, 100::INT AS rank FROM part JOIN lineitem ON l_partkey = p_partkey")
+NMF_RANK, NMF_ROUNDS = 3, 4
+
+
+def _nmf_sql(rounds: int) -> str:
+    """The updates written out, a round after the other, over (fun, d, x) tables."""
+    start = lambda c, s: f"SELECT fun, d, ('0x' || substr(md5(fun || '|{s}|' || d), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x FROM (SELECT DISTINCT {c} AS fun FROM v), range({NMF_RANK}) r(d)"
+    out = [
+        "v AS MATERIALIZED (SELECT p_brand AS head, p_type AS mod, count(*)::DOUBLE AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)",
+        f"h0 AS MATERIALIZED ({start('head', 'h')})", f"m0 AS MATERIALIZED ({start('mod', 'm')})",
+    ]
+    for k in range(rounds + 1):
+        out.append(f"e{k} AS (SELECT {k} AS step, sum((coalesce(p, 0) - x) ** 2) AS error FROM (SELECT h.fun AS head, m.fun AS mod, sum(h.x * m.x) AS x FROM h{k} h JOIN m{k} m USING (d) GROUP BY 1, 2) LEFT JOIN v USING (head, mod))")
+        for new, old, other, mine, theirs in ((f"m{k + 1}", f"m{k}", f"h{k}", "mod", "head"), (f"h{k + 1}", f"h{k}", f"m{k + 1}", "head", "mod")):
+            gram = f"(SELECT a.d AS d, b.d AS e, sum(a.x * b.x) AS g FROM {other} a JOIN {other} b USING (fun) GROUP BY 1, 2)"
+            top = f"(SELECT {mine} AS fun, d, sum(p * x) AS t FROM v JOIN {other} o ON o.fun = {theirs} GROUP BY 1, 2)"
+            low = f"(SELECT o.fun, g.d, sum(o.x * g.g) AS l FROM {old} o JOIN {gram} g ON g.e = o.d GROUP BY 1, 2)"
+            out.append(f"{new} AS MATERIALIZED (SELECT o.fun, o.d, o.x * t / greatest(l, 1e-12) AS x FROM {old} o JOIN {top} USING (fun, d) JOIN {low} USING (fun, d))")
+    return "WITH " + ",\n".join(out)
+
+
+def _brand_types(spark, d):
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return stats.without_stops(j.groupBy(F.col("p_brand").alias("head"), F.col("p_type").alias("mod")).agg(F.count("*").cast("double").alias("p")))
+
+
+@query(f"{_nmf_sql(NMF_ROUNDS)} SELECT fun, d::INT AS dim, round(x / sum(x) OVER (PARTITION BY d), 6) AS x FROM h{NMF_ROUNDS}")
 def nmf_embedding(spark, d):
-    p = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("head"), F.col("p_type").alias("mod")).agg(F.count("*").cast("double").alias("p"))
-    left, _ = stats.nmf(p, rounds=3)
-    return stats.normalised_vectors(left).select("fun", F.size("vector").alias("rank"))
+    """Embeddings of brands by their types after a few updates, each dimension normalised."""
+    left, _, _ = stats.nmf(_brand_types(spark, d), NMF_RANK, NMF_ROUNDS, tolerance=0.0)
+    return stats.normalised_vectors(left).select("fun", F.posexplode("vector").alias("dim", "x")).select("fun", "dim", F.round("x", 6).alias("x"))
+
+
+@query(f"{_nmf_sql(NMF_ROUNDS)} SELECT step, round(error, 3) AS error, coalesce(error <= lag(error) OVER (ORDER BY step), true) AS falls FROM ({' UNION ALL '.join(f'SELECT * FROM e{k}' for k in range(NMF_ROUNDS + 1))})")
+def nmf_errors(spark, d):
+    """The squared error of the factors, round by round."""
+    _, _, errors = stats.nmf(_brand_types(spark, d), NMF_RANK, NMF_ROUNDS, tolerance=0.0)
+    rows = [(k, e, k == 0 or e <= errors[k - 1]) for k, e in enumerate(errors)]
+    return spark.createDataFrame(rows, "step int, error double, falls boolean").withColumn("error", F.round("error", 3))
 
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")

@@ -69,19 +69,57 @@ def _nations(spark, d) -> DataFrame:
     return rows.select("sent", "node", (F.col("node") - 1).alias("head"), F.explode("c").alias("choice"))
 
 
-@query("SELECT n_regionkey::BIGINT AS sent, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS node, 1.0::DOUBLE AS total, true AS settled FROM nation")
+@query(READINGS + """, two AS (SELECT w / z AS w, seen[i] AS head_choice, seen[i + 1] AS choice FROM (SELECT w, z, seen, unnest(range(1, len(seen))) AS i FROM whole))
+SELECT head_choice, choice, round(sum(w), 4) AS expected FROM two GROUP BY 1, 2""")
+def em_pair_counts(spark, d):
+    """Counts of sense pairs that the next round starts from."""
+    c = _sentences(spark, d)
+    step = stats.expected(c, *stats.initial_counts(c))
+    return step.filter("kind = 'bi'").groupBy(F.col("head").alias("head_choice"), F.col("mod").alias("choice")).agg(F.round(F.sum("w"), 4).alias("expected"))
+
+
+EM_ROUNDS = 6  # of the nations, until the likelihood changes by less than the tolerance
+NATION_SENSES = """
+c AS MATERIALIZED (SELECT sent, node, unnest(['n' || k, 'r' || sent]) AS choice FROM (SELECT n_regionkey::BIGINT AS sent, n_nationkey % 3 AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS node FROM nation)),
+uni0 AS (SELECT choice, sum(0.5::DOUBLE) AS n FROM c GROUP BY choice),
+bi0 AS (SELECT h.choice AS hc, c.choice, sum(0.25::DOUBLE) AS n FROM c JOIN c h ON h.sent = c.sent AND h.node = c.node - 1 GROUP BY 1, 2)"""
+
+
+def _em_sql(rounds: int) -> str:
+    """Rounds over all readings of the nations' chains, written out: five words of two senses each."""
+    out = [NATION_SENSES]
+    for k in range(rounds):
+        word = lambda i, k=k: f"JOIN c c{i} ON c{i}.sent = c1.sent AND c{i}.node = {i} JOIN uni{k} u{i} ON u{i}.choice = c{i}.choice LEFT JOIN bi{k} b{i} ON b{i}.hc = c{i - 1}.choice AND b{i}.choice = c{i}.choice"
+        weight = " * ".join(["(u1.n + 1)", *(f"(u{i}.n + 1) * (coalesce(b{i}.n, 0) + 0.002)" for i in range(2, 6))])
+        out.append(f"r{k} AS MATERIALIZED (SELECT *, w / sum(w) OVER (PARTITION BY sent) AS p FROM (SELECT c1.sent, [{', '.join(f'c{i}.choice' for i in range(1, 6))}] AS seen, {weight} AS w FROM c c1 JOIN uni{k} u1 ON u1.choice = c1.choice {' '.join(map(word, range(2, 6)))} WHERE c1.node = 1))")
+        out.append(f"uni{k + 1} AS MATERIALIZED (SELECT choice, sum(p) AS n FROM (SELECT p, unnest(seen) AS choice FROM r{k}) GROUP BY choice)")
+        out.append(f"bi{k + 1} AS MATERIALIZED (SELECT hc, choice, sum(p) AS n FROM (SELECT p, seen[i] AS hc, seen[i + 1] AS choice FROM r{k}, range(1, 5) i(i)) GROUP BY 1, 2)")
+    return "WITH " + ",\n".join(out)
+
+
+@query(f"{_em_sql(EM_ROUNDS)} SELECT sent, node::INT AS node, choice, round(sum(p), 6) AS p, {EM_ROUNDS} AS rounds FROM (SELECT sent, p, node, seen[node] AS choice FROM r{EM_ROUNDS - 1}, range(1, 6) n(node)) GROUP BY 1, 2, 3")
 def em_until_settled(spark, d):
-    """Posteriors after the loop has settled: each word's add up to one; the last step changed less than the tolerance."""
+    """Posteriors of the round after which the loop ended, as the last one changed less than the tolerance."""
     _, _, post, history = stats.em(_nations(spark, d))
-    return post.groupBy("sent", "node").agg(F.round(F.sum("p"), 9).alias("total")).withColumn("settled", F.lit(abs(history[-1] - history[-2]) < 1e-4))
+    return post.select("sent", "node", "choice", F.round("p", 6).alias("p"), F.lit(len(history)).alias("rounds"))
 
 
-@query("SELECT n_regionkey::BIGINT AS sent, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS node, 1.0::DOUBLE AS total FROM nation")
+# the ways to each sense from the left, and the best one from it to the right
+@query(f"""
+WITH RECURSIVE {NATION_SENSES},
+left_(sent, node, choice, w) AS (
+  SELECT sent, node, choice, n + 1 FROM c JOIN uni0 USING (choice) WHERE node = 1
+  UNION ALL SELECT c.sent, c.node, c.choice, l.w * (u.n + 1) * (coalesce(b.n, 0) + 0.002) FROM left_ l JOIN c ON c.sent = l.sent AND c.node = l.node + 1 JOIN uni0 u ON u.choice = c.choice LEFT JOIN bi0 b ON b.hc = l.choice AND b.choice = c.choice),
+right_(sent, node, choice, w) AS (
+  SELECT sent, node, choice, 1.0::DOUBLE FROM c WHERE node = 5
+  UNION ALL SELECT c.sent, c.node, c.choice, r.w * (u.n + 1) * (coalesce(b.n, 0) + 0.002) FROM right_ r JOIN c ON c.sent = r.sent AND c.node = r.node - 1 JOIN uni0 u ON u.choice = r.choice LEFT JOIN bi0 b ON b.hc = c.choice AND b.choice = r.choice),
+v AS (SELECT sent, node, choice, l.w * r.w AS v FROM (SELECT sent, node, choice, sum(w) AS w FROM left_ GROUP BY ALL) l JOIN (SELECT sent, node, choice, max(w) AS w FROM right_ GROUP BY ALL) r USING (sent, node, choice))
+SELECT sent, node, choice, round(v / sum(v) OVER (PARTITION BY sent, node), 6) AS p FROM v""")
 def em_annotation(spark, d):
     """Posteriors with the best choice on the way up, as for annotating."""
     c = _nations(spark, d)
     step = stats.expected(c, *stats.initial_counts(c), viterbi=True)
-    return step.filter("kind = 'uni'").groupBy("sent", F.col("head").cast("int").alias("node")).agg(F.round(F.sum("w"), 9).alias("total"))
+    return step.filter("kind = 'uni'").select("sent", F.col("head").try_cast("int").alias("node"), F.col("mod").alias("choice"), F.round("w", 6).alias("p"))
 
 
 @query("SELECT p_brand AS mod, 'uni' AS kind, NULL AS head, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 UNION ALL SELECT p_brand, 'bi', l_returnflag, count(*) FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 3")
