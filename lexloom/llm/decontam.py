@@ -8,11 +8,12 @@ diagonals cover at least COVER of its windows, or if one of them matches RUN win
 which are WINDOW + RUN - 1 tokens; so copies are caught, long excerpts and re-parameterised
 questions too, while a few shared words are not enough.
 
-A name is a run of capitalised words behind a lower-case letter or a comma, so not at the start
-of a sentence. Each item is sought a second time without names, as copies in upper or lower case
-show none. A window of fewer than LITERALS words that are no placeholders must agree in its
-values too. An item shorter than a window is one window; one of fewer than LITERALS tokens is
-found only where it is the whole document.
+A number is written in digits or in English words. A name is a run of capitalised words behind a
+lower-case letter or a comma, so not at the start of a sentence. Each item is sought a second time without names, as copies in upper or lower case
+show none, and a third time as it reads behind other words. A window of fewer than LITERALS words that are no placeholders must agree in its
+values too. An item shorter than a window is one window, values and all if it has fewer than LITERALS
+words, and is found wherever it stands. ``least`` asks for more: an item of fewer tokens than that counts only
+where it is the whole document.
 
 Texts are cut into runs of CHUNK windows. The hashes of all windows of a run come from those of half
 the size, pair by pair, so in three passes over its tokens; a run's slot values, as hashes, go along
@@ -33,6 +34,7 @@ from lexloom.llm.common import Scratch
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 6
 CHUNK = 256
+BEHIND = "x "
 #: Up to so many benchmark windows are broadcast: some 250 bytes each, so 50 MB. Beyond it the join shuffles.
 BROADCAST_WINDOWS = 200_000
 BROADCAST_TEXTS = 1_000_000
@@ -45,7 +47,13 @@ UNITS = (
 # possessive (++, *+): others recurse in Java, once a repetition.
 OWN = (f"[{NUM}-{STOP}]", " ")
 NAMES = (r" (?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+)", f" {NAME}@1{STOP}")
+#: English number words, alone or in a row.
+WORDS = (
+    "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen"
+    "|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|dozen"
+)
 REST = (
+    (rf"([^\p{{L}}{NUM}-{STOP}]|^)((?i:{WORDS})(?:[ -](?i:{WORDS}))*+)([^\p{{L}}]|$)", f"@1 {NUM}@2{STOP}@3"),
     (r"([0-9]++(?:[.,][0-9]++)*+)", f" {NUM}@1{STOP}"),
     (rf"({STOP} ?)((?i:{UNITS})|%|€|\$|£)([^\p{{L}}]|$)", f"@1 {UNIT}@2{STOP}@3"),
 )
@@ -111,12 +119,14 @@ def window_keys(rows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, form (a number of the item's text, read with or without names), at, len, h, own (slot values), n (windows)."""
+    """item_id, form (a number of the item's text, as it was read), at, len, h, own (slot values), n (windows)."""
     rows = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    cut = None
-    for named in (True, False):
-        part = coded(rows.select("item_id", annotated(F.col("text"), named).alias("marked")))
-        cut = part if cut is None else cut.unionByName(part)
+    read = lambda text, named: coded(rows.select("item_id", annotated(text, named).alias("marked")))
+    cut = read(F.col("text"), True).unionByName(read(F.col("text"), False))
+    # and as it stands behind other words, where a capital letter at its beginning makes a name
+    behind = read(F.concat(F.lit(BEHIND), F.coalesce(F.col("text").cast("string"), F.lit(""))), True)
+    rest = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
+    cut = cut.unionByName(behind.select("item_id", rest("t").alias("t"), rest("v").alias("v")))
     cut = window_keys(cut.distinct().filter(F.size("t") > 0), list(range(1, WINDOW + 1)))
     size = F.least(F.size("t"), F.lit(WINDOW))
     keys = F.coalesce(*[F.when(size == k, F.col(f"k{k}")) for k in range(1, WINDOW + 1)])
@@ -125,7 +135,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return cut.select("item_id", "form", (F.col("i") + 1).alias("at"), "len", "h", own.alias("own"), (F.col("tokens") - F.col("len") + 1).alias("n"))
 
 
-def doc_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
+def doc_windows(docs: DataFrame, sizes: list[int], least: int = 1) -> DataFrame:
     """doc_id, text_key, h of all windows of the given sizes, with c, size, slots and pos to place them (see ``placed``)."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), annotated(F.col("text")).alias("marked"))
     rows = coded(rows)
@@ -134,22 +144,22 @@ def doc_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
     starts = F.when(F.least(F.size("t"), F.size("v")) > 0, F.sequence(F.lit(1), F.size("t"), F.lit(CHUNK)))
     rows = rows.select("doc_id", "text_key", F.size("t").alias("tokens"), F.explode(F.transform(starts, part)).alias("x"))
     rows = window_keys(rows.select("doc_id", "text_key", "tokens", "x.*"), sizes)
-    # an item of fewer than LITERALS tokens must be the whole document
-    keys = [F.col(f"k{s}") if s >= LITERALS else F.when(F.col("tokens") == s, F.col(f"k{s}")).otherwise(F.array().cast("array<bigint>")) for s in sizes]
+    # an item of fewer than ``least`` tokens must be the whole document
+    keys = [F.col(f"k{s}") if s >= least else F.when(F.col("tokens") == s, F.col(f"k{s}")).otherwise(F.array().cast("array<bigint>")) for s in sizes]
     slots = F.when(F.size(F.array_remove("v", F.lit(0).cast("long"))) > 0, F.col("v"))
     rows = rows.select("doc_id", "text_key", "tokens", "c", F.size("t").alias("size"), slots.alias("slots"), F.concat(*keys).alias("keys"))
     # outer: a plain explode would have the planner test the arrays by computing them once more; the join drops null keys
     return rows.select("doc_id", "text_key", "tokens", "c", "size", "slots", F.posexplode_outer("keys").alias("pos", "h"))
 
 
-def placed(met: DataFrame, sizes: list[int]) -> DataFrame:
+def placed(met: DataFrame, sizes: list[int], least: int = 1) -> DataFrame:
     """Adds p, the position of a matched window in its document (from 0), and seen, its slot values."""
     before = F.lit(0)
     for i, s in enumerate(sizes):
         ahead = F.lit(0)
         for x in sizes[:i]:
             own = F.greatest(F.col("size") - x + 1, F.lit(0))
-            ahead = ahead + (own if x >= LITERALS else F.when(F.col("tokens") == x, own).otherwise(0))
+            ahead = ahead + (own if x >= least else F.when(F.col("tokens") == x, own).otherwise(0))
         before = F.when(F.col("len") == s, ahead).otherwise(before)
     met = met.withColumn("i", F.col("pos") - before)
     # no slots in the document's window means none in the item's
@@ -167,32 +177,33 @@ def _longest_run(ats: Column) -> Column:
     return F.aggregate(ats, start, step, lambda a: a["most"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
     """doc_id, item_id, n_windows, matched, longest (windows in a row), changed (slot values that
-    differ from the item's), for each item that a document holds."""
-    return _found(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "n", "longest", "changed")).alias("x")).select(
+    differ from the item's), for each item that a document holds. An item of fewer than ``least`` tokens counts
+    only where it is the whole document."""
+    return _found(docs, benchmark, least).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "n", "longest", "changed")).alias("x")).select(
         "doc_id", "item_id", F.col("x.n").alias("n_windows"), "x.matched", "x.longest", "x.changed"
     )
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
     """The rows whose text holds no item. Equal texts share that fate, so rows are told by a hash of
     the text; hashes of up to BROADCAST_TEXTS dirty texts (8 MB) are broadcast, more are joined."""
     key = F.xxhash64("text")
-    found = _found(docs.select(key.alias("doc_id"), "text"), benchmark).select("text_key").distinct()
+    found = _found(docs.select(key.alias("doc_id"), "text"), benchmark, least).select("text_key").distinct()
     found = Scratch(docs.sparkSession).save(found)
     found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
     return docs.join(found, key == found["text_key"], "left_anti")
 
 
-def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
     items = item_windows(benchmark)
     lengths, total = items.agg(F.collect_set("len"), F.count("*")).first()
     if not total:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, n long, matched long, longest long, changed long")
     items = F.broadcast(items) if total <= BROADCAST_WINDOWS else items
     sizes = sorted(lengths)
-    met = placed(doc_windows(docs, sizes).join(items, "h"), sizes)
+    met = placed(doc_windows(docs, sizes, least).join(items, "h"), sizes, least)
     pairs = F.filter(F.arrays_zip("own", "seen"), lambda z: z["own"] != 0)
     key = ["doc_id", "text_key", "item_id", "form", "n"]
     lines = met.groupBy(*key, (F.col("p") + 1 - F.col("at")).alias("diagonal")).agg(

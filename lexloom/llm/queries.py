@@ -110,18 +110,19 @@ _KEY = f"""array_to_string(list_transform(x, lambda t: CASE WHEN {_IS_SLOT} THEN
       || CASE WHEN len(list_filter(x, lambda t: NOT {_IS_SLOT})) >= {decontam.LITERALS} THEN '' ELSE '|' || array_to_string(x, ' ') END"""
 ORACLES["op7_benchmark_decontamination"] = rf"""
 WITH cut AS MATERIALIZED (
-  SELECT kind, id, form, regexp_extract_all(marked, '{decontam.VALUED}') AS own FROM (
+  SELECT kind, id, form, CASE WHEN kind = 'b' THEN regexp_extract_all(marked, '{decontam.VALUED}')[2:] ELSE regexp_extract_all(marked, '{decontam.VALUED}') END AS own FROM (
     SELECT DISTINCT 'd' AS kind, doc_id AS id, md5(coalesce(text, '')) AS form, {_marked_sql("text")} AS marked FROM documents WHERE doc_id IS NOT NULL
     UNION ALL SELECT DISTINCT 'i', item_id, '', {_marked_sql("text")} FROM benchmark WHERE item_id IS NOT NULL
-    UNION ALL SELECT DISTINCT 'i', item_id, '', {_marked_sql("text", False)} FROM benchmark WHERE item_id IS NOT NULL)),
-items AS (SELECT id, own, least(len(own), {decontam.WINDOW}) AS w, row_number() OVER () AS form FROM (SELECT DISTINCT id, own FROM cut WHERE kind = 'i' AND len(own) > 0)),
+    UNION ALL SELECT DISTINCT 'i', item_id, '', {_marked_sql("text", False)} FROM benchmark WHERE item_id IS NOT NULL
+    UNION ALL SELECT DISTINCT 'b', item_id, '', {_marked_sql(f"'{decontam.BEHIND}' || coalesce(text, '')")} FROM benchmark WHERE item_id IS NOT NULL)),
+items AS (SELECT id, own, least(len(own), {decontam.WINDOW}) AS w, row_number() OVER () AS form FROM (SELECT DISTINCT id, own FROM cut WHERE kind <> 'd' AND len(own) > 0)),
 item_w AS MATERIALIZED (
   SELECT *, {_KEY} AS h FROM (SELECT id, form, w, pos, len(own) - w + 1 AS n, own[pos:pos + w - 1] AS x
     FROM (SELECT *, unnest(range(1, len(own) - w + 2)) AS pos FROM items))),
 doc_w AS (
   SELECT *, {_KEY} AS h FROM (SELECT id, form, w, pos, own[pos:pos + w - 1] AS x
     FROM (SELECT *, unnest(range(1, len(own) - w + 2)) AS pos FROM cut, (SELECT DISTINCT w FROM item_w)
-          WHERE kind = 'd' AND (len(own) = w OR len(own) > w AND w >= {decontam.LITERALS})))),
+          WHERE kind = 'd' AND len(own) >= w))),
 met AS MATERIALIZED (
   SELECT d.id AS doc_id, d.form AS dform, i.id AS item_id, i.form AS form, n, i.pos, d.pos - i.pos AS diagonal, i.x AS own, d.x AS seen
   FROM doc_w d JOIN item_w i ON d.h = i.h AND d.w = i.w),
