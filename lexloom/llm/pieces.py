@@ -12,7 +12,8 @@ score, not the order of merges of a merge model.
 
 Chunks go back to their documents by blocks of bounded size: each block asks for the distinct
 chunks that it needs, the requests meet the answers under the chunk, and both the block's
-compressed texts under its key. The commonest chunks, up to FREQUENT of them, are encoded first and
+compressed texts under its key. Rows that a shuffle deals out are written first, so that blocks stay as
+they are whatever is computed again. The commonest chunks, up to FREQUENT of them, are encoded first and
 sent to the workers, so nothing asks for them. Which these are is told from a sample;
 that only saves traffic and changes no result. The lattice tells chunks apart by 128 bits of hash.
 
@@ -397,11 +398,19 @@ def commonest(scratch: Scratch, rows: DataFrame, cut: Cutter, v: Vocabulary) ->
     return lattice(some.filter(level >= least), v).toArrow()
 
 
+def shuffled(rows: DataFrame) -> bool:
+    """Whether an exchange deals the rows out. Blocks follow from how rows lie in their partitions, and a partition
+    behind an exchange may come back in another order when an executor is lost; files are read alike each time."""
+    return "Exchange" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """doc_id, ids (array of piece ids), text_crc32 (of the text's UTF-8 bytes), decoded_crc32 (of
     the bytes of the ids' pieces, without the blank that leads every text)."""
     scratch, cut = Scratch(docs.sparkSession), v.cutter()
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if shuffled(rows):
+        rows = scratch.save(rows)
     got = commonest(scratch, rows, cut, v)
     frequent = pa.array(got.column("chunk").to_pylist(), pa.string())
     flat, ends = _flat(got.column("ids"))

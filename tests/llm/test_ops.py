@@ -506,6 +506,20 @@ def test_pii_odd_rows_and_redaction(spark, odd, none):
     assert pii.detect(docs(spark, long)).first().spans == "email:80000:80009"
 
 
+def test_pieces_of_shuffled_rows(spark):
+    """Rows behind a shuffle are written first; each run of the plan gives the same blocks."""
+    from pyspark import TaskContext
+
+    v = pieces.load(queries.PIECE_MODEL)
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    mixed = d.repartition(7, F.rand()).unionByName(d.limit(3))
+    assert pieces.shuffled(mixed) and not pieces.shuffled(d.filter("doc_id > 3"))
+    # a source whose rows come in another order each time that it is read
+    restless = mixed.mapInArrow(lambda bs: (b.take(np.random.default_rng(TaskContext.get().taskAttemptId()).permutation(b.num_rows)) for b in bs), d.schema)
+    want = sorted((r.doc_id, r.ids) for r in pieces.encode(d.unionByName(d.limit(3)), v).collect())
+    assert sorted((r.doc_id, r.ids) for r in pieces.encode(restless, v).collect()) == want
+
+
 # 7
 def test_templates(spark):
     bench = spark.createDataFrame([(1, "If Alice buys 12 apples at 3.50 dollars each and sells them to Bob for 60 dollars, how much does she make after 12 days?"), (2, "too short"), (3, None), (None, "one two three four five six")], "item_id long, text string")
