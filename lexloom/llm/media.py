@@ -3,7 +3,8 @@
 A payload is stored losslessly as the code bytes of a WAV file: one byte a sample for mu-law
 and A-law, whole blocks for IMA ADPCM. Reading expands the codes: mu-law and A-law through
 256-entry lookup tables, ADPCM with numpy across blocks (the loop runs over positions inside a
-block, every step handles all blocks). The 16-bit PCM is resampled and stored.
+block, every step handles all blocks). The files are a written table of their own, which is read back for all
+that follows; the 16-bit PCM is resampled, and comes as a WAV file beside the stored one.
 
 By default the codec of a text follows from the checksum of its payload, so a table holds all
 three, and equal texts have equal forms.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_batches, tidied
+from lexloom.llm.common import Scratch, bounded_batches, tidied
 
 UNIT = 64
 RATE, RATE_OUT = 8000, 16000
@@ -137,7 +138,7 @@ def codec_of(payload: bytes) -> str:
     return CODECS[zlib.crc32(payload) % len(CODECS)]
 
 
-def _columns(codec: str | None, keep: bool):
+def _stored(codec: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 64):
@@ -146,29 +147,52 @@ def _columns(codec: str | None, keep: bool):
                 payloads = [x + bytes(-len(x) % UNIT or (0 if x else UNIT)) for x in raw]
                 used = [codec or codec_of(x) for x in payloads]
                 media = [store(c, x) for c, x in zip(used, payloads, strict=True)]
+                cols = [b.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(used), pa.array(media, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "codec", "media"])
+
+    return run
+
+
+def stored(docs: DataFrame, codec: str | None = None) -> DataFrame:
+    """doc_id, n_bytes (of the text), codec, media (the file). codec: one for all texts, or None."""
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(tidied(_stored(codec)), "doc_id long, n_bytes long, codec string, media binary")
+
+
+def _played(keep: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 64):
+                b = big.slice(at, 64)
+                media = b.column("media").to_pylist()
                 back = [read_wav(m) for m in media]
                 # the ADPCM files of the batch are decoded in one go, across all their blocks
                 blocks = adpcm_decode(np.frombuffer(b"".join(d for tag, _, d in back if tag == TAGS["ima_adpcm"]), np.uint8))
                 rows, start = [], 0
-                for x, c, m, (tag, rate, d) in zip(raw, used, media, back, strict=True):
+                for c, m, (tag, rate, d) in zip(b.column("codec").to_pylist(), media, back, strict=True):
                     if tag == TAGS["ima_adpcm"]:
                         n = len(d) // UNIT
                         pcm, start = blocks[start : start + n].reshape(-1), start + n
                     else:
                         pcm = expand(tag, d)
                     sound = wav(1, RATE_OUT, 16, 2, 1, resample(pcm).tobytes())
-                    row = [len(x), len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f"{c}@{rate} {features(pcm)}"]
+                    row = [len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f"{c}@{rate} {features(pcm)}"]
                     rows.append([*row, c, len(sound), zlib.crc32(sound)] + [m, sound] * keep)
                 cols = [pa.array(c) for c in zip(*rows, strict=True)]
-                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "pcm_bytes", "pcm_crc32"]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", *names, *["media", "pcm"] * keep])
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "pcm_bytes", "pcm_crc32"]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *cols], names=["doc_id", "n_bytes", *names, *["media", "pcm"] * keep])
 
     return run
 
 
-def media_columns(docs: DataFrame, codec: str | None = None, keep: bool = True) -> DataFrame:
-    """Digests and features of each text's stored form and of its resampled 16-bit WAV; with ``keep``
-    also both files (``media``, ``pcm``). codec: one for all texts, or None."""
+def played(media: DataFrame, keep: bool = True) -> DataFrame:
+    """What the files of ``stored`` hold: digests and features of each file and of its resampled 16-bit WAV; with
+    ``keep`` both files too (``media``, ``pcm``)."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm_bytes long, pcm_crc32 long"
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidied(_columns(codec, keep)), schema + (", media binary, pcm binary" if keep else ""))
+    rows = bounded_batches(media).select("doc_id", "n_bytes", "codec", "media")
+    return rows.mapInArrow(tidied(_played(keep)), schema + (", media binary, pcm binary" if keep else ""))
+
+
+def media_columns(docs: DataFrame, codec: str | None = None, keep: bool = True) -> DataFrame:
+    """``played`` over the files of all texts, which are written to the shared folder and read back from there."""
+    return played(Scratch(docs.sparkSession).save(stored(docs, codec)), keep)

@@ -58,7 +58,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents")).drop("media", "pcm")
+    return media.media_columns(table(spark, sf_dir, "documents"), keep=False)
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
