@@ -19,23 +19,28 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return normalise(a.select("id", "lo", "hi").unionByName(b.select("id", "lo", "hi")))
 
 
+def _covered(ranges: DataFrame, need: DataFrame) -> DataFrame:
+    """(id, lo, hi): the stretches between borders that as many ranges (id, lo, hi) cover as need(id, n) says."""
+    borders = F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("step")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("step")))
+    steps = ranges.select("id", F.explode(borders).alias("x")).select("id", "x.*").groupBy("id", "at").agg(F.sum("step").alias("step"))
+    w = Window.partitionBy("id").orderBy("at")
+    runs = steps.select("id", "at", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"), F.lead("at").over(w).alias("next"))
+    return normalise(runs.join(need, "id").filter("depth = n").select("id", F.col("at").alias("lo"), (F.col("next") - 1).alias("hi")))
+
+
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Common part of two normalised sets of each id."""
-    b = b.select("id", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    j = a.join(b, "id").filter("lo <= hi2 and lo2 <= hi")
-    return j.select("id", F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi"))
+    """Common part of two normalised sets of each id, by one sweep over the borders of both."""
+    from lexloom.session import settled
+
+    # written: a union of two sides that are both dealt by id, each in its own number of partitions, can't be planned
+    both = settled(a.select("id", "lo", "hi")).unionByName(settled(b.select("id", "lo", "hi")))
+    return _covered(both, both.select("id").distinct().withColumn("n", F.lit(2)))
 
 
 def intersection_of_all(ranges: DataFrame) -> DataFrame:
-    """(grp, lo, hi): what all normalised sets (grp, id, lo, hi) of a group share: the stretches between
-    borders that as many sets cover as the group has."""
-    n = ranges.groupBy("grp").agg(F.count_distinct("id").alias("n"))
-    steps = ranges.select("grp", F.col("lo").alias("at"), F.lit(1).alias("step")).unionByName(ranges.select("grp", (F.col("hi") + 1).alias("at"), F.lit(-1).alias("step")))
-    steps = steps.groupBy("grp", "at").agg(F.sum("step").alias("step"))
-    w = Window.partitionBy("grp").orderBy("at")
-    runs = steps.select("grp", "at", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"), F.lead("at").over(w).alias("next"))
-    hit = runs.join(n, "grp").filter("depth = n").select(F.col("grp").alias("id"), F.col("at").alias("lo"), (F.col("next") - 1).alias("hi"))
-    return normalise(hit).withColumnRenamed("id", "grp")
+    """(grp, lo, hi): what all normalised sets (grp, id, lo, hi) of a group share."""
+    n = ranges.groupBy(F.col("grp").alias("id")).agg(F.count_distinct(ranges["id"]).alias("n"))
+    return _covered(ranges.select(F.col("grp").alias("id"), "lo", "hi"), n).withColumnRenamed("id", "grp")
 
 
 def size(ranges: DataFrame) -> DataFrame:
@@ -47,12 +52,16 @@ def from_points(points: DataFrame) -> DataFrame:
     return normalise(points.select("id", F.col("x").alias("lo"), F.col("x").alias("hi")))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, width: int = 1024) -> DataFrame:
-    """Points (x) inside ranges (lo, hi): both sides are dealt to bins of the given width, so it is
-    an equi-join; a range takes part in each bin that it touches."""
-    p = points.withColumn("bin_", F.floor(F.col("x") / width).cast("long"))
-    r = ranges.withColumn("bin_", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("long"), F.floor(F.col("hi") / width).cast("long"))))
-    return p.join(r, "bin_").filter("x between lo and hi").drop("bin_")
+def range_join(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Points (x) inside ranges (lo, hi), as an equi-join over bins. A range goes to bins of at least its own width, a power
+    of four, so it touches two at most; a point goes to its bin of each width that occurs, some thirty at most."""
+    bits = F.length(F.bin(F.col("hi") - F.col("lo")))
+    r = ranges.filter("lo <= hi").withColumn("level_", (F.floor((bits + 1) / 2) * 2).cast("int"))
+    levels = [x[0] for x in r.select("level_").distinct().collect()]
+    bin_ = lambda x, level: F.call_function("shiftright", x.cast("long"), level)
+    r = r.withColumn("bin_", F.explode(F.array_distinct(F.array(bin_(F.col("lo"), F.col("level_")), bin_(F.col("hi"), F.col("level_"))))))
+    p = points.withColumn("level_", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("bin_", bin_(F.col("x"), F.col("level_")))
+    return p.join(r, ["level_", "bin_"]).filter("x between lo and hi").drop("level_", "bin_")
 
 
 def labels(edges: DataFrame, nodes: DataFrame, reach: DataFrame) -> DataFrame:

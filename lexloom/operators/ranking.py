@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.session import settled
+
 
 def name_key(fun: Column) -> Column:
     """struct(base, cat, sense): category behind the last underscore; sense the digits of the segment
@@ -140,6 +142,53 @@ def nearest_by_edits(rows: DataFrame, key: str, label: str, form: str) -> DataFr
     return rows.withColumn("dist", d).groupBy(key).agg(F.min_by(form, F.struct("dist", form)).alias(form), F.min("dist").alias("dist"))
 
 
+def edit_segments(forms: DataFrame, column: str, k: int) -> DataFrame:
+    """forms with size, place and segment: each form cut in k + 1 segments of nearly equal length, a row each."""
+    n = F.length(column)
+    start = lambda i: F.floor(n * i / (k + 1)).cast("int")
+    cut = F.array(*[F.struct(F.lit(i).alias("place"), F.substr(column, start(i) + 1, start(i + 1) - start(i)).alias("segment")) for i in range(k + 1)])
+    return forms.select("*", n.alias("size"), F.explode(cut).alias("x")).select(*forms.columns, "size", "x.*")
+
+
+def edit_probes(forms: DataFrame, column: str, k: int) -> DataFrame:
+    """forms with size, place and segment: the substrings that a form within k edits may have as a segment, by the
+    length of that form and the segment's place, at most k characters off. Each comes once."""
+    n = F.length(column)
+    sizes = F.sequence(F.greatest(n - k, F.lit(0)), n + k)
+
+    def probes(size: Column) -> Column:
+        start = lambda i: F.floor(size * i / (k + 1)).cast("int")
+        out = []
+        for i in range(k + 1):
+            length = start(i + 1) - start(i)
+            for shift in range(-k, k + 1):
+                at = start(i) + shift
+                out.append(F.when((at >= 0) & (at + length <= n), F.struct(size.alias("size"), F.lit(i).alias("place"), F.substr(column, at + 1, length).alias("segment"))))
+        return F.array(*out)
+
+    each = F.array_distinct(F.filter(F.flatten(F.transform(sizes, probes)), lambda x: x.isNotNull()))
+    return forms.select("*", F.explode(each).alias("x")).select(*forms.columns, "x.*")
+
+
+def within_edits(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(a, b, dist): all forms a of left(a) and b of right(b) that are at most k edits apart. Of k + 1 segments of b
+    one is whole in a, so the two meet in a join on segment, length and place before their distance is taken."""
+    a, b = left.select("a").distinct(), right.select("b").distinct()
+    met = edit_probes(a, "a", k).join(edit_segments(b, "b", k), ["size", "place", "segment"]).select("a", "b").distinct()
+    return met.withColumn("dist", F.levenshtein("a", "b", k)).filter("dist >= 0")
+
+
+def nearest_label(rows: DataFrame, labels: DataFrame, most: int = 3) -> DataFrame:
+    """(a, b, dist): for each form of rows(a) the nearest of labels(b), of equals the least, if one is at most ``most``
+    edits away. What one edit finds is not sought again with more."""
+    rows, out = rows.select("a").distinct(), None
+    for k in range(1, most + 1):
+        near = settled(within_edits(rows, labels, k).groupBy("a").agg(F.min(F.struct("dist", "b")).alias("x")).select("a", "x.b", "x.dist"))
+        out = near if out is None else out.unionByName(near)
+        rows = rows.join(near, "a", "left_anti")
+    return out
+
+
 def mirrored(rows: DataFrame, twins: DataFrame) -> DataFrame:
     """A twin (fun, twin) gets the same image, and the other way round."""
     both = twins.select("fun", "twin").unionByName(twins.select(F.col("twin").alias("fun"), F.col("fun").alias("twin")))

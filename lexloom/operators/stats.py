@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.session import settled
@@ -69,6 +69,46 @@ def cosine(bags: DataFrame, others: DataFrame) -> DataFrame:
     return dot.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("la") * F.col("lb"))).alias("cosine"))
 
 
+SLACK = 1e-9
+
+
+def bag_prefixes(bags: DataFrame, threshold: float) -> DataFrame:
+    """(a, word, w, rest): the rarest words of each bag (a, word, n), with their share w of its length, down to where
+    the words behind weigh less than the threshold: rest is the length of what is left. The rarest word that two
+    bags share stands in both prefixes, or their cosine lies below the threshold."""
+    known = bags.groupBy("word").agg(F.count("*").alias("df"))
+    whole = bags.groupBy("a").agg(F.sum(F.col("n") * F.col("n")).alias("square"))
+    rare = Window.partitionBy("a").orderBy("df", "word")
+    w = bags.join(known, "word").join(whole, "a").withColumn("part", F.col("n") * F.col("n") / F.col("square"))
+    before = F.coalesce(F.sum("part").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    w = w.withColumn("before", before).filter(1 - F.col("before") >= threshold * threshold - SLACK)
+    rest = F.sqrt(F.greatest(1 - F.max(F.col("before") + F.col("part")).over(Window.partitionBy("a")), F.lit(0.0)))
+    return w.select("a", "word", (F.col("n") / F.sqrt("square")).alias("w"), rest.alias("rest"))
+
+
+def bag_candidates(bags: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs, a before b, that share a word of both prefixes and may still reach the threshold: what
+    they share there and what is left of both bounds their cosine."""
+    p = settled(bag_prefixes(bags, threshold))
+    q = p.select(F.col("a").alias("b"), "word", F.col("w").alias("v"), F.col("rest").alias("left"))
+    met = p.join(q, "word").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("shared"), F.max("rest").alias("rest"), F.max("left").alias("left"))
+    return met.filter(F.col("shared") + F.col("rest") + F.col("left") >= threshold - SLACK).select("a", "b")
+
+
+def similar_bags(bags: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cosine), a before b, of all pairs of bags (a, word, n) with at least that cosine. Common words make
+    no pairs: candidates meet in rare words alone, and only theirs are compared whole. Bags that are equal
+    should be one bag, or their pairs are all there."""
+    bags = settled(bags.select("a", "word", "n"))
+    found = settled(bag_candidates(bags, threshold))
+    square = bags.groupBy("a").agg(F.sum(F.col("n") * F.col("n")).alias("square"))
+    other = bags.select(F.col("a").alias("b"), "word", F.col("n").alias("m"))
+    dot = found.join(bags, "a").join(other, ["b", "word"]).groupBy("a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    full = dot.join(square, "a").join(square.select(F.col("a").alias("b"), F.col("square").alias("other")), "b")
+    cosine = F.col("dot") / (F.sqrt("square") * F.sqrt("other"))
+    return full.select("a", "b", cosine.alias("cosine")).filter(F.col("cosine") >= threshold)
+
+
 def log_sum(neglogs):
     """-ln of the sum of exp(-x): category mass in the log domain, stable by the least x."""
     low = F.min(neglogs)

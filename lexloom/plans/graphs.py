@@ -58,7 +58,7 @@ def full_hyponyms(spark, d):
 
     one = edges.groupBy("child").agg(F.min("parent").alias("parent"))
     at = settled(numbered_rows(intervals.tree_paths(one, nodes), F.col("path")).select(F.col("id").alias("src"), F.col("row_no").alias("x")))
-    inside = intervals.range_join(at, lab, 256)
+    inside = intervals.range_join(at, lab)
     return inside.groupBy("id").agg(F.count("*").alias("n"), F.min("src").alias("first"), F.max("src").alias("last"))
 
 
@@ -248,7 +248,7 @@ def interval_intersection(spark, d):
 @query("SELECT p_partkey AS x, count(*) AS n FROM part JOIN lineitem ON p_partkey BETWEEN l_partkey AND l_partkey + l_linenumber GROUP BY p_partkey")
 def range_join(spark, d):
     points = table(spark, d, "part").select(F.col("p_partkey").alias("x"))
-    return intervals.range_join(points, _ranges(spark, d), 64).groupBy("x").agg(F.count("*").alias("n"))
+    return intervals.range_join(points, _ranges(spark, d)).groupBy("x").agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -159,6 +159,42 @@ def levenshtein_nearest(spark, d):
     return ranking.nearest_by_edits(rows, "id", "name", "form").select("id", F.col("form").alias("nearest"))
 
 
+ASCII_WORDS = "SELECT DISTINCT unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '')) AS {} FROM {}"
+
+
+def _ascii_words(spark, d, name: str, column: str):
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    return table(spark, d, name).select(F.explode(words).alias(column)).distinct()
+
+
+@query(f"WITH x AS ({ASCII_WORDS.format('a', 'benchmark')}), y AS ({ASCII_WORDS.format('b', 'documents')}) SELECT a, b, levenshtein(a, b)::INT AS dist FROM x JOIN y ON abs(length(a) - length(b)) <= 2 AND levenshtein(a, b) <= 2")
+def words_within_edits(spark, d):
+    """Words of the benchmark against all words of the documents, up to two edits apart, met by shared segments."""
+    return ranking.within_edits(_ascii_words(spark, d, "benchmark", "a"), _ascii_words(spark, d, "documents", "b"), 2)
+
+
+@query(f"""
+WITH x AS ({ASCII_WORDS.format('a', 'benchmark')}), y AS (SELECT lower(p_name) AS b FROM part UNION SELECT lower(word) FROM (SELECT unnest(string_split(p_type, ' ')) AS word FROM part) UNION SELECT lower(n_name) FROM nation),
+z AS (SELECT a, b, levenshtein(a, b)::INT AS dist FROM x JOIN y ON levenshtein(a, b) <= 3) SELECT a, b, dist FROM z QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) = 1""")
+def nearest_labels(spark, d):
+    """For each word of the benchmark the nearest name of the catalogue, if one is near at all."""
+    part = table(spark, d, "part")
+    labels = part.select(F.lower("p_name").alias("b")).union(part.select(F.explode(F.split(F.lower("p_type"), " ")))).union(table(spark, d, "nation").select(F.lower("n_name")))
+    return ranking.nearest_label(_ascii_words(spark, d, "benchmark", "a"), labels)
+
+
+@query(r"""
+WITH t AS (SELECT min(doc_id) AS a, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT a, word, count(*) AS n FROM (SELECT a, unnest(ws) AS word FROM t) GROUP BY 1, 2), s AS (SELECT a, sqrt(sum(n * n)) AS l FROM w GROUP BY a)
+SELECT x.a, y.a AS b, round(sum(x.n * y.n) / any_value(s.l * r.l), 6) AS cosine FROM w x JOIN w y ON x.word = y.word AND x.a < y.a JOIN s ON s.a = x.a JOIN s r ON r.a = y.a
+GROUP BY 1, 2 HAVING sum(x.n * y.n) / any_value(s.l * r.l) >= 0.9""")
+def similar_documents(spark, d):
+    """Different texts whose bags of words have a cosine of 0.9 or more, met by their rare words."""
+    t = table(spark, d, "documents").filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("a"))
+    words = t.select("a", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")).alias("word"))
+    return stats.similar_bags(words.groupBy("a", "word").agg(F.count("*").alias("n")), 0.9).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
 TRANSLIT = dict(zip("äöüßéèêçñáíóúàâîôûëïœæ", ["ae", "oe", "ue", "ss", *"eeecnaiouaaioueioe"], strict=False))
 
 

@@ -3,7 +3,7 @@
 import json
 import math
 import random
-from collections import namedtuple
+from collections import Counter, namedtuple
 
 import pytest
 from hypothesis import given, settings
@@ -510,3 +510,50 @@ def test_xz_lines(spark, tmp_path):
         f.write("1\tdog\n\n2\tcat é\n" + "x\n" * 25_000)
     got = resources.xz_lines(spark, str(tmp_path)).filter("line_no <= 3 or line_no > 25002").orderBy("line_no").collect()
     assert [(r.line_no, r.value) for r in got] == [(1, "1\tdog"), (2, ""), (3, "2\tcat é"), (25003, "x")]
+
+
+def test_bags_meet_by_rare_words(spark):
+    """Equal to all pairs at several thresholds, with far fewer candidates than pairs that share a word."""
+    r = random.Random(12)
+    bags = {i: Counter(r.choices([f"w{k}" for k in range(60)], weights=[60 / (k + 1) for k in range(60)], k=r.randint(1, 40))) for i in range(90)}
+    bags |= {100 + i: bags[i] + Counter([r.choice("xyz")]) for i in range(30)} | {200: Counter({"only": 2})}
+    df = spark.createDataFrame([(a, w, n) for a, b in bags.items() for w, n in b.items()], "a long, word string, n long")
+    size = {a: math.sqrt(sum(n * n for n in b.values())) for a, b in bags.items()}
+    dots = {(a, b): sum(n * bags[b][w] for w, n in bags[a].items()) for a in bags for b in bags if a < b}
+    for t in (0.5, 0.8, 0.95):
+        want = {k for k, v in dots.items() if v / (size[k[0]] * size[k[1]]) >= t}
+        assert {(x.a, x.b) for x in stats.similar_bags(df, t).collect()} == want and want
+    assert stats.bag_candidates(df, 0.95).count() < sum(v > 0 for v in dots.values()) / 2  # of sixty words only
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_edit_distance_joins(spark, k):
+    r = random.Random(k)
+    word = lambda: "".join(r.choice("abc\u00e9") for _ in range(r.randint(0, 9)))
+    a, b = {word() for _ in range(60)} | {""}, {word() for _ in range(80)} | {"", "abcabcabc"}
+
+    def dist(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row = row, [i, *row[1:]]
+            for j, e in enumerate(y, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != e))
+        return row[-1]
+
+    left, right = spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string")
+    want = {(x, y, d) for x in a for y in b if (d := dist(x, y)) <= k}
+    assert {tuple(x) for x in ranking.within_edits(left, right, k).collect()} == want
+    best = {x: min((d, y) for z, y, d in want if z == x) for x in {w[0] for w in want}}
+    assert {x.a: (x.dist, x.b) for x in ranking.nearest_label(left, right, k).collect()} == best
+
+
+def test_range_joins_of_all_widths(spark):
+    r = random.Random(3)
+    ranges = [(i, lo, lo + r.choice([-1, 0, 1, 3, 4, 15, 16, 17, 1000, 10**6, 10**12])) for i in range(80) for lo in [r.randint(-2000, 2000)]]
+    points = [(j, r.choice([r.randint(-2500, 2500), r.randint(-(10**6), 10**12)])) for j in range(150)]
+    got = intervals.range_join(spark.createDataFrame(points, "p long, x long"), spark.createDataFrame(ranges, "r long, lo long, hi long"))
+    assert {(x.p, x.r) for x in got.collect()} == {(p, i) for p, x in points for i, lo, hi in ranges if lo <= x <= hi}
+    sets = lambda n: intervals.normalise(spark.createDataFrame([(k, x, x + r.randint(0, 9)) for k in range(3) for x in r.sample(range(200), n)] + [(7 + n, 1, 5)], "id long, lo long, hi long"))
+    a, b = sets(12), sets(20)
+    inside = lambda df: {(x.id, v) for x in df.collect() for v in range(x.lo, x.hi + 1)}
+    assert inside(intervals.intersection(a, b)) == inside(a) & inside(b)
