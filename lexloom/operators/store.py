@@ -1,13 +1,17 @@
 """A typed table store over DataFrames: keyed tables with total, partial and multi-valued
 indexes, read through comprehension-like steps and changed by whole-table transforms.
 
-An index is an expression, not a structure: a total index is a join key, a partial one drops
-nulls, a multi-valued one is the exploded bridge table. Changes return a new store, so a plan
-that reads the old one stays valid; ``commit`` writes tables atomically by directory.
+An index is an expression: a total index is a join key, a partial one drops nulls, a multi-valued one is
+the exploded bridge table. Changes return a new store, so a plan that reads the old one stays valid;
+``commit`` writes tables by directory. Indexes whose expression is given as text last: they are written as
+tables of their rows, bucketed and sorted by the index value, with their definition beside them, so that a
+lookup in a reopened store reads one bucket, and two of them meet without an exchange.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -17,12 +21,16 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Index:
-    """kind: total, partial (nulls have no entry) or multi (each distinct element has one)."""
+    """kind: total, partial (nulls have no entry) or multi (each distinct element has one). expr: a SQL
+    expression, which can be kept, or a function that gives a column."""
 
     table: str
-    value: Callable[[], Column]
+    expr: str | Callable[[], Column]
     kind: str = "total"
 
+    def value(self) -> Column:
+        return F.expr(self.expr) if isinstance(self.expr, str) else self.expr()
+
 
 @dataclass(frozen=True)
 class Store:
@@ -31,6 +39,7 @@ class Store:
     indexes: dict[str, Index] = field(default_factory=dict)
     foreign: dict[str, tuple[str, str, str]] = field(default_factory=dict)  # name: child table, child column, parent table
     read_only: bool = False
+    kept: dict[str, str] = field(default_factory=dict)  # indexes that lie on disk: their tables in the catalogue
 
     # definition
     def create_table(self, name: str, schema: str, rows: DataFrame | None = None) -> Store:
@@ -69,6 +78,8 @@ class Store:
 
     def lookup(self, index: str, value) -> DataFrame:
         ix = self.indexes[index]
+        if index in self.kept:
+            return self.spark.table(self.kept[index]).filter(F.col("value") == F.lit(value)).drop("value")
         rows = self.tables[ix.table]
         if ix.kind == "multi":
             return rows.filter(F.array_contains(ix.value(), value))
@@ -80,11 +91,21 @@ class Store:
         hits = self.entries(index).join(self.tables[ix.table], "id").withColumnRenamed("id", f"{ix.table}_id")
         return left.join(hits, on == hits["value"], how)
 
+    def indexed(self, index: str) -> DataFrame:
+        """The rows of an index with their value; from disk, by buckets of it, where it lies there."""
+        if index in self.kept:
+            return self.spark.table(self.kept[index])
+        ix = self.indexes[index]
+        value = F.explode(F.array_distinct(ix.value())) if ix.kind == "multi" else ix.value()
+        rows = self.tables[ix.table].select(value.alias("value"), "*")
+        return rows if ix.kind == "total" else rows.filter("value is not null")
+
     # changing
     def _changed(self, table: str, rows: DataFrame) -> Store:
         if self.read_only:
             raise PermissionError("the store is open for reading only")
-        return replace(self, tables=self.tables | {table: rows})
+        stale = {n for n, ix in self.indexes.items() if ix.table == table}
+        return replace(self, tables=self.tables | {table: rows}, kept={n: t for n, t in self.kept.items() if n not in stale})
 
     def insert(self, table: str, rows: DataFrame) -> Store:
         """Rows without keys; keys follow the largest one, in an order of the whole row.
@@ -115,15 +136,42 @@ class Store:
             out = out.unionByName(rows.select(F.lit(name).alias("constraint"), F.col("id").cast("long").alias("id"), "value"))
         return out
 
-    def commit(self, root: str) -> None:
-        """Every table as Parquet; a table is replaced by one committed write."""
+    def commit(self, root: str, buckets: int = 16) -> None:
+        """Every table as Parquet; a table is replaced by one committed write. Then the indexes with a
+        SQL expression in so many buckets, and last of all the definitions of indexes and foreign keys."""
         for name, rows in self.tables.items():
             rows.write.mode("overwrite").parquet(f"{root}/{name}")
+        lasting = {n: ix for n, ix in self.indexes.items() if isinstance(ix.expr, str)}
+        written = Store.open(self.spark, root, list(self.tables))
+        for name, ix in lasting.items():
+            rows = replace(written, indexes={name: ix}).indexed(name).repartition(buckets, "value")
+            w = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "value").sortBy("value")
+            w.option("path", f"{root}/index-{name}").saveAsTable(_catalogued(root, name))
+        definition = {"buckets": buckets, "tables": list(self.tables), "indexes": {n: [ix.table, ix.expr, ix.kind] for n, ix in lasting.items()}, "foreign": self.foreign}
+        self.spark.createDataFrame([(json.dumps(definition),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/definition")
 
     @staticmethod
     def open(spark: SparkSession, root: str, names: list[str], read_only: bool = True) -> Store:
+        """The named tables alone, without indexes."""
         return Store(spark, {n: spark.read.parquet(f"{root}/{n}") for n in names}, read_only=read_only)
 
+    @staticmethod
+    def reopen(spark: SparkSession, root: str, read_only: bool = True) -> Store:
+        """All tables of a commit with its indexes and foreign keys; the indexes are read from disk."""
+        d = json.loads(spark.read.text(f"{root}/definition").first()[0])
+        out = Store.open(spark, root, d["tables"], read_only)
+        for name in d["indexes"]:
+            table, path = _catalogued(root, name), f"{root}/index-{name}"
+            if not spark.catalog.tableExists(table):
+                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+                spark.sql(f"CREATE TABLE {table} ({columns}) USING PARQUET CLUSTERED BY (value) SORTED BY (value) INTO {d['buckets']} BUCKETS LOCATION '{path}'")
+        indexes = {n: Index(*ix) for n, ix in d["indexes"].items()}
+        return replace(out, indexes=indexes, foreign={n: tuple(f) for n, f in d["foreign"].items()}, kept={n: _catalogued(root, n) for n in indexes})
+
+
+def _catalogued(root: str, index: str) -> str:
+    return f"lexloom_{hashlib.md5(root.encode()).hexdigest()[:16]}_{index}"
+
 
 def numbered_rows(rows: DataFrame, order: Column) -> DataFrame:
     """Rows with row_no from 1 in the given order, without one task for all: a range partitioning,

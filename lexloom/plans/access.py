@@ -72,6 +72,32 @@ def store_commit_and_reopen(spark, d):
     return store.Store.open(spark, root, ["part"]).scan("part").select("id", "brand")
 
 
+def _reopened(spark: SparkSession, d: str) -> store.Store:
+    """A store of parts with lasting indexes by brand and by word, committed and opened again."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    s = store.Store(spark).create_table("part", "", parts(spark, d).scan("part"))
+    s = s.with_index("brand", store.Index("part", "brand")).with_index("word", store.Index("part", "words", "multi"))
+    s.with_index("small", store.Index("part", "CASE WHEN size < 10 THEN brand END", "partial")).commit(root, buckets=8)
+    return store.Store.reopen(spark, root)
+
+
+@query("""
+SELECT 'brand' AS kept, p_partkey AS id FROM part WHERE p_brand = 'Brand#11' UNION ALL SELECT 'word', p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'PROMO')
+UNION ALL SELECT 'small', p_partkey FROM part WHERE p_brand = 'Brand#11' AND p_size < 10""")
+def store_lasting_lookup(spark, d):
+    """Lookups in the indexes of a reopened store, a bucket each."""
+    s = _reopened(spark, d)
+    out = [s.lookup(n, v).select(F.lit(n).alias("kept"), "id") for n, v in (("brand", "Brand#11"), ("word", "PROMO"), ("small", "Brand#11"))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT a.p_partkey AS id, count(*) AS small FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size < 10 GROUP BY 1")
+def store_lasting_join(spark, d):
+    """Two indexes of a reopened store joined by their buckets."""
+    s = _reopened(spark, d)
+    return s.indexed("brand").join(s.indexed("small").select("value", F.col("id").alias("other")).hint("merge"), "value").groupBy("id").agg(F.count("*").alias("small"))
+
+
 @query("SELECT p_brand AS brand, CAST(sum(p_size) AS BIGINT) AS total, list_reduce(list(p_size ORDER BY p_partkey), lambda a, x: (a * 31 + x) % 1000003)::BIGINT AS folded FROM part GROUP BY p_brand")
 def store_user_fold(spark, d):
     """A user's step function over each group, in key order, beside a plain sum."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from lexloom.functions.numerals import value as numeral_value
 from lexloom.operators import edits as ed
 from lexloom.operators import ranking, stats
 from lexloom.plans.views import view, with_views
-from lexloom.session import table
-from lexloom.sources import resources
+from lexloom.session import shared_dir, table
+from lexloom.sources import resources, versions
 from lexloom.streaming import tail
 
 QUERIES: dict = {}
@@ -272,6 +274,21 @@ def commit_first_wins(spark, d):
     return ed.commit(lines, log(spark, d), "u2")[0].select("line_no", "text")
 
 
+@query(f"""
+WITH b AS ({BASE}), e AS (SELECT lex_id, arg_min(def, seq) AS def FROM ({LOG}) l WHERE usr = 'u2' GROUP BY 1)
+SELECT f AS file, row_number() OVER (PARTITION BY f ORDER BY b.lex_id) AS line_no, CASE WHEN f = 'x' AND e.def IS NOT NULL THEN 'lin ' || b.lex_id || ' = ' || e.def || ' ;' ELSE b.def END AS text
+FROM b CROSS JOIN (VALUES ('x'), ('y')) l(f) LEFT JOIN e ON e.lex_id = b.lex_id""")
+def commit_patched_files(spark, d):
+    """A user's commit rewrites the source files as a whole version, which is read back."""
+    root = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+    e = view(spark, d, "edits")
+    lines = e.select("lex_id").distinct().select(F.explode(F.array(F.lit("x"), F.lit("y"))).alias("lang"), F.col("lex_id").alias("line_no"), F.col("lex_id").alias("fun"), F.concat(F.lit("base"), "lex_id").alias("text"))
+    versions.commit_files(lines.withColumnRenamed("lang", "file"), root)
+    patched, _ = ed.commit(lines, log(spark, d), "u2")
+    versions.commit_files(patched.withColumnRenamed("lang", "file"), root)
+    return versions.read_files(spark, root)
+
+
 @query("""
 WITH s AS (SELECT DISTINCT fun, lang, min(status) OVER (PARTITION BY fun, lang) AS status FROM status), n AS (SELECT DISTINCT fun FROM status WHERE status = 'checked')
 SELECT s.fun, s.lang, CASE WHEN n.fun IS NOT NULL AND s.lang = 'O' THEN 'checked' ELSE s.status END AS status FROM s LEFT JOIN n ON n.fun = s.fun""")

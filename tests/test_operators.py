@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import constructors, dependencies, kb, numerals, text, trees
 from lexloom.operators import edits, graph, intervals, lookup, matching, patterns, ranking, stats, store
-from lexloom.sources import resources
+from lexloom.sources import resources, versions
 from lexloom.streaming import collab
 
 
@@ -557,3 +557,42 @@ def test_range_joins_of_all_widths(spark):
     a, b = sets(12), sets(20)
     inside = lambda df: {(x.id, v) for x in df.collect() for v in range(x.lo, x.hi + 1)}
     assert inside(intervals.intersection(a, b)) == inside(a) & inside(b)
+
+
+def test_lasting_indexes(spark, tmp_path, request):
+    """A lookup reads one bucket, two indexes meet without an exchange, and a changed table forgets its indexes."""
+    root = str(tmp_path)
+    rows_ = spark.createDataFrame([(i, f"k{i % 50}", ["a", "b"][: i % 3]) for i in range(500)], "id long, k string, tags array<string>")
+    s = store.Store(spark).create_table("t", "", rows_).with_index("k", store.Index("t", "k")).with_index("tag", store.Index("t", "tags", "multi")).with_index("own", store.Index("t", lambda: F.col("k")))
+    s.with_foreign_key("self", "t", "id", "t").commit(root)
+    r = store.Store.reopen(spark, root)
+    assert set(r.indexes) == {"k", "tag"} and r.foreign == {"self": ("t", "id", "t")} and r.violations().count() == 0
+    assert {x.id for x in r.lookup("k", "k7").collect()} == set(range(7, 500, 50)) and r.lookup("tag", "b").count() == 166
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    shown = "spark.sql.sources.bucketing.autoBucketedScan.enabled"  # a plan names the buckets only where it reads by them
+    spark.conf.set(shown, "false")
+    request.addfinalizer(lambda: spark.conf.unset(shown))
+    assert "SelectedBucketsCount: 1 out of 16" in plan(r.lookup("k", "k7"))
+    both = r.indexed("k").join(r.indexed("k").select("value", F.col("id").alias("other")).hint("merge"), "value")
+    assert "Exchange" not in plan(both) and both.count() == 50 * 100
+    for name in r.kept.values():  # as in another session, whose catalogue knows nothing of them
+        spark.sql(f"DROP TABLE {name}")
+    again = store.Store.reopen(spark, root, read_only=False)
+    assert again.lookup("k", "k7").count() == 10 and "SelectedBucketsCount: 1 out of 16" in plan(again.lookup("k", "k7"))
+    fewer = again.delete("t", spark.range(100))
+    assert "k" not in fewer.kept and fewer.lookup("k", "k7").count() == 8
+
+
+def test_versions_are_whole(spark, tmp_path):
+    root = str(tmp_path)
+    assert versions.current(spark, root) is None
+    lines = spark.range(1, 2001).select(F.concat(F.lit("f"), F.col("id") % 3).alias("file"), F.col("id").alias("line_no"), F.concat(F.lit("l"), "id").alias("text"))
+    first = versions.commit_files(lines, root)
+    bad = lines.withColumn("text", F.when(F.col("line_no") == 1999, F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lost"):
+        versions.commit_files(bad, root)
+    assert versions.current(spark, root) == first
+    got = versions.read_files(spark, root).orderBy("file", "line_no").collect()
+    assert [(x.file, x.line_no, x.text) for x in got] == [(f"f{k}", i, f"l{n}") for k in range(3) for i, n in enumerate((n for n in range(1, 2001) if n % 3 == k), 1)]
+    second = versions.commit_files(lines.filter("line_no <= 5"), root)
+    assert versions.current(spark, root) == second != first and versions.read_files(spark, root).count() == 5
