@@ -249,6 +249,81 @@ def annotated(rows: DataFrame, token: str) -> DataFrame:
     return restrict(fit, token, F.col("particle").isNull() | F.array_contains("words", F.col("particle")))
 
 
+# Tags with the analyses that contradict them; and for closed classes the analyses that a tag and
+# a category take: they are kept as they are, or, behind a dash, only their function is.
+CONTRADICTED = """
+rb: s (AAdj Posit Nom)
+vbd: s VPPart, s VInf
+vbn: s VPast, s VInf
+vb: s VPPart, s VPast
+nn: s Pl Nom
+nns: s Sg Nom
+"""
+CLOSED = """
+pp$ Pron: s (NCase Gen)
+ppo Pron - s (NCase Nom), s NPAcc
+pps Pron - s (NCase Nom), s NPAcc
+ppss Pron - s (NCase Nom), s NPAcc
+in Prep: s
+dtx Det: s
+dt Quant - s False Sg, s True Sg
+dts Quant - s False Pl, s True Pl
+dti Quant - s False Sg, s False Pl, s True Sg, s True Pl
+dti Det - s
+at Quant - s False Sg, s False Pl, s True Sg, s True Pl
+"""
+
+
+def contradictions() -> list[tuple[str, str]]:
+    return [(tag, x) for tag, xs in (line.split(": ") for line in CONTRADICTED.strip().split("\n")) for x in xs.split(", ")]
+
+
+def closed_classes() -> list[tuple[str, str, str, bool]]:
+    """(tag, cat, analysis, kept)."""
+    out = []
+    for line in CLOSED.strip().split("\n"):
+        kept = ": " in line
+        head, xs = line.split(": " if kept else " - ")
+        out += [(*head.split(" "), x, kept) for x in xs.split(", ")]
+    return out
+
+
+def annotate(tokens: DataFrame, analyses: DataFrame, needs: DataFrame) -> DataFrame:
+    """(sent, pos, fun, cat, analysis, ambiguous): what the tokens of a tagged corpus stand for.
+
+    tokens(sent, pos, form, tag, funs), funs the functions of the token's sense, null without one; analyses(sent, pos, fun,
+    cat, analysis, rank); needs(fun, words, s1, s2): the particles and prepositions that a function asks for, and both
+    parts of a conjunction. A token with a sense takes its functions' analyses that agree with the tag, or else all of them, and
+    of these the ones whose words all stand in the sentence. A token without one takes closed-class words by its
+    tag; a conjunction of two parts whose other part is there too wins alone, the first by rank. Equal rows come once."""
+    spark = tokens.sparkSession
+    words = tokens.groupBy("sent").agg(F.collect_set("form").alias("said"))
+    token = F.struct("sent", "pos").alias("token_")
+    a = analyses.join(tokens.select("sent", "pos", "tag", "funs"), ["sent", "pos"]).join(words, "sent").join(needs, "fun", "left").select("*", token)
+    of = ["sent", "pos", "fun", "cat", "analysis"]
+
+    against = spark.createDataFrame(contradictions(), "tag string, analysis string").withColumn("against", F.lit(True))
+    known = a.filter(F.array_contains("funs", F.col("fun"))).join(F.broadcast(against), ["tag", "analysis"], "left")
+    known = restrict(known, "token_", F.col("against").isNull())
+    there = lambda w: (w == "") | F.array_contains("said", w)
+    known = known.filter(F.coalesce(F.forall("words", there), F.lit(True))).select(*of)
+
+    plain = a.filter("funs is null")
+    rules = spark.createDataFrame(closed_classes(), "tag string, cat string, analysis string, kept boolean")
+    closed = plain.join(F.broadcast(rules), ["tag", "cat", "analysis"]).withColumn("analysis", F.when(F.col("kept"), F.col("analysis")).otherwise("_")).select(*of)
+    article = tokens.filter("funs is null and tag = 'at' and lower(form) in ('a', 'an')").select("sent", "pos", F.lit("IndefArt").alias("fun"), F.lit("Quant").alias("cat"), F.lit("_").alias("analysis"))
+
+    two = plain.filter("cat = 'Conj'")
+    other = F.when(F.col("tag").isin("abx", "cc") & (F.col("analysis") == "s1"), F.col("s2")).when((F.col("tag") == "cc") & (F.col("analysis") == "s2"), F.col("s1"))
+    whole = two.withColumn("other", other).filter((F.col("other") != "") & F.array_contains("said", F.col("other")))
+    whole = whole.groupBy("sent", "pos").agg(F.min_by(F.struct("fun", "cat", "analysis"), F.struct("rank", "fun", "analysis")).alias("x")).select("sent", "pos", "x.*")
+    alone = two.filter("tag = 'cc' and analysis = 's2' and coalesce(s1, '') = ''").select(*of)
+
+    rest = closed.unionByName(alone).unionByName(article).join(whole.select("sent", "pos"), ["sent", "pos"], "left_anti")
+    out = known.unionByName(rest).unionByName(whole).distinct()
+    return out.withColumn("ambiguous", F.count("*").over(Window.partitionBy("sent", "pos")) > 1)
+
+
 def gold_keys(tokens: DataFrame, sense_index: DataFrame, lexemes: DataFrame) -> DataFrame:
     """(token, funs): sense key to synset offset and tag to lexemes; tokens(token, sense_key),
     sense_index(sense_key, offset), lexemes(fun, offset)."""

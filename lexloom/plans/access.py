@@ -394,6 +394,42 @@ def service_lexical_ids(spark, d):
     return service.answer(m, {"lexical_ids": [ids]}).select("synset_id", F.size("members").cast("long").alias("members"))
 
 
+@query("SELECT l.fun, s.gloss FROM lex l JOIN syn s ON s.id = l.synset_id WHERE l.fun IN (SELECT fun FROM lex ORDER BY fun LIMIT 5)")
+def service_gloss(spark, d):
+    m = model(spark, d)
+    return service.answer(m, {"gloss_id": [" ".join(r[0] for r in m.lexemes.orderBy("fun").select("fun").limit(5).collect())]})
+
+
+@query("""
+SELECT n.r_name AS name, '[' || string_agg('{"name":["' || n_name || '"],"children":[]}', ',' ORDER BY n_name) || ']' AS children
+FROM region n JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
+def service_list_domains(spark, d):
+    return service.answer(model(spark, d), {"list_domains": [""]}).select("name", "children")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT fun FROM lex JOIN supplier ON s_suppkey = supp WHERE s_nationkey = (SELECT min(s_nationkey) FROM supplier))
+SELECT fun, (SELECT count(*) FROM l) AS total FROM l ORDER BY fun LIMIT 500""")
+def service_domain(spark, d):
+    """The lexemes of a domain, the first of them in order, and how many there are."""
+    first = table(spark, d, "supplier").agg(F.min("s_nationkey").alias("n_nationkey"))
+    name = table(spark, d, "nation").join(first, "n_nationkey").first().n_name
+    return service.answer(model(spark, d), {"domain": [name]})
+
+
+@query("""
+WITH RECURSIVE up(src, anc) AS (SELECT child, parent FROM hyper UNION SELECT u.src, h.parent FROM up u JOIN hyper h ON h.child = u.anc),
+g AS (SELECT DISTINCT synset_id AS id FROM lex WHERE fun IN (SELECT fun FROM lex ORDER BY fun DESC LIMIT 2)),
+h AS (SELECT anc FROM up JOIN g ON src = id GROUP BY anc HAVING count(DISTINCT id) = (SELECT count(*) FROM g)),
+top AS (SELECT anc FROM h WHERE anc NOT IN (SELECT parent FROM hyper JOIN h ON child = h.anc)),
+inside AS (SELECT id FROM (SELECT src AS id, anc FROM up UNION SELECT anc, anc FROM top) u JOIN top USING (anc) GROUP BY id HAVING count(*) = (SELECT count(*) FROM top))
+SELECT i.id, s.gloss, (SELECT count(*) FROM lex WHERE synset_id = i.id) AS funs FROM inside i JOIN syn s ON s.id = i.id WHERE (SELECT count(*) FROM inside) < 2000""")
+def service_generalize(spark, d):
+    m = model(spark, d)
+    ids = " ".join(r[0] for r in m.lexemes.orderBy(F.desc("fun")).select("fun").limit(2).collect())
+    return service.answer(m, {"generalize_ids": [ids]}).select("id", "gloss", F.size("funs").cast("long").alias("funs"))
+
+
 @query("""
 SELECT a.id, concat('class-', a.id) AS name, concat('NP V ', a.id) AS pattern FROM (VALUES (1), (3), (5)) a(id)""")
 def service_class(spark, d):

@@ -324,6 +324,47 @@ def annotated_tokens(spark, d):
     return ranking.annotated(a, "token_word").select("token", "k").distinct()
 
 
+# the tags and analyses that a line's keys pick from; every token has three analyses
+TAGS = ("rb", "vbd", "vbn", "vb", "nn", "nns", "pp$", "ppo", "in", "abx", "cc", "dt", "dti", "at")
+READ = (
+    ("s (AAdj Posit Nom)", "A"), ("s VPPart", "V"), ("s VInf", "V"), ("s VPast", "V"), ("s Pl Nom", "N"), ("s Sg Nom", "N"), ("s (NCase Gen)", "Pron"), ("s NPAcc", "Pron"),
+    ("s", "Prep"), ("s1", "Conj"), ("s2", "Conj"), ("s False Sg", "Quant"), ("s True Pl", "Quant"), ("s", "Det"),
+)
+_one = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_rows = lambda rows: ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey AS sent, l_linenumber AS pos, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2),
+t AS (SELECT sent, pos, k, CASE WHEN k % 5 = 0 THEN 'an' ELSE 'w' || k % 7 END AS form, {_one(TAGS)}[(k + pos) % 14 + 1] AS tag, CASE WHEN k % 3 = 0 THEN ['f' || k % 6, 'f' || (k + 1) % 6] END AS funs FROM l),
+y AS (SELECT t.*, i AS rank, 'f' || (k + i) % 6 AS fun, {_one(x for x, _ in READ)}[(k + i * pos) % 14 + 1] AS analysis, {_one(x for _, x in READ)}[(k + i * pos) % 14 + 1] AS cat FROM t, range(3) r(i)),
+n(fun, need, s1, s2) AS (VALUES ('f0', '', '', ''), ('f1', 'w1', '', 'w2'), ('f2', 'w2', 'w3', ''), ('f3', '', 'w1', 'w4'), ('f4', 'w4', '', 'w0')),
+a AS (SELECT y.*, coalesce(need, '') AS need, coalesce(s1, '') AS s1, coalesce(s2, '') AS s2, coalesce(EXISTS (SELECT 1 FROM t o WHERE o.sent = y.sent AND o.form = need), false) AS has_need,
+  EXISTS (SELECT 1 FROM t o WHERE o.sent = y.sent AND o.form = s1) AS has1, EXISTS (SELECT 1 FROM t o WHERE o.sent = y.sent AND o.form = s2) AS has2 FROM y LEFT JOIN n USING (fun)),
+c(tag, analysis) AS (VALUES {_rows(ranking.contradictions())}), r(tag, cat, analysis, kept) AS (VALUES {_rows(ranking.closed_classes())}),
+known AS (SELECT * FROM (SELECT a.*, c.tag IS NULL AS fits FROM a LEFT JOIN c USING (tag, analysis) WHERE funs IS NOT NULL AND list_contains(funs, fun)) QUALIFY fits OR NOT bool_or(fits) OVER (PARTITION BY sent, pos)),
+whole AS (SELECT * FROM a WHERE funs IS NULL AND cat = 'Conj' AND (tag IN ('abx', 'cc') AND analysis = 's1' AND s2 <> '' AND has2 OR tag = 'cc' AND analysis = 's2' AND s1 <> '' AND has1)
+  QUALIFY row_number() OVER (PARTITION BY sent, pos ORDER BY rank, fun, analysis) = 1),
+rest AS (SELECT sent, pos, fun, cat, CASE WHEN kept THEN analysis ELSE '_' END AS analysis FROM a JOIN r USING (tag, cat, analysis) WHERE funs IS NULL
+  UNION ALL SELECT sent, pos, fun, cat, analysis FROM a WHERE funs IS NULL AND cat = 'Conj' AND tag = 'cc' AND analysis = 's2' AND s1 = ''
+  UNION ALL SELECT sent, pos, 'IndefArt', 'Quant', '_' FROM t WHERE funs IS NULL AND tag = 'at' AND form = 'an'),
+o AS (SELECT sent, pos, fun, cat, analysis FROM known WHERE need = '' OR has_need UNION SELECT sent, pos, fun, cat, analysis FROM whole UNION SELECT * FROM rest ANTI JOIN whole USING (sent, pos))
+SELECT *, count(*) OVER (PARTITION BY sent, pos) > 1 AS ambiguous FROM o""")
+def token_annotation(spark, d):
+    """Tokens of a tagged corpus with their senses' analyses, or closed-class words by their tags, by all rules."""
+    k, pos = F.col("k"), F.col("pos")
+    pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (c % len(xs) + 1).cast("int"))
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sent"), F.col("l_linenumber").alias("pos")).agg(F.min("l_partkey").alias("k"))  # noqa: E741
+    form = F.when(k % 5 == 0, "an").otherwise(F.concat(F.lit("w"), k % 7))
+    funs = F.when(k % 3 == 0, F.array(F.concat(F.lit("f"), k % 6), F.concat(F.lit("f"), (k + 1) % 6)))
+    tokens = l.select("sent", "pos", form.alias("form"), pick(TAGS, k + pos).alias("tag"), funs.alias("funs"))
+    r = F.col("rank")
+    each = l.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("rank"))
+    analyses = each.select("sent", "pos", "rank", F.concat(F.lit("f"), (k + r) % 6).alias("fun"), pick([x for x, _ in READ], k + r * pos).alias("analysis"), pick([x for _, x in READ], k + r * pos).alias("cat"))
+    needs = [("f0", [""], "", ""), ("f1", ["w1"], "", "w2"), ("f2", ["w2"], "w3", ""), ("f3", ["", ""], "w1", "w4"), ("f4", ["w4"], "", "w0")]
+    return ranking.annotate(tokens, analyses, spark.createDataFrame(needs, "fun string, words array<string>, s1 string, s2 string"))
+
+
 @query("""
 SELECT l.fun, CASE WHEN l.fun = f THEN 'checked' ELSE CASE WHEN cnt > 1 THEN 'checked' ELSE 'guessed' END END AS status, CASE WHEN l.fun = f THEN 'checked' END AS swe, (SELECT count(*) FROM edits) + 1 AS edits
 FROM lex l, (SELECT min(fun) AS f FROM lex) m""")
