@@ -25,6 +25,32 @@ def test_generalize_keeps_middle_sized_groups(spark):
     assert max(got.values()) >= 20 and few == {g: n for g, n in got.items() if n < 20}
 
 
+def test_modules_hold_no_functions_of_spark():
+    """A function that a module holds takes a handle of the JVM once it has run, and then nothing that names the
+    module can travel to the workers: which queries fail would hang on their order."""
+    import importlib
+    import pkgutil
+
+    import lexloom
+    from pyspark import cloudpickle
+    from pyspark.sql import Column
+
+    for m in pkgutil.walk_packages(lexloom.__path__, "lexloom."):
+        if not m.name.startswith("lexloom.llm"):
+            module = importlib.import_module(m.name)
+            held = [k for k, v in vars(module).items() if hasattr(v, "evalType") or isinstance(v, Column)]
+            assert not held, (m.name, held)
+            if ".functions" in m.name or ".operators" in m.name or ".streaming" in m.name:
+                cloudpickle.dumps(module)
+
+
+def test_order_of_queries(spark):
+    """Queries with functions on the workers, forwards and backwards in one session."""
+    names = [n for n in QUERIES if n.startswith(("numeral", "constructor", "conjunct", "program", "collab_re"))]
+    for n in [*names, *reversed(names)]:
+        QUERIES[n](spark, SF).limit(1).collect()
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
