@@ -11,7 +11,8 @@ from lexloom.functions import kb, text
 from lexloom.operators import ranking
 from lexloom.plans.views import view, with_views
 from lexloom.session import shared_dir, table
-from lexloom.sources import resources
+from lexloom.sources import resources, treebanks
+from lexloom.streaming import tail
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -304,6 +305,33 @@ def merge_translations(spark, d):
     return ranking.merge_translations(have, new).select("fun", "lin", "o", "s", "w", "l")
 
 
+TOKENS = "SELECT l_orderkey::VARCHAR AS misc, l_linenumber::VARCHAR AS id, p_name AS form, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name) + 1)::INT AS pos FROM lineitem JOIN part ON p_partkey = l_partkey"
+
+
+def _treebank(spark, d) -> str:
+    """A folder of treebank files with one sentence an order."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    line = F.concat_ws("\t", F.col("l_linenumber").cast("string"), "p_name", *(F.lit("_") for _ in range(7)), F.col("l_orderkey").cast("string"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"])
+    path = place(spark)
+    li.groupBy("l_orderkey").agg(F.concat(F.lit("# order\n1-2\tskipped\n"), F.array_join(in_order, "\n")).alias("value")).select("value").write.text(path, lineSep="\n\n")
+    treebanks.register(spark)
+    return path
+
+
+@query(TOKENS)
+def treebank_source(spark, d):
+    """Files of sentences read by the data source, in ranges that cut sentences."""
+    return spark.read.format("treebank").option("path", _treebank(spark, d)).option("split", 1 << 20).load().select("misc", "id", "form", "pos")
+
+
+@query(TOKENS)
+def treebank_stream(spark, d):
+    """The same files as a stream."""
+    stream = spark.readStream.format("treebank").option("path", _treebank(spark, d)).option("split", 1 << 20).load()
+    return tail.drained(stream, "append").select("misc", "id", "form", "pos")
+
+
 @query("SELECT n_nationkey AS id, n_name || ' <&> \"x\"' AS name FROM nation")
 def workbook_report(spark, d):
     """A spreadsheet written and its cells read again."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import constructors, dependencies, kb, numerals, text, trees
 from lexloom.operators import edits, graph, intervals, lookup, matching, patterns, ranking, stats, store
-from lexloom.sources import resources, versions
+from lexloom.sources import resources, treebanks, versions
 from lexloom.streaming import collab
 
 
@@ -596,3 +596,94 @@ def test_versions_are_whole(spark, tmp_path):
     assert [(x.file, x.line_no, x.text) for x in got] == [(f"f{k}", i, f"l{n}") for k in range(3) for i, n in enumerate((n for n in range(1, 2001) if n % 3 == k), 1)]
     second = versions.commit_files(lines.filter("line_no <= 5"), root)
     assert versions.current(spark, root) == second != first and versions.read_files(spark, root).count() == 5
+
+
+def _sentence(r, i):
+    words = [f"{k}\tw{r.choice(['a', 'é', '本' * 30])}{i}\tl\tN\t_\t_\t0\troot\t_\t{i}" for k in range(1, r.randint(1, 6) + 1)]
+    return [f"# sent {i}", "1-2\tskipped", *words]
+
+
+def _tokens_of(text):
+    """(first byte, pos, id, misc) of a whole file, by reading it in one go."""
+    out, at, start, pos = [], 0, 0, 0
+    for line in text.split("\n"):
+        if not line.strip():
+            pos = 0
+        else:
+            start = start if pos else at
+            f = line.rstrip("\r").split("\t")
+            if len(f) == 10:
+                out.append((start, pos, f[0], f[9]))
+            pos += 1
+        at += len(line.encode()) + 1
+    return out
+
+
+def test_treebank_ranges(tmp_path):
+    """Every way to cut a file gives its sentences once: several blank lines, none at the end, one long sentence."""
+    r = random.Random(5)
+    texts = ["", "\n\n\n", "1\tonly a part", "\n".join(_sentence(r, 0)), "\n\n" + "\n".join(_sentence(r, 1)) + "\r\n\r\n" + "\n".join(_sentence(r, 2)) + "\n"]
+    texts.append("".join("\n".join(_sentence(r, i)) + "\n" * r.choice([2, 2, 3, 4]) for i in range(12)))
+    for n, t in enumerate(texts):
+        file = tmp_path / f"t{n}"
+        file.write_bytes(t.encode())
+        for split in [*range(1, 40), 101, 1000, 10**6] if len(t) < 10**4 else [7]:
+            got = [(x["sent"], x["pos"], x["id"], x["misc"]) for p in treebanks._ranges(str(file), split) for b in treebanks.tokens(p) for x in b.to_pylist()]
+            assert got == _tokens_of(t), (n, split)
+
+
+def test_treebank_compressed(tmp_path):
+    """Streams of one block with padding between them, and where the tool is there, one stream of many blocks."""
+    import lzma
+    import shutil
+    import subprocess
+
+    r = random.Random(6)
+    text = "".join("\n".join(_sentence(r, i)) + "\n\n" for i in range(300))
+    raw, cuts = text.encode(), [0, 10, 11, 5000, 5000, 20_000]
+    parts = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+    (tmp_path / "many.xz").write_bytes(b"".join(lzma.compress(p, check=c) + b"\0" * pad for p, c, pad in zip(parts, (4, 1, 0, 4, 4, 10), (0, 4, 8, 0, 0, 4), strict=True)))
+    files = ["many.xz"]
+    if shutil.which("xz"):
+        (tmp_path / "plain").write_bytes(raw)
+        packed = subprocess.run(["xz", "-T2", "--block-size=4096", "-c", str(tmp_path / "plain")], capture_output=True, check=True).stdout
+        (tmp_path / "blocks.xz").write_bytes(packed)
+        files.append("blocks.xz")
+        assert len(list(treebanks._ranges(str(tmp_path / "blocks.xz"), 4096))) == -(-len(raw) // 4096)
+    for name in files:
+        for split in (1, 6000, 10**6):
+            cut = list(treebanks._ranges(str(tmp_path / name), split))
+            got = [(x["sent"], x["pos"], x["id"], x["misc"]) for p in cut for b in treebanks.tokens(p) for x in b.to_pylist()]
+            assert got == _tokens_of(text), (name, split)
+    (tmp_path / "half.xz").write_bytes((tmp_path / "many.xz").read_bytes()[:-6])
+    with pytest.raises(ValueError, match="xz"):
+        list(treebanks._ranges(str(tmp_path / "half.xz"), 1))
+
+
+def test_treebank_stream_takes_files_once(spark, tmp_path):
+    """Files that come late, with an older date and a smaller name, over a restart."""
+    import os
+
+    treebanks.register(spark)
+    folder, r = tmp_path / "in", random.Random(7)
+    folder.mkdir()
+
+    def add(name, i):
+        (tmp_path / "new").write_text("\n".join(_sentence(r, i)) + "\n")
+        os.utime(tmp_path / "new", (10**9 - i, 10**9 - i))
+        (tmp_path / "new").rename(folder / name)
+
+    def run():
+        s = spark.readStream.format("treebank").option("path", f"file:{folder}").load()
+        s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+        return Counter(x.misc for x in spark.read.parquet(str(tmp_path / "out")).select("misc", "sent", "file").distinct().collect())
+
+    add("m", 1)
+    add("_hidden", 2)
+    assert run() == {"1": 1}
+    add("a", 3)
+    (folder / "m").unlink()
+    assert run() == {"1": 1, "3": 1}
+    assert run() == {"1": 1, "3": 1}
+    with pytest.raises(Exception, match="NotFound|not exist|no such|absent|gone"):
+        spark.read.format("treebank").option("path", str(tmp_path / "gone")).load().count()
