@@ -69,30 +69,40 @@ def cosine(bags: DataFrame, others: DataFrame) -> DataFrame:
     return dot.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("la") * F.col("lb"))).alias("cosine"))
 
 
-SLACK = 1e-9
+SLACK, HEADS = 1e-6, 16
 
 
 def bag_prefixes(bags: DataFrame, threshold: float) -> DataFrame:
-    """(a, word, w, rest): the rarest words of each bag (a, word, n), with their share w of its length, down to where
-    the words behind weigh less than the threshold: rest is the length of what is left. The rarest word that two
-    bags share stands in both prefixes, or their cosine lies below the threshold."""
-    known = bags.groupBy("word").agg(F.count("*").alias("df"))
-    whole = bags.groupBy("a").agg(F.sum(F.col("n") * F.col("n")).alias("square"))
+    """(a, word, w, rest, tail, h0, ...): the rarest words of each bag (a, word, n), with their share w of its length,
+    down to where the words behind weigh less than the threshold; rest is the length of all words behind this one,
+    tail that of those which are none of the ``HEADS`` most frequent, and h0, ... the shares of these. The rarest
+    word that two bags share stands in both prefixes, or their cosine lies below the threshold."""
+    bags = bags.select("a", "word", "n")
+    known = settled(bags.groupBy("word").agg(F.count("*").alias("df")))
+    most = [r.word for r in known.orderBy(F.desc("df"), F.desc("word")).limit(HEADS).collect()]  # last in the order
+    share = [F.coalesce(F.max(F.when(F.col("word") == m, F.col("n"))), F.lit(0)).alias(f"h{i}") for i, m in enumerate(most)]
+    whole = bags.groupBy("a").agg(F.sum(F.col("n") * F.col("n")).alias("square"), *share)
+    heads = [(F.col(f"h{i}") / F.sqrt("square")).alias(f"h{i}") for i in range(len(most))]
     rare = Window.partitionBy("a").orderBy("df", "word")
     w = bags.join(known, "word").join(whole, "a").withColumn("part", F.col("n") * F.col("n") / F.col("square"))
     before = F.coalesce(F.sum("part").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     w = w.withColumn("before", before).filter(1 - F.col("before") >= threshold * threshold - SLACK)
-    rest = F.sqrt(F.greatest(1 - F.max(F.col("before") + F.col("part")).over(Window.partitionBy("a")), F.lit(0.0)))
-    return w.select("a", "word", (F.col("n") / F.sqrt("square")).alias("w"), rest.alias("rest"))
+    length = lambda square: F.sqrt(F.greatest(square, F.lit(0.0)))
+    behind, common = 1 - F.col("before") - F.col("part"), sum((F.col(f"h{i}") * F.col(f"h{i}") for i in range(len(most))), F.lit(0)) / F.col("square")
+    tail = F.when(F.col("word").isin(most), length(behind)).otherwise(length(behind - common))
+    return w.select("a", "word", (F.col("n") / F.sqrt("square")).alias("w"), length(behind).alias("rest"), tail.alias("tail"), *heads)
 
 
 def bag_candidates(bags: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs, a before b, that share a word of both prefixes and may still reach the threshold: what
-    they share there and what is left of both bounds their cosine."""
+    """(a, b): pairs, a before b, that may reach the threshold. At the rarest word that they share, their cosine is
+    at most what this word gives and the product of the lengths behind it; where it is none of the most frequent
+    words, also what it gives, what these give and the product of the lengths of the others."""
     p = settled(bag_prefixes(bags, threshold))
-    q = p.select(F.col("a").alias("b"), "word", F.col("w").alias("v"), F.col("rest").alias("left"))
-    met = p.join(q, "word").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("shared"), F.max("rest").alias("rest"), F.max("left").alias("left"))
-    return met.filter(F.col("shared") + F.col("rest") + F.col("left") >= threshold - SLACK).select("a", "b")
+    heads = [c for c in p.columns if c[0] == "h"]
+    q = p.select(F.col("a").alias("b"), "word", F.col("w").alias("v"), F.col("rest").alias("left"), F.col("tail").alias("end"), *(F.col(c).alias(f"g{c}") for c in heads))
+    here, least = F.col("w") * F.col("v"), threshold - SLACK
+    near = here + F.col("tail") * F.col("end") + sum((F.col(c) * F.col(f"g{c}") for c in heads), F.lit(0.0))
+    return p.join(q, "word").filter((F.col("a") < F.col("b")) & (here + F.col("rest") * F.col("left") >= least) & (near >= least)).select("a", "b").distinct()
 
 
 def similar_bags(bags: DataFrame, threshold: float) -> DataFrame:
