@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.store import numbered_rows
+from lexloom.session import settled
 
 
 def lexeme(lexemes: DataFrame, fun: str) -> DataFrame:
@@ -65,6 +66,13 @@ def synset_members(synsets: DataFrame, lexemes: DataFrame, lexicon: DataFrame |
     return synsets.join(m, "id").groupBy("id").agg(F.array_sort(F.collect_set("fun")).alias("funs"))
 
 
+def synset_examples(synsets: DataFrame, lexemes: DataFrame, examples: DataFrame) -> DataFrame:
+    """(id, fun, example) of synsets (id): the examples (id, funs) that name a lexeme of the synset, once for each
+    such lexeme; a synset without any gives no row."""
+    named = examples.select(F.col("id").alias("example"), F.explode(F.array_distinct("funs")).alias("fun"))
+    return synsets.select("id").join(lexemes.select("fun", F.col("synset_id").alias("id")).distinct(), "id").join(named, "fun").select("id", "fun", "example")
+
+
 def pointed(edges: DataFrame, nodes: DataFrame, sym: str, subtype: str | None = None) -> DataFrame:
     """(src, and the columns of the target): typed navigation on synsets or lexemes."""
     e = edges.filter(F.col("sym") == sym)
@@ -277,6 +285,25 @@ def class_objects(ids: DataFrame, classes: DataFrame, frames: DataFrame, lexemes
     return under.join(classes.select("id", "name", "super_id"), "id").join(f, "id", "left").select("root", "id", "name", "super_id", "frames")
 
 
+def class_trees(flat: DataFrame, reach: DataFrame) -> DataFrame:
+    """(root, tree): the rows of ``class_objects`` as one JSON object a root, classes with their subclasses inside
+    in the order of ids, put together from the deepest level up. reach has the distance over super_id, and is
+    that of a forest; a tree is one row."""
+    depth = reach.select(F.col("anc").alias("root"), F.col("src").alias("id"), "dist")
+    rows = settled(flat.join(depth, ["root", "id"], "left").withColumn("dist", F.coalesce("dist", F.lit(0))))
+    frames = F.coalesce("frames", F.array().cast(rows.schema["frames"].dataType)).alias("frames")
+    rows = rows.select("root", "id", "super_id", "dist", F.to_json(F.struct("id", "name", frames)).alias("own"))
+    deepest = rows.agg(F.max("dist")).first()[0]
+    inside = rows.select("root", "id", F.lit("").alias("inside")).limit(0)
+    for d in range(deepest or 0, -1, -1):
+        here = rows.filter(F.col("dist") == d).join(inside, ["root", "id"], "left")
+        tree = F.concat(F.expr("left(own, length(own) - 1)"), F.lit(',"subclasses":['), F.coalesce("inside", F.lit("")), F.lit("]}"))
+        here = settled(here.select("root", "id", "super_id", tree.alias("tree")))
+        each = F.sort_array(F.collect_list(F.struct("id", "tree")))
+        inside = here.groupBy("root", F.col("super_id").alias("id")).agg(F.array_join(F.transform(each, lambda x: x["tree"]), ",").alias("inside"))
+    return here.select("root", "tree")
+
+
 def typed_expressions(wanted: DataFrame, found: DataFrame, cats: DataFrame) -> DataFrame:
     """(qid, lang, cat, exprs): of the expressions found (qid, lang, expr), those of the asked category
     (wanted has qid, lang, cat), several being alternatives; cats(expr, cat). Without one, an empty list."""

@@ -181,6 +181,15 @@ def synset_members_and_forms(spark, d):
     return forms.join(lookup.synset_members(syn, lex), "id").select("id", F.array_join("forms", ",").alias("forms"), F.array_join("funs", ",").alias("funs"))
 
 
+@query("""
+SELECT DISTINCT l.synset_id AS id, fun, l_orderkey AS example FROM lineitem JOIN lex l ON l.fun = concat('p', l_partkey, '_', l_suppkey, '_N') WHERE l.synset_id IN (SELECT id FROM syn)""")
+def synset_examples(spark, d):
+    """Orders as examples that name the lexemes of their lines."""
+    name = F.concat(F.lit("p"), "l_partkey", F.lit("_"), "l_suppkey", F.lit("_N"))
+    examples = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(name).alias("funs"))
+    return lookup.synset_examples(view(spark, d, "syn"), lexemes(spark, d), examples)
+
+
 KINDS = ("Member", "Substance", "Part")
 
 
@@ -289,6 +298,25 @@ def class_objects(spark, d):
     return out.select("root", "id", "name", f["pattern"].alias("pattern"), F.when(F.size(f["funs"]) > 0, F.size(f["funs"]).cast("long")).alias("lexemes"), F.get(f["funs"], 0).alias("first"))
 
 
+@query("""
+WITH f AS (SELECT s_nationkey AS k, string_agg('"' || s_name || '"', ',' ORDER BY s_name) AS funs FROM (SELECT DISTINCT s_nationkey, s_name FROM supplier) GROUP BY 1),
+m AS (SELECT c_nationkey AS k, string_agg('{"id":"n' || c_nationkey || c_mktsegment || '","name":"' || c_mktsegment || '","frames":[],"subclasses":[]}', ',' ORDER BY c_mktsegment) AS subs FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) GROUP BY 1),
+n AS (SELECT n_regionkey AS r, string_agg('{"id":"n' || n_nationkey || '","name":"' || n_name || '","frames":[{"frame_id":' || n_nationkey || ',"pattern":"NP V ' || n_name || '","semantics":"s"' || coalesce(',"funs":[' || funs || ']', '') || '}],"subclasses":[' || coalesce(subs, '') || ']}',
+  ',' ORDER BY 'n' || n_nationkey) AS subs FROM nation LEFT JOIN f ON f.k = n_nationkey LEFT JOIN m ON m.k = n_nationkey GROUP BY 1)
+SELECT 'r' || r_regionkey AS root, '{"id":"r' || r_regionkey || '","name":"' || r_name || '","frames":[],"subclasses":[' || coalesce(subs, '') || ']}' AS tree FROM region LEFT JOIN n ON n.r = r_regionkey""")
+def class_trees(spark, d):
+    """Regions, nations and the market segments in them as classes inside one another; nations have a frame."""
+    n = table(spark, d, "nation")
+    at = F.concat(F.lit("n"), "n_nationkey")
+    regions = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("super_id"))
+    segments = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey", "c_mktsegment").alias("id"), F.col("c_mktsegment").alias("name"), F.concat(F.lit("n"), "c_nationkey").alias("super_id")).distinct()
+    classes = regions.unionByName(n.select(at.alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("super_id"))).unionByName(segments)
+    frames = n.select(F.col("n_nationkey").alias("id"), at.alias("class_id"), F.concat(F.lit("NP V "), "n_name").alias("pattern"), F.lit("s").alias("semantics"))
+    names = table(spark, d, "supplier").select(F.col("s_name").alias("fun"), F.array("s_nationkey").alias("frame_ids"))
+    reach = graph.closure(classes.filter("super_id is not null").select(F.col("id").alias("child"), F.col("super_id").alias("parent")))
+    return lookup.class_trees(lookup.class_objects(regions.select("id"), classes, frames, names, reach), reach)
+
+
 @query("""
 WITH c AS (SELECT n_name AS expr, CASE n_nationkey % 3 WHEN 0 THEN 'NP' WHEN 1 THEN 'CN' ELSE 'A' END AS cat, n_regionkey AS r FROM nation)
 SELECT concat('Q', r_regionkey) AS qid, cat, coalesce((SELECT string_agg(expr, '|' ORDER BY expr) FROM c WHERE r = r_regionkey AND c.cat = k.cat), '') AS exprs

@@ -687,3 +687,21 @@ def test_treebank_stream_takes_files_once(spark, tmp_path):
     assert run() == {"1": 1, "3": 1}
     with pytest.raises(Exception, match="NotFound|not exist|no such|absent|gone"):
         spark.read.format("treebank").option("path", str(tmp_path / "gone")).load().count()
+
+
+def test_class_trees_of_uneven_depth(spark):
+    """A class alone, one in a tree three deep, and no class at all; each asked class is the root of its own tree."""
+    classes = spark.createDataFrame([(1, 'a "b"', None), (2, "c", 1), (3, "d", 2), (4, "e", 1), (9, "z", None)], "id long, name string, super_id long")
+    frames = spark.createDataFrame([(7, 3, "NP V", "s")], "id long, class_id long, pattern string, semantics string")
+    lexemes = spark.createDataFrame([("f", [7])], "fun string, frame_ids array<long>")
+    reach = graph.closure(classes.filter("super_id is not null").select(F.col("id").alias("child"), F.col("super_id").alias("parent")))
+
+    def trees_of(*ids):
+        asked = spark.createDataFrame([(i,) for i in ids], "id long")
+        return {r.root: json.loads(r.tree) for r in lookup.class_trees(lookup.class_objects(asked, classes, frames, lexemes, reach), reach).collect()}
+
+    leaf = {"id": 3, "name": "d", "frames": [{"frame_id": 7, "pattern": "NP V", "semantics": "s", "funs": ["f"]}], "subclasses": []}
+    mid = {"id": 2, "name": "c", "frames": [], "subclasses": [leaf]}
+    top = {"id": 1, "name": 'a "b"', "frames": [], "subclasses": [mid, {"id": 4, "name": "e", "frames": [], "subclasses": []}]}
+    assert trees_of(1, 2, 9) == {1: top, 2: mid, 9: {"id": 9, "name": "z", "frames": [], "subclasses": []}}
+    assert trees_of() == {} and trees_of(77) == {}
