@@ -176,6 +176,7 @@ def repeated_tail(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     some = docs.select("doc_id", "text", h.alias("h")).withColumn("ws", F.when(F.col("h") % 10 == 0, words))
     n, g = F.size("ws"), F.floor(F.col("h") / 10)
-    some = some.withColumn("a", (g % n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    # a text without words has no tail, and its length is no divisor
+    some = some.withColumn("a", (g % F.nullif(n, F.lit(0))).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
     tail = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("ws", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
     return some.select("doc_id", F.when(n > 0, F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))

@@ -249,3 +249,12 @@ def test_periodic_query_on_texts_with_repeated_tails(spark):
 def test_repeated_tails_of_odd_rows(spark, odd):
     got = periods.periodic_runs(periods.repeated_tail(odd)).collect()
     assert Counter(g.doc_id for g in got) == Counter(r.doc_id for r in odd.collect())
+
+
+@pytest.mark.parametrize("text", ["", " \n\t ", None])
+def test_repeated_tails_of_texts_without_words(spark, text):
+    """An id whose tail would be repeated, over a text that has no words."""
+    picked = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = spark.createDataFrame([(i, text) for i in picked], "doc_id long, text string")
+    got = periods.periodic_runs(periods.repeated_tail(rows)).collect()
+    assert sorted((g.doc_id, g.n_words, g.runs, g.collapsed) for g in got) == [(i, 0, [], "") for i in picked]
