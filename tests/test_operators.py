@@ -705,3 +705,13 @@ def test_class_trees_of_uneven_depth(spark):
     top = {"id": 1, "name": 'a "b"', "frames": [], "subclasses": [mid, {"id": 4, "name": "e", "frames": [], "subclasses": []}]}
     assert trees_of(1, 2, 9) == {1: top, 2: mid, 9: {"id": 9, "name": "z", "frames": [], "subclasses": []}}
     assert trees_of() == {} and trees_of(77) == {}
+
+
+def test_constructors_keep_a_bounded_number_of_calls():
+    """Arguments are rows' own, so what is remembered of them must not grow with the rows."""
+    from lexloom.functions import constructors
+
+    for i in range(3000):
+        constructors.construct("mkDigits", ("int", str(i)))
+        assert constructors.construct("mkCl", ("NP", f"s{i}_NP"), ("V", "sleep_V")) == f"PredVP s{i}_NP (UseV sleep_V)"
+    assert max(f.cache_info().currsize for f in (constructors.build, constructors._share)) <= constructors.KEPT
