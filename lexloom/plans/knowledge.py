@@ -13,7 +13,7 @@ from lexloom.functions.numerals import value as numeral_value
 from lexloom.operators import edits as ed
 from lexloom.operators import ranking, stats
 from lexloom.plans.views import view, with_views
-from lexloom.session import shared_dir, table
+from lexloom.session import in_file_order, shared_dir, table
 from lexloom.sources import resources, versions
 from lexloom.streaming import tail
 
@@ -349,8 +349,9 @@ def domain_indent_parse(spark, d):
 
 
 def _sentences(spark, d) -> DataFrame:
-    """Orders as sentences, each line hung on the line before; a part's choices are its brand and type."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").dropDuplicates(["l_orderkey", "l_linenumber"])
+    """Orders as sentences, each line hung on the line before; a part's choices are its brand and type. Of lines with
+    the same number the first that is stored counts, so that every run and every use has the same sentences."""
+    li = in_file_order(table(spark, d, "lineitem")).groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_partkey", "row_at").alias("l_partkey"))
     j = li.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return j.select(F.col("l_orderkey").alias("sent"), F.col("l_linenumber").alias("node"), (F.col("l_linenumber") - 1).alias("head"), F.explode(F.array("p_brand", "p_type")).alias("choice"))
 
