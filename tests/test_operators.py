@@ -715,3 +715,42 @@ def test_constructors_keep_a_bounded_number_of_calls():
         constructors.construct("mkDigits", ("int", str(i)))
         assert constructors.construct("mkCl", ("NP", f"s{i}_NP"), ("V", "sleep_V")) == f"PredVP s{i}_NP (UseV sleep_V)"
     assert max(f.cache_info().currsize for f in (constructors.build, constructors._share)) <= constructors.KEPT
+
+
+def test_first_stored_row_of_equals(spark, tmp_path):
+    """Lines with equal numbers in several files: the same one counts in every run, the first that is stored."""
+    from lexloom.plans.access import role_highlighting
+    from lexloom.plans.knowledge import em_initial_counts
+
+    for k in range(8):
+        rows = [(o, 10 + (7 * k + o) % 8, 100 + k, 1) for o in range(40)]
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    files = sorted(str(p) for p in (tmp_path / "lineitem.parquet").glob("*.parquet"))
+    first = {o: p for o, p, *_ in spark.read.parquet(files[0]).collect()}
+    spark.createDataFrame([(10 + i, f"b{i}", f"t{i}") for i in range(8)], "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {f"b{p - 10}": 0.0 for p in first.values()}
+    for p in first.values():
+        want[f"b{p - 10}"] += 0.5
+    for n in ("1", "5", "64"):
+        spark.conf.set("spark.sql.files.openCostInBytes", n)  # other tasks, other orders
+        got = {r.choice: r.n for r in em_initial_counts(spark, str(tmp_path)).collect()}
+        assert {k: v for k, v in got.items() if k[0] == "b"} == want
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    again = spark.createDataFrame([(o, 10, 100 + k, 1) for o in range(40) for k in range(8)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    again.repartition(5).write.parquet(f"{tmp_path}/b/lineitem.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/b/lineitem.parquet").select("l_orderkey", "l_suppkey", "_metadata.file_path", "_metadata.row_index").collect()
+    least = {o: min((r.file_path, r.row_index, r.l_suppkey) for r in stored if r.l_orderkey == o)[2] for o in range(40)}
+    got = role_highlighting(spark, f"{tmp_path}/b").filter("role = 'Theme'").collect()
+    assert {r.expr_id: r.role_fid for r in got} == least
+
+
+def test_classes_with_a_row_a_lexeme(spark):
+    from lexloom.operators import lookup
+
+    classes = spark.createDataFrame([(1, "a", None), (2, "b", 1)], "id long, name string, super_id long")
+    frames = spark.createDataFrame([(7, 2, "NP V", "s")], "id long, class_id long, pattern string, semantics string")
+    reach = spark.createDataFrame([(2, 1, 1)], "src long, anc long, dist long")
+    rows = lookup.class_frames(spark.createDataFrame([(1,)], "id long"), classes, frames, reach).collect()
+    assert sorted((r.root, r.id, r.frame_id or 0) for r in rows) == [(1, 1, 0), (1, 2, 7)]
+    lex = spark.createDataFrame([("x", [7, 7]), ("y", [7])], "fun string, frame_ids array<long>")
+    assert sorted(map(tuple, lookup.frame_lexemes(lex).collect())) == [(7, "x"), (7, "y")]
