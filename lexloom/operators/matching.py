@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.session import settled
@@ -104,56 +104,112 @@ def rule_rows(text: str = RULES_OF_CATEGORIES) -> list[Test]:
     return out
 
 
-FRAME = ["sent", "pos", "lemma", "cat", "place", "tok"]
+BITS = 62  # tests in one number
 
 
 def ranked_by_rules(candidates: DataFrame, tokens: DataFrame, tests: list[Test] | None = None) -> DataFrame:
     """Candidates (sent, pos, lemma, cat) with score and cnt, the number of tests that count.
-    tokens(sent, pos, head, label, upos, choices); tests as in ``rule_rows``, of any depth.
+    tokens(sent, pos, head, label, upos, choices), a row a token; tests as in ``rule_rows``, of any depth.
 
     A group scores its best alternative, of equals the later one; a test scores one if it holds, and an
     alternative that stands at a child scores what its groups do at the best child, the last of equals,
-    or nothing in one test where none scores. Categories without tests score 0 of 1.
-
-    The table of tests is joined with the tokens: going down, each candidate meets the children that a place
-    asks for, a join a level of the table; going up, the scores of a group are a grouped maximum."""
-    tests = rule_rows() if tests is None else tests
-    spark = candidates.sparkSession
-    path = lambda place: place.rsplit(">", 1) if ">" in place else ["", place]
-    of = lambda x: tuple(map(int, x.split(".")))
-    own = [(cat, path(p)[0], *of(path(p)[1]), field, list(values)) for cat, p, field, values in tests]
-    steps = {(cat, path(up)[0], *of(path(up)[1]), up) for cat, up, *_ in own if up}
-    while more := {(cat, path(up)[0], *of(path(up)[1]), up) for cat, up, *_ in steps if up} - steps:
-        steps |= more
-    depth = max((place.count(">") + 1 for *_, place in steps), default=0)
-    # rules are as many as a grammar has categories and tests; they are broadcast by their size alone
-    test = spark.createDataFrame(own, "cat string, place string, grp int, alt int, field string, allowed array<string>")
-    step = spark.createDataFrame(sorted(steps), "cat string, place string, grp int, alt int, below string")
-    node = tokens.select("sent", F.col("pos").alias("tok"), "head", "label", "upos", "choices")
-
-    frames = [candidates.select("sent", "pos", "lemma", "cat").distinct().select("*", F.lit("").alias("place"), F.col("pos").alias("tok"))]
-    for _ in range(depth):
-        asked = frames[-1].join(step, ["cat", "place"])
-        kids = node.select("sent", F.col("head").alias("tok"), F.col("tok").alias("kid"))
-        frames.append(asked.join(kids, ["sent", "tok"]).select("sent", "pos", "lemma", "cat", F.col("below").alias("place"), F.col("kid").alias("tok")).distinct())
-
-    below = None
-    for frame in reversed(frames):
-        value = F.when(F.col("field") == "upos", F.col("upos")).when(F.col("field") == "label", F.col("label"))
-        holds = F.when(F.col("field") == "lemma", F.array_contains("choices", F.col("lemma"))).otherwise(F.array_contains("allowed", value))
-        tried = frame.join(test, ["cat", "place"]).join(node, ["sent", "tok"]).select(*FRAME, "grp", "alt", F.coalesce(holds, F.lit(False)).cast("int").alias("res"), F.lit(1).alias("n"))
-        if below is not None:
-            asked = frame.join(step, ["cat", "place"])
-            kids = below.select("sent", "pos", "lemma", "cat", F.col("place").alias("below"), F.col("tok").alias("kid"), "res", "n")
-            kids = kids.join(node.select("sent", F.col("tok").alias("kid"), F.col("head").alias("tok")), ["sent", "kid"]).filter("res > 0")
-            best = kids.groupBy("sent", "pos", "lemma", "cat", "below", "tok").agg(F.max(F.struct("res", "kid", "n")).alias("x"))
-            found = asked.join(best, ["sent", "pos", "lemma", "cat", "below", "tok"], "left")
-            tried = tried.unionByName(found.select(*FRAME, "grp", "alt", F.coalesce("x.res", F.lit(0)).alias("res"), F.coalesce("x.n", F.lit(1)).alias("n")))
-        top = tried.groupBy(*FRAME, "grp").agg(F.max(F.struct("res", "alt", "n")).alias("x"))
-        sums = top.groupBy(*FRAME).agg(F.sum("x.res").alias("res"), F.sum("x.n").alias("n"))
-        below = frame.join(sums, FRAME, "left").select(*FRAME, F.coalesce("res", F.lit(0)).alias("res"), (F.coalesce("n", F.lit(0)) + 1).alias("n"))
-    scored_ = below.select("sent", "pos", "lemma", "cat", F.col("res").cast("int").alias("score"), F.col("n").cast("int").alias("cnt"))
-    return candidates.select("sent", "pos", "lemma", "cat").join(scored_, ["sent", "pos", "lemma", "cat"])
+    or nothing in one test where none scores. Categories without tests score 0 of 1."""
+    asked = candidates.groupBy("sent", "pos", "lemma").agg(F.collect_list("cat").alias("cats"))
+    return ranked_categories(asked, tokens, tests)
+
+
+def ranked_categories(asked: DataFrame, tokens: DataFrame, tests: list[Test] | None = None) -> DataFrame:
+    """``ranked_by_rules`` of candidates (sent, pos, lemma, cats), whose categories come as a list.
+
+    Categories share most of what they ask of a child, so each part of a rule is scored once a token and lemma,
+    not once a candidate: a token's tests are bits of a number, and what a child scores travels to its head as
+    one number a part, the best by its maximum. That is a grouping by sentence and token a level of the table; only the result has
+    a row a category. All groupings stand within a sentence, so tokens are dealt to the tasks once."""
+    tests = [(cat, place, field, tuple(values) if field != "lemma" else ()) for cat, place, field, values in (rule_rows() if tests is None else tests)]
+    kinds = {f: i for i, f in enumerate(dict.fromkeys(t[2:] for t in tests))}
+    parts: dict[tuple, int] = {}  # parts of rules by what they hold; a child's part comes before that of its head
+    height: list[int] = []
+
+    def part(cat: str, place: str) -> int:
+        groups: dict[int, dict[int, tuple]] = {}
+        for c, p, field, values in tests:
+            if c == cat and p.startswith(place):
+                grp, alt = map(int, p[len(place) :].split(">")[0].split("."))
+                own = ("test", kinds[field, values])
+                below = f"{place}{grp}.{alt}>"
+                groups.setdefault(grp, {}).setdefault(alt, []).append(("part", part(cat, below)) if p.startswith(below) else own)
+        made = tuple(sorted(tuple((k, n) for _, own in sorted(alts.items()) for k, n in dict.fromkeys(own)) for alts in groups.values()))
+        if made not in parts:
+            parts[made] = len(height)
+            height.append(max((height[n] + 1 for alts in made for k, n in alts if k == "part"), default=0))
+        return parts[made]
+
+    top = {cat: part(cat, "") for cat in dict.fromkeys(cat for cat, *_ in tests)}
+    inner = sorted({n for made in parts for alts in made for k, n in alts if k == "part"})
+    depth = max(height, default=0)
+    if len(tests) >= 1 << 14:
+        raise ValueError("too many tests")
+
+    # a number holds score, token and tests of a child in this order, so the greatest is the best child
+    packed = lambda res, n: F.shiftleft(res.cast("long"), 48) + F.shiftleft(F.col("tok").cast("long") + (1 << 31), 15) + n
+    here = F.col("b0").isNotNull()
+
+    def holds(i: int) -> Column:
+        return F.shiftright(F.col(f"b{i // BITS}"), i % BITS).bitwiseAND(F.lit(1).cast("long")).cast("int")
+
+    def scored_part(made: tuple) -> tuple[Column, Column]:
+        """(score, tests) of a part at a token. The place of a candidate may be no token: then only its children count."""
+        total = F.lit(0), F.lit(1)
+        for alts in made:
+            best = None
+            for k, n in alts:
+                if k == "test":
+                    one = F.when(here, F.shiftleft(holds(n), 15) + 1)
+                else:
+                    c = F.coalesce(F.col(f"c{n}"), F.lit(0).cast("long"))
+                    one = F.when(c > 0, F.shiftleft(F.shiftright(c, 48).cast("int"), 15) + c.bitwiseAND(F.lit((1 << 15) - 1).cast("long")).cast("int")).otherwise(F.lit(1))
+                # the later one of equals, by the score alone
+                best = one if best is None else F.when(best.isNull() | (F.shiftright(one, 15) >= F.shiftright(best, 15)), one).otherwise(best)
+            best = F.coalesce(best, F.lit(0))
+            total = total[0] + F.shiftright(best, 15), total[1] + best.bitwiseAND(F.lit((1 << 15) - 1))
+        return total
+
+    by_place = {i: made for made, i in parts.items()}
+    bits = [F.lit(0).cast("long") for _ in range(len(kinds) // BITS + 1)]
+    for (field, values), i in kinds.items():
+        hit = F.array_contains("choices", F.col("lemma")) if field == "lemma" else F.col(field).isin(*values) if field in ("upos", "label") else F.lit(False)
+        bits[i // BITS] = bits[i // BITS] + F.when(hit, F.lit(1 << i % BITS).cast("long")).otherwise(F.lit(0).cast("long"))
+    bit_names = [f"b{k}" for k in range(len(bits))]
+
+    asked = asked.select("sent", F.col("pos").alias("tok"), "lemma", "cats")
+    wanted = asked.groupBy("sent").agg(F.collect_set("lemma").alias("lemmas"), F.collect_set("tok").alias("asked"))
+    x = tokens.select("sent", F.col("pos").alias("tok"), "head", "label", "upos", "choices").filter("tok is not null").join(wanted, "sent")
+    x = x.select("sent", "tok", "head", "label", "upos", "choices", "asked", F.explode("lemmas").alias("lemma"))
+    x = x.select("sent", "tok", "head", "lemma", "asked", *(b.alias(n) for b, n in zip(bits, bit_names, strict=True)))
+    known: list[int] = []
+    for h in range(depth):
+        new = [n for n in inner if height[n] == h]
+        scores = {n: scored_part(by_place[n]) for n in new}
+        x = x.select("*", *(F.when(r > 0, packed(r, n_)).alias(f"n{n}") for n, (r, n_) in scores.items()))
+        null = lambda n: F.lit(None).cast("long").alias(n)
+        own = F.struct(F.col("tok").alias("to"), F.col("head").alias("head"), *bit_names, *(f"c{n}" for n in known), *(null(f"c{n}") for n in new))
+        up = F.struct(F.col("head").alias("to"), F.lit(None).cast(x.schema["head"].dataType).alias("head"), *(null(b) for b in bit_names), *(null(f"c{n}") for n in known), *(F.col(f"n{n}").alias(f"c{n}") for n in new))
+        sent = F.array(own, up)
+        if h == depth - 1:  # only what is asked for is left to score
+            sent = F.filter(sent, lambda e: F.array_contains("asked", e["to"]))
+        # every task holds whole sentences, so these groupings need no further exchange; a token's bits are in one row
+        x = x.select("sent", "lemma", "asked", F.explode(sent).alias("e")).select("sent", "lemma", "asked", "e.*").filter("to is not null")
+        known += new
+        merged = x.groupBy("sent", F.col("to").alias("tok"), "lemma")
+        kept = [F.first("asked").alias("asked")] if h < depth - 1 else []
+        x = merged.agg(*kept, F.max("head").alias("head"), *(F.max(b).alias(b) for b in bit_names), *(F.max(f"c{n}").alias(f"c{n}") for n in known))
+
+    scores = F.create_map(*(e for cat, n in top.items() for e in (F.lit(cat), F.struct(*(v.cast("int").alias(k) for k, v in zip(("score", "cnt"), scored_part(by_place[n]), strict=True))))))
+    none = F.struct(F.lit(0).alias("score"), F.lit(1).alias("cnt"))
+    at = asked.join(x.select("sent", "tok", "lemma", *bit_names, *(f"c{n}" for n in known)), ["sent", "tok", "lemma"], "left")
+    at = at.select("sent", F.col("tok").alias("pos"), "lemma", "cats", (scores if top else F.create_map().cast("map<string,struct<score:int,cnt:int>>")).alias("scores"))
+    rows = at.select("sent", "pos", "lemma", "scores", F.explode("cats").alias("cat"))
+    return rows.select("sent", "pos", "lemma", "cat", F.coalesce(F.try_element_at("scores", F.col("cat")), none).alias("x")).select("sent", "pos", "lemma", "cat", "x.score", "x.cnt")
 
 
 def bracketed(tokens: DataFrame) -> DataFrame:
