@@ -100,6 +100,12 @@ class Store:
         rows = self.tables[ix.table].select(value.alias("value"), "*")
         return rows if ix.kind == "total" else rows.filter("value is not null")
 
+    def joined_counts(self, index: str, other: str) -> DataFrame:
+        """(id, n): how many rows of the other index each row of the first meets by value. The other's rows are counted once
+        a value, in its buckets, so no pairs are listed however many rows a value has."""
+        counts = self.indexed(other).groupBy("value").agg(F.count("*").alias("n"))
+        return self.indexed(index).select("value", "id").join(counts.hint("merge"), "value").groupBy("id").agg(F.sum("n").alias("n"))
+
     # changing
     def _changed(self, table: str, rows: DataFrame) -> Store:
         if self.read_only:
