@@ -1,17 +1,18 @@
 """Abstract syntax trees as text: parsing, printing, numbering, functions, subtrees.
 
-Tables of trees are read by built-in functions alone. An expression becomes a row a token; depths are
-running sums of its brackets, and what a token belongs to is the last head at its depth, so all is
-linear in the text but for the sorting of its tokens. Quoted text is one token, whatever it holds."""
+Tables of trees are made where the expressions lie: a worker reads each by itself, in one pass over its tokens, so
+nothing is sent or sorted. Quoted text is one token, whatever it holds."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 _TOKEN = re.compile(r"""\s*(?:(\()|(\))|("(?:\\.|[^"\\])*")|(\?\d*)|(\\[^>]*->)|([^\s()"]+))""")
 
@@ -76,45 +77,78 @@ _QUOTED = r'"(?:\\.|[^"\\]++)*+"'
 _TOKENS = rf'[()]|{_QUOTED}|\?\d*+|\\[^>]*->|[^\s()"]++'
 
 
-def _tokens(exprs: DataFrame, key: list[str], expr: str) -> DataFrame:
-    """key, at, tok, depth, head, words, end of all tokens of the expressions that can be read. A bracket
-    that opens in the place of a head belongs to the expression around it and has no depth. head: whether a
-    token is the function of its brackets; words: the tokens up to here that are no brackets; end: how many there are
-    where its brackets close."""
-    e = F.col(expr).cast("string")
-    readable = exprs.filter(F.regexp_replace(F.regexp_replace(e, _TOKENS, ""), r"\s+", "") == "")
-    t = readable.select(*key, F.posexplode(F.regexp_extract_all(e, F.lit(_TOKENS), F.lit(0))).alias("at", "tok"))
-    whole = Window.partitionBy(*key)
-    along = whole.orderBy("at")
-    opens, closes = F.col("tok") == "(", F.col("tok") == ")"
-    step = lambda up, down: F.sum(F.when(up, 1).when(down, -1).otherwise(0)).over(along)
-    t = t.select("*", F.lag("tok").over(along).alias("before"), step(opens, closes).alias("raw"))
-    first = F.coalesce(F.col("before") == "(", F.lit(True))
-    wrong = (F.min("raw").over(whole) < 0) | (F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(whole) != 0) | F.max(closes & first).over(whole)
-    t = t.withColumn("wrong", wrong).filter("not wrong").withColumn("own", F.when(closes, F.col("raw") + 1).otherwise(F.col("raw")))
-    # a closing bracket meets the last one that opened at its own count
-    flat = F.last(F.when(opens, first), ignorenulls=True).over(Window.partitionBy(*key, "own").orderBy("at"))
-    t = t.withColumn("flat", flat).withColumn("depth", step(opens & ~F.col("flat"), closes & ~F.col("flat")))
-    t = t.withColumn("word", ~opens & ~closes).withColumn("words", F.sum(F.when(F.col("word"), 1).otherwise(0)).over(along).cast("int"))
-    t = t.withColumn("inside", F.when(closes & ~F.col("flat"), F.col("depth") + 1).otherwise(F.col("depth")))
-    behind = Window.partitionBy(*key, "inside").orderBy("at").rowsBetween(0, Window.unboundedFollowing)
-    end = F.first(F.when(closes & ~F.col("flat"), F.col("words")), ignorenulls=True).over(behind)
-    return t.withColumn("end", F.coalesce(end, F.max("words").over(whole))).filter("word").select(*key, "at", "tok", "depth", first.alias("head"), "words", "end")
+# for Python: a dot that stops at all of Java's ends of lines
+_WORD = re.compile(_TOKENS.replace(r"\\.", r"\\[^\n\r\x85\u2028\u2029]"), re.ASCII)
+NODE = "fid int, last int, level int, parent int, pos int, fun string"
+
+
+def nodes_of(text: str) -> list[tuple[int, int, int, int | None, int, str]]:
+    """(fid, last, level, parent, pos, fun) of an expression's nodes in pre-order, in one pass over its tokens; none if it
+    can't be read. A bracket that opens in the place of a head belongs to the expression around it."""
+    funs: list[str] = []
+    last: list[int] = []
+    place: list[tuple[int, int | None, int]] = []
+    args: list[int] = []
+    heads: list[int | None] = [None]  # the functions of the brackets that are open
+    flat: list[bool] = []
+    first, at = True, 0
+    for m in _WORD.finditer(text):
+        if text[at : m.start()].strip(" \t\n\x0b\f\r"):
+            return []
+        at, tok = m.end(), m[0]
+        if tok == "(":
+            flat.append(first)
+            if not first:
+                heads.append(None)
+            first = True
+        elif tok == ")":
+            if first or not flat:
+                return []
+            if not flat.pop():
+                last[heads.pop()] = len(funs) - 1
+        else:
+            up = (heads[-2] if len(heads) > 1 else None) if first else heads[-1]
+            n = len(funs)
+            place.append((len(heads) - first, up, args[up] if up is not None else 0))
+            if up is not None:
+                args[up] += 1
+            if first:
+                heads[-1] = n
+            funs.append(tok)
+            last.append(n)
+            args.append(0)
+        first = tok == "("
+    if flat or not funs or text[at:].strip(" \t\n\x0b\f\r"):
+        return []
+    last[heads[0]] = len(funs) - 1
+    return [(n, last[n], *place[n], funs[n]) for n in range(len(funs))]
 
 
 def node_table(exprs: DataFrame, key: list[str], expr: str = "expr") -> DataFrame:
     """key, fid (number in pre-order), last (that of the last node below), level, parent, pos (among its
-    arguments), fun: a row a node of each expression; what can't be read has none. key tells expressions apart."""
-    t = _tokens(exprs, key, expr)
-    t = t.select(*key, "at", "depth", "head", "tok", (F.col("words") - 1).alias("fid"), F.when(F.col("head"), F.col("end") - 1).otherwise(F.col("words") - 1).alias("last"))
-    # a head stands one level above its arguments; it is there once as a node and once as what they hang on
-    above = F.struct((F.col("depth") - F.col("head").cast("int")).cast("int").alias("level"), F.lit(False).alias("holds"))
-    events = F.when(F.col("head"), F.array(above, F.struct(F.col("depth").cast("int").alias("level"), F.lit(True).alias("holds")))).otherwise(F.array(above))
-    t = t.select(*key, "at", "tok", "fid", "last", F.explode(events).alias("x")).select(*key, "at", "tok", "fid", "last", "x.*")
-    parent = F.last(F.when(F.col("holds"), F.col("fid")), ignorenulls=True).over(Window.partitionBy(*key, "level").orderBy("at"))
-    n = t.withColumn("parent", parent).filter("not holds")
-    pos = F.row_number().over(Window.partitionBy(*key, "parent").orderBy("fid")) - 1
-    return n.select(*key, "fid", "last", (F.col("level") + 1).alias("level"), "parent", pos.alias("pos"), F.col("tok").alias("fun"))
+    arguments), fun: a row a node of each expression; what can't be read has none. key tells expressions apart.
+    An expression is read by itself, where it lies: nothing is sent or sorted."""
+    return read_where_they_lie(exprs, key, expr, NODE, nodes_of)
+
+
+def read_where_they_lie(exprs: DataFrame, key: list[str], expr: str, schema: str, read: Callable[[str], list[tuple]]) -> DataFrame:
+    """key and the rows that ``read`` makes of each expression."""
+    rows = exprs.select(*key, F.col(expr).cast("string").alias("expr_"))
+    own = StructType.fromDDL(schema)
+    out = StructType([rows.schema[k] for k in key] + list(own))
+    types = [pa.int32() if isinstance(f.dataType, IntegerType) else pa.string() for f in own]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                found = [read(x) if x is not None else [] for x in batch.column(batch.num_columns - 1).to_pylist()]
+                at = pa.array([i for i, got in enumerate(found) for _ in got], pa.int64())
+                flat = list(zip(*(n for got in found for n in got), strict=True)) or [()] * len(types)
+                cols = [pa.array(c, t) for c, t in zip(flat, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(len(key))] + cols, names=out.names)
+
+    return rows.mapInArrow(made, out)
 
 
 def subexpressions(exprs: DataFrame, key: list[str], wanted: DataFrame, expr: str = "expr") -> DataFrame:
