@@ -9,8 +9,9 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
@@ -151,18 +152,36 @@ def read_where_they_lie(exprs: DataFrame, key: list[str], expr: str, schema: str
     return rows.mapInArrow(made, out)
 
 
+def _printed(nodes: list[tuple], at: int) -> str | None:
+    """The subtree at a number in plain brackets."""
+    if not 0 <= at < len(nodes):
+        return None
+    to, top = nodes[at][1], nodes[at][2]
+    out = []
+    for n, last, level, _, _, fun in nodes[at : to + 1]:
+        ends = max(level - nodes[n + 1][2], 0) if n < to else max(level - top - 1, 0)
+        out.append(("(" if last > n > at else "") + fun + ")" * ends)
+    return " ".join(out)
+
+
 def subexpressions(exprs: DataFrame, key: list[str], wanted: DataFrame, expr: str = "expr") -> DataFrame:
     """wanted(key, fid) with sub, the subtree at that pre-order number in plain brackets; null without one.
-    A node's text is its own with a bracket before it if it has arguments, and behind it one for each node that ends there."""
-    n = node_table(exprs, key, expr)
-    top = wanted.join(n.select(*key, "fid", F.col("last").alias("to"), F.col("level").alias("top")), [*key, "fid"]).select(*key, F.col("fid").alias("at"), "to", "top")
-    below = n.select(*key, F.col("fid").alias("n"), "last", "level", "fun").withColumn("next", F.lead("level").over(Window.partitionBy(*key).orderBy("n")))
-    parts = top.join(below, key).filter("n between at and to")
-    ends = F.when(F.col("n") < F.col("to"), F.greatest(F.col("level") - F.col("next"), F.lit(0))).otherwise(F.greatest(F.col("level") - F.col("top") - 1, F.lit(0)))
-    piece = F.concat(F.when((F.col("last") > F.col("n")) & (F.col("n") > F.col("at")), "(").otherwise(""), "fun", F.repeat(F.lit(")"), ends.cast("int")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("t")))), lambda x: x["t"]), " ")
-    found = parts.groupBy(*key, F.col("at").alias("fid")).agg(text.alias("sub"))
-    return wanted.join(found, [*key, "fid"], "left")
+    The numbers wanted of an expression meet it as one row, and only their subtrees are written."""
+    asked = wanted.groupBy(*key).agg(F.collect_list(F.struct(*(c for c in wanted.columns if c not in key))).alias("asked_"))
+    j = asked.join(exprs.select(*key, F.col(expr).cast("string").alias("expr_")), key, "left")
+
+    @F.pandas_udf("array<string>")
+    def written(texts: pd.Series, fids: pd.Series) -> pd.Series:
+        read = (nodes_of(x) if x is not None else [] for x in texts)
+        return pd.Series([[_printed(nodes, n) if n is not None else None for n in map(_whole, ns)] for nodes, ns in zip(read, fids, strict=True)])
+
+    j = j.withColumn("subs_", written("expr_", F.transform("asked_", lambda x: x["fid"].cast("long"))))
+    rows = j.select(*key, F.explode(F.arrays_zip("asked_", "subs_")).alias("x_"))
+    return rows.select(*(F.col(c) if c in key else F.col("x_.asked_")[c].alias(c) for c in wanted.columns), F.col("x_.subs_").alias("sub"))
+
+
+def _whole(x) -> int | None:
+    return None if x is None or x != x else int(x)
 
 
 def _stopped(segments: Column, opening: str, closing: str, stop: str, strict: bool) -> Column:
