@@ -133,7 +133,8 @@ def panlex_tables(spark, d):
 
 
 def _princeton(spark, d) -> DataFrame:
-    p = table(spark, d, "part")
+    # the packed keys are a small file, the records made of them are not
+    p = table(spark, d, "part").select("p_partkey", "p_type").repartition("p_partkey")
     k = lambda c: F.lpad(c.cast("string"), 8, "0")
     v = F.concat(k(F.col("p_partkey")), F.lit(" 03 n 0a "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.concat(F.lit("w"), i.cast("string"), F.lit(" f"))), " "), F.lit(" 002 @ "), k(F.col("p_partkey") + 1), F.lit(" n 0000 + "), k(F.col("p_partkey") + 2), F.lit(" v 0a01 | "), "p_type")
     return resources.princeton(p.select(v.alias("value")).unionByName(spark.createDataFrame([("  1 a header line",)], "value string")))

@@ -219,8 +219,12 @@ def princeton(rows: DataFrame) -> DataFrame:
     The word count is hexadecimal; a header line starts with two blanks. A pointer is sym, offset,
     tag and four hex digits, 0000 for one between synsets."""
     v = F.col("value")
-    body, gloss = F.split(F.trim(F.substring_index(v, "|", 1)), r"\s+"), F.trim(F.regexp_replace(v, r"^[^|]*\|", ""))
+    # the fields of a record and their number are columns of their own, or each word and pointer would cut the record again
+    rows = rows.filter(~v.startswith("  ") & v.rlike(r"^\d{8} ")).select(F.split(F.trim(F.substring_index(v, "|", 1)), r"\s+").alias("body"), F.trim(F.regexp_replace(v, r"^[^|]*\|", "")).alias("gloss"))
+    body, gloss = F.col("body"), F.col("gloss")
     n = F.conv(F.get(body, 3), 16, 10).cast("int")
+    rows = rows.select("body", "gloss", n.alias("n"))
+    n = F.col("n")
     words = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(F.get(body, 4 + 2 * i).alias("word"), F.conv(F.get(body, 5 + 2 * i), 16, 10).cast("int").alias("lex_id")))
     start = 4 + 2 * n
     k = F.get(body, start).try_cast("int")
@@ -232,7 +236,7 @@ def princeton(rows: DataFrame) -> DataFrame:
         return F.struct(F.get(body, at).alias("code"), F.get(body, at + 1).alias("offset"), F.get(body, at + 2).alias("tag"), hexpair(ref, 1).alias("from_word"), hexpair(ref, 3).alias("to_word"))
 
     pts = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), pointer)).otherwise(F.array().cast("array<struct<code:string,offset:string,tag:string,from_word:int,to_word:int>>"))
-    return rows.filter(~v.startswith("  ") & v.rlike(r"^\d{8} ")).select(F.get(body, 0).alias("offset"), F.get(body, 2).alias("tag"), words.alias("words"), pts.alias("pointers"), gloss.alias("gloss"))
+    return rows.select(F.get(body, 0).alias("offset"), F.get(body, 2).alias("tag"), words.alias("words"), pts.alias("pointers"), gloss.alias("gloss"))
 
 
 def split_pointers(records: DataFrame) -> tuple[DataFrame, DataFrame]:
