@@ -241,7 +241,8 @@ def princeton(rows: DataFrame) -> DataFrame:
 
 def split_pointers(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Semantic pointers (offset, code, tgt) and lexical ones (word, code, tgt_offset, tgt_word)."""
-    p = records.select("offset", "words", F.explode("pointers").alias("p"))
+    # an outer one, as a record is else cut once more to tell whether it has pointers; one without gives no row below
+    p = records.select("offset", "words", F.explode_outer("pointers").alias("p"))
     sem = p.filter("p.from_word = 0").select("offset", F.col("p.code").alias("code"), F.col("p.offset").alias("tgt"))
     lex = p.filter("p.from_word > 0").select(F.get("words", F.col("p.from_word") - 1)["word"].alias("word"), F.col("p.code").alias("code"), F.col("p.offset").alias("tgt_offset"), F.col("p.to_word").alias("to_word"))
     return sem, lex
