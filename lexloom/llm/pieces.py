@@ -4,8 +4,9 @@ Texts are cut between two characters that stand side by side in no piece; no pat
 such a place, so the best path of a text is that of its chunks. A chunk of more than LONGEST_CHUNK
 characters, which no natural word is, takes the same path of the highest score in one pass over its
 characters (``walked``), as its lattice would crowd a task. Each other distinct chunk of the corpus
-is encoded once: its substrings, no longer than the longest piece, meet the piece table in an
-equi-join; the edges are grouped by chunk, and a higher-order aggregate folds them into the path
+is encoded once: its substrings, no longer than the pieces that begin with their first three
+characters, meet the piece table in an equi-join; the table leaves out pieces that are worth less
+than their own parts, which no best path takes (``useful``). The edges are grouped by chunk, and a higher-order aggregate folds them into the path
 of the highest score (Viterbi, ties to the longer last piece). Unknown characters become byte
 pieces. The scores are those of the model file, so this is the segmentation of highest total
 score, not the order of merges of a merge model.
@@ -31,7 +32,6 @@ import math
 import re
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,9 +46,10 @@ from lexloom.llm.common import Scratch, bounded_batches, release, tidied
 
 MARK = "▁"
 FREQUENT, SAMPLE = 3 << 17, 40_000
-HELD = 200_000
+HELD = 1 << 20  # chunks of blocks held at a time
 SLICE = 50_000  # words cut at a time
 LONGEST_CHUNK = 128
+REACHES = 1 << 13
 BLOCK_BYTES = 4 << 20
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: The piece table is broadcast; a larger vocabulary is refused.
@@ -59,12 +60,13 @@ MAX_PIECES = 1 << 20
 class Vocabulary:
     pieces: list[tuple[str, int, float]]
     hex_of: list[str]  # bytes of each id in hexadecimal
+    useful: list[tuple[str, int, float]]  # the pieces that can lie on a best path
     longest: int
     unknown_score: float
     byte_zero: int  # id of the byte 0; the others follow
 
     def cutter(self) -> Cutter:
-        return Cutter(sorted({ab for p, *_ in self.pieces for ab in zip(p, p[1:], strict=False)}))
+        return Cutter(sorted({ab for p, *_ in self.useful for ab in zip(p, p[1:], strict=False)}))
 
 
 class Cutter:
@@ -81,19 +83,28 @@ class Cutter:
         self.joined = np.zeros(self.width * self.width, bool)
         self.joined[[place[a] * self.width + place[b] for a, b in pairs]] = True
 
-    def __call__(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+    def __call__(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The chunks of all words, one after the other, and how many each word has."""
-        full = [w if MARK in w else MARK + w for w in words]
-        t = "".join(full)
-        if not t:
-            return [], np.zeros(len(words), np.int64)
-        x = self.of[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-        stop = np.cumsum(np.fromiter(map(len, full), np.int64, len(full)))
+        cut = [self._cut(words.slice(i, SLICE)) for i in range(0, len(words), SLICE)]
+        if not cut:
+            return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+        return pa.concat_arrays([c for c, _ in cut]), np.concatenate([n for _, n in cut])
+
+    def _cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks lie in the words' own bytes, so only their ends are told."""
+        words = words.cast(pa.large_string())
+        whole = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), words, pa.scalar("", pa.large_string()))
+        full = pc.if_else(pc.match_substring(words, MARK), words, whole)
+        at = np.frombuffer(full.buffers()[1], np.int64)[full.offset : full.offset + len(full) + 1]
+        raw, stop = np.frombuffer(full.buffers()[2], np.uint8)[at[0] : at[-1]], at[1:] - at[0]
+        x = self.of[np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)].astype(np.int32)
+        upto = np.append(np.flatnonzero((raw & 0xC0) != 0x80)[1:], len(raw))  # the byte behind each character
         end = np.append(~self.joined[x[:-1] * self.width + x[1:]], True)
-        end[stop - 1] = True
-        ends = np.flatnonzero(end) + 1
-        upto = ends.tolist()
-        return [t[i:j] for i, j in zip([0, *upto[:-1]], upto, strict=True)], np.diff(np.searchsorted(ends, stop, "right"), prepend=0)
+        last = np.zeros(len(raw) + 1, bool)
+        last[stop] = True
+        ends = upto[end | last[upto]]
+        chunks = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(raw))
+        return chunks, np.diff(np.searchsorted(ends, stop, "right"), prepend=0)
 
 
 def words(text: str | None) -> list[str]:
@@ -135,18 +146,49 @@ def load(model_path: str) -> Vocabulary:
     hex_of = [f"{i - bytes_[0]:02X}" if bytes_[0] <= i <= bytes_[-1] else "" for i in range(n)]
     for p, i, _ in pieces:
         hex_of[i] = p.replace(MARK, " ").encode().hex().upper()
-    return Vocabulary(pieces, hex_of, max(len(p) for p, *_ in pieces), min(s for *_, s in pieces) - 10.0, bytes_[0])
+    unknown_score = min(s for *_, s in pieces) - 10.0
+    return Vocabulary(pieces, hex_of, useful(pieces, unknown_score), max(len(p) for p, *_ in pieces), unknown_score, bytes_[0])
+
+
+def useful(pieces: list[tuple[str, int, float]], unknown_score: float) -> list[tuple[str, int, float]]:
+    """The pieces that can lie on a best path: one that is worth less than its own parts stands on none, as
+    the parts could take its place. This holds where sums are exact, so for scores that are whole numbers."""
+    if not all(s.is_integer() for *_, s in pieces):
+        return pieces
+    score = {p: s for p, _, s in pieces}
+
+    def in_parts(p: str) -> float:
+        best = [0.0]
+        for e in range(1, len(p) + 1):
+            ways = [(score.get(p[s:e], unknown_score if e - s == 1 else -math.inf), s) for s in range(e) if e - s < len(p)]
+            best.append(max((best[s] + x for x, s in ways), default=-math.inf))
+        return best[-1]
+
+    return [x for x in pieces if in_parts(x[0]) <= x[2]]
+
+
+def reach(v: Vocabulary) -> Column:
+    """An array by the checksum of three characters, modulo its size: how long a useful piece may be that begins so."""
+    most = [3] * REACHES
+    for p, *_ in v.useful:
+        at = zlib.crc32(p[:3].encode()) % REACHES
+        most[at] = max(most[at], len(p))
+    return F.split(F.lit(",".join(map(str, most))), ",").cast("array<int>")
 
 
 def best_scores(edges: Column) -> Column:
     """The highest total score of a way to each position, position 0 first. edges: struct(e, s, id,
-    score), sorted; an edge covers the characters -s to e, counted from 1, and each e has one."""
+    score), sorted; an edge covers the characters -s to e, counted from 1, and the first of each e is
+    that of its one character."""
 
     def step(a: Column, x: Column) -> Column:
-        # the greatest of a score and none is that score; appending is far cheaper than concat here
-        return F.array_append(F.slice(a, F.lit(1), x["e"]), F.greatest(F.get(a, x["e"]), F.get(a, -x["s"] - 1) + x["score"]))
+        # done: up to the position before; top: the best so far of the one at hand
+        state = lambda done, top: F.struct(done.alias("done"), top.alias("top"))
+        longer = F.greatest(a["top"], F.get(a["done"], -x["s"] - 1) + x["score"])
+        return F.when(x["e"] == -x["s"], state(F.array_append(a["done"], a["top"]), a["top"] + x["score"])).otherwise(state(a["done"], longer))
 
-    return F.aggregate(edges, F.array(F.lit(0.0).cast("double")), step)
+    start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(0.0).alias("top"))
+    return F.aggregate(edges, start, step, lambda a: F.array_append(a["done"], a["top"]))
 
 
 def read_back(edges: Column, scores: Column) -> Column:
@@ -199,7 +241,7 @@ def walk(chunk: str, score: dict[str, tuple[float, int]], v: Vocabulary) -> list
 
 def walked(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = {p: (s, i) for p, i, s in v.pieces}
+        score = {p: (s, i) for p, i, s in v.useful}
         for b in batches:
             ids = pa.array([walk(c, score, v) for c in b.column("chunk").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("chunk"), ids], names=["chunk", "ids"])
@@ -213,7 +255,7 @@ def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
 
     Everything behind the one exchange stays in its partition: grouping, explode, join, grouping."""
     spark = wanted.sparkSession
-    table = spark.createDataFrame(v.pieces, "own string, id int, score double").select(F.xxhash64("own").alias("ph"), "own", "id", "score")
+    table = spark.createDataFrame(v.useful, "own string, id int, score double").select(F.xxhash64("own").alias("ph"), "own", "id", "score")
     # a chunk unfolds into some fifty rows, so more and smaller partitions than usual
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     h1, h2 = F.xxhash64("chunk"), F.xxhash64("chunk", F.lit(1))
@@ -222,7 +264,8 @@ def lattice(wanted: DataFrame, v: Vocabulary) -> DataFrame:
     size = F.length("chunk")
     starts = F.sequence(F.lit(0), F.when(size <= LONGEST_CHUNK, size).otherwise(0))
     cut = keyed.select("h1", "h2", "chunk", F.explode(starts).alias("s"))
-    ends = F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("s"), F.least(F.col("s") + v.longest - 1, size)))
+    begins = F.crc32(F.substr("chunk", F.col("s"), F.lit(3)).cast("binary"))
+    ends = F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("s"), F.least(F.col("s") + F.get(reach(v), begins % REACHES) - 1, size)))
     asked = F.when(F.col("s") == 0, F.struct("chunk")).alias("asked")
     cut = cut.select("h1", "h2", "chunk", asked, "s", F.explode(ends).alias("e"))
     cut = cut.select("h1", "h2", "asked", "s", "e", F.substr("chunk", F.col("s"), F.col("e") - F.col("s") + 1).alias("piece"))
@@ -268,121 +311,110 @@ def _counted(cut: Cutter):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _blocks(batches):
-            seen: Counter[str] = Counter()
             lists = word_lists(t.column("text"))
             coded = pc.dictionary_encode(lists.flatten())
             many = max(1, len(coded.dictionary))
             owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
-            once = np.unique(owner * many + coded.indices.to_numpy()) % many
-            counts = np.bincount(once, minlength=many)
-            for i in range(0, len(coded.dictionary), SLICE):
-                chunks, size = cut(coded.dictionary.slice(i, SLICE).to_pylist())
-                for c, n in zip(chunks, np.repeat(counts[i : i + len(size)], size).tolist(), strict=True):
-                    seen[c] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+            once = pc.unique(pa.array(owner * many + coded.indices.to_numpy())).to_numpy() % many
+            chunks, size = cut(coded.dictionary)
+            seen = pc.dictionary_encode(chunks)
+            n = np.bincount(seen.indices.to_numpy(), np.repeat(np.bincount(once, minlength=many)[: len(size)], size), len(seen.dictionary))
+            yield pa.RecordBatch.from_arrays([seen.dictionary.cast(pa.string()), pa.array(n.astype(np.int64))], names=["chunk", "n"])
 
     return run
 
 
 def _wanted(cut: Cutter, frequent: pa.Array):
-    """Distinct chunks, but for the frequent ones, with the blocks that need them; a chunk comes once in HELD of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(frequent.to_pylist())
-        asked: dict[str, list[int]] = {}
+    """Distinct chunks, but for the frequent ones, with the blocks that need them; a chunk comes once in HELD of theirs."""
 
-        def flush() -> pa.RecordBatch:
-            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, asked.values()), np.int64, len(asked)))])
-            blocks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([k for ks in asked.values() for k in ks], pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(list(asked), pa.string()), blocks], names=["chunk", "blocks"])
+    def asked(held: list[tuple[int, pa.Array]]) -> pa.RecordBatch:
+        coded = pc.dictionary_encode(pa.concat_arrays([c for _, c in held]))
+        keys, at = np.repeat([k for k, _ in held], [len(c) for _, c in held]), coded.indices.to_numpy()
+        new = pc.invert(pc.is_in(coded.dictionary, value_set=frequent)).to_numpy(zero_copy_only=False)
+        at, keys = at[new[at]], keys[new[at]]
+        to = np.cumsum(np.bincount(at, minlength=len(new))[new])
+        blocks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]), pa.int32()), pa.array(keys[np.argsort(at, kind="stable")], pa.int64()))
+        return pa.RecordBatch.from_arrays([coded.dictionary.filter(pa.array(new)).cast(pa.string()), blocks], names=["chunk", "blocks"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, pa.Array]] = []
         for key, t in _blocks(batches):
-            own = pc.unique(word_lists(t.column("text")).flatten())
-            for i in range(0, len(own), SLICE):
-                for c in set(cut(own.slice(i, SLICE).to_pylist())[0]) - known:
-                    if c not in asked:
-                        asked[c] = [key]
-                    elif asked[c][-1] != key:
-                        asked[c].append(key)
-            if len(asked) > HELD:
-                yield flush()
-                asked.clear()
-        if asked:
-            yield flush()
+            held.append((key, pc.unique(cut(pc.unique(word_lists(t.column("text")).flatten()))[0])))
+            if sum(len(c) for _, c in held) > HELD:
+                yield asked(held)
+                held = []
+        if held:
+            yield asked(held)
 
     return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's rows, compressed batch by batch: values of megabytes sit badly in a heap."""
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
+    """Each block's rows, compressed some at a time: values of megabytes sit badly in a heap."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
     for key, t in _blocks(batches):
         blobs = []
-        for b in t.to_batches():
+        for i in range(0, len(t), 512):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, t.schema, options=options) as w:
-                w.write_batch(b)
+                w.write_table(t.slice(i, 512).combine_chunks())
             blobs.append(sink.getvalue().to_pybytes())
         yield pa.RecordBatch.from_arrays([pa.array([key] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
 
-def _spread(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The picked lists one after the other, and their lengths; list i is flat[ends[i]:ends[i + 1]]."""
-    size = (ends[1:] - ends[:-1])[pick]
-    shift = ends[pick] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(pick) else size
-    return flat[np.repeat(shift, size) + np.arange(size.sum())], size
+def _picked(lists: pa.LargeBinaryArray, pick: pa.Array | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the picked values one after the other, and their ends."""
+    got = lists.take(pick if isinstance(pick, pa.Array) else pa.array(pick))
+    ends = np.frombuffer(got.buffers()[1], np.int64)[got.offset : got.offset + len(got) + 1]
+    return np.frombuffer(got.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _values(flat: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """A value of bytes for each stretch between two ends."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(flat)])
+
 
+def _bytes(ids: pa.ChunkedArray) -> pa.LargeBinaryArray:
+    """Lists of ids as bytes, four an id."""
+    size = ids.combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    flat = ids.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    return _values(flat, 4 * np.concatenate([[0], np.cumsum(size, dtype=np.int64)]))
 
-def _assembled(cut: Cutter, frequent: pa.Array, flat: np.ndarray, ends: np.ndarray, hex_of: list[str]):
-    raw_ends = np.concatenate([[0], np.cumsum([len(h) // 2 for h in hex_of])])
-    raw_flat = np.frombuffer(bytes.fromhex("".join(hex_of)), np.uint8)
-    upto = lambda size: np.concatenate([[0], np.cumsum(size)])
+
+def _assembled(cut: Cutter, frequent: pa.Array, frequent_ids: pa.LargeBinaryArray, hex_of: list[str]):
+    raw = pa.array([bytes.fromhex(h) for h in hex_of], pa.large_binary())
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        more, more_ends = _flat(asked.column("ids"))
-        all_flat, all_ends = np.concatenate([flat, more]), np.concatenate([ends, more_ends[1:] + ends[-1]])
-        known = pa.concat_arrays([frequent, *asked.column("chunk").chunks])
+        known = pa.concat_arrays([frequent, *[c.cast(pa.large_string()) for c in asked.column("chunk").chunks]])
+        ids = pa.concat_arrays([frequent_ids, _bytes(asked.column("ids"))]) if len(asked) else frequent_ids
         t = pa.concat_tables([pa.ipc.open_stream(blob).read_all() for blob in docs.column("blob").to_pylist()] or [pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})])
         # each distinct word of the block once, then the documents as runs of words
         lists = word_lists(t.column("text"))
         coded = pc.dictionary_encode(lists.flatten())
-        chunks, counts = [], [np.empty(0, np.int64)]
-        for i in range(0, len(coded.dictionary), SLICE):
-            found, count = cut(coded.dictionary.slice(i, SLICE).to_pylist())
-            chunks.append(pa.array(found, pa.string()))
-            counts.append(count)
+        chunks, counts = cut(coded.dictionary)
         # one look-up a block, as it makes a table of all that is known
-        place = pc.index_in(pa.chunked_array(chunks, pa.string()), value_set=known)
+        place = pc.index_in(chunks, value_set=known)
         if place.null_count:
             raise RuntimeError("a block asks for chunks that it did not name before")
-        ids, size = _spread(all_flat, all_ends, place.to_numpy())
-        to = upto(size)[upto(np.concatenate(counts))]
-        n = upto(lists.value_lengths().to_numpy())
-        got, size = _spread(ids, to, coded.indices.to_numpy())
-        at = upto(size)[n]
-        crc = [zlib.crc32(x or b"") for x in t.column("text").cast(pa.binary()).to_pylist()]
-        back = []
-        for i in range(0, len(n) - 1, 128):  # a few documents at a time: the bytes are many
-            own = got[at[i] : at[min(i + 128, len(n) - 1)]]
-            read, size = _spread(raw_flat, raw_ends, own)
-            read_to = upto(size)[at[i : i + 129] - at[i]]
-            back += [zlib.crc32(read[a + (a < b) : b]) for a, b in zip(read_to[:-1], read_to[1:], strict=True)]
-        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got, pa.int32()))
-        result = pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(back, pa.int64())})
-        del t, known, all_flat, all_ends, coded, chunks, place, counts
+        flat, to = _picked(ids, place)
+        to = to[np.concatenate([[0], np.cumsum(counts)])]
+        read, read_to = _picked(raw, flat.view(np.int32))
+        own, own_to = _picked(_values(flat, to), coded.indices)
+        # the documents' bytes are those of their words, each word's those of its ids
+        back, back_to = _picked(_values(read, read_to[to // 4]), coded.indices)
+        n = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)])
+        at = back_to[n]
+        decoded = [zlib.crc32(back[a + (a < b) : b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        crc = [zlib.crc32(x.as_buffer() or b"") for x in t.column("text").cast(pa.binary())]
+        lists = pa.ListArray.from_arrays(pa.array(own_to[n] // 4, pa.int32()), pa.array(own.view(np.int32)))
+        result = pa.table({"doc_id": t.column("doc_id"), "ids": lists, "text_crc32": pa.array(crc, pa.int64()), "decoded_crc32": pa.array(decoded, pa.int64())})
+        del t, known, ids, flat, read, own, back, coded, chunks, place, counts
         release()
         return result
 
     return run
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and ends of a column of lists."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-
-
 def commonest(scratch: Scratch, rows: DataFrame, cut: Cutter, v: Vocabulary) -> pa.Table:
     """(chunk, ids) of at most FREQUENT chunks, those of most documents in a sample of one in five, or
     of about SAMPLE if that is fewer. Long ones are left out."""
@@ -412,15 +444,14 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     if shuffled(rows):
         rows = scratch.save(rows)
     got = commonest(scratch, rows, cut, v)
-    frequent = pa.array(got.column("chunk").to_pylist(), pa.string())
-    flat, ends = _flat(got.column("ids"))
+    frequent = got.column("chunk").combine_chunks().cast(pa.large_string())
     wanted = scratch.save(rows.mapInArrow(tidied(_wanted(cut, frequent)), "chunk string, blocks array<long>"))
     near = scratch.save(lattice(wanted.filter(F.length("chunk") <= LONGEST_CHUNK), v))
     far = wanted.filter(F.length("chunk") > LONGEST_CHUNK).select("chunk").distinct().mapInArrow(tidied(walked(v)), "chunk string, ids array<int>")
     coded = near.unionByName(scratch.save(far))
     answers = wanted.join(coded, "chunk").select(F.explode("blocks").alias("block"), "chunk", "ids")
     packed = rows.mapInArrow(tidied(_packed), "block long, blob binary")
-    run = _assembled(cut, frequent, flat, ends, v.hex_of)
+    run = _assembled(cut, frequent, _bytes(got.column("ids")), v.hex_of)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, text_crc32 long, decoded_crc32 long")
 
 

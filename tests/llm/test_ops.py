@@ -769,6 +769,37 @@ def test_long_runs_against_brute_force(spark, vocabulary):
         assert got[i].round_trip
 
 
+def test_useful_pieces(spark, vocabulary):
+    """Pieces that are worth less than their own parts are not looked for, as no best path has one."""
+    assert pieces.useful([("a", 0, -1.0), ("b", 1, -1.0), ("ab", 2, -9.0), ("ba", 3, -2.0)], -19.0) == [("a", 0, -1.0), ("b", 1, -1.0), ("ba", 3, -2.0)]
+    halves = [("a", 0, -1.5), ("b", 1, -1.0), ("ab", 2, -9.0)]
+    assert pieces.useful(halves, -19.0) == halves
+    useful, names = {i for _, i, _ in vocabulary.useful}, [p.replace(pieces.MARK, " ") for p, *_ in vocabulary.pieces]
+    assert len(useful) < len(vocabulary.pieces) / 2
+    r = random.Random(5)
+    texts = ["".join(r.choice(names) for _ in range(6)) + r.choice(["", "ß☃", " 𝄞"]) for _ in range(120)]
+    got = {g.doc_id: list(g.ids) for g in pieces.encoded(spark, docs(spark, *texts), queries.PIECE_MODEL).collect()}
+    for i, t in enumerate(texts):
+        want = brute_viterbi(pieces.MARK + t.replace(" ", pieces.MARK), vocabulary)
+        assert got[i] == want and all(x in useful or 0 <= x - vocabulary.byte_zero < 256 for x in want)
+
+
+def test_cutting_in_place(vocabulary, monkeypatch):
+    """Words are cut in their own bytes, many at a time, as one by one."""
+    monkeypatch.setattr(pieces, "SLICE", 3)
+    joined = {ab for p, *_ in vocabulary.useful for ab in zip(p, p[1:], strict=False)}
+    words = ["the", "", "naïve☃x", pieces.MARK + "a", "𝄞𝄞é", "year-2023\nfoo", pieces.MARK * 2, "x"]
+    want = []
+    for w in words[1:]:
+        full = w if pieces.MARK in w else pieces.MARK + w
+        ends = [i for i in range(1, len(full)) if (full[i - 1], full[i]) not in joined] + [len(full)]
+        want.append([full[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+    chunks, counts = vocabulary.cutter()(pa.array(words).slice(1))
+    assert chunks.to_pylist() == [c for cs in want for c in cs] and counts.tolist() == [len(cs) for cs in want]
+    chunks, counts = vocabulary.cutter()(pa.array([], pa.string()))
+    assert len(chunks) == len(counts) == 0
+
+
 def test_native_decoding(spark, vocabulary):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     out = pieces.encoded(spark, d, queries.PIECE_MODEL).join(d, "doc_id")
